@@ -39,11 +39,138 @@ SELECT query_id, vec_id, rank, score FROM r WHERE rank <= 5
 """
 
 
+# ---------------------------------------------------------------- text functions
+from tessera.functions import text as TX  # noqa: E402
+from tessera.plans import oracle_sql as S  # noqa: E402
+from tessera.plans.inputs import definition_questions, part_records  # noqa: E402
+from tessera.operators import match as M  # noqa: E402
+
+
+def q_normalize_text(spark, sf):
+    """STR-1 over every document."""
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", TX.normalize_text(F.col("text")).alias("norm_text"))
+
+
+SQL_NORMALIZE_TEXT = f"SELECT doc_id, {S.norm('text')} AS norm_text FROM documents"
+
+
+def q_word_stats(spark, sf):
+    """STR-4, STR-5, AGG-2 over every document."""
+    d = table(spark, sf, "documents")
+    return d.select(
+        "doc_id",
+        F.size(TX.tokenize_words("text")).alias("n_words"),
+        F.size(TX.word_set("text")).alias("n_distinct_words"),
+        F.size(TX.tokenize_whitespace("text")).alias("n_tokens"),
+        F.size(TX.whitespace_set("text")).alias("n_distinct_tokens"),
+        TX.whitespace_token_count("text").alias("n_split"),
+    )
+
+
+SQL_WORD_STATS = f"""
+SELECT doc_id, length({S.words('text')}) AS n_words, length({S.word_set('text')}) AS n_distinct_words,
+       length({S.ws_tokens('text')}) AS n_tokens, length(list_distinct({S.ws_tokens('text')})) AS n_distinct_tokens,
+       {S.ws_count('text')} AS n_split
+FROM documents"""
+
+
+def q_split_sentences(spark, sf):
+    """STR-6 + FLT-4: every sentence (> 8 characters after strip) of every document."""
+    d = table(spark, sf, "documents")
+    parts = d.select("doc_id", F.posexplode(TX.sentence_parts("text")).alias("pos", "raw"))
+    return (parts.select("doc_id", "pos", TX.py_strip(F.col("raw")).alias("sentence"))
+            .filter(F.length("sentence") > 8))
+
+
+SQL_SPLIT_SENTENCES = f"""
+SELECT doc_id, pos, sentence FROM (
+  SELECT doc_id, i AS pos, {S.strip('parts[i + 1]')} AS sentence FROM (
+    SELECT doc_id, parts, unnest(range(length(parts))) AS i FROM (
+      SELECT doc_id, string_split_regex(text, '[.!?;]+') AS parts FROM documents)))
+WHERE length(sentence) > 8"""
+
+
+def q_query_terms(spark, sf):
+    """STR-2, FLT-8, STR-1, SYN-1 on definition questions built from ``part``."""
+    q = definition_questions(table(spark, sf, "part"))
+    return M.with_query_terms(q, "query").select(
+        "query_id", "term", "norm_term", F.array_sort(TX.extract_keywords("query")).alias("keywords"))
+
+
+SQL_QUERY_TERMS = f"""
+WITH q AS ({S.definition_questions()}), t AS (SELECT query_id, query, {S.term('query')} AS term FROM q)
+SELECT query_id, term, CASE WHEN term <> '' THEN {S.norm('term')} ELSE '' END AS norm_term,
+       list_sort({S.keywords('query')}) AS keywords
+FROM t"""
+
+
+def q_benchmark_keywords(spark, sf):
+    """SYN-1 on every ``benchmark`` text (whole query, no accent folding)."""
+    b = table(spark, sf, "benchmark")
+    return b.select("item_id", F.array_sort(TX.extract_keywords("text")).alias("keywords"))
+
+
+SQL_BENCHMARK_KEYWORDS = f"SELECT item_id, list_sort({S.keywords('text')}) AS keywords FROM benchmark"
+
+
+def q_key_boosts(spark, sf):
+    """JOIN-4/5, AGG-10, WIN-4 (embedding-cache tier): definition questions vs
+    ``part`` names as keys; one boost row per question that names a key."""
+    part = table(spark, sf, "part")
+    recs = part_records(part)
+    q = definition_questions(part)
+    return M.key_boosts(q, recs, CFG).withColumnRenamed("ord", "p_partkey")
+
+
+SQL_KEY_BOOSTS = f"""
+WITH q AS ({S.definition_questions()}),
+t AS (SELECT query_id, {S.term('query')} AS term FROM q),
+nt AS (SELECT query_id, {S.norm('term')} AS norm_term FROM t WHERE term <> ''),
+nk AS (SELECT {S.norm('p_name')} AS norm_key, max(p_partkey) AS last_ord, min(p_partkey) AS first_ord
+       FROM part GROUP BY 1),
+ex AS (SELECT nt.query_id, nk.last_ord AS p_partkey, 'exact' AS match_kind, 0.40 AS boost
+       FROM nt JOIN nk ON nt.norm_term = nk.norm_key),
+fz AS (SELECT nt.query_id, arg_min(nk.last_ord, nk.first_ord) AS p_partkey, 'fuzzy' AS match_kind, 0.28 AS boost
+       FROM nt JOIN nk ON levenshtein(nt.norm_term, nk.norm_key) <= 1
+       WHERE length(nt.norm_term) >= 5 AND nt.query_id NOT IN (SELECT query_id FROM ex)
+       GROUP BY nt.query_id)
+SELECT * FROM ex UNION ALL SELECT * FROM fz"""
+
+
+def q_exact_key_lookup(spark, sf):
+    """JOIN-3 (no-index tier): a question equal to a stored key returns that record, score 1.0."""
+    part = table(spark, sf, "part")
+    recs = part_records(part).select("key", "ord", F.col("text_out").alias("text"))
+    q = definition_questions(part)
+    return M.exact_key_lookup(q, recs).select("query_id", "key", F.col("ord").alias("p_partkey"), "text", "score")
+
+
+SQL_EXACT_KEY_LOOKUP = f"""
+WITH q AS ({S.definition_questions()})
+SELECT q.query_id, p.p_name AS key, p.p_partkey, p.p_name || ': ' || p.p_type AS text, 1.0 AS score
+FROM q JOIN part p ON q.query = p.p_name"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cosine_retrieve": q_cosine_retrieve,
+    "normalize_text": q_normalize_text,
+    "word_stats": q_word_stats,
+    "split_sentences": q_split_sentences,
+    "query_terms": q_query_terms,
+    "benchmark_keywords": q_benchmark_keywords,
+    "key_boosts": q_key_boosts,
+    "exact_key_lookup": q_exact_key_lookup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "cosine_retrieve": SQL_COSINE_RETRIEVE,
+    "normalize_text": SQL_NORMALIZE_TEXT,
+    "word_stats": SQL_WORD_STATS,
+    "split_sentences": SQL_SPLIT_SENTENCES,
+    "query_terms": SQL_QUERY_TERMS,
+    "benchmark_keywords": SQL_BENCHMARK_KEYWORDS,
+    "key_boosts": SQL_KEY_BOOSTS,
+    "exact_key_lookup": SQL_EXACT_KEY_LOOKUP,
 }
 FLAGSHIP = "cosine_retrieve"
