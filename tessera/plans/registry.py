@@ -152,6 +152,78 @@ SELECT q.query_id, p.p_name AS key, p.p_partkey, p.p_name || ': ' || p.p_type AS
 FROM q JOIN part p ON q.query = p.p_name"""
 
 
+# ---------------------------------------------------------------- retrieval + synthesis
+from tessera.plans.answer import answer as answer_plan, retrieve_text  # noqa: E402
+from tessera.plans.inputs import document_records  # noqa: E402
+from tessera.operators import synth as SY  # noqa: E402
+
+BENCH_QUERIES_SQL = "SELECT item_id AS query_id, text AS query FROM benchmark"
+
+
+def _bench_queries(spark, sf):
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+def _bench_fragments(spark, sf):
+    q = _bench_queries(spark, sf)
+    recs = document_records(table(spark, sf, "documents"))
+    return q, retrieve_text(q, recs, CFG)
+
+
+def q_text_retrieve(spark, sf):
+    """PIP-1 / ANN-5 / ANN-1 / JOIN-2: every benchmark text against all documents
+    (hashed bag-of-words vectors), top 5 >= 0.3, text fetched for the winners."""
+    _, frags = _bench_fragments(spark, sf)
+    return frags.select("query_id", "rank", "source_id", "text", "score")
+
+
+SQL_TEXT_RETRIEVE = f"""WITH {S.text_fragments(BENCH_QUERIES_SQL)}
+SELECT query_id, rank, source_id, text, score FROM frag"""
+
+
+def q_rewrite(spark, sf):
+    """SYN-1..5, WIN-2/3, AGG-3/9: statistical rewrite of the fragments of every benchmark text."""
+    q, frags = _bench_fragments(spark, sf)
+    return SY.rewrite(q, frags, CFG)
+
+
+SQL_REWRITE = f"""WITH {S.text_fragments(BENCH_QUERIES_SQL)},
+{S.rewrite()}
+SELECT query_id, response FROM rw"""
+
+
+def q_answer(spark, sf):
+    """PIP-2 / SYN-6 / SYN-10 / AGG-1: answer (or fallback) for every benchmark text."""
+    q, frags = _bench_fragments(spark, sf)
+    return answer_plan(q, frags, CFG)
+
+
+SQL_ANSWER = f"""WITH {S.text_fragments(BENCH_QUERIES_SQL)},
+{S.rewrite()},
+{S.answer()}
+SELECT query_id, mode, response FROM ans"""
+
+
+def q_guided_prompt(spark, sf):
+    """SYN-6/7/8, AGG-8: routing and prompts when a generator is configured."""
+    q, frags = _bench_fragments(spark, sf)
+    r = SY.route_and_prompt(q, frags, has_generator=True, cfg=CFG)
+    m = F.col("messages")
+    return r.select("query_id", "mode", m[0]["content"].alias("system_content"), m[1]["content"].alias("user_content"))
+
+
+SQL_GUIDED_PROMPT = f"""WITH {S.text_fragments(BENCH_QUERIES_SQL)},
+ctx AS (SELECT query_id, max(score) AS max_score, string_agg('[' || rank || '] ' || text, chr(10) ORDER BY rank) AS context
+        FROM frag GROUP BY 1)
+SELECT q.query_id,
+  CASE WHEN ctx.query_id IS NULL OR ctx.max_score < 0.4 THEN 'free' ELSE 'guided' END AS mode,
+  CASE WHEN ctx.query_id IS NULL OR ctx.max_score < 0.4 THEN {S.lit(SY.K.FREE_SYSTEM_PROMPT)}
+       ELSE {S.lit(SY.K.GUIDED_SYSTEM_PROMPT)} END AS system_content,
+  CASE WHEN ctx.query_id IS NULL OR ctx.max_score < 0.4 THEN q.query
+       ELSE 'CONTEXTO:' || chr(10) || ctx.context || chr(10) || chr(10) || 'PREGUNTA: ' || q.query END AS user_content
+FROM qsrc q LEFT JOIN ctx USING (query_id)"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cosine_retrieve": q_cosine_retrieve,
     "normalize_text": q_normalize_text,
@@ -161,6 +233,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "benchmark_keywords": q_benchmark_keywords,
     "key_boosts": q_key_boosts,
     "exact_key_lookup": q_exact_key_lookup,
+    "text_retrieve": q_text_retrieve,
+    "rewrite": q_rewrite,
+    "answer": q_answer,
+    "guided_prompt": q_guided_prompt,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -172,5 +248,9 @@ ORACLE_SQL: dict[str, str] = {
     "benchmark_keywords": SQL_BENCHMARK_KEYWORDS,
     "key_boosts": SQL_KEY_BOOSTS,
     "exact_key_lookup": SQL_EXACT_KEY_LOOKUP,
+    "text_retrieve": SQL_TEXT_RETRIEVE,
+    "rewrite": SQL_REWRITE,
+    "answer": SQL_ANSWER,
+    "guided_prompt": SQL_GUIDED_PROMPT,
 }
-FLAGSHIP = "cosine_retrieve"
+FLAGSHIP = "answer"
