@@ -33,13 +33,13 @@ def token_usage(df: DataFrame, *, prompt: str = "query", completion: str = "resp
 
 def chunk_response(df: DataFrame, *, key: str = "query_id", response: str = "response") -> DataFrame:
     """PIP-4: a response cut on single spaces into ordered chunks (a trailing
-    space on all but the last), followed by one ``stop`` row per response."""
-    parts = df.select(key, F.posexplode(F.split(F.col(response), " ")).alias("seq", "w"),
-                      F.size(F.split(F.col(response), " ")).alias("__n"))
-    chunks = parts.select(key, "seq",
-                          F.when(F.col("seq") < F.col("__n") - 1, F.concat(F.col("w"), F.lit(" ")))
-                          .otherwise(F.col("w")).alias("content"),
-                          F.lit(None).cast("string").alias("finish_reason"))
-    stops = df.select(key, F.size(F.split(F.col(response), " ")).alias("seq"),
-                      F.lit(None).cast("string").alias("content"), F.lit("stop").alias("finish_reason"))
-    return chunks.unionByName(stops)
+    space on all but the last), followed by one ``stop`` row per response.
+    One pass: the stop row is an extra null element of the exploded array."""
+    words = F.split(F.col(response), " ")
+    n = F.size(words)
+    pieces = F.transform(words, lambda w, i: F.when(i < n - 1, F.concat(w, F.lit(" "))).otherwise(w))
+    with_stop = F.concat(pieces, F.array(F.lit(None).cast("string")))
+    return (df.select(key, n.alias("__n"), F.posexplode(with_stop).alias("seq", "content"))
+            .select(key, "seq", "content",
+                    F.when(F.col("seq") == F.col("__n"), F.lit("stop")).otherwise(F.lit(None).cast("string"))
+                    .alias("finish_reason")))

@@ -224,6 +224,101 @@ SELECT q.query_id,
 FROM qsrc q LEFT JOIN ctx USING (query_id)"""
 
 
+# ---------------------------------------------------------------- audit, dedup, conversations
+from tessera.operators.audit import connector_words, grounding_audit  # noqa: E402
+from tessera.operators.dedup import dedup_fragments  # noqa: E402
+from tessera.operators.chat import chunk_response, last_messages  # noqa: E402
+from tessera.plans.answer import chat_answer  # noqa: E402
+
+
+def q_grounding_audit(spark, sf):
+    """SET-3 / JOIN-10: every word of every statistical answer must occur in the
+    query's fragments or in the connectors (the "oregano test")."""
+    q, frags = _bench_fragments(spark, sf)
+    rw = SY.rewrite(q, frags, CFG)
+    return grounding_audit(rw, frags).select("query_id", "grounded", "offending")
+
+
+SQL_GROUNDING_AUDIT = f"""WITH {S.text_fragments(BENCH_QUERIES_SQL)},
+{S.rewrite()},
+aw AS (SELECT query_id, unnest({S.word_set('response')}) AS word FROM rw),
+fw AS (SELECT DISTINCT query_id, unnest({S.word_set('text')}) AS word FROM frag),
+bad AS (SELECT query_id, list_sort(list(DISTINCT word)) AS offending FROM aw
+        WHERE NOT list_contains([{", ".join(S.lit(w) for w in connector_words())}], word)
+          AND NOT EXISTS (SELECT 1 FROM fw WHERE fw.query_id = aw.query_id AND fw.word = aw.word)
+        GROUP BY 1)
+SELECT rw.query_id, coalesce(length(bad.offending), 0) = 0 AS grounded,
+       coalesce(bad.offending, []::VARCHAR[]) AS offending
+FROM rw LEFT JOIN bad USING (query_id)"""
+
+
+def q_dedup_fragments(spark, sf):
+    """DUP-1 / STR-5 / STR-7 / JOIN-9: greedy near-duplicate removal (Jaccard >= 0.7)
+    over each benchmark text's fragments, in rank order."""
+    _, frags = _bench_fragments(spark, sf)
+    return dedup_fragments(frags, CFG.dedup_threshold).select("query_id", "rank", "source_id", "score")
+
+
+SQL_DEDUP_FRAGMENTS = f"""WITH {S.text_fragments(BENCH_QUERIES_SQL)},
+it AS (SELECT query_id, list({{'rank': rank, 'w': list_distinct({S.ws_tokens('text')}), 'source_id': source_id, 'score': score}}
+        ORDER BY rank) AS l FROM frag GROUP BY 1),
+kp AS (SELECT query_id, list_reduce(list_transform(l, lambda x: [x]),
+        lambda kept, xs: CASE WHEN length(list_filter(kept, lambda y: {S.jaccard('xs[1].w', 'y.w')} >= 0.7)) > 0
+                              THEN kept ELSE list_concat(kept, xs) END) AS kept FROM it)
+SELECT query_id, k.rank AS rank, k.source_id AS source_id, k.score AS score
+FROM (SELECT query_id, unnest(kept) AS k FROM kp)"""
+
+
+LAST_MESSAGE_SQL = f"""SELECT conv_id,
+  max_by(st, turn) FILTER (WHERE role = 'user' AND st <> '') AS user_text,
+  max_by(st, turn) FILTER (WHERE role = 'system' AND st <> '') AS system_text
+FROM (SELECT conv_id, turn, role, {S.strip('text')} AS st FROM conversations) GROUP BY conv_id"""
+
+
+def q_last_message(spark, sf):
+    """AGG-4 / FLT-6: last non-blank user and system message of every conversation."""
+    return last_messages(table(spark, sf, "conversations"))
+
+
+def _chat(spark, sf):
+    recs = document_records(table(spark, sf, "documents"))
+    return chat_answer(table(spark, sf, "conversations"), recs, CFG)
+
+
+def q_chat_answer(spark, sf):
+    """PIP-3 / AGG-5: each conversation's last user message answered against all
+    documents, with whitespace token usage."""
+    return _chat(spark, sf).select("conv_id", "mode", "response", "prompt_tokens", "completion_tokens",
+                                   "total_tokens")
+
+
+CHAT_QUERIES_SQL = f"SELECT conv_id AS query_id, user_text AS query FROM ({LAST_MESSAGE_SQL}) WHERE user_text IS NOT NULL"
+
+SQL_CHAT_ANSWER = f"""WITH {S.text_fragments(CHAT_QUERIES_SQL)},
+{S.rewrite()},
+{S.answer()}
+SELECT a.query_id AS conv_id, a.mode, a.response, {S.ws_count('q.query')} AS prompt_tokens,
+       {S.ws_count('a.response')} AS completion_tokens,
+       {S.ws_count('q.query')} + {S.ws_count('a.response')} AS total_tokens
+FROM ans a JOIN qsrc q USING (query_id)"""
+
+
+def q_chunk_response(spark, sf):
+    """PIP-4: every chat answer cut into word chunks plus a stop row."""
+    return chunk_response(_chat(spark, sf).select("conv_id", "response"), key="conv_id")
+
+
+SQL_CHUNK_RESPONSE = f"""WITH {S.text_fragments(CHAT_QUERIES_SQL)},
+{S.rewrite()},
+{S.answer()},
+cw AS (SELECT query_id AS conv_id, string_split(response, ' ') AS w FROM ans)
+SELECT conv_id, i AS seq, CASE WHEN i < length(w) - 1 THEN w[i + 1] || ' ' ELSE w[i + 1] END AS content,
+       NULL::VARCHAR AS finish_reason
+FROM (SELECT *, unnest(range(length(w))) AS i FROM cw)
+UNION ALL
+SELECT conv_id, length(w) AS seq, NULL::VARCHAR AS content, 'stop' AS finish_reason FROM cw"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cosine_retrieve": q_cosine_retrieve,
     "normalize_text": q_normalize_text,
@@ -237,6 +332,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rewrite": q_rewrite,
     "answer": q_answer,
     "guided_prompt": q_guided_prompt,
+    "grounding_audit": q_grounding_audit,
+    "dedup_fragments": q_dedup_fragments,
+    "last_message": q_last_message,
+    "chat_answer": q_chat_answer,
+    "chunk_response": q_chunk_response,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -252,5 +352,10 @@ ORACLE_SQL: dict[str, str] = {
     "rewrite": SQL_REWRITE,
     "answer": SQL_ANSWER,
     "guided_prompt": SQL_GUIDED_PROMPT,
+    "grounding_audit": SQL_GROUNDING_AUDIT,
+    "dedup_fragments": SQL_DEDUP_FRAGMENTS,
+    "last_message": LAST_MESSAGE_SQL,
+    "chat_answer": SQL_CHAT_ANSWER,
+    "chunk_response": SQL_CHUNK_RESPONSE,
 }
 FLAGSHIP = "answer"
