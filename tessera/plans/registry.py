@@ -18,13 +18,20 @@ from tessera.sources.tables import table
 CFG = RetrievalConfig()
 
 
+def _long(df: DataFrame, *cols: str) -> DataFrame:
+    """Counts, ranks and positions are reported as bigint (as the oracle does)."""
+    for c in cols:
+        df = df.withColumn(c, F.col(c).cast("bigint"))
+    return df
+
+
 # ---------------------------------------------------------------- vectors
 def q_cosine_retrieve(spark: SparkSession, sf: str) -> DataFrame:
     """Every embedding is a query against the whole table: top 5 by dot product, >= 0.3."""
     emb = table(spark, sf, "embeddings")
     queries = emb.select(F.col("vec_id").alias("query_id"), "embedding")
     res = cosine_retrieve(queries, emb, CFG, key="vec_id")
-    return res.select("query_id", "vec_id", "rank", "score")
+    return _long(res.select("query_id", "vec_id", "rank", "score"), "rank")
 
 
 SQL_COSINE_RETRIEVE = """
@@ -58,14 +65,14 @@ SQL_NORMALIZE_TEXT = f"SELECT doc_id, {S.norm('text')} AS norm_text FROM documen
 def q_word_stats(spark, sf):
     """STR-4, STR-5, AGG-2 over every document."""
     d = table(spark, sf, "documents")
-    return d.select(
+    return _long(d.select(
         "doc_id",
         F.size(TX.tokenize_words("text")).alias("n_words"),
         F.size(TX.word_set("text")).alias("n_distinct_words"),
         F.size(TX.tokenize_whitespace("text")).alias("n_tokens"),
         F.size(TX.whitespace_set("text")).alias("n_distinct_tokens"),
         TX.whitespace_token_count("text").alias("n_split"),
-    )
+    ), "n_words", "n_distinct_words", "n_tokens", "n_distinct_tokens", "n_split")
 
 
 SQL_WORD_STATS = f"""
@@ -79,8 +86,8 @@ def q_split_sentences(spark, sf):
     """STR-6 + FLT-4: every sentence (> 8 characters after strip) of every document."""
     d = table(spark, sf, "documents")
     parts = d.select("doc_id", F.posexplode(TX.sentence_parts("text")).alias("pos", "raw"))
-    return (parts.select("doc_id", "pos", TX.py_strip(F.col("raw")).alias("sentence"))
-            .filter(F.length("sentence") > 8))
+    return _long(parts.select("doc_id", "pos", TX.py_strip(F.col("raw")).alias("sentence"))
+                 .filter(F.length("sentence") > 8), "pos")
 
 
 SQL_SPLIT_SENTENCES = f"""
@@ -129,9 +136,9 @@ t AS (SELECT query_id, {S.term('query')} AS term FROM q),
 nt AS (SELECT query_id, {S.norm('term')} AS norm_term FROM t WHERE term <> ''),
 nk AS (SELECT {S.norm('p_name')} AS norm_key, max(p_partkey) AS last_ord, min(p_partkey) AS first_ord
        FROM part GROUP BY 1),
-ex AS (SELECT nt.query_id, nk.last_ord AS p_partkey, 'exact' AS match_kind, 0.40 AS boost
+ex AS (SELECT nt.query_id, nk.last_ord AS p_partkey, 'exact' AS match_kind, 0.40::DOUBLE AS boost
        FROM nt JOIN nk ON nt.norm_term = nk.norm_key),
-fz AS (SELECT nt.query_id, arg_min(nk.last_ord, nk.first_ord) AS p_partkey, 'fuzzy' AS match_kind, 0.28 AS boost
+fz AS (SELECT nt.query_id, arg_min(nk.last_ord, nk.first_ord) AS p_partkey, 'fuzzy' AS match_kind, 0.28::DOUBLE AS boost
        FROM nt JOIN nk ON levenshtein(nt.norm_term, nk.norm_key) <= 1
        WHERE length(nt.norm_term) >= 5 AND nt.query_id NOT IN (SELECT query_id FROM ex)
        GROUP BY nt.query_id)
@@ -148,7 +155,7 @@ def q_exact_key_lookup(spark, sf):
 
 SQL_EXACT_KEY_LOOKUP = f"""
 WITH q AS ({S.definition_questions()})
-SELECT q.query_id, p.p_name AS key, p.p_partkey, p.p_name || ': ' || p.p_type AS text, 1.0 AS score
+SELECT q.query_id, p.p_name AS key, p.p_partkey, p.p_name || ': ' || p.p_type AS text, 1.0::DOUBLE AS score
 FROM q JOIN part p ON q.query = p.p_name"""
 
 
@@ -174,7 +181,7 @@ def q_text_retrieve(spark, sf):
     """PIP-1 / ANN-5 / ANN-1 / JOIN-2: every benchmark text against all documents
     (hashed bag-of-words vectors), top 5 >= 0.3, text fetched for the winners."""
     _, frags = _bench_fragments(spark, sf)
-    return frags.select("query_id", "rank", "source_id", "text", "score")
+    return _long(frags.select("query_id", "rank", "source_id", "text", "score"), "rank")
 
 
 SQL_TEXT_RETRIEVE = f"""WITH {S.text_fragments(BENCH_QUERIES_SQL)}
@@ -256,7 +263,7 @@ def q_dedup_fragments(spark, sf):
     """DUP-1 / STR-5 / STR-7 / JOIN-9: greedy near-duplicate removal (Jaccard >= 0.7)
     over each benchmark text's fragments, in rank order."""
     _, frags = _bench_fragments(spark, sf)
-    return dedup_fragments(frags, CFG.dedup_threshold).select("query_id", "rank", "source_id", "score")
+    return _long(dedup_fragments(frags, CFG.dedup_threshold).select("query_id", "rank", "source_id", "score"), "rank")
 
 
 SQL_DEDUP_FRAGMENTS = f"""WITH {S.text_fragments(BENCH_QUERIES_SQL)},
@@ -288,8 +295,8 @@ def _chat(spark, sf):
 def q_chat_answer(spark, sf):
     """PIP-3 / AGG-5: each conversation's last user message answered against all
     documents, with whitespace token usage."""
-    return _chat(spark, sf).select("conv_id", "mode", "response", "prompt_tokens", "completion_tokens",
-                                   "total_tokens")
+    return _long(_chat(spark, sf).select("conv_id", "mode", "response", "prompt_tokens", "completion_tokens",
+                                         "total_tokens"), "prompt_tokens", "completion_tokens", "total_tokens")
 
 
 CHAT_QUERIES_SQL = f"SELECT conv_id AS query_id, user_text AS query FROM ({LAST_MESSAGE_SQL}) WHERE user_text IS NOT NULL"
@@ -305,7 +312,7 @@ FROM ans a JOIN qsrc q USING (query_id)"""
 
 def q_chunk_response(spark, sf):
     """PIP-4: every chat answer cut into word chunks plus a stop row."""
-    return chunk_response(_chat(spark, sf).select("conv_id", "response"), key="conv_id")
+    return _long(chunk_response(_chat(spark, sf).select("conv_id", "response"), key="conv_id"), "seq")
 
 
 SQL_CHUNK_RESPONSE = f"""WITH {S.text_fragments(CHAT_QUERIES_SQL)},
@@ -319,6 +326,38 @@ UNION ALL
 SELECT conv_id, length(w) AS seq, NULL::VARCHAR AS content, 'stop' AS finish_reason FROM cw"""
 
 
+# ---------------------------------------------------------------- record store
+from tessera.sources.store import keyed_records, store_stats  # noqa: E402
+from tessera.sources.corpus import as_corpus  # noqa: E402
+from tessera.plans.inputs import PART_AS_CORPUS  # noqa: E402
+
+
+def _part_store(spark, sf):
+    return keyed_records(as_corpus(table(spark, sf, "part"), PART_AS_CORPUS, "p_partkey"), CFG.num_buckets)
+
+
+def q_record_store(spark, sf):
+    """SRC-3 / PRJ-2 / FLT-5 / JSN-1: ``part`` as a keyed store (key = name, last record wins)."""
+    return _part_store(spark, sf).select("key", "value", "ord", "bucket")
+
+
+RECORD_STORE_SQL = f"""SELECT key, arg_max(value, ord) AS value, max(ord) AS ord,
+       CAST(('0x' || substr(md5(key), 1, 8))::BIGINT % {CFG.num_buckets} AS INTEGER) AS bucket
+FROM (SELECT p_partkey AS ord, p_name AS key,
+             CAST(to_json({{'id': CAST(p_partkey AS VARCHAR), 'lemma': p_name, 'definition': p_type}}) AS VARCHAR) AS value
+      FROM part WHERE p_name IS NOT NULL AND p_name <> '')
+GROUP BY key"""
+
+
+def q_store_stats(spark, sf):
+    """SRC-6 / AGG-11: records and value bytes per bucket, with a rollup total."""
+    return store_stats(_part_store(spark, sf))
+
+
+SQL_STORE_STATS = f"""SELECT bucket, count(*) AS n_records, CAST(sum(strlen(value)) AS BIGINT) AS value_bytes
+FROM ({RECORD_STORE_SQL}) GROUP BY ROLLUP (bucket)"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cosine_retrieve": q_cosine_retrieve,
     "normalize_text": q_normalize_text,
@@ -337,6 +376,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "last_message": q_last_message,
     "chat_answer": q_chat_answer,
     "chunk_response": q_chunk_response,
+    "record_store": q_record_store,
+    "store_stats": q_store_stats,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -357,5 +398,7 @@ ORACLE_SQL: dict[str, str] = {
     "last_message": LAST_MESSAGE_SQL,
     "chat_answer": SQL_CHAT_ANSWER,
     "chunk_response": SQL_CHUNK_RESPONSE,
+    "record_store": RECORD_STORE_SQL,
+    "store_stats": SQL_STORE_STATS,
 }
 FLAGSHIP = "answer"
