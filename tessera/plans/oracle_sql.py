@@ -138,3 +138,14 @@ def answer(qsrc: str = "qsrc", frag: str = "frag") -> str:
          WHEN coalesce(rw.response, '') = '' THEN {lit(K.NOT_ENOUGH)} ELSE rw.response END AS response
   FROM {qsrc} q LEFT JOIN (SELECT DISTINCT query_id FROM {frag}) nf USING (query_id)
   LEFT JOIN rw USING (query_id))"""
+
+
+def minhash_sig(text: str) -> str:
+    """AGG-7 signature (null when the text has no token)."""
+    from tessera.operators.minhash import PRIME, hash_params
+    ps = hash_params()
+    a = "[" + ", ".join(f"{x}::BIGINT" if i == 0 else str(x) for i, (x, _) in enumerate(ps)) + "]"
+    b = "[" + ", ".join(f"{y}::BIGINT" if i == 0 else str(y) for i, (_, y) in enumerate(ps)) + "]"
+    hs = f"list_transform(list_distinct({ws_tokens(text)}), lambda t: ('0x' || substr(md5(t), 1, 8))::BIGINT)"
+    return (f"(CASE WHEN length({hs}) > 0 THEN list_transform(range(1, {len(ps) + 1}), lambda i: "
+            f"list_min(list_transform({hs}, lambda x: ({a}[i] * x + {b}[i]) % {PRIME}))) END)")

@@ -358,6 +358,59 @@ SQL_STORE_STATS = f"""SELECT bucket, count(*) AS n_records, CAST(sum(strlen(valu
 FROM ({RECORD_STORE_SQL}) GROUP BY ROLLUP (bucket)"""
 
 
+# ---------------------------------------------------------------- MinHash
+from tessera.operators import minhash as MH  # noqa: E402
+from tessera.operators.encode import encode as encode_text  # noqa: E402
+from tessera.sources.corpus import minhash_text  # noqa: E402
+
+
+def q_minhash_signature(spark, sf):
+    """AGG-7 / PRJ-4: 64-hash MinHash signature of every document."""
+    recs = document_records(table(spark, sf, "documents"))
+    return MH.with_signatures(recs.withColumn("mh_text", minhash_text()), "mh_text") \
+        .select(F.col("ord").alias("doc_id"), "sig")
+
+
+SQL_MINHASH_SIGNATURE = f"""SELECT doc_id, sig FROM (
+  SELECT doc_id, {S.minhash_sig("'  ' || coalesce(text, '')")} AS sig FROM documents) WHERE sig IS NOT NULL"""
+
+
+def q_minhash_retrieve(spark, sf):
+    """ANN-6 / JOIN-8 / JOIN-6: MinHash tier — top 20 documents per benchmark text by
+    Jaccard estimate, exact cosine of stored vectors, >= 0.3, top 5."""
+    q = _bench_queries(spark, sf)
+    recs = document_records(table(spark, sf, "documents"))
+    q_sigs = MH.with_signatures(q, "query").select("query_id", "sig")
+    c_sigs = MH.with_signatures(recs.withColumn("mh_text", minhash_text()), "mh_text").select("ord", "sig")
+    q_vecs = encode_text(q, "query", "qvec").select("query_id", "qvec")
+    r_vecs = encode_text(recs, "text_out", "embedding").select("ord", "embedding")
+    res = MH.minhash_retrieve(q, q_sigs, c_sigs, q_vecs, r_vecs, CFG, key="ord")
+    return _long(res.select("query_id", F.col("ord").alias("doc_id"), "rank", "score"), "rank")
+
+
+SQL_MINHASH_RETRIEVE = f"""WITH qsrc AS ({BENCH_QUERIES_SQL}),
+dsrc AS (SELECT doc_id AS ord, CASE WHEN text IS NOT NULL AND text <> '' THEN text
+           ELSE CAST(to_json({{'id': CAST(doc_id AS VARCHAR)}}) AS VARCHAR) END AS text,
+         '  ' || coalesce(text, '') AS mh FROM documents),
+qs AS (SELECT * FROM (SELECT query_id, {S.minhash_sig('query')} AS sig FROM qsrc) WHERE sig IS NOT NULL),
+ds AS (SELECT * FROM (SELECT ord, {S.minhash_sig('mh')} AS sig FROM dsrc) WHERE sig IS NOT NULL),
+ag AS (SELECT q.query_id, d.ord, length(list_filter(range(1, 65), lambda i: q.sig[i] = d.sig[i])) / 64.0 AS jac
+       FROM qs q, ds d),
+cand AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY jac DESC, ord) AS r FROM ag)
+         WHERE r <= 20),
+{S.unit_vectors('qv', 'qsrc', 'query_id', 'query')},
+{S.unit_vectors('dv', 'dsrc', 'ord', 'text')},
+qn AS (SELECT id, sqrt(sum(w * w)) AS n FROM qv GROUP BY 1),
+dn AS (SELECT id, sqrt(sum(w * w)) AS n FROM dv GROUP BY 1),
+dots AS (SELECT c.query_id, c.ord, coalesce(sum(q.w * d.w), 0.0) AS dot
+         FROM cand c LEFT JOIN qv q ON q.id = c.query_id LEFT JOIN dv d ON d.id = c.ord AND d.b = q.b
+         GROUP BY 1, 2),
+cs AS (SELECT x.query_id, x.ord, round(x.dot / (coalesce(qn.n, 0) * coalesce(dn.n, 0) + 1e-9), 6) AS score
+       FROM dots x LEFT JOIN qn ON qn.id = x.query_id LEFT JOIN dn ON dn.id = x.ord),
+rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ord) AS rank FROM cs WHERE score >= 0.3)
+SELECT query_id, ord AS doc_id, rank, score FROM rk WHERE rank <= 5"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cosine_retrieve": q_cosine_retrieve,
     "normalize_text": q_normalize_text,
@@ -378,6 +431,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "chunk_response": q_chunk_response,
     "record_store": q_record_store,
     "store_stats": q_store_stats,
+    "minhash_signature": q_minhash_signature,
+    "minhash_retrieve": q_minhash_retrieve,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -400,5 +455,7 @@ ORACLE_SQL: dict[str, str] = {
     "chunk_response": SQL_CHUNK_RESPONSE,
     "record_store": RECORD_STORE_SQL,
     "store_stats": SQL_STORE_STATS,
+    "minhash_signature": SQL_MINHASH_SIGNATURE,
+    "minhash_retrieve": SQL_MINHASH_RETRIEVE,
 }
 FLAGSHIP = "answer"
