@@ -411,6 +411,38 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, o
 SELECT query_id, ord AS doc_id, rank, score FROM rk WHERE rank <= 5"""
 
 
+# ---------------------------------------------------------------- IVF-PQ (approximate: rows-only checks)
+from tessera.operators.ivfpq import ivfpq_build  # noqa: E402
+from tessera.plans.retrieve import ivf_retrieve  # noqa: E402
+from tessera.operators.audit import recall_at_k  # noqa: E402
+
+
+def _ivf(spark, sf):
+    emb = table(spark, sf, "embeddings")
+    index = ivfpq_build(emb, key="vec_id", vec="embedding", profile="low-ram", seed=1)
+    queries = emb.select(F.col("vec_id").alias("query_id"), "embedding")
+    records = emb.select(F.col("vec_id").alias("key"), "label")
+    return emb, queries, ivf_retrieve(index, queries, records, CFG, key="key")
+
+
+def q_ivf_retrieve(spark, sf):
+    """ANN-2/3/4: IVF-PQ index over all embeddings, every embedding as a query,
+    shortlist k*8, exact re-rank, >= 0.3, top 5."""
+    _, _, res = _ivf(spark, sf)
+    return _long(res.select("query_id", F.col("key").alias("vec_id"), "rank", "score"), "rank")
+
+
+def q_ivf_recall(spark, sf):
+    """ANN-8: self-query hit rate in the top 5 and recall@5 against the exact search."""
+    emb, queries, res = _ivf(spark, sf)
+    exact = cosine_retrieve(queries, emb.withColumnRenamed("vec_id", "key"), CFG, key="key")
+    hits = res.groupBy("query_id").agg(F.max((F.col("key") == F.col("query_id")).cast("int")).alias("hit"))
+    per_q = queries.select("query_id").join(hits, "query_id", "left")
+    rec = recall_at_k(res, exact, key="key")
+    return (per_q.agg(F.avg(F.coalesce("hit", F.lit(0))).alias("hit_rate"), F.count(F.lit(1)).alias("n_queries"))
+            .crossJoin(rec.agg(F.avg("recall").alias("recall_at_5"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cosine_retrieve": q_cosine_retrieve,
     "normalize_text": q_normalize_text,
@@ -433,6 +465,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "store_stats": q_store_stats,
     "minhash_signature": q_minhash_signature,
     "minhash_retrieve": q_minhash_retrieve,
+    "ivf_retrieve": q_ivf_retrieve,
+    "ivf_recall": q_ivf_recall,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -18,3 +18,70 @@ def cosine_retrieve(queries: DataFrame, corpus: DataFrame, cfg: RetrievalConfig
                     kind="dot", decimals=cfg.score_decimals,
                     rows_per_query_block=cfg.rows_per_query_block,
                     rows_per_corpus_block=cfg.rows_per_corpus_block)
+
+
+def ivf_retrieve(index, queries: DataFrame, records: DataFrame, cfg: RetrievalConfig = RetrievalConfig(), *,
+                 query_id: str = "query_id", query_vec: str = "embedding", key: str = "key",
+                 query_text: str | None = None) -> DataFrame:
+    """ANN-4 (Tier 0): IVF-PQ shortlist of ``k * ivf_overfetch`` (exact re-rank)
+    -> boost every exact / one-edit key of the shortlist when the query has text
+    (``fuzzy="all"``) -> threshold -> fetch (unresolved keys drop) -> top k."""
+    from pyspark.sql import functions as F
+
+    from tessera.operators.ivfpq import ivfpq_search
+    from tessera.operators.knn import topk_by_score
+    from tessera.operators.match import boost_shortlist, with_query_terms
+    from tessera.operators.rank import fetch_records, filter_by_threshold
+
+    cands = ivfpq_search(index, queries.select(query_id, query_vec), cfg.top_k * cfg.ivf_overfetch,
+                         query_id=query_id, vec=query_vec, nprobe=cfg.ivf_nprobe,
+                         rows_per_block=cfg.rows_per_corpus_block, decimals=cfg.score_decimals)
+    if query_text is not None:
+        terms = with_query_terms(queries.select(query_id, query_text), query_text).select(query_id, "norm_term")
+        cands = boost_shortlist(cands.join(terms, query_id), cfg, key="key").drop("norm_term")
+    cands = filter_by_threshold(cands, cfg.threshold).withColumnRenamed("key", key)
+    fetched = fetch_records(cands, records, key=key, cand_rows_bound=None,
+                            max_broadcast_rows=cfg.max_broadcast_rows)
+    return topk_by_score(fetched, group=query_id, order_key=key, k=cfg.top_k)
+
+
+def tiered_retrieve(catalog, spark, queries: DataFrame, cfg: RetrievalConfig = RetrievalConfig(), *,
+                    encoder=None, index=None) -> DataFrame:
+    """ANN-7: pick the plan from the tables the store has — IVF-PQ, else exact
+    cosine over stored embeddings, else MinHash, else exact key lookup. The
+    choice is made once, when the DataFrame is built. ``queries(query_id, query)``;
+    ``encoder(df, text_col, out_col)`` adds query vectors (default: hashed BoW)."""
+    import os
+
+    from pyspark.sql import functions as F
+
+    from tessera.operators.encode import encode
+    from tessera.operators.match import exact_key_lookup
+    from tessera.operators import minhash as MH
+    from tessera.operators.rank import fetch_records
+    from tessera.sources.store import read_records
+
+    enc = encoder or (lambda df, t, o: encode(df, t, o))
+    records = read_records(spark, catalog.root).select("key", "value")
+    tier = catalog.tier
+    if tier == "ivf":
+        q = enc(queries, "query", "embedding")
+        res = ivf_retrieve(index, q, records, cfg, query_text="query")
+    elif tier == "cosine":
+        q = enc(queries, "query", "embedding").select("query_id", "embedding")
+        emb = spark.read.parquet(os.path.join(catalog.root, "embeddings"))
+        top = cosine_retrieve(q, emb, cfg, key="key")
+        res = fetch_records(top, records, key="key", cand_rows_bound=None, max_broadcast_rows=cfg.max_broadcast_rows)
+    elif tier == "minhash":
+        sigs = spark.read.parquet(os.path.join(catalog.root, "minhash"))
+        emb = spark.read.parquet(os.path.join(catalog.root, "embeddings")) if catalog.has_embeddings else None
+        q_sigs = MH.with_signatures(queries, "query").select("query_id", "sig")
+        q_vecs = enc(queries, "query", "qvec").select("query_id", "qvec")
+        if emb is None:
+            emb = enc(records.withColumn("t", F.get_json_object("value", "$.text")), "t", "embedding") \
+                .select("key", "embedding")
+        res = MH.minhash_retrieve(queries, q_sigs, sigs, q_vecs, emb, cfg, key="key")
+        res = fetch_records(res, records, key="key", cand_rows_bound=None, max_broadcast_rows=cfg.max_broadcast_rows)
+    else:
+        res = exact_key_lookup(queries, records, query="query", key="key").withColumn("rank", F.lit(1))
+    return res.withColumn("tier", F.lit(tier))
