@@ -13,6 +13,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.config import RetrievalConfig
 from tessera.functions import constants as K
@@ -137,7 +138,7 @@ def generate(prompts: DataFrame, make_generator: Callable[[], Callable[[list], s
              messages: str = "messages", out: str = "response") -> DataFrame:
     """SYN-9: apply a user generator to each row's messages. ``make_generator``
     runs once per partition's Python worker; rows with no messages get null."""
-    schema = prompts.schema.add(out, "string")
+    schema = T.StructType(list(prompts.schema.fields) + [T.StructField(out, T.StringType())])
 
     def _run(it):
         gen = make_generator()
