@@ -34,6 +34,8 @@ QUERY_PREFIX_BODY = (
 
 # Characters Python's str.strip()/str.split() treat as whitespace.
 PY_WHITESPACE_CLASS = _WS
+PY_WHITESPACE_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+                       + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000")
 
 # A query term is cut at the first of these characters.
 TERM_CUT_CLASS = r"[,?.]"

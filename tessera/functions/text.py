@@ -22,8 +22,9 @@ def _c(x) -> Column:
 
 
 def py_strip(x) -> Column:
-    """``str.strip()``: remove leading/trailing Unicode whitespace (``trim`` only drops U+0020)."""
-    return F.regexp_replace(_c(x), rf"\A{_WS}+|{_WS}+\z", "")
+    """``str.strip()``: remove leading/trailing Unicode whitespace (``trim`` only
+    drops U+0020, so the whole character set is given to ``btrim``)."""
+    return F.btrim(_c(x), F.lit(K.PY_WHITESPACE_CHARS))
 
 
 @lru_cache(maxsize=1)

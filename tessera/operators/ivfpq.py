@@ -70,6 +70,11 @@ def _stack(s: pd.Series) -> np.ndarray:
 def ivfpq_build(vectors: DataFrame, *, key: str = "key", vec: str = "embedding", profile: str = "low-ram",
                 n_lists: int | None = None, dims_per_sub: int | None = None, n_codes: int = 256,
                 seed: int = 1, max_iter: int = 20) -> IvfPqIndex:
+    """Train and encode. Intermediate tables are checkpointed to the session's
+    checkpoint folder (``spark.checkpoint.dir``), which must be shared storage
+    on a cluster."""
+    from tessera.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(vectors.sparkSession)
     per_list, dsub_default, probe_share = PROFILES[profile]
     n = vectors.count()
     dim = len(vectors.select(vec).first()[0])
@@ -90,7 +95,9 @@ def ivfpq_build(vectors: DataFrame, *, key: str = "key", vec: str = "embedding",
         r = _stack(v) - cents[lid.to_numpy()]
         return pd.Series(list(r))
 
-    assigned = base.withColumn("list_id", assign("v")).withColumn("r", residual("v", "list_id"))
+    # materialised once in the checkpoint folder: the m codebook fits and the
+    # encoding read it instead of re-running the assignment
+    assigned = base.withColumn("list_id", assign("v")).withColumn("r", residual("v", "list_id")).checkpoint()
     books = []
     codes_n = min(n_codes, n)
     for j in range(m):
@@ -110,7 +117,7 @@ def ivfpq_build(vectors: DataFrame, *, key: str = "key", vec: str = "embedding",
             codes[:, j] = d.argmin(axis=1)
         return pd.Series(list(codes))
 
-    lists = assigned.select("list_id", "key", encode("r").alias("codes"))
+    lists = assigned.select("list_id", "key", encode("r").alias("codes")).checkpoint()
     nprobe = max(1, int(math.ceil(K * probe_share)))
     return IvfPqIndex(cents, cb, lists, vectors.select(F.col(key).alias("key"), F.col(vec).alias("embedding")),
                       nprobe)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.config import RetrievalConfig
-from tessera.functions.text import whitespace_set
+from tessera.functions.text import py_strip, whitespace_set
 from tessera.functions.vector import cosine_eps
 from tessera.operators.knn import knn_topk, topk_by_score
 
@@ -38,22 +38,36 @@ def token_hashes(tokens: Column) -> Column:
     return F.transform(tokens, lambda t: F.conv(F.substr(F.md5(t), F.lit(1), F.lit(8)), 16, 10).cast("bigint"))
 
 
-def _signatures(hashes: pd.Series, n: int) -> pd.Series:
-    """Vectorised over an Arrow batch: one (n x tokens) int64 matrix, then a
-    segmented minimum per row."""
+def _mod_mersenne31(x: np.ndarray) -> np.ndarray:
+    """``x mod (2^31 - 1)`` for 0 <= x < 2^63 with shifts and masks."""
+    x = (x & PRIME) + (x >> 31)
+    x = (x & PRIME) + (x >> 31)
+    return np.where(x >= PRIME, x - PRIME, x)
+
+
+def _signatures(hashes: pd.Series, n: int, chunk_tokens: int = 1 << 18) -> pd.Series:
+    """Vectorised over an Arrow batch, in row chunks of about ``chunk_tokens``
+    tokens: one (n x tokens) int64 matrix per chunk, then a segmented minimum."""
     params = np.array(hash_params(n), dtype=np.int64)
     a, b = params[:, 0:1], params[:, 1:2]
-    lengths = np.fromiter((0 if h is None else len(h) for h in hashes), dtype=np.int64, count=len(hashes))
-    out = [None] * len(hashes)
-    if lengths.sum() == 0:
-        return pd.Series(out, dtype=object)
-    flat = np.concatenate([np.asarray(h, dtype=np.int64) for h in hashes if h is not None and len(h)])
-    vals = (a * flat[None, :] + b) % PRIME
-    starts = np.r_[0, np.cumsum(lengths)[:-1]]
-    nz = lengths > 0
-    mins = np.minimum.reduceat(vals, starts[nz], axis=1)
-    for j, i in enumerate(np.flatnonzero(nz)):
-        out[i] = mins[:, j]
+    arrs = [None if h is None else np.asarray(h, dtype=np.int64) for h in hashes]
+    out = [None] * len(arrs)
+    i = 0
+    while i < len(arrs):
+        j, tot = i, 0
+        while j < len(arrs) and (tot == 0 or tot + (0 if arrs[j] is None else len(arrs[j])) <= chunk_tokens):
+            tot += 0 if arrs[j] is None else len(arrs[j])
+            j += 1
+        idx = [r for r in range(i, j) if arrs[r] is not None and len(arrs[r])]
+        if idx:
+            flat = np.concatenate([arrs[r] for r in idx])
+            vals = _mod_mersenne31(a * flat[None, :] + b)
+            lengths = np.array([len(arrs[r]) for r in idx])
+            starts = np.r_[0, np.cumsum(lengths)[:-1]]
+            mins = np.minimum.reduceat(vals, starts, axis=1)
+            for c, r in enumerate(idx):
+                out[r] = mins[:, c]
+        i = j
     return pd.Series(out, dtype=object)
 
 
@@ -81,7 +95,11 @@ def minhash_signature_sql(text: Column, n: int = NUM_HASHES) -> Column:
 
 
 def with_signatures(df: DataFrame, text: str, out: str = "sig") -> DataFrame:
-    return df.withColumn(out, minhash_signature(F.col(text))).filter(F.col(out).isNotNull())
+    """Add signatures; rows without any token (null signature) are dropped. The
+    filter is on the text, a JVM predicate: a filter on the Python result would
+    be pushed below an exchange and evaluate the UDF twice."""
+    has_token = F.length(py_strip(F.col(text))) > 0
+    return df.filter(has_token).withColumn(out, minhash_signature(F.col(text)))
 
 
 def minhash_candidates(queries: DataFrame, corpus: DataFrame, k: int, *, query_id: str = "query_id",

@@ -418,7 +418,7 @@ from tessera.operators.audit import recall_at_k  # noqa: E402
 
 
 def _ivf(spark, sf):
-    emb = table(spark, sf, "embeddings")
+    emb = table(spark, sf, "embeddings", spread_rows=False)
     index = ivfpq_build(emb, key="vec_id", vec="embedding", profile="low-ram", seed=1)
     queries = emb.select(F.col("vec_id").alias("query_id"), "embedding")
     records = emb.select(F.col("vec_id").alias("key"), "label")
