@@ -146,17 +146,26 @@ SELECT * FROM ex UNION ALL SELECT * FROM fz"""
 
 
 def q_exact_key_lookup(spark, sf):
-    """JOIN-3 (no-index tier): a question equal to a stored key returns that record, score 1.0."""
-    part = table(spark, sf, "part")
-    recs = part_records(part).select("key", "ord", F.col("text_out").alias("text"))
-    q = definition_questions(part)
+    """JOIN-3 (no-index tier) + PRJ-5: a question equal to a stored key returns
+    that key's record from the keyed store (last record wins), score 1.0."""
+    from tessera.sources.corpus import RECORD_FIELDS, parse_record_or_wrap, record_to_text
+    from tessera.sources.store import keyed_records
+    from tessera.sources.corpus import as_corpus
+    from tessera.plans.inputs import PART_AS_CORPUS
+    store = keyed_records(as_corpus(table(spark, sf, "part"), PART_AS_CORPUS, "p_partkey"), CFG.num_buckets)
+    parsed = store.select("key", "ord", parse_record_or_wrap("value").alias("r"))
+    recs = parsed.select("key", "ord", *[F.col(f"r.{f}").alias(f) for f in RECORD_FIELDS]) \
+        .select("key", "ord", record_to_text().alias("text"))
+    q = definition_questions(table(spark, sf, "part"))
     return M.exact_key_lookup(q, recs).select("query_id", "key", F.col("ord").alias("p_partkey"), "text", "score")
 
 
 SQL_EXACT_KEY_LOOKUP = f"""
-WITH q AS ({S.definition_questions()})
-SELECT q.query_id, p.p_name AS key, p.p_partkey, p.p_name || ': ' || p.p_type AS text, 1.0::DOUBLE AS score
-FROM q JOIN part p ON q.query = p.p_name"""
+WITH q AS ({S.definition_questions()}),
+st AS (SELECT p_name AS key, max(p_partkey) AS p_partkey, arg_max(p_name || ': ' || p_type, p_partkey) AS text
+       FROM part WHERE p_name IS NOT NULL AND p_name <> '' GROUP BY p_name)
+SELECT q.query_id, st.key, st.p_partkey, st.text, 1.0::DOUBLE AS score
+FROM q JOIN st ON q.query = st.key"""
 
 
 # ---------------------------------------------------------------- retrieval + synthesis
