@@ -446,10 +446,10 @@ def q_ivf_recall(spark, sf):
     emb, queries, res = _ivf(spark, sf)
     exact = cosine_retrieve(queries, emb.withColumnRenamed("vec_id", "key"), CFG, key="key")
     hits = res.groupBy("query_id").agg(F.max((F.col("key") == F.col("query_id")).cast("int")).alias("hit"))
-    per_q = queries.select("query_id").join(hits, "query_id", "left")
     rec = recall_at_k(res, exact, key="key")
-    return (per_q.agg(F.avg(F.coalesce("hit", F.lit(0))).alias("hit_rate"), F.count(F.lit(1)).alias("n_queries"))
-            .crossJoin(rec.agg(F.avg("recall").alias("recall_at_5"))))
+    per_q = queries.select("query_id").join(hits, "query_id", "left").join(rec, "query_id", "left")
+    return per_q.agg(F.avg(F.coalesce("hit", F.lit(0))).alias("hit_rate"), F.count(F.lit(1)).alias("n_queries"),
+                     F.avg("recall").alias("recall_at_5"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
