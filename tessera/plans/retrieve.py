@@ -85,3 +85,42 @@ def tiered_retrieve(catalog, spark, queries: DataFrame, cfg: RetrievalConfig = R
     else:
         res = exact_key_lookup(queries, records, query="query", key="key").withColumn("rank", F.lit(1))
     return res.withColumn("tier", F.lit(tier))
+
+
+def cosine_boost_retrieve(queries: DataFrame, vectors: DataFrame, records: DataFrame,
+                          cfg: RetrievalConfig = RetrievalConfig(), *, query_text: str = "query",
+                          query_vec: str = "embedding", key: str = "key") -> DataFrame:
+    """ANN-5 (Tier 1, embedding cache): score all records; boost the record of the
+    exact normalised key or else the first one-edit key (``fuzzy="first"``,
+    clamped at 1.0); shortlist ``k * cosine_overfetch`` (WIN-5); threshold; fetch
+    (FLT-2); top k. ``vectors(ord, key, embedding)``, ``records(ord, ...)``.
+
+    Boosting raises one row per query, so the boosted shortlist is the best
+    ``k*3`` of (the raw top ``k*3``) ∪ (the boosted row): no full re-scoring."""
+    from pyspark.sql import functions as F
+
+    from tessera.functions.vector import clamped_boost, dot_product
+    from tessera.operators.knn import topk_by_score
+    from tessera.operators.match import key_boosts
+    from tessera.operators.rank import fetch_records, filter_by_threshold
+
+    short_k = cfg.top_k * cfg.cosine_overfetch
+    qv = queries.select("query_id", query_vec)
+    raw = knn_topk(qv, vectors.select("ord", "embedding"), k=short_k, threshold=None, query_id="query_id",
+                   query_vec=query_vec, key="ord", corpus_vec="embedding", decimals=cfg.score_decimals,
+                   rows_per_query_block=cfg.rows_per_query_block,
+                   rows_per_corpus_block=cfg.rows_per_corpus_block).drop("rank")
+    boosts = key_boosts(queries.select("query_id", query_text), vectors.select("ord", key), cfg,
+                        query=query_text, key=key)
+    boosted_rows = (boosts.join(qv, "query_id").join(vectors.select("ord", F.col("embedding").alias("__e")), "ord")
+                    .select("query_id", "ord", F.round(dot_product(F.col(query_vec), F.col("__e")),
+                                                       cfg.score_decimals).alias("score")))
+    cands = (raw.unionByName(boosted_rows).dropDuplicates(["query_id", "ord"])
+             .join(boosts.select("query_id", "ord", "boost"), ["query_id", "ord"], "left")
+             .withColumn("raw_score", F.col("score"))
+             .withColumn("score", F.when(F.col("boost").isNotNull(),
+                                         clamped_boost(F.col("raw_score"), F.col("boost"))).otherwise(F.col("raw_score"))))
+    shortlist = topk_by_score(cands, group="query_id", order_key="ord", k=short_k).drop("rank")
+    kept = filter_by_threshold(shortlist, cfg.threshold)
+    fetched = fetch_records(kept, records, key="ord", cand_rows_bound=None, max_broadcast_rows=cfg.max_broadcast_rows)
+    return topk_by_score(fetched, group="query_id", order_key="ord", k=cfg.top_k)
