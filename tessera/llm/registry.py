@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import oracle_sql, quality, simhash, substring
-from .common import read_table
+from . import byte_bpe, oracle_sql, quality, simhash, substring, token_counts
+from .common import arrow_map, read_table
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +18,35 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeat_report(read_table(spark, sf_dir, "documents"))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document in the vocabulary of byte_bpe_50k.json."""
+    return token_counts.count_tokens(read_table(spark, sf_dir, "documents"),
+                                     public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, limit=1024)
+
+
+def digests(coded: DataFrame) -> DataFrame:
+    """doc_id, n_tokens and the SHA-256 of the ids (little-endian uint32) and of the decoded bytes."""
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        ids, raw = b.column("ids"), b.column("decoded")
+        sizes, hashes = [], []
+        for i in range(b.num_rows):
+            x = ids[i].values.to_numpy()
+            sizes.append(len(x))
+            hashes.append(hashlib.sha256(x.astype("<u4").tobytes()).hexdigest())
+        plain = [hashlib.sha256(x.as_py()).hexdigest() for x in raw]
+        return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(hashes), pa.array(plain)],
+                                          names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+    return arrow_map(coded.select(F.col("doc_id").cast("bigint").alias("doc_id"), "ids", "decoded"), run,
+                     "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document under byte_bpe_multi_50k.tiktoken and their decoding, as digests."""
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return digests(byte_bpe.decode(byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document (4-word shingles, up to 4 differing bits)."""
     found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
@@ -27,6 +60,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_token_counts": op2_token_counts,
+    "op3_byte_bpe": op3_byte_bpe,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
