@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 #: A word: a run of characters outside the ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 #: Python's ``bytes.split()`` cuts at exactly the ASCII white space of WORD, and
 #: ``bytes.lower()`` changes exactly A-Z.
@@ -62,22 +64,36 @@ def texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def shingle_hashes(text: bytes, n: int, seed: int) -> np.ndarray:
-    """XXH64 of each run of ``n`` words of ``text`` (A-Z lower-cased, joined by one
-    space), repeats included, as uint64. Fewer words: one hash of them all; none: empty."""
-    words = text.lower().split()
+def _runs(words: list[bytes], n: int, seed: int) -> np.ndarray:
+    """XXH64 of every run of ``n`` of the words (at least n), joined by one space, as uint64."""
     m = len(words)
-    if not m:
-        return np.empty(0, np.uint64)
     joined = b" ".join(words)
-    if m <= n:
-        return np.array([xxhash.xxh64_intdigest(joined, seed)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, m) + 1)
     starts = np.concatenate(([0], ends[:m - n])).tolist()
     h = xxhash.xxh64_intdigest
     return np.array([h(joined[s:e], seed) for s, e in zip(starts, (ends[n - 1:] - 1).tolist())], np.uint64)
 
 
+def shingle_hashes(text: bytes, n: int, seed: int, part: int = 1 << 22) -> Iterator[np.ndarray]:
+    """XXH64 of each run of ``n`` words of ``text`` (A-Z lower-cased, joined by one space),
+    repeats included, as uint64 arrays: one for a usual text, one for each ``part`` bytes
+    of a very long one. Fewer words: one hash of them all; none: nothing."""
+    at, words, some = 0, [], False
+    while at < len(text):
+        end = len(text)
+        if end - at > part:                        # cut at white space
+            found = _SPACE.search(text, at + part)
+            end = found.start() if found else end
+        words += text[at:end].lower().split()
+        at = end
+        if len(words) >= n:
+            some = True
+            yield _runs(words, n, seed)
+            words = words[len(words) - n + 1:]
+    if words and not some:
+        yield np.array([xxhash.xxh64_intdigest(b" ".join(words), seed)], np.uint64)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in ``spark.checkpoint.dir`` (cuts the lineage, survives lost executors)."""
     return df.checkpoint(eager=True)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, oracle_sql, quality, simhash, substring, token_counts
+from . import byte_bpe, mixing, oracle_sql, pages, quality, simhash, sketch, substring, token_counts
 from .common import arrow_map, read_table
 
 
@@ -53,6 +53,22 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bottom-k sketches of every document and its edited text (5-word shingles), and their likeness."""
+    return sketch.edited_report(read_table(spark, sf_dir, "documents"))
+
+
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page by its host's winning container path."""
+    return pages.extract_pages(read_table(spark, sf_dir, "pages"))
+
+
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the mix takes every document: weights 5, 2, 1 over the sources, 150% of all words."""
+    mixed = mixing.mixture(read_table(spark, sf_dir, "documents"), weights=(5.0, 2.0, 1.0), budget=1.5, most=2.0)
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word statistics, base rules and the host's verdict (host: ``source``) of every document."""
     return quality.quality_report(read_table(spark, sf_dir, "documents"))
@@ -63,6 +79,9 @@ QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op5_document_fingerprints": op5_document_fingerprints,
+    "op6_html_extraction": op6_html_extraction,
+    "op8_source_mixing": op8_source_mixing,
     "op10_quality_rules": op10_quality_rules,
 }
 

@@ -33,15 +33,13 @@ SEED = 42
 def simhash64(text: bytes, shingle: int = 4) -> int:
     """The fingerprint of a text: bit b is 1 if it is set in over half the XXH64
     hashes of its shingles. No words: zero."""
-    h = shingle_hashes(text, shingle, SEED)
-    if not len(h):
-        return 0
-    ones = np.zeros(64, np.int64)
-    for i in range(0, len(h), 1 << 16):                     # bounded memory for very long texts
-        part = h[i:i + (1 << 16)]
-        ones += np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(
-            axis=0, dtype=np.int32)
-    return int((np.uint64(1) << np.arange(64, dtype=np.uint64))[2 * ones > len(h)].sum(dtype=np.uint64))
+    ones, n = np.zeros(64, np.int64), 0
+    for h in shingle_hashes(text, shingle, SEED):
+        n += len(h)
+        for i in range(0, len(h), 1 << 16):
+            bits = h[i:i + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
+            ones += np.unpackbits(bits, axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    return int((np.uint64(1) << np.arange(64, dtype=np.uint64))[2 * ones > n].sum(dtype=np.uint64)) if n else 0
 
 
 def fingerprints(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
