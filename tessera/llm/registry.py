@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, mixing, oracle_sql, pages, quality, simhash, sketch, substring, token_counts
+from . import byte_bpe, lm_scoring, mixing, oracle_sql, packing, pages, quality, simhash, sketch, substring, token_counts
 from .common import arrow_map, read_table
 
 
@@ -63,12 +63,23 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract_pages(read_table(spark, sf_dir, "pages"))
 
 
+def op7_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of 2048 ids (byte_bpe_50k.tiktoken) packed from every document."""
+    return packing.packed_rows(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
+                               public_tokenizers.PATTERN, row_len=2048, pad_id=50256)
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often the mix takes every document: weights 5, 2, 1 over the sources, 150% of all words."""
     mixed = mixing.mixture(read_table(spark, sf_dir, "documents"), weights=(5.0, 2.0, 1.0), budget=1.5, most=2.0)
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-entropy difference of every document: documents labelled of quality 1 against all documents."""
+    return lm_scoring.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word statistics, base rules and the host's verdict (host: ``source``) of every document."""
     return quality.quality_report(read_table(spark, sf_dir, "documents"))
@@ -81,7 +92,9 @@ QUERIES = {
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_document_fingerprints": op5_document_fingerprints,
     "op6_html_extraction": op6_html_extraction,
+    "op7_token_packing": op7_token_packing,
     "op8_source_mixing": op8_source_mixing,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_quality_rules": op10_quality_rules,
 }
 
