@@ -76,8 +76,9 @@ def from_text(t: str) -> np.ndarray:
 
 def sketch_documents(df: DataFrame, *, text_col: str = "text", out_col: str = "fingerprint") -> DataFrame:
     """``df`` with ``out_col``: the sketch of each row's whole text as a string (null or blank: '')."""
-    make = F.arrow_udf(lambda t: pa.array([to_text(sketch(x)) for x in texts(t)], pa.string()), "string")
-    return df.withColumn(out_col, make(F.col(f"`{text_col}`")))
+    def make(t: pa.Array) -> pa.Array:
+        return pa.array([to_text(sketch(x)) for x in texts(t)], pa.string())
+    return df.withColumn(out_col, F.arrow_udf(make, "string")(F.col(f"`{text_col}`")))
 
 
 def merge_sketches(df: DataFrame, by: str, *, out_col: str = "fingerprint") -> DataFrame:

@@ -147,7 +147,7 @@ def drop_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         F.sort_array(F.collect_set(F.struct("start", "end"))).alias(cut)).withColumnRenamed("row_key", key))
     joined = df.withColumn(key, row_hash(df)).join(listed, key, "left")
 
-    def run(text: pa.ChunkedArray, cuts: pa.ChunkedArray) -> pa.Array:
+    def run(text: pa.Array, cuts: pa.Array) -> pa.Array:
         done = [None if t is None else cut_spans(t, [(c["start"], c["end"]) for c in cs]) if cs else t.decode("utf-8")
                 for t, cs in zip(text.cast(pa.binary()).to_pylist(), cuts.to_pylist())]
         return pa.array(done, pa.string())
