@@ -61,16 +61,18 @@ def targets(sizes: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, budget: f
 
 
 def fit_counts(sizes: np.ndarray, counts: np.ndarray, budget: int, dp_budget: int = DP_BUDGET) -> np.ndarray:
-    """How many of the ``counts`` documents of each length to take so that their sum is at
-    most ``budget`` and as near as can be: an even share of every length, whole documents
-    from the longest down while over ``dp_budget`` is left, then bounded knapsack."""
+    """How many of the ``counts`` documents of each length to take so that their sum is as
+    near to ``budget`` as can be. All but about ``dp_budget`` words of it is an even share of
+    every length (and, where that leaves more, whole documents from the longest down); the
+    rest is fitted by bounded knapsack over the documents that are left: the nearest sum
+    that can be reached, one longest document above the rest at most."""
     take = np.zeros(len(sizes), np.int64)
     total = int((sizes * counts).sum())
     if not total or budget <= 0:
         return take
     if budget >= total:
         return counts.copy()
-    take = np.minimum(counts, (counts * (budget / total)).astype(np.int64))
+    take = np.minimum(counts, (counts * max(0.0, (budget - dp_budget) / total)).astype(np.int64))
     rest = budget - int((take * sizes).sum())
     order = np.argsort(-sizes, kind="stable")
     for j in order:
@@ -81,18 +83,19 @@ def fit_counts(sizes: np.ndarray, counts: np.ndarray, budget: int, dp_budget: in
         rest -= n * int(sizes[j])
     if rest <= 0 or rest > dp_budget:
         return take
-    made_by = np.full(rest + 1, -1, np.int32)                # the step that first reached a sum
-    reach = np.zeros(rest + 1, bool)
+    top = rest + min(int(sizes[counts > take].max()), rest)
+    made_by = np.full(top + 1, -1, np.int32)                 # the step that first reached a sum
+    reach = np.zeros(top + 1, bool)
     reach[0] = True
     steps: list[tuple[int, int]] = []
     for j in order:
-        left = min(int(counts[j] - take[j]), rest // int(sizes[j]))
+        left = min(int(counts[j] - take[j]), top // int(sizes[j]))
         part = 1
         while left > 0 and not reach[rest]:
             n = min(part, left)
             amount = n * int(sizes[j])
-            new = np.zeros(rest + 1, bool)
-            new[amount:] = reach[:-amount]
+            new = np.zeros(top + 1, bool)
+            new[amount:] = reach[:top + 1 - amount]
             new &= ~reach
             made_by[new] = len(steps)
             reach |= new
@@ -101,7 +104,8 @@ def fit_counts(sizes: np.ndarray, counts: np.ndarray, budget: int, dp_budget: in
             part *= 2
         if reach[rest]:
             break
-    at = int(np.flatnonzero(reach)[-1])
+    sums = np.flatnonzero(reach)
+    at = int(sums[np.abs(sums - rest).argmin()])
     while at:
         j, n = steps[made_by[at]]
         take[j] += n

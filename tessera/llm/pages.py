@@ -128,8 +128,8 @@ def best_path(page: str) -> str | None:
         if not n or e.boiler or e.link:
             continue
         share, up = float(n), e
-        while up.parent:
-            if up.tag in CONTAINERS:
+        while up:
+            if up.tag in CONTAINERS or not up.parent:           # the page itself is the outermost container
                 up.score += share * (1.1 if up.tag in ("article", "main") else 1.0)
                 scored[id(up)] = up
                 share *= 0.9
@@ -149,11 +149,11 @@ def extract(page: str, path: str | None) -> str:
         if fresh:
             open_block = False
         up, inside, boiler = e, False, False
-        while up.parent:
+        while up:
             if up.path == path:
                 inside = True
                 break
-            boiler = boiler or (up.boiler and not up.parent.boiler)
+            boiler = boiler or (up.boiler and not (up.parent and up.parent.boiler))
             up = up.parent
         if not inside or boiler:
             continue

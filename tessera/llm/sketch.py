@@ -58,11 +58,13 @@ def resemblance(a: np.ndarray, b: np.ndarray, k: int = K) -> float:
 
 
 def containment(a: np.ndarray, b: np.ndarray, k: int = K) -> float:
-    """Estimated share of a's shingles that b has; an empty set is contained (1)."""
+    """Estimated share of a's shingles that b has; an empty set is contained (1). Both
+    sketches are complete up to the smaller of their largest hashes (a short one fully)."""
     if not len(a):
         return 1.0
-    j = resemblance(a, b, k)
-    return min(1.0, j * distinct_count(merge([a, b], k), k) / distinct_count(a, k))
+    ends = [x[-1] for x in (a, b) if len(x) == k]
+    known = a[a <= min(ends)] if ends else a
+    return float(np.isin(known, b).mean()) if len(known) else 0.0
 
 
 def to_text(s: np.ndarray) -> str:
@@ -115,7 +117,7 @@ def with_next(df: DataFrame, order: str, value: str, out_col: str, *, per_partit
     col, val = F.col(f"`{order}`"), F.col(f"`{value}`")
     share = [i / n for i in range(1, n)]
     cuts = df.agg(F.percentile_approx(col.cast("double"), share, F.lit(max(10_000, 10 * n)))).first()[0] or []
-    split = [-float("inf"), *sorted(set(cuts)), float("inf")]
+    split = [-float("inf"), *(sorted(set(cuts)) or [0.0]), float("inf")]
     ranged = Bucketizer(splits=split, inputCol=num, outputCol=rng, handleInvalid="keep").transform(
         df.withColumn(num, col.cast("double")).withColumn(tie, F.xxhash64(val)))
     ranged = ranged.withColumn(rng, F.when(col.isNull(), -1).otherwise(F.col(rng).cast("int"))).drop(num)
