@@ -83,17 +83,16 @@ def encode_word(word: Column, ranks: Column) -> Column:
     return let(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), whole)
 
 
-def _cut_batch(b: pa.RecordBatch, text_col: int, pattern: str, block_words: int):
-    """Blocks of consecutive rows: (their distinct pre-tokens, first row, number of rows, per
-    row the word numbers). A block closes at ``block_words`` pre-tokens; a longer text is
-    one block, its repeats held as numbers."""
+def _cut_batch(texts: pa.Array, pattern: str, block_words: int):
+    """Blocks of consecutive rows: (their distinct pre-tokens, first row, per row the word
+    numbers). A block closes at ``block_words`` pre-tokens; a longer text is one block, its
+    repeats held as numbers."""
     words: dict[str, int] = {}
     rows: list[np.ndarray] = []
     first, held = 0, 0
-    texts = b.column(text_col).to_pylist()
     for i, t in enumerate(texts):
         at = [np.fromiter((words.setdefault(w, len(words)) for w in g), np.int32, len(g))
-              for g in piece_groups(t or "", pattern)]
+              for g in piece_groups(t.as_py() or "", pattern)]
         rows.append(np.concatenate(at) if at else np.empty(0, np.int32))
         held += len(rows[-1])
         if held >= block_words or i + 1 == len(texts):
@@ -102,17 +101,17 @@ def _cut_batch(b: pa.RecordBatch, text_col: int, pattern: str, block_words: int)
 
 
 def encode(df: DataFrame, path: str, pattern: str, *, text_col: str = "text", ids_col: str = "ids",
-           block_words: int = 4_000_000) -> DataFrame:
-    """``df`` with ``ids_col`` array<int>: the ids of every row's whole text (null or empty:
-    no ids), each match of ``pattern`` encoded on its own, without special tokens.
+           keep: list[str] | None = None, block_words: int = 2_000_000) -> DataFrame:
+    """The columns ``keep`` (all if None) of ``df`` and ``ids_col`` array<int>: the ids of every
+    row's whole text (null or empty: no ids), each match of ``pattern`` encoded on its own,
+    without special tokens.
 
-    The other columns of ``df`` stay as they are; an existing column named ``ids_col``
-    is replaced. Repeated rows are encoded each; an empty table gives no rows.
+    The kept columns stay as they are; an existing column named ``ids_col`` is replaced. Repeated rows are encoded each; an empty table gives no rows.
     ``block_words`` bounds the pre-tokens whose distinct words are encoded together."""
-    rest = [c for c in df.columns if c != ids_col]
-    src = df.select(*[F.col(f"`{c}`") for c in rest])
-    fields = src.schema.fields
-    at = rest.index(text_col)
+    rest = [c for c in (df.columns if keep is None else keep) if c != ids_col]
+    fields = [df.schema[c] for c in rest]
+    at = rest.index(text_col) if text_col in rest else len(rest)
+    src = df.select(*[F.col(f"`{c}`") for c in rest], *([] if text_col in rest else [F.col(f"`{text_col}`")]))
     record = T.StructType([*fields, T.StructField(free_name(src, "numbers"), T.ArrayType(T.IntegerType()))])
     blocked = T.StructType([T.StructField("words", T.ArrayType(T.StringType())),
                             T.StructField("records", T.ArrayType(record))])
@@ -121,8 +120,8 @@ def encode(df: DataFrame, path: str, pattern: str, *, text_col: str = "text", id
         for b in batches:
             if not b.num_rows:
                 continue
-            for words, first, rows in _cut_batch(b, at, pattern, block_words):
-                part = b.slice(first, len(rows))
+            for words, first, rows in _cut_batch(b.column(at), pattern, block_words):
+                part = b.select(list(range(len(rest)))).slice(first, len(rows))
                 offsets = pa.array(np.r_[0, np.cumsum([len(r) for r in rows])].astype(np.int32))
                 numbers = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(rows), pa.int32()))
                 records = pa.StructArray.from_arrays([*part.columns, numbers], names=record.names)

@@ -43,8 +43,8 @@ def digests(coded: DataFrame) -> DataFrame:
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document under byte_bpe_multi_50k.tiktoken and their decoding, as digests."""
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return digests(byte_bpe.decode(byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks))
+    docs = read_table(spark, sf_dir, "documents")
+    return digests(byte_bpe.decode(byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN, keep=["doc_id"]), ranks))
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
