@@ -44,7 +44,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and the digests of the ids and of the decoded bytes."""
     prepare(spark)
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    coded = byte_bpe.encode(docs.select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
+    coded = byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN, keep=["doc_id"])
     return digests(byte_bpe.decode(coded, ranks))
 
 
