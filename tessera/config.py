@@ -31,8 +31,8 @@ class RetrievalConfig:
     )
     key_fields: tuple[str, ...] = ("lemma", "id", "term")
     num_buckets: int = 16
-    # blocked scoring: rows of each side that one task holds in memory
-    rows_per_query_block: int = 4096
-    rows_per_corpus_block: int = 65536
-    # largest candidate table (rows) that a join may broadcast
-    max_broadcast_rows: int = 2_000_000
+    # the largest query matrix that is broadcast; vectors of one block beyond that (bytes)
+    max_query_bytes: int = 64 << 20
+    block_bytes: int = 32 << 20
+    # the largest shortlist of fixed-width rows that a join may broadcast (bytes)
+    max_broadcast_bytes: int = 64 << 20

@@ -35,11 +35,9 @@ def chunk_response(df: DataFrame, *, key: str = "query_id", response: str = "res
     """PIP-4: a response cut on single spaces into ordered chunks (a trailing
     space on all but the last), followed by one ``stop`` row per response.
     One pass: the stop row is an extra null element of the exploded array."""
-    words = F.split(F.col(response), " ")
-    n = F.size(words)
-    pieces = F.transform(words, lambda w, i: F.when(i < n - 1, F.concat(w, F.lit(" "))).otherwise(w))
-    with_stop = F.concat(pieces, F.array(F.lit(None).cast("string")))
-    return (df.select(key, n.alias("__n"), F.posexplode(with_stop).alias("seq", "content"))
-            .select(key, "seq", "content",
-                    F.when(F.col("seq") == F.col("__n"), F.lit("stop")).otherwise(F.lit(None).cast("string"))
-                    .alias("finish_reason")))
+    # split and size sit below the explode: once per response, not once per word
+    cut = df.select(key, F.split(F.col(response), " ").alias("__w")).select(key, "__w", F.size("__w").alias("__n"))
+    listed = cut.select(key, "__n", F.posexplode(F.concat("__w", F.array(F.lit(None).cast("string")))).alias("seq", "__c"))
+    stop = F.col("seq") == F.col("__n")
+    return listed.select(key, "seq", F.when(F.col("seq") < F.col("__n") - 1, F.concat("__c", F.lit(" "))).otherwise(F.col("__c")).alias("content"),
+                         F.when(stop, F.lit("stop")).otherwise(F.lit(None).cast("string")).alias("finish_reason"))

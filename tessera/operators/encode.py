@@ -54,7 +54,8 @@ def hashed_bow(text: Column, dim: int = DEFAULT_DIM) -> Column:
     def _unit(buckets: pd.Series) -> pd.Series:
         return _counts_to_unit(buckets, dim)
 
-    return _unit(token_buckets(text, dim))
+    # a null text has no tokens: it becomes the zero vector
+    return _unit(F.coalesce(token_buckets(text, dim), F.array().cast("array<bigint>")))
 
 
 def encode(df: DataFrame, text: str = "text", out: str = "embedding", dim: int = DEFAULT_DIM) -> DataFrame:

@@ -1,49 +1,49 @@
 """ANN-2 ``ivfpq_build`` / ANN-3 ``ivfpq_search`` (Jégou et al. 2011), as tables.
 
-Build: coarse centroids with ``pyspark.ml`` KMeans (K lists); residual of each
-vector to its centroid; one KMeans codebook (<= 256 codes) per sub-space of
-the residual; every vector encoded to ``m`` codes in an Arrow-batched UDF.
-
-Search: each query picks its ``nprobe`` nearest centroids; (query, list) pairs
-meet the list members in a ``cogroup`` keyed by ``(list_id, sub)``, where a
-list larger than ``rows_per_block`` is cut into ``sub`` blocks (sizes come from
-a K-row count table), so a hot list is spread over many tasks. Inside a cell,
-asymmetric distances come from per-query lookup tables; only each query's best
-``k_cand`` leave the cell. A window keeps the global shortlist, which is
-re-ranked with the exact stored vectors (JOIN-6).
-
-Driver-side values are bounded by parameters only: K centroids, m x 256
-codebook entries, and the K-row list-size table.
+Build: about sqrt(n) coarse centroids and one codebook of at most 256 codes per
+sub-space of the residuals. Both are trained by a fixed number of Lloyd rounds on a
+bounded sample (the rows with the smallest key hashes, about ``train_rows``), each round one job that sums per
+centroid in the tasks; all sub-spaces train together. Every row is then assigned and
+encoded. ``nprobe`` is measured: the exact neighbours of a few sample queries must lie
+in the probed lists with ``target_recall``.
+
+Search: a query picks its nearest lists; (query, list) pairs meet the members in a
+``cogroup`` on (list, member block, query block). Long lists and lists that many queries
+probe are both cut into blocks, by count tables that are joined as DataFrames. A cell
+looks distances up in chunks with a running best; a window keeps the shortlist, which
+is re-ranked with the exact vectors (JOIN-6).
+
+On the driver: centroids (at most ``max_lists`` x d), codebooks (at most 256 x d) and the
+bounded calibration queries.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tessera.functions.vector import dot_product
+from tessera.operators.knn import _matrix, knn_topk
 
-PROFILES = {
-    # name: (vectors per list, dims per sub-space, share of lists probed)
-    "low-ram": (64, 8, 0.10),
-    "medium": (48, 4, 0.15),
-    "fast": (32, 4, 0.25),
-}
+#: name: dims per sub-space.
+PROFILES = {"low-ram": 8, "medium": 4, "fast": 4}
+#: Bounds of the training sample (rows), the lists, and the calibration queries.
+TRAIN_ROWS, MAX_LISTS, CALIBRATION_QUERIES = 262_144, 16_384, 256
+_CELLS = 4_000_000
 
 
 @dataclass
 class IvfPqIndex:
     centroids: np.ndarray   # (K, d)
-    codebooks: np.ndarray   # (m, n_codes, dsub)
-    lists: DataFrame        # list_id int, key, codes array<int>
+    codebooks: np.ndarray   # (m, n_codes, dsub); the last sub-space is padded with zeros
+    lists: DataFrame        # list_id int, key, codes binary
     vectors: DataFrame      # key, embedding (for re-ranking)
     nprobe: int
 
@@ -52,144 +52,196 @@ class IvfPqIndex:
         return self.centroids.shape[0]
 
 
-def _kmeans_centers(df: DataFrame, col: str, k: int, seed: int, max_iter: int) -> np.ndarray:
-    feats = df.select(array_to_vector(F.col(col)).alias("features"))
-    model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="features").fit(feats)
-    return np.array([np.asarray(c, dtype=np.float64) for c in model.clusterCenters()])
+def _distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return (x * x).sum(1)[:, None] - 2.0 * x @ c.T + (c * c).sum(1)[None, :]
 
 
-def _nearest(vecs: np.ndarray, cents: np.ndarray) -> np.ndarray:
-    d = (vecs * vecs).sum(1)[:, None] - 2.0 * vecs @ cents.T + (cents * cents).sum(1)[None, :]
-    return d.argmin(axis=1)
+def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    step = max(1, _CELLS // max(1, len(c)))
+    return np.concatenate([_distances(x[i:i + step], c).argmin(axis=1) for i in range(0, len(x), step)]) if len(x) else np.zeros(0, np.int64)
 
 
-def _stack(s: pd.Series) -> np.ndarray:
-    return np.stack([np.asarray(v, dtype=np.float64) for v in s]) if len(s) else np.zeros((0, 0))
+def _split(x: np.ndarray, dsub: int) -> np.ndarray:
+    """(n, m, dsub) from (n, d); the last sub-space is padded with zeros."""
+    m = math.ceil(x.shape[1] / dsub)
+    return np.pad(x, ((0, 0), (0, m * dsub - x.shape[1]))).reshape(len(x), m, dsub)
+
+
+def _residuals(x: np.ndarray, coarse: np.ndarray, dsub: int) -> tuple[np.ndarray, np.ndarray]:
+    lid = _nearest(x, coarse)
+    return lid, _split(x - coarse[lid], dsub)
+
+
+def _lloyd(sample: DataFrame, books: np.ndarray, parts, rounds: int) -> np.ndarray:
+    """``rounds`` of k-means for all books (m, c, ds) at once. ``parts`` turns a batch's
+    vectors into (n, m, ds). A task sums per (book, code); the sums of the tasks are added
+    per cell in Spark. A code without a member keeps its place; rounding makes the result
+    independent of the order of the sums."""
+    m, c, ds = books.shape
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"cell": pdf["cell"].iloc[:1], "n": [pdf["n"].sum()], "total": [np.sum(np.stack(pdf["total"]), axis=0)]})
+
+    for _ in range(rounds):
+        sent = sample.sparkSession.sparkContext.broadcast(books)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now = sent.value
+            total, n = np.zeros((m, c, ds)), np.zeros((m, c), np.int64)
+            for b in batches:
+                x = parts(_matrix(b.column(0), np.float64))
+                for j in range(m):
+                    code = _nearest(x[:, j], now[j])
+                    np.add.at(total[j], code, x[:, j])
+                    n[j] += np.bincount(code, minlength=c)
+            cell = np.flatnonzero(n.ravel())
+            yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(n.ravel()[cell], pa.int64()),
+                                              pa.array(list(total.reshape(-1, ds)[cell]), pa.list_(pa.float64()))],
+                                             names=["cell", "n", "total"])
+        kind = "cell long, n long, total array<double>"
+        books = books.copy()
+        for r in sample.mapInArrow(run, kind).groupBy("cell").applyInPandas(add, kind).collect():     # m x c rows
+            books[r["cell"] // c, r["cell"] % c] = np.round(np.array(r["total"]) / r["n"], 6)
+    return books
 
 
 def ivfpq_build(vectors: DataFrame, *, key: str = "key", vec: str = "embedding", profile: str = "low-ram",
-                n_lists: int | None = None, dims_per_sub: int | None = None, n_codes: int = 256,
-                seed: int = 1, max_iter: int = 20) -> IvfPqIndex:
-    """Train and encode. Intermediate tables are checkpointed to the session's
-    checkpoint folder (``spark.checkpoint.dir``), which must be shared storage
-    on a cluster."""
+                n_lists: int | None = None, dims_per_sub: int | None = None, n_codes: int = 256, rounds: int = 5,
+                seed: int = 1, train_rows: int = TRAIN_ROWS, max_lists: int = MAX_LISTS, target_recall: float = 0.97,
+                nprobe: int | None = None, k: int = 5) -> IvfPqIndex:
+    """Train, encode every row (null vectors are left out) and measure ``nprobe``. Sample and
+    lists are checkpointed in ``spark.checkpoint.dir``. An empty table has one empty list."""
     from tessera.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(vectors.sparkSession)
-    per_list, dsub_default, probe_share = PROFILES[profile]
-    n = vectors.count()
-    dim = len(vectors.select(vec).first()[0])
-    K = n_lists or max(1, int(round(n / per_list)))
-    dsub = dims_per_sub or dsub_default
-    if dim % dsub:
-        dsub = 1
-    m = dim // dsub
-    base = vectors.select(F.col(key).alias("key"), F.col(vec).cast("array<double>").alias("v"))
-    cents = _kmeans_centers(base, "v", K, seed, max_iter)
-
-    @F.pandas_udf(T.IntegerType())
-    def assign(v: pd.Series) -> pd.Series:
-        return pd.Series(_nearest(_stack(v), cents).astype(np.int32))
-
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def residual(v: pd.Series, lid: pd.Series) -> pd.Series:
-        r = _stack(v) - cents[lid.to_numpy()]
-        return pd.Series(list(r))
-
-    # materialised once in the checkpoint folder: the m codebook fits and the
-    # encoding read it instead of re-running the assignment
-    assigned = base.withColumn("list_id", assign("v")).withColumn("r", residual("v", "list_id")).checkpoint()
-    books = []
-    codes_n = min(n_codes, n)
-    for j in range(m):
-        sub = assigned.select(F.slice("r", j * dsub + 1, dsub).alias("s"))
-        books.append(_kmeans_centers(sub, "s", codes_n, seed + j + 1, max_iter))
-    width = max(b.shape[0] for b in books)
-    cb = np.full((m, width, dsub), np.inf)
-    for j, b in enumerate(books):
-        cb[j, : b.shape[0]] = b
-
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def encode(r: pd.Series) -> pd.Series:
-        R = _stack(r).reshape(len(r), m, dsub)
-        codes = np.empty((len(r), m), dtype=np.int32)
-        for j in range(m):
-            d = ((R[:, j, None, :] - cb[j][None, :, :]) ** 2).sum(-1)
-            codes[:, j] = d.argmin(axis=1)
-        return pd.Series(list(codes))
-
-    lists = assigned.select("list_id", "key", encode("r").alias("codes")).checkpoint()
-    nprobe = max(1, int(math.ceil(K * probe_share)))
-    return IvfPqIndex(cents, cb, lists, vectors.select(F.col(key).alias("key"), F.col(vec).alias("embedding")),
-                      nprobe)
+    spark = vectors.sparkSession
+    ensure_checkpoint_dir(spark)
+    base = vectors.select(F.col(key).alias("key"), F.col(vec).cast("array<double>").alias("v")).where(F.col("v").isNotNull())
+    kept = vectors.select(F.col(key).alias("key"), F.col(vec).alias("embedding"))
+    n = base.count()
+    h = F.pmod(F.xxhash64(F.lit(seed), "key"), F.lit(1 << 30))
+    sample = base.where(h < min(1 << 30, math.ceil((1 << 30) * train_rows / max(1, n)))).checkpoint()
+    first, n_sample = sample.orderBy(h, "key"), sample.count()
+    K = max(1, min(n_lists or round(math.sqrt(n)), max_lists, n_sample))
+    seeds = np.array([r[0] for r in first.select("v").limit(max(K, min(n_codes, n_sample))).collect()], np.float64)
+    if not n:
+        return IvfPqIndex(np.zeros((1, 1)), np.zeros((1, 1, 1)), base.select(F.lit(0).alias("list_id"), "key", F.lit(b"").alias("codes")), kept, 1)
+    dsub = min(dims_per_sub or PROFILES[profile], seeds.shape[1])
+    coarse = _lloyd(sample.select("v"), seeds[None, :K], lambda x: x[:, None, :], rounds)[0]
+    start = np.ascontiguousarray(_residuals(seeds[:min(n_codes, n_sample)], coarse, dsub)[1].transpose(1, 0, 2))
+    books = _lloyd(sample.select("v"), start, lambda x: _residuals(x, coarse, dsub)[1], rounds)
+    sent = spark.sparkContext.broadcast((coarse, books))
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coarse, books = sent.value
+        for b in batches:
+            if b.num_rows:
+                lid, x = _residuals(_matrix(b.column("v"), np.float64), coarse, dsub)
+                codes = np.stack([_nearest(x[:, j], books[j]) for j in range(len(books))], 1).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([pa.array(lid, pa.int32()), b.column("key"), pa.array([r.tobytes() for r in codes], pa.binary())],
+                                                 names=["list_id", "key", "codes"])
+    kind = base.schema["key"].dataType.simpleString()
+    lists = base.mapInArrow(code, f"list_id int, key {kind}, codes binary").checkpoint()
+    index = IvfPqIndex(coarse, books, lists, kept, nprobe or K)
+    if nprobe is None:
+        index.nprobe = calibrate(index, first.limit(min(n_sample, CALIBRATION_QUERIES)), k, target_recall)
+    return index
+
+
+def calibrate(index: IvfPqIndex, queries: DataFrame, k: int, target_recall: float) -> int:
+    """The fewest lists to probe so that ``target_recall`` of the exact top k of ``queries`` (key,
+    v) lie in them: how far down a query's order of lists each neighbour's list stands."""
+    q = queries.select(F.col("key").alias("qid"), F.col("v").alias("embedding")).toPandas()
+    near = knn_topk(queries.select(F.col("key").alias("qid"), F.col("v").alias("embedding")), index.vectors, k=k, query_id="qid")
+    found = near.join(index.lists.select("key", "list_id"), "key").select("qid", "list_id").toPandas()     # at most queries x k rows
+    order = np.argsort(_distances(np.stack(q["embedding"]), index.centroids), axis=1, kind="stable")
+    rank = np.argsort(order, axis=1)
+    at = {x: i for i, x in enumerate(q["qid"])}
+    depth = np.sort([rank[at[x], lid] for x, lid in zip(found["qid"], found["list_id"])])
+    return int(depth[min(len(depth) - 1, math.ceil(target_recall * len(depth)) - 1)]) + 1 if len(depth) else index.n_lists
 
 
 def write_index(index: IvfPqIndex, spark: SparkSession, root: str) -> None:
-    """Persist as tables: centroids, codebooks, lists (partitioned by list_id)."""
-    K, d = index.centroids.shape
-    spark.createDataFrame([(i, index.centroids[i].tolist()) for i in range(K)], "list_id int, c array<double>") \
-        .write.mode("overwrite").parquet(f"{root}/ivf/centroids")
-    m, w, ds = index.codebooks.shape
-    rows = [(j, c, index.codebooks[j, c].tolist()) for j in range(m) for c in range(w)
-            if np.isfinite(index.codebooks[j, c]).all()]
-    spark.createDataFrame(rows, "sub int, code int, c array<double>").write.mode("overwrite") \
-        .parquet(f"{root}/ivf/codebooks")
-    index.lists.write.mode("overwrite").partitionBy("list_id").parquet(f"{root}/ivf/lists")
+    """Persist as tables: model (centroids, codebooks, nprobe), lists by list_id, vectors."""
+    rows = [("centroid", 0, i, c.tolist()) for i, c in enumerate(index.centroids)]
+    rows += [("code", j, i, c.tolist()) for j, book in enumerate(index.codebooks) for i, c in enumerate(book)]
+    rows.append(("nprobe", 0, 0, [float(index.nprobe)]))
+    spark.createDataFrame(rows, "kind string, sub int, no int, v array<double>").write.mode("overwrite").parquet(f"{root}/ivf/model")
+    index.lists.hint("rebalance", "list_id").write.mode("overwrite").partitionBy("list_id").parquet(f"{root}/ivf/lists")
+    index.vectors.write.mode("overwrite").parquet(f"{root}/ivf/vectors")
+
+
+def read_index(spark: SparkSession, root: str) -> IvfPqIndex:
+    """The index that ``write_index`` stored under ``root``."""
+    rows = spark.read.parquet(f"{root}/ivf/model").orderBy("kind", "sub", "no").collect()
+    pick = lambda kind: [r for r in rows if r["kind"] == kind]
+    m = 1 + max(r["sub"] for r in pick("code"))
+    books = np.array([[r["v"] for r in pick("code") if r["sub"] == j] for j in range(m)])
+    return IvfPqIndex(np.array([r["v"] for r in pick("centroid")]), books, spark.read.parquet(f"{root}/ivf/lists").withColumn("list_id", F.col("list_id").cast("int")),
+                      spark.read.parquet(f"{root}/ivf/vectors"), int(pick("nprobe")[0]["v"][0]))
+
+
+def _look_up(q: np.ndarray, codes: np.ndarray, books: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, member row, distance) of the k nearest members of each query: distances from
+    per-query tables, members in chunks, the best k kept as it goes."""
+    m, width, _ = books.shape
+    table = np.stack([_distances(q[:, j], books[j]) for j in range(m)], 1)           # (nq, m, codes)
+    best_d, best_i = np.full((len(q), 0), np.inf), np.zeros((len(q), 0), np.int64)
+    step = max(1, _CELLS // max(1, len(q)))
+    for i in range(0, len(codes), step):
+        part = codes[i:i + step]
+        d = np.zeros((len(q), len(part)))
+        for j in range(m):
+            d += table[:, j, part[:, j]]
+        d = np.concatenate([best_d, d], 1)
+        at = np.concatenate([best_i, np.broadcast_to(np.arange(i, i + len(part)), (len(q), len(part)))], 1)
+        pick = np.argpartition(d, k - 1, axis=1)[:, :k] if d.shape[1] > k else np.broadcast_to(np.arange(d.shape[1]), d.shape)
+        best_d, best_i = np.take_along_axis(d, pick, 1), np.take_along_axis(at, pick, 1)
+    row = np.repeat(np.arange(len(q)), best_d.shape[1])
+    return row, best_i.ravel(), best_d.ravel()
 
 
 def ivfpq_search(index: IvfPqIndex, queries: DataFrame, k_cand: int, *, query_id: str = "query_id",
-                 vec: str = "embedding", nprobe: int | None = None, rows_per_block: int = 65536,
-                 decimals: int | None = 6) -> DataFrame:
+                 vec: str = "embedding", nprobe: int | None = None, members_per_block: int = 65536,
+                 queries_per_block: int = 1024, decimals: int | None = 6) -> DataFrame:
     """Shortlist of ``k_cand`` keys per query, re-ranked by exact dot product.
     Returns ``(query_id, key, score)``."""
-    cents, cb = index.centroids, index.codebooks
-    m, _, dsub = cb.shape
     probe = min(nprobe or index.nprobe, index.n_lists)
-
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def probes(v: pd.Series) -> pd.Series:
-        Q = _stack(v)
-        d = (Q * Q).sum(1)[:, None] - 2.0 * Q @ cents.T + (cents * cents).sum(1)[None, :]
-        order = np.argsort(d, axis=1, kind="stable")[:, :probe]
-        return pd.Series(list(order.astype(np.int32)))
-
-    spark = queries.sparkSession
-    sizes = index.lists.groupBy("list_id").agg(F.count(F.lit(1)).alias("n")).collect()  # K rows at most
-    nsub = spark.createDataFrame(
-        [(int(r["list_id"]), max(1, int(math.ceil(r["n"] / rows_per_block)))) for r in sizes],
-        "list_id int, n_sub int")
-
-    q = queries.select(F.col(query_id).alias("qid"), F.col(vec).cast("array<double>").alias("qv"))
-    qp = (q.withColumn("list_id", F.explode(probes("qv")))
-          .join(F.broadcast(nsub), "list_id")
-          .withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("n_sub") - 1))).drop("n_sub"))
-    members = (index.lists.join(F.broadcast(nsub), "list_id")
-               .withColumn("sub", F.pmod(F.xxhash64("key"), F.col("n_sub")).cast("int")).drop("n_sub"))
-    key_type = index.lists.schema["key"].dataType.simpleString()
-    qid_type = queries.schema[query_id].dataType.simpleString()
+    sent = queries.sparkSession.sparkContext.broadcast((index.centroids, index.codebooks))
+    dsub = index.codebooks.shape[2]
+    qid_type, key_type = queries.schema[query_id].dataType.simpleString(), index.lists.schema["key"].dataType.simpleString()
+    q = queries.select(F.col(query_id).alias("qid"), F.col(vec).cast("array<double>").alias("qv")).where(F.col("qv").isNotNull())
+
+    def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cents = sent.value[0]
+        for b in batches:
+            if b.num_rows:
+                d = _distances(_matrix(b.column("qv"), np.float64), cents)
+                order = np.argsort(d, axis=1, kind="stable")[:, :probe].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([b.column("qid"), b.column("qv"), pa.array(list(order), pa.list_(pa.int32()))],
+                                                 names=["qid", "qv", "near"])
+    pairs = q.mapInArrow(probes, f"qid {qid_type}, qv array<double>, near array<int>").select("qid", "qv", F.explode("near").alias("list_id"))
+    n_blocks = lambda per: F.ceil(F.count(F.lit(1)) / per).cast("int")
+    blocks = (index.lists.groupBy("list_id").agg(n_blocks(members_per_block).alias("mb"))
+              .join(pairs.groupBy("list_id").agg(n_blocks(queries_per_block).alias("qb")), "list_id"))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = (pairs.join(blocks, "list_id").withColumn("qblock", F.pmod(F.xxhash64("qid"), F.col("qb")).cast("int"))
+            .withColumn("mblock", each("mb")).drop("mb", "qb"))
+    right = (index.lists.join(blocks, "list_id").withColumn("mblock", F.pmod(F.xxhash64("key"), F.col("mb")).cast("int"))
+             .withColumn("qblock", each("qb")).drop("mb", "qb"))
 
     def cell(qpdf: pd.DataFrame, mpdf: pd.DataFrame) -> pd.DataFrame:
-        cols = {"qid": qpdf["qid"].iloc[:0], "key": mpdf["key"].iloc[:0], "adc": np.zeros(0)}
         if qpdf.empty or mpdf.empty:
-            return pd.DataFrame(cols)
-        lid = int(qpdf["list_id"].iloc[0])
-        R = (_stack(qpdf["qv"]) - cents[lid]).reshape(len(qpdf), m, dsub)
-        codes = np.stack([np.asarray(c, dtype=np.int64) for c in mpdf["codes"]])
-        dist = np.zeros((len(qpdf), len(mpdf)))
-        for j in range(m):
-            lut = ((R[:, j, None, :] - cb[j][None, :, :]) ** 2).sum(-1)  # (nq, n_codes)
-            dist += lut[:, codes[:, j]]
-        kk = min(k_cand, dist.shape[1])
-        idx = np.argpartition(dist, kk - 1, axis=1)[:, :kk]
-        rows = np.repeat(np.arange(len(qpdf)), kk)
-        return pd.DataFrame({"qid": qpdf["qid"].to_numpy()[rows], "key": mpdf["key"].to_numpy()[idx.ravel()],
-                             "adc": dist[rows, idx.ravel()]})
-
-    cands = (qp.groupBy("list_id", "sub").cogroup(members.groupBy("list_id", "sub"))
-             .applyInPandas(cell, schema=f"qid {qid_type}, key {key_type}, adc double"))
+            return pd.DataFrame({"qid": qpdf["qid"].iloc[:0], "key": mpdf["key"].iloc[:0], "adc": np.zeros(0)})
+        cents, books = sent.value
+        x = _split(np.stack(qpdf["qv"]) - cents[int(qpdf["list_id"].iat[0])], dsub)
+        codes = np.frombuffer(b"".join(mpdf["codes"]), np.uint8).reshape(len(mpdf), -1)
+        r, i, d = _look_up(x, codes, books, k_cand)
+        return pd.DataFrame({"qid": qpdf["qid"].to_numpy()[r], "key": mpdf["key"].to_numpy()[i], "adc": np.round(d, 9)})
+
+    at = ["list_id", "qblock", "mblock"]
+    cands = left.groupBy(*at).cogroup(right.groupBy(*at)).applyInPandas(cell, schema=f"qid {qid_type}, key {key_type}, adc double")
     w = Window.partitionBy("qid").orderBy(F.col("adc").asc(), F.col("key").asc())
     short = cands.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= k_cand).drop("__r", "adc")
-    scored = short.join(q, "qid").join(index.vectors, "key")
     s = dot_product(F.col("qv"), F.col("embedding"))
     if decimals is not None:
         s = F.round(s, decimals)
-    return scored.select(F.col("qid").alias(query_id), "key", s.alias("score"))
+    return short.join(q, "qid").join(index.vectors, "key").select(F.col("qid").alias(query_id), "key", s.alias("score"))

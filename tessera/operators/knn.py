@@ -1,110 +1,152 @@
 """JOIN-1 ``vector_score_join``: exact top-k of a query table against a corpus.
 
-Plan (no cross join, no pair rows):
-
-* Both sides are cut into hash blocks whose size is bounded by
-  ``rows_per_query_block`` / ``rows_per_corpus_block`` (the block counts come
-  from two ``count()`` actions, which Catalyst answers from a column-free scan).
-* Each query row is replicated once per corpus block and each corpus row once
-  per query block; ``cogroup`` on ``(qblock, cblock)`` brings one query block and
-  one corpus block together — an equi-join on the block key, i.e. a blocked
-  matrix product. Data moved: ``|Q| * Cb + |C| * Qb`` rows.
-* Inside a cell (``applyInPandas``) the scores are one Arrow batch -> NumPy
-  matmul per corpus chunk; the threshold is applied there and only the per-cell
-  top-k of every query leaves the Python worker.
-* A final ``row_number`` window on ``query_id`` (planned with a partial
-  ``WindowGroupLimit`` before its exchange) keeps the global top-k.
-
-Ties are broken by the corpus key ascending, so results are deterministic.
-Scores may be rounded (``decimals``) before ranking so that float noise from a
-different summation order cannot reorder equal scores.
+* Queries that fit ``max_query_bytes`` (row count x vector width, both measured) are
+  broadcast as one matrix; the corpus is scored where it lies (``mapInArrow``, no
+  exchange) and every task sends its top k per query.
+* More queries: both sides are cut into hash blocks of at most ``block_bytes`` and
+  ``cogroup``ed on ``(qblock, cblock)``, a blocked matrix product as an equi-join.
+  Data moved: ``|Q| * Cb + |C| * Qb`` rows.
+* Both ways use one kernel: scores of a chunk of records, a running top k per query.
+  A window on ``query_id`` (with a partial ``WindowGroupLimit`` before its exchange)
+  keeps the global top k.
+
+Null vectors and NaN scores only lose themselves. Ties are broken by the corpus key
+ascending. Scores may be rounded (``decimals``) before ranking so that float noise
+cannot reorder equal ones.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_PAIR_BUDGET = 4_000_000  # score-matrix cells held at once in a worker
+from tessera.operators.rank import topk_per_query
 
+_PAIR_BUDGET = 4_000_000  # score-matrix cells held at once in a worker
+#: Documented bounds: the largest query matrix that is broadcast, and the vectors of a block.
+MAX_QUERY_BYTES, BLOCK_BYTES = 64 << 20, 32 << 20
+
+
+def _matrix(column: pa.Array, dtype) -> np.ndarray:
+    """(rows, width) of a list column without nulls; all lists must be of one length."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(dtype)
+    if len(column) == 0:
+        return np.zeros((0, 0), dtype)
+    if len(values) % len(column) or len(set(np.diff(column.offsets.to_numpy()))) > 1:
+        raise ValueError("vectors of different lengths")
+    return values.reshape(len(column), -1)
+
+
+class TopK:
+    """Running top k per query over chunks of records. Memory: the query matrix, one chunk of
+    ``_PAIR_BUDGET`` scores, and candidates that are cut back to k per query."""
+
+    def __init__(self, queries: np.ndarray, k: int, threshold: float | None, decimals: int | None, kind: str) -> None:
+        self.q, self.k, self.decimals, self.kind = queries, k, decimals, kind
+        self.floor = np.full(len(queries), -np.inf if threshold is None else threshold)
+        self.norm = np.linalg.norm(queries, axis=1) if kind == "cosine" else None
+        self.rows, self.scores, self.keys, self.held = [], [], [], 0
+
+    def _score(self, c: np.ndarray) -> np.ndarray:
+        if self.kind == "agree":
+            return (self.q[:, None, :] == c[None, :, :]).sum(axis=2) / float(self.q.shape[1])
+        s = self.q @ c.T
+        return s / (np.outer(self.norm, np.linalg.norm(c, axis=1)) + 1e-9) if self.kind == "cosine" else s
+
+    def add(self, keys: np.ndarray, c: np.ndarray) -> None:
+        n, width = len(self.q), self.q.shape[1] if self.kind == "agree" else 1
+        if not n or not len(c):
+            return
+        if c.shape[1] != self.q.shape[1]:
+            raise ValueError(f"query vectors have {self.q.shape[1]} values, records {c.shape[1]}")
+        step = max(1, _PAIR_BUDGET // (n * width))
+        for i in range(0, len(c), step):
+            s = self._score(c[i:i + step])
+            if self.decimals is not None:
+                s = np.round(s, self.decimals)
+            s = np.where(np.isnan(s), -np.inf, s)
+            floor = self.floor
+            if s.shape[1] > self.k:
+                floor = np.maximum(floor, -np.partition(-s, self.k - 1, axis=1)[:, self.k - 1])
+            r, col = np.nonzero((s >= floor[:, None]) & (s > -np.inf))
+            self.rows.append(r)
+            self.scores.append(s[r, col])
+            self.keys.append(keys[i + col])
+            self.held += len(r)
+            if self.held > max(_PAIR_BUDGET // 4, 2 * n * self.k):
+                self._cut()
+
+    def _cut(self) -> None:
+        """Keep the best k candidates of each query by (score desc, key asc)."""
+        if not self.rows:
+            return
+        r, s, keys = (np.concatenate(x) for x in (self.rows, self.scores, self.keys))
+        _, order = np.unique(keys, return_inverse=True)
+        best = np.lexsort((order, -s, r))
+        r, s, keys = r[best], s[best], keys[best]
+        first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]]) if len(r) else np.zeros(0, np.int64)
+        size = np.diff(np.r_[first, len(r)])
+        pos = np.arange(len(r)) - np.repeat(first, size)
+        kth = pos == self.k - 1
+        self.floor[r[kth]] = np.maximum(self.floor[r[kth]], s[kth])
+        keep = pos < self.k
+        self.rows, self.scores, self.keys, self.held = [r[keep]], [s[keep]], [keys[keep]], int(keep.sum())
+
+    def result(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query rows, keys, scores)."""
+        self._cut()
+        if not self.rows:
+            return np.zeros(0, np.int64), np.zeros(0, object), np.zeros(0)
+        return self.rows[0], self.keys[0], self.scores[0]
+
+
+def _dtype(kind: str):
+    return np.int64 if kind == "agree" else np.float64
+
+
+def _in_place(queries: DataFrame, corpus: DataFrame, schema: str, names: tuple[str, str], **how) -> DataFrame:
+    """The corpus scored where it lies, against the broadcast query matrix."""
+    table = queries.toArrow()
+    dtype, (query_id, key) = _dtype(how["kind"]), names
+    sent = queries.sparkSession.sparkContext.broadcast((table.column(0).combine_chunks(), _matrix(table.column(1), dtype)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q = sent.value
+        top = TopK(q, **how)
+        kind = None
+        for b in batches:
+            kind = b.column(0).type
+            top.add(np.asarray(b.column(0).to_pylist(), object), _matrix(b.column(1), dtype))
+        r, keys, s = top.result()
+        if len(r):
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(r)), pa.array(keys.tolist(), kind), pa.array(s)],
+                                             names=[query_id, key, "score"])
+    return corpus.mapInArrow(run, schema)
+
+
+def _in_blocks(queries: DataFrame, corpus: DataFrame, schema: str, names: tuple[str, str], qb: int, cb: int, **how) -> DataFrame:
+    """Hash blocks of both sides, cogrouped pair by pair of blocks."""
+    (query_id, key), dtype = names, _dtype(how["kind"])
+    q = (queries.withColumn("qblock", F.pmod(F.xxhash64(query_id, "__v"), F.lit(qb)))
+         .withColumn("cblock", F.explode(F.sequence(F.lit(0), F.lit(cb - 1)))))
+    c = (corpus.withColumn("cblock", F.pmod(F.xxhash64(key, "__v"), F.lit(cb)))
+         .withColumn("qblock", F.explode(F.sequence(F.lit(0), F.lit(qb - 1)))))
 
-def _stack(series: pd.Series, dtype=np.float64) -> np.ndarray:
-    vals = series.to_numpy()
-    if len(vals) == 0:
-        return np.zeros((0, 0), dtype=dtype)
-    return np.stack([np.asarray(v, dtype=dtype) for v in vals])
-
-
-def _top_per_row(rows: np.ndarray, scores: np.ndarray, key_order: np.ndarray, k: int) -> np.ndarray:
-    """Indices of the best ``k`` entries of each row by (score desc, key asc)."""
-    if len(rows) == 0:
-        return np.zeros(0, dtype=np.int64)
-    order = np.lexsort((key_order, -scores, rows))
-    r = rows[order]
-    first = np.r_[0, np.flatnonzero(r[1:] != r[:-1]) + 1]
-    pos = np.arange(len(r)) - np.repeat(first, np.diff(np.r_[first, len(r)]))
-    return order[pos < k]
-
-
-def make_cell_kernel(k: int, threshold: float | None, decimals: int | None, kind: str,
-                     qid_col: str, key_col: str):
-    """Build the per-cell scorer used by ``applyInPandas`` (pickled to workers)."""
-
-    def kernel(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({qid_col: qpdf[qid_col].iloc[:0], key_col: cpdf[key_col].iloc[:0],
-                              "score": np.zeros(0, dtype=np.float64)})
-        if qpdf.empty or cpdf.empty:
-            return empty
-        dtype = np.int64 if kind == "agree" else np.float64
-        Q = _stack(qpdf["__v"], dtype)
-        qids = qpdf[qid_col].to_numpy()
-        keys = cpdf[key_col].to_numpy()
-        # cell-local rank of the keys gives the tie-break order without comparing objects
-        key_order_all = pd.Series(keys).rank(method="dense").to_numpy()
-        nq, dim = Q.shape
-        if kind == "cosine":
-            qn = np.linalg.norm(Q, axis=1)
-        width = dim if kind == "agree" else 1
-        chunk = max(1, _PAIR_BUDGET // max(1, nq * width))
-        out_rows, out_cols, out_scores = [], [], []
-        for start in range(0, len(cpdf), chunk):
-            C = _stack(cpdf["__v"].iloc[start:start + chunk], dtype)
-            if kind == "agree":
-                S = (Q[:, None, :] == C[None, :, :]).sum(axis=2) / float(dim)
-            else:
-                S = Q @ C.T
-                if kind == "cosine":
-                    S = S / (np.outer(qn, np.linalg.norm(C, axis=1)) + 1e-9)
-            if decimals is not None:
-                S = np.round(S, decimals)
-            kk = min(k, S.shape[1])
-            kth = -np.partition(-S, kk - 1, axis=1)[:, kk - 1]
-            floor = kth if threshold is None else np.maximum(kth, threshold)
-            mask = S >= floor[:, None]
-            r, c = np.nonzero(mask)
-            if len(r) == 0:
-                continue
-            sc = S[r, c]
-            keep = _top_per_row(r, sc, key_order_all[start + c], k)
-            out_rows.append(r[keep])
-            out_cols.append(start + c[keep])
-            out_scores.append(sc[keep])
-        if not out_rows:
-            return empty
-        r = np.concatenate(out_rows)
-        c = np.concatenate(out_cols)
-        s = np.concatenate(out_scores)
-        keep = _top_per_row(r, s, key_order_all[c], k)
-        return pd.DataFrame({qid_col: qids[r[keep]], key_col: keys[c[keep]], "score": s[keep]})
-
-    return kernel
-
-
-def _blocks(n: int, per_block: int) -> int:
-    return max(1, int(math.ceil(n / max(1, per_block))))
+    def cell(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
+        stack = lambda v: np.stack([np.asarray(x, dtype=dtype) for x in v]) if len(v) else np.zeros((0, 0), dtype)
+        top = TopK(stack(qpdf["__v"]), **how)
+        top.add(cpdf[key].to_numpy(object), stack(cpdf["__v"]))
+        r, keys, s = top.result()
+        return pd.DataFrame({query_id: qpdf[query_id].to_numpy()[r], key: keys, "score": s})
+    return q.groupBy("qblock", "cblock").cogroup(c.groupBy("qblock", "cblock")).applyInPandas(cell, schema=schema)
 
 
 def knn_topk(
@@ -119,43 +161,28 @@ def knn_topk(
     corpus_vec: str = "embedding",
     kind: str = "dot",
     decimals: int | None = 6,
-    rows_per_query_block: int = 4096,
-    rows_per_corpus_block: int = 65536,
-    n_queries: int | None = None,
-    n_corpus: int | None = None,
+    max_query_bytes: int = MAX_QUERY_BYTES,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """Top-``k`` corpus rows per query with ``score >= threshold``.
 
     ``kind``: ``dot`` (unit vectors, MTH-2), ``cosine`` (MTH-3, with 1e-9),
     ``agree`` (share of equal positions of two int arrays: the MinHash estimate).
-    Returns ``(query_id, key, score double, rank int)`` with the input id names.
+    Returns ``(query_id, key, score double, rank int)`` with the input id names. The two
+    byte bounds choose the plan only; both plans give the same rows.
     """
     if query_id == key:
         raise ValueError("query and corpus id columns must have different names")
-    nq = queries.count() if n_queries is None else n_queries
-    nc = corpus.count() if n_corpus is None else n_corpus
-    qb = _blocks(nq, rows_per_query_block)
-    cb = _blocks(nc, rows_per_corpus_block)
-
-    q = (queries.select(F.col(query_id), F.col(query_vec).alias("__v"))
-         .withColumn("qblock", F.pmod(F.xxhash64(query_id, "__v"), F.lit(qb)))
-         .withColumn("cblock", F.explode(F.sequence(F.lit(0), F.lit(cb - 1)))))
-    c = (corpus.select(F.col(key), F.col(corpus_vec).alias("__v"))
-         .withColumn("cblock", F.pmod(F.xxhash64(key, "__v"), F.lit(cb)))
-         .withColumn("qblock", F.explode(F.sequence(F.lit(0), F.lit(qb - 1)))))
-
-    qtype = queries.schema[query_id].dataType.simpleString()
-    ktype = corpus.schema[key].dataType.simpleString()
-    schema = f"{query_id} {qtype}, {key} {ktype}, score double"
-    kernel = make_cell_kernel(k, threshold, decimals, kind, query_id, key)
-    cells = (q.groupBy("qblock", "cblock")
-             .cogroup(c.groupBy("qblock", "cblock"))
-             .applyInPandas(kernel, schema=schema))
-    return topk_by_score(cells, group=query_id, order_key=key, k=k)
-
-
-def topk_by_score(df: DataFrame, *, group: str, order_key: str, k: int,
-                  score: str = "score", rank: str = "rank") -> DataFrame:
-    """WIN-1: first ``k`` rows of each group by (score desc, order_key asc)."""
-    w = Window.partitionBy(group).orderBy(F.col(score).desc(), F.col(order_key).asc())
-    return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
+    q = queries.select(F.col(query_id), F.col(query_vec).alias("__v")).where(F.col("__v").isNotNull())
+    c = corpus.select(F.col(key), F.col(corpus_vec).alias("__v")).where(F.col("__v").isNotNull())
+    schema = f"{query_id} {queries.schema[query_id].dataType.simpleString()}, {key} {corpus.schema[key].dataType.simpleString()}, score double"
+    how = {"k": k, "threshold": threshold, "decimals": decimals, "kind": kind}
+    n, width = q.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("__v")), F.lit(0))).first()
+    row_bytes = 8 * max(1, width) + 64
+    if n * row_bytes <= max_query_bytes:
+        cells = _in_place(q, c, schema, (query_id, key), **how)
+    else:
+        per_block = max(1, block_bytes // row_bytes)
+        qb, cb = (max(1, math.ceil(x / per_block)) for x in (n, c.count()))
+        cells = _in_blocks(q, c, schema, (query_id, key), qb, cb, **how)
+    return topk_per_query(cells, k, group=query_id, tie=key)

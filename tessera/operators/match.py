@@ -1,11 +1,10 @@
 """Key matching: JOIN-3 exact key lookup, AGG-10 normalised-key table,
 JOIN-4 exact-match boost, JOIN-5 one-edit (fuzzy) boost, WIN-4 first fuzzy key.
 
-The one-edit join never compares all pairs: both sides are expanded into their
-single-character deletion variants (a string is within one edit of another
-only if they share a variant), joined on a 64-bit hash of the variant, and
-every candidate is verified with ``levenshtein(a, b, 1)``. Work is linear in
-string length per row plus the number of near matches.
+The one-edit join never compares all pairs: both sides are expanded into block
+hashes that strings within one edit share (``edit_blocks``), joined on them, and
+every candidate is verified with ``levenshtein(a, b, 1)``. A popular term or key is
+one join key; Spark's skew join splits it.
 """
 
 from __future__ import annotations
@@ -17,12 +16,26 @@ from tessera.config import RetrievalConfig
 from tessera.functions.text import extract_query_term, normalize_text
 
 
-def deletion_variants(s: Column) -> Column:
-    """Hashes of ``s`` and of every string made by deleting one character of ``s``."""
+#: Up to this length a string is blocked by its deletion variants, from it on by its halves.
+_LONG = 64
+
+
+def edit_blocks(s: Column) -> Column:
+    """Hashes such that two strings within one edit share one. Up to 64 characters: of the
+    string and of every string made by deleting one character. From 64 on: of the first and
+    of the last m // 2 characters with m, where m is the shorter length of a pair (the
+    string's own or one less): the edit leaves one of the two alone. A string costs at most
+    a constant plus its length."""
     n = F.length(s)
     dels = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
                        lambda i: F.xxhash64(F.concat(F.substr(s, F.lit(1), i - 1), F.substr(s, i + 1))))
-    return F.array_union(F.array(F.xxhash64(s)), F.when(n > 0, dels).otherwise(F.array().cast("array<bigint>")))
+    none = F.array().cast("array<bigint>")
+    halves = []
+    for m in (n, n - 1):
+        h = F.floor(m / 2).cast("int")
+        halves += [F.xxhash64(F.lit("first"), m, F.substr(s, F.lit(1), h)), F.xxhash64(F.lit("last"), m, F.substr(s, n - h + 1))]
+    short = F.when(n <= _LONG, F.array_union(F.array(F.xxhash64(s)), F.when(n > 0, dels).otherwise(none))).otherwise(none)
+    return F.array_union(short, F.when(n >= _LONG, F.array(*halves)).otherwise(none))
 
 
 def with_query_terms(queries: DataFrame, query: str = "query") -> DataFrame:
@@ -52,9 +65,9 @@ def fuzzy_key_candidates(terms: DataFrame, nkeys: DataFrame, min_len: int) -> Da
     """JOIN-5 candidates: (norm_term, norm_key) pairs within one edit, terms of at
     least ``min_len`` characters. ``terms`` holds distinct ``norm_term`` values."""
     t = (terms.filter(F.length("norm_term") >= min_len)
-         .select("norm_term", F.explode(deletion_variants(F.col("norm_term"))).alias("h")))
+         .select("norm_term", F.explode(edit_blocks(F.col("norm_term"))).alias("h")))
     k = (nkeys.filter(F.length("norm_key") >= min_len - 1)
-         .select("norm_key", "first_ord", "last_ord", F.explode(deletion_variants(F.col("norm_key"))).alias("h")))
+         .select("norm_key", "first_ord", "last_ord", F.explode(edit_blocks(F.col("norm_key"))).alias("h")))
     pairs = t.join(k, "h").drop("h").dropDuplicates(["norm_term", "norm_key"])
     return pairs.filter(F.levenshtein("norm_term", "norm_key", 1).between(0, 1))
 
@@ -70,10 +83,11 @@ def key_boosts(queries: DataFrame, records: DataFrame, cfg: RetrievalConfig = Re
     q = with_query_terms(queries.select(query_id, query), query).filter(F.col("norm_term") != "")
     nkeys = normalised_keys(records, key, ord_col)
     terms = q.select("norm_term").distinct()
-    exact = (terms.join(nkeys, terms.norm_term == nkeys.norm_key, "inner")
-             .select("norm_term", F.col("last_ord").alias("ord"),
-                     F.lit("exact").alias("match_kind"), F.lit(cfg.exact_boost).alias("boost")))
-    no_exact = terms.join(exact.select("norm_term"), "norm_term", "left_anti")
+    # one left join decides: a term with a key is exact, the misses go on to the one-edit join
+    found = terms.join(nkeys, terms.norm_term == nkeys.norm_key, "left").select("norm_term", F.col("last_ord").alias("ord"))
+    exact = found.where("ord IS NOT NULL").select("norm_term", "ord", F.lit("exact").alias("match_kind"),
+                                                  F.lit(cfg.exact_boost).alias("boost"))
+    no_exact = found.where("ord IS NULL").select("norm_term")
     fuzzy = (fuzzy_key_candidates(no_exact, nkeys, cfg.fuzzy_min_len)
              .groupBy("norm_term")
              .agg(F.min_by("last_ord", "first_ord").alias("ord"))

@@ -23,7 +23,8 @@ from pyspark.sql import types as T
 from tessera.config import RetrievalConfig
 from tessera.functions.text import py_strip, whitespace_set
 from tessera.functions.vector import cosine_eps
-from tessera.operators.knn import knn_topk, topk_by_score
+from tessera.operators.knn import knn_topk
+from tessera.operators.rank import topk_per_query
 
 NUM_HASHES = 64
 PRIME = 2147483647  # 2^31 - 1
@@ -108,8 +109,7 @@ def minhash_candidates(queries: DataFrame, corpus: DataFrame, k: int, *, query_i
     64 positions that are equal), ties by key."""
     return knn_topk(queries, corpus, k=k, threshold=None, query_id=query_id, query_vec=sig, key=key,
                     corpus_vec=sig, kind="agree", decimals=None,
-                    rows_per_query_block=cfg.rows_per_query_block,
-                    rows_per_corpus_block=cfg.rows_per_corpus_block).withColumnRenamed("score", "jaccard_est")
+                    max_query_bytes=cfg.max_query_bytes, block_bytes=cfg.block_bytes).withColumnRenamed("score", "jaccard_est")
 
 
 def candidate_rerank(cands: DataFrame, query_vecs: DataFrame, record_vecs: DataFrame, *,
@@ -134,4 +134,4 @@ def minhash_retrieve(queries: DataFrame, q_sigs: DataFrame, corpus_sigs: DataFra
     scored = candidate_rerank(cands, query_vecs, record_vecs, query_id=query_id, key=key,
                               decimals=cfg.score_decimals)
     kept = scored.filter(~F.isnan("score") & (F.col("score") >= cfg.threshold))
-    return topk_by_score(kept, group=query_id, order_key=key, k=cfg.top_k)
+    return topk_per_query(kept, cfg.top_k, group=query_id, tie=key)

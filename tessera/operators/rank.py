@@ -38,12 +38,12 @@ def max_score_per_query(fragments: DataFrame, group: str = "query_id", score: st
     return fragments.groupBy(group).agg(F.max(score).alias("max_score"), F.count(F.lit(1)).alias("n_fragments"))
 
 
-def fetch_records(cands: DataFrame, records: DataFrame, *, key: str, cand_rows_bound: int | None,
-                  max_broadcast_rows: int) -> DataFrame:
+def fetch_records(cands: DataFrame, records: DataFrame, *, key: str, cand_bytes: int | None = None,
+                  max_broadcast_bytes: int = 0) -> DataFrame:
     """JOIN-2 late fetch: inner join the shortlist to the records (FLT-2: an
-    unresolved key drops out). The shortlist is broadcast only when its row
-    count has a proven bound (queries x k) under ``max_broadcast_rows``;
-    otherwise both sides shuffle on the key."""
-    if cand_rows_bound is not None and cand_rows_bound <= max_broadcast_rows:
+    unresolved key drops out). The shortlist is broadcast only when its size has a
+    proven bound in bytes (queries x k rows of fixed width) of at most
+    ``max_broadcast_bytes``; otherwise both sides shuffle on the key."""
+    if cand_bytes is not None and cand_bytes <= max_broadcast_bytes:
         return records.join(F.broadcast(cands), key, "inner")
     return cands.join(records, key, "inner")

@@ -10,27 +10,31 @@ from pyspark.sql import functions as F
 from tessera.config import RetrievalConfig
 from tessera.operators import synth as SY
 from tessera.operators.chat import last_messages, token_usage
-from tessera.operators.encode import DEFAULT_DIM, encode
+from tessera.operators.encode import encode
 from tessera.operators.knn import knn_topk
 from tessera.operators.rank import fetch_records
 
 
+#: Bytes of a shortlist row: query id, ord, score and rank, with Spark's row header.
+_SHORT_ROW = 64
+
+
 def retrieve_text(queries: DataFrame, records: DataFrame, cfg: RetrievalConfig = RetrievalConfig(), *,
-                  query: str = "query", dim: int = DEFAULT_DIM) -> DataFrame:
-    """PIP-1 (JSON mode, ANN-5 without boost): encode queries and records, score
-    all records, threshold, top-k per query, then fetch the text of the winners
-    only (late materialisation). ``records`` needs ``ord``, ``source_id``,
-    ``text_out``. Returns ``fragments(query_id, rank, source_id, text, score)``."""
-    nq = queries.count()
-    qv = encode(queries.select("query_id", query), query, "embedding", dim)
-    rv = encode(records.select("ord", "text_out"), "text_out", "embedding", dim).select("ord", "embedding")
-    top = knn_topk(qv, rv, k=cfg.top_k, threshold=cfg.threshold, query_id="query_id", key="ord",
-                   kind="dot", decimals=cfg.score_decimals, n_queries=nq,
-                   rows_per_query_block=cfg.rows_per_query_block,
-                   rows_per_corpus_block=cfg.rows_per_corpus_block)
+                  query: str = "query", vectors: DataFrame | None = None,
+                  encoder: Callable[[DataFrame, str, str], DataFrame] = encode) -> DataFrame:
+    """PIP-1 (JSON mode, ANN-5 without boost): encode the queries, score all records,
+    threshold, top-k per query, then fetch the text of the winners only (late
+    materialisation). ``records`` needs ``ord``, ``source_id``, ``text_out``; ``vectors(ord,
+    embedding)`` are the records' stored vectors (``build_corpus``), without them the
+    records are encoded here. ``encoder(df, text_col, out_col)`` must be the one that
+    made the vectors. Returns ``fragments(query_id, rank, source_id, text, score)``."""
+    qv = encoder(queries.select("query_id", query), query, "embedding")
+    rv = vectors if vectors is not None else encoder(records.select("ord", "text_out"), "text_out", "embedding")
+    top = knn_topk(qv, rv.select("ord", "embedding"), k=cfg.top_k, threshold=cfg.threshold, query_id="query_id", key="ord",
+                   kind="dot", decimals=cfg.score_decimals, max_query_bytes=cfg.max_query_bytes, block_bytes=cfg.block_bytes)
     texts = records.select("ord", "source_id", F.col("text_out").alias("text"))
-    frags = fetch_records(top, texts, key="ord", cand_rows_bound=nq * cfg.top_k,
-                          max_broadcast_rows=cfg.max_broadcast_rows)
+    bound = queries.count() * cfg.top_k * _SHORT_ROW
+    frags = fetch_records(top, texts, key="ord", cand_bytes=bound, max_broadcast_bytes=cfg.max_broadcast_bytes)
     return frags.select("query_id", "rank", "source_id", "text", "score", "ord")
 
 
@@ -52,6 +56,7 @@ def answer(queries: DataFrame, fragments: DataFrame, cfg: RetrievalConfig = Retr
 
 
 def chat_answer(conversations: DataFrame, records: DataFrame, cfg: RetrievalConfig = RetrievalConfig(), *,
+                vectors: DataFrame | None = None, encoder: Callable[[DataFrame, str, str], DataFrame] = encode,
                 make_generator: Callable[[], Callable[[list], str]] | None = None) -> DataFrame:
     """PIP-3: last user / system message of each conversation (AGG-4, FLT-6)
     -> PIP-1 -> PIP-2 -> whitespace token usage (AGG-5). A conversation with no
@@ -59,7 +64,7 @@ def chat_answer(conversations: DataFrame, records: DataFrame, cfg: RetrievalConf
     last = last_messages(conversations).filter(F.col("user_text").isNotNull())
     queries = last.select(F.col("conv_id").alias("query_id"), F.col("user_text").alias("query"),
                           F.col("system_text").alias("system_prompt"))
-    frags = retrieve_text(queries, records, cfg)
+    frags = retrieve_text(queries, records, cfg, vectors=vectors, encoder=encoder)
     ans = answer(queries, frags, cfg, make_generator=make_generator)
     out = queries.join(ans, "query_id").withColumnRenamed("query_id", "conv_id")
     return token_usage(out, prompt="query", completion="response")

@@ -148,13 +148,13 @@ SELECT * FROM ex UNION ALL SELECT * FROM fz"""
 def q_exact_key_lookup(spark, sf):
     """JOIN-3 (no-index tier) + PRJ-5: a question equal to a stored key returns
     that key's record from the keyed store (last record wins), score 1.0."""
-    from tessera.sources.corpus import RECORD_FIELDS, parse_record_or_wrap, record_to_text
+    from tessera.sources.corpus import PARSED_FIELDS, parse_record_or_wrap, record_to_text
     from tessera.sources.store import keyed_records
     from tessera.sources.corpus import as_corpus
     from tessera.plans.inputs import PART_AS_CORPUS
     store = keyed_records(as_corpus(table(spark, sf, "part"), PART_AS_CORPUS, "p_partkey"), CFG.num_buckets)
     parsed = store.select("key", "ord", parse_record_or_wrap("value").alias("r"))
-    recs = parsed.select("key", "ord", *[F.col(f"r.{f}").alias(f) for f in RECORD_FIELDS]) \
+    recs = parsed.select("key", "ord", *[F.col(f"r.{f}").alias(f) for f in PARSED_FIELDS]) \
         .select("key", "ord", record_to_text().alias("text"))
     q = definition_questions(table(spark, sf, "part"))
     return M.exact_key_lookup(q, recs).select("query_id", "key", F.col("ord").alias("p_partkey"), "text", "score")
@@ -427,7 +427,7 @@ from tessera.operators.audit import recall_at_k  # noqa: E402
 
 
 def _ivf(spark, sf):
-    emb = table(spark, sf, "embeddings", spread_rows=False)
+    emb = table(spark, sf, "embeddings")
     index = ivfpq_build(emb, key="vec_id", vec="embedding", profile="low-ram", seed=1)
     queries = emb.select(F.col("vec_id").alias("query_id"), "embedding")
     records = emb.select(F.col("vec_id").alias("key"), "label")

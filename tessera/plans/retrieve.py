@@ -2,10 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import os
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.config import RetrievalConfig
+from tessera.functions.vector import clamped_boost, dot_product
+from tessera.operators import minhash as MH
+from tessera.operators.encode import encode
+from tessera.operators.ivfpq import IvfPqIndex, ivfpq_search
 from tessera.operators.knn import knn_topk
+from tessera.operators.match import boost_shortlist, exact_key_lookup, key_boosts, with_query_terms
+from tessera.operators.rank import fetch_records, filter_by_threshold, topk_per_query
+from tessera.sources.corpus import PARSED_FIELDS, parse_record_or_wrap, record_to_text, source_id
+from tessera.sources.store import StoreCatalog, read_records
+
+Encoder = Callable[[DataFrame, str, str], DataFrame]
+
+
+def _knn(queries: DataFrame, corpus: DataFrame, cfg: RetrievalConfig, **how) -> DataFrame:
+    return knn_topk(queries, corpus, decimals=cfg.score_decimals, max_query_bytes=cfg.max_query_bytes,
+                    block_bytes=cfg.block_bytes, **how)
 
 
 def cosine_retrieve(queries: DataFrame, corpus: DataFrame, cfg: RetrievalConfig = RetrievalConfig(), *,
@@ -13,78 +32,61 @@ def cosine_retrieve(queries: DataFrame, corpus: DataFrame, cfg: RetrievalConfig
                     key: str = "key", corpus_vec: str = "embedding") -> DataFrame:
     """ANN-5 (JSON mode): score every record, keep ``score >= threshold``, top-k
     per query by (score desc, key asc). Scores rounded to ``cfg.score_decimals``."""
-    return knn_topk(queries, corpus, k=cfg.top_k, threshold=cfg.threshold,
-                    query_id=query_id, query_vec=query_vec, key=key, corpus_vec=corpus_vec,
-                    kind="dot", decimals=cfg.score_decimals,
-                    rows_per_query_block=cfg.rows_per_query_block,
-                    rows_per_corpus_block=cfg.rows_per_corpus_block)
+    return _knn(queries, corpus, cfg, k=cfg.top_k, threshold=cfg.threshold, query_id=query_id, query_vec=query_vec,
+                key=key, corpus_vec=corpus_vec, kind="dot")
 
 
-def ivf_retrieve(index, queries: DataFrame, records: DataFrame, cfg: RetrievalConfig = RetrievalConfig(), *,
+def ivf_retrieve(index: IvfPqIndex, queries: DataFrame, records: DataFrame, cfg: RetrievalConfig = RetrievalConfig(), *,
                  query_id: str = "query_id", query_vec: str = "embedding", key: str = "key",
                  query_text: str | None = None) -> DataFrame:
     """ANN-4 (Tier 0): IVF-PQ shortlist of ``k * ivf_overfetch`` (exact re-rank)
     -> boost every exact / one-edit key of the shortlist when the query has text
     (``fuzzy="all"``) -> threshold -> fetch (unresolved keys drop) -> top k."""
-    from pyspark.sql import functions as F
-
-    from tessera.operators.ivfpq import ivfpq_search
-    from tessera.operators.knn import topk_by_score
-    from tessera.operators.match import boost_shortlist, with_query_terms
-    from tessera.operators.rank import fetch_records, filter_by_threshold
-
     cands = ivfpq_search(index, queries.select(query_id, query_vec), cfg.top_k * cfg.ivf_overfetch,
-                         query_id=query_id, vec=query_vec, nprobe=cfg.ivf_nprobe,
-                         rows_per_block=cfg.rows_per_corpus_block, decimals=cfg.score_decimals)
+                         query_id=query_id, vec=query_vec, nprobe=cfg.ivf_nprobe, decimals=cfg.score_decimals)
     if query_text is not None:
         terms = with_query_terms(queries.select(query_id, query_text), query_text).select(query_id, "norm_term")
         cands = boost_shortlist(cands.join(terms, query_id), cfg, key="key").drop("norm_term")
     cands = filter_by_threshold(cands, cfg.threshold).withColumnRenamed("key", key)
-    fetched = fetch_records(cands, records, key=key, cand_rows_bound=None,
-                            max_broadcast_rows=cfg.max_broadcast_rows)
-    return topk_by_score(fetched, group=query_id, order_key=key, k=cfg.top_k)
+    return topk_per_query(fetch_records(cands, records, key=key), cfg.top_k, group=query_id, tie=key)
 
 
-def tiered_retrieve(catalog, spark, queries: DataFrame, cfg: RetrievalConfig = RetrievalConfig(), *,
-                    encoder=None, index=None) -> DataFrame:
-    """ANN-7: pick the plan from the tables the store has — IVF-PQ, else exact
-    cosine over stored embeddings, else MinHash, else exact key lookup. The
-    choice is made once, when the DataFrame is built. ``queries(query_id, query)``;
-    ``encoder(df, text_col, out_col)`` adds query vectors (default: hashed BoW)."""
-    import os
-
-    from pyspark.sql import functions as F
+def stored_texts(records: DataFrame) -> DataFrame:
+    """(key, ord, text, source_id) of stored records: the value parsed back (PRJ-5), then
+    PRJ-1 and PRJ-6, whatever fields it has."""
+    parsed = records.select("key", "ord", parse_record_or_wrap("value").alias("r"))
+    return parsed.select("key", "ord", *[F.col(f"r.{f}").alias(f) for f in PARSED_FIELDS]).select(
+        "key", "ord", record_to_text().alias("text"), source_id().alias("source_id"))
 
-    from tessera.operators.encode import encode
-    from tessera.operators.match import exact_key_lookup
-    from tessera.operators import minhash as MH
-    from tessera.operators.rank import fetch_records
-    from tessera.sources.store import read_records
 
-    enc = encoder or (lambda df, t, o: encode(df, t, o))
-    records = read_records(spark, catalog.root).select("key", "value")
+def tiered_retrieve(catalog: StoreCatalog, spark: SparkSession, queries: DataFrame, cfg: RetrievalConfig = RetrievalConfig(), *,
+                    encoder: Encoder | None = None, index: IvfPqIndex | None = None) -> DataFrame:
+    """ANN-7: pick the plan from the tables the store has — IVF-PQ, else exact
+    cosine over stored embeddings with the key boost, else MinHash, else exact key
+    lookup. ``queries(query_id, query)``; ``encoder(df, text_col, out_col)`` adds query
+    vectors (default: hashed bag of words). Every tier returns fragments: ``(query_id,
+    rank, source_id, text, score, key, tier)``."""
+    enc = encoder or encode
+    texts = stored_texts(read_records(spark, catalog.root))
     tier = catalog.tier
     if tier == "ivf":
         q = enc(queries, "query", "embedding")
-        res = ivf_retrieve(index, q, records, cfg, query_text="query")
+        res = ivf_retrieve(index or catalog.index(spark), q, texts, cfg, query_text="query")
     elif tier == "cosine":
-        q = enc(queries, "query", "embedding").select("query_id", "embedding")
-        emb = spark.read.parquet(os.path.join(catalog.root, "embeddings"))
-        top = cosine_retrieve(q, emb, cfg, key="key")
-        res = fetch_records(top, records, key="key", cand_rows_bound=None, max_broadcast_rows=cfg.max_broadcast_rows)
+        q = enc(queries, "query", "embedding")
+        vectors = spark.read.parquet(os.path.join(catalog.root, "embeddings"))
+        if "ord" not in vectors.columns:
+            vectors = vectors.join(texts.select("key", "ord"), "key")
+        res = cosine_boost_retrieve(q, vectors, texts, cfg)
     elif tier == "minhash":
         sigs = spark.read.parquet(os.path.join(catalog.root, "minhash"))
-        emb = spark.read.parquet(os.path.join(catalog.root, "embeddings")) if catalog.has_embeddings else None
         q_sigs = MH.with_signatures(queries, "query").select("query_id", "sig")
         q_vecs = enc(queries, "query", "qvec").select("query_id", "qvec")
-        if emb is None:
-            emb = enc(records.withColumn("t", F.get_json_object("value", "$.text")), "t", "embedding") \
-                .select("key", "embedding")
-        res = MH.minhash_retrieve(queries, q_sigs, sigs, q_vecs, emb, cfg, key="key")
-        res = fetch_records(res, records, key="key", cand_rows_bound=None, max_broadcast_rows=cfg.max_broadcast_rows)
+        vectors = enc(texts, "text", "embedding").select("key", "embedding")
+        res = fetch_records(MH.minhash_retrieve(queries, q_sigs, sigs, q_vecs, vectors, cfg, key="key"), texts, key="key")
     else:
-        res = exact_key_lookup(queries, records, query="query", key="key").withColumn("rank", F.lit(1))
-    return res.withColumn("tier", F.lit(tier))
+        res = exact_key_lookup(queries, texts, query="query", key="key").withColumn("rank", F.lit(1))
+    return res.select("query_id", "rank", "source_id", "text", "score", "key", F.lit(tier).alias("tier"))
 
 
 def cosine_boost_retrieve(queries: DataFrame, vectors: DataFrame, records: DataFrame,
@@ -92,35 +94,24 @@ def cosine_boost_retrieve(queries: DataFrame, vectors: DataFrame, records: DataF
                           query_vec: str = "embedding", key: str = "key") -> DataFrame:
     """ANN-5 (Tier 1, embedding cache): score all records; boost the record of the
     exact normalised key or else the first one-edit key (``fuzzy="first"``,
-    clamped at 1.0); shortlist ``k * cosine_overfetch`` (WIN-5); threshold; fetch
+    clamped at 1.0, MTH-4); shortlist ``k * cosine_overfetch`` (WIN-5); threshold; fetch
     (FLT-2); top k. ``vectors(ord, key, embedding)``, ``records(ord, ...)``.
 
     Boosting raises one row per query, so the boosted shortlist is the best
-    ``k*3`` of (the raw top ``k*3``) ∪ (the boosted row): no full re-scoring."""
-    from pyspark.sql import functions as F
-
-    from tessera.functions.vector import clamped_boost, dot_product
-    from tessera.operators.knn import topk_by_score
-    from tessera.operators.match import key_boosts
-    from tessera.operators.rank import fetch_records, filter_by_threshold
-
+    ``k*3`` of the raw top ``k*3`` and the boosted row: no full re-scoring."""
     short_k = cfg.top_k * cfg.cosine_overfetch
     qv = queries.select("query_id", query_vec)
-    raw = knn_topk(qv, vectors.select("ord", "embedding"), k=short_k, threshold=None, query_id="query_id",
-                   query_vec=query_vec, key="ord", corpus_vec="embedding", decimals=cfg.score_decimals,
-                   rows_per_query_block=cfg.rows_per_query_block,
-                   rows_per_corpus_block=cfg.rows_per_corpus_block).drop("rank")
+    raw = _knn(qv, vectors.select("ord", "embedding"), cfg, k=short_k, threshold=None, query_id="query_id",
+               query_vec=query_vec, key="ord", corpus_vec="embedding").drop("rank")
     boosts = key_boosts(queries.select("query_id", query_text), vectors.select("ord", key), cfg,
-                        query=query_text, key=key)
-    boosted_rows = (boosts.join(qv, "query_id").join(vectors.select("ord", F.col("embedding").alias("__e")), "ord")
-                    .select("query_id", "ord", F.round(dot_product(F.col(query_vec), F.col("__e")),
-                                                       cfg.score_decimals).alias("score")))
-    cands = (raw.unionByName(boosted_rows).dropDuplicates(["query_id", "ord"])
-             .join(boosts.select("query_id", "ord", "boost"), ["query_id", "ord"], "left")
-             .withColumn("raw_score", F.col("score"))
-             .withColumn("score", F.when(F.col("boost").isNotNull(),
-                                         clamped_boost(F.col("raw_score"), F.col("boost"))).otherwise(F.col("raw_score"))))
-    shortlist = topk_by_score(cands, group="query_id", order_key="ord", k=short_k).drop("rank")
+                        query=query_text, key=key).select("query_id", "ord", "boost")
+    # the boosted row joins the shortlist only where the raw top has it not
+    missing = boosts.join(raw, ["query_id", "ord"], "left_anti")
+    scored = (missing.join(qv, "query_id").join(vectors.select("ord", F.col("embedding").alias("__e")), "ord")
+              .select("query_id", "ord", F.round(dot_product(F.col(query_vec), F.col("__e")), cfg.score_decimals).alias("score")))
+    cands = raw.unionByName(scored).join(boosts, ["query_id", "ord"], "left").withColumnRenamed("score", "raw_score")
+    cands = cands.withColumn("score", F.when(F.col("boost").isNotNull(), clamped_boost(F.col("raw_score"), F.col("boost")))
+                             .otherwise(F.col("raw_score")))
+    shortlist = topk_per_query(cands, short_k, tie="ord").drop("rank")
     kept = filter_by_threshold(shortlist, cfg.threshold)
-    fetched = fetch_records(kept, records, key="ord", cand_rows_bound=None, max_broadcast_rows=cfg.max_broadcast_rows)
-    return topk_by_score(fetched, group="query_id", order_key="ord", k=cfg.top_k)
+    return topk_per_query(fetch_records(kept, records, key="ord"), cfg.top_k, tie="ord")

@@ -13,10 +13,21 @@ from tessera.config import RetrievalConfig
 RECORD_FIELDS = ("id", "lemma", "term", "title", "name", "content", "text", "definition")
 
 RECORD_SCHEMA = T.StructType([T.StructField(f, T.StringType(), True) for f in RECORD_FIELDS])
+#: What a parsed record holds: the known fields, and every other field as JSON text.
+PARSED_FIELDS = (*RECORD_FIELDS, "extra")
+EXTRA_TYPE = "map<string,string>"
 
 
-def json_corpus_scan(spark: SparkSession, path: str, schema: T.StructType = RECORD_SCHEMA) -> DataFrame:
-    """SRC-1: read a JSON array of records with an explicit schema.
+def _json_of(col: str, kind: T.DataType) -> Column:
+    """A column's value as JSON text."""
+    c = F.col(f"`{col}`")
+    nested = isinstance(kind, (T.StructType, T.ArrayType, T.MapType))
+    return F.to_json(F.to_variant_object(c) if nested else c.cast("variant"))
+
+
+def json_corpus_scan(spark: SparkSession, path: str) -> DataFrame:
+    """SRC-1: read a JSON array of records: the known fields as strings, all others in
+    ``extra`` (name -> the value as JSON text; a null value is left out).
 
     Missing path -> ``FileNotFoundError``; a top level that is not an array ->
     ``ValueError`` (Spark would read a lone object as one row). The first
@@ -27,15 +38,19 @@ def json_corpus_scan(spark: SparkSession, path: str, schema: T.StructType = RECO
     jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(jvm_path):
-        raise FileNotFoundError(f"Dataset not found: {path}")
+        raise FileNotFoundError(f"no corpus at {path}")
     # only the first non-blank character of the file comes back to the driver
     first = (spark.read.text(path)
              .select(F.substring(F.regexp_replace("value", r"^\s+", ""), 1, 1).alias("c"))
              .filter(F.col("c") != "").limit(1).collect())
     if not first or first[0]["c"] != "[":
-        raise ValueError("Dataset must be a JSON array of objects.")
-    df = spark.read.schema(schema).option("multiLine", True).json(path)
-    return with_ordinal(df)
+        raise ValueError(f"{path} does not hold a JSON array")
+    df = with_ordinal(spark.read.option("multiLine", True).json(path))
+    known = [(F.col(f).cast("string") if f in df.columns else F.lit(None).cast("string")).alias(f) for f in RECORD_FIELDS]
+    other = [f for f in df.schema.fields if f.name not in (*RECORD_FIELDS, "ord")]
+    pairs = [F.struct(F.lit(f.name).alias("key"), _json_of(f.name, f.dataType).alias("value")) for f in other]
+    extra = F.map_from_entries(F.filter(F.array(*pairs), lambda e: e["value"].isNotNull())) if pairs else F.create_map()
+    return df.select("ord", *known, extra.cast(EXTRA_TYPE).alias("extra"))
 
 
 def columnar_corpus_scan(spark: SparkSession, path: str, fmt: str = "parquet",
@@ -66,7 +81,7 @@ def as_corpus(df: DataFrame, mapping: Mapping[str, str], ord_col: str) -> DataFr
     for f in RECORD_FIELDS:
         src = mapping.get(f)
         cols.append((F.col(src).cast("string") if src else F.lit(None).cast("string")).alias(f))
-    return df.select(*cols)
+    return df.select(*cols, F.create_map().cast(EXTRA_TYPE).alias("extra"))
 
 
 def _truthy(c: Column) -> Column:
@@ -117,15 +132,26 @@ def fragment_preview(text: str = "text", score: str = "score", width: int = 60)
 
 
 def to_json_record() -> Column:
-    """JSN-1: the record's non-null fields as a JSON object (non-ASCII kept)."""
-    return F.to_json(F.struct(*[F.col(f) for f in RECORD_FIELDS]))
-
-
-def parse_record_or_wrap(raw: str = "value", schema: T.StructType = RECORD_SCHEMA) -> Column:
-    """PRJ-5 / JSN-2: parse a stored JSON record; anything that is not a JSON
-    object becomes ``{"text": raw}``."""
-    parsed = F.from_json(F.col(raw), schema)
+    """JSN-1: the record's non-null known fields and its ``extra`` fields as one JSON object
+    (non-ASCII kept, values of extra fields with their JSON types)."""
+    known = F.to_json(F.struct(*[F.col(f) for f in RECORD_FIELDS]))
+    named = F.transform(F.map_entries("extra"), lambda e: F.concat(
+        F.regexp_replace(F.to_json(F.array(e["key"])), r"^\[|\]$", ""), F.lit(":"), e["value"]))
+    more = F.array_join(named, ",")
+    comma = F.when(known != "{}", F.lit(",")).otherwise(F.lit(""))
+    return F.when(F.coalesce(F.size("extra") > 0, F.lit(False)),
+                  F.concat(F.substring(known, 1, F.length(known) - 1), comma, more, F.lit("}"))).otherwise(known)
+
+
+def parse_record_or_wrap(raw: str = "value") -> Column:
+    """PRJ-5 / JSN-2: parse a stored JSON record into PARSED_FIELDS; anything that is not a
+    JSON object becomes ``{"text": raw}``."""
+    known = ", ".join(f"'{f}'" for f in RECORD_FIELDS)
+    parsed = F.from_json(F.col(raw), RECORD_SCHEMA)
+    extra = F.expr(f"""transform_values(map_filter(try_variant_get(try_parse_json(`{raw}`), '$', 'map<string,variant>'),
+        (k, v) -> k NOT IN ({known}) AND NOT is_variant_null(v)), (k, v) -> to_json(v))""")
+    whole = F.struct(*[parsed[f].alias(f) for f in RECORD_FIELDS], extra.cast(EXTRA_TYPE).alias("extra"))
     is_obj = F.try_parse_json(F.col(raw)).isNotNull() & F.trim(F.col(raw)).startswith("{")
-    wrapped = F.struct(*[(F.col(raw) if f == "text" else F.lit(None).cast("string")).alias(f)
-                         for f in RECORD_FIELDS])
-    return F.when(is_obj, parsed).otherwise(wrapped)
+    wrapped = F.struct(*[(F.col(raw) if f == "text" else F.lit(None).cast("string")).alias(f) for f in RECORD_FIELDS],
+                       F.create_map().cast(EXTRA_TYPE).alias("extra"))
+    return F.when(is_obj, whole).otherwise(wrapped)

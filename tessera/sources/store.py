@@ -5,7 +5,7 @@ Layout under one root folder (any Hadoop file system path)::
     records/bucket=<b>/part-*.parquet     key, value (JSON), ord
     embeddings/part-*.parquet             key, embedding array<float>
     minhash/part-*.parquet                key, sig array<bigint>
-    ivf/{centroids,codebooks,lists}/      IVF-PQ tables (see operators.ivfpq)
+    ivf/{model,lists,vectors}/            IVF-PQ tables (see operators.ivfpq)
 
 The bucket of a key is ``first 32 bits of md5(key) mod n`` — a stable hash any
 engine can recompute; buckets are a partition column, so a lookup of known keys
@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.sources.corpus import RECORD_FIELDS, drop_blank_keys, record_key, to_json_record
+from tessera.sources.corpus import RECORD_FIELDS, drop_blank_keys, record_key, to_json_record, with_ordinal
 
 
 def key_bucket(key: Column, n: int) -> Column:
@@ -28,30 +28,38 @@ def key_bucket(key: Column, n: int) -> Column:
 
 
 def keyed_records(corpus: DataFrame, num_buckets: int = 16) -> DataFrame:
-    """SRC-3: key every record (PRJ-2), drop blank keys (FLT-5), value = the
+    """SRC-3: key every record (PRJ-2), drop blank keys (FLT-5), value = the whole
     record as JSON (JSN-1), one row per key (a later record replaces an earlier
-    one, by ``ord``; partial aggregation collapses a hot key map-side)."""
+    one, by ``ord``)."""
     keyed = drop_blank_keys(corpus.withColumn("key", record_key()))
     keyed = keyed.withColumn("value", to_json_record())
-    last = keyed.groupBy("key").agg(F.max_by(F.struct("value", "ord"), F.col("ord")).alias("__r"))
-    return last.select("key", F.col("__r.value").alias("value"), F.col("__r.ord").alias("ord"),
-                       key_bucket(F.col("key"), num_buckets).cast("int").alias("bucket"))
+    return last_by_key(keyed.select("key", "value", "ord"), "key", "ord").select(
+        "key", "value", "ord", key_bucket(F.col("key"), num_buckets).cast("int").alias("bucket"))
+
+
+def last_by_key(df: DataFrame, key: str, order: str) -> DataFrame:
+    """The row of each key with the largest ``order``: the winning order is found on two
+    narrow columns (a hash aggregate that collapses a hot key map-side), then joined back."""
+    last = df.groupBy(key).agg(F.max(order).alias(order))
+    return df.join(last, [key, order], "left_semi")
 
 
 def keyed_records_kv(df: DataFrame, key_field: str = "word", value_field: str = "definition",
-                     num_buckets: int = 1000) -> DataFrame:
-    """SRC-4: user-chosen key/value fields; the value is stored as given."""
-    kv = (df.select(F.col(key_field).cast("string").alias("key"), F.col(value_field).cast("string").alias("value"))
-          .filter(F.col("key").isNotNull() & (F.col("key") != "")))
-    return kv.withColumn("bucket", key_bucket(F.col("key"), num_buckets).cast("int"))
-
-
-def write_records(store: DataFrame, root: str, files_per_bucket: int = 1, mode: str = "overwrite") -> None:
-    """Write the store partitioned by ``bucket``. The data is repartitioned on
-    (bucket, key-hash mod files_per_bucket) so each bucket is written by
-    ``files_per_bucket`` tasks — raise it for very large stores."""
-    salt = F.pmod(F.xxhash64("key"), F.lit(files_per_bucket))
-    (store.repartition(F.col("bucket"), salt).sortWithinPartitions("key")
+                     num_buckets: int = 1000, ord_col: str = "ord") -> DataFrame:
+    """SRC-4: user-chosen key/value fields; the value is stored as given. Of a repeated key
+    the row with the largest ``ord_col`` stays (without that column: the last one read)."""
+    if ord_col not in df.columns:
+        df = with_ordinal(df, ord_col)
+    kv = (df.select(F.col(key_field).cast("string").alias("key"), F.col(value_field).cast("string").alias("value"),
+                    F.col(ord_col).alias("ord")).filter(F.col("key").isNotNull() & (F.col("key") != "")))
+    return last_by_key(kv, "key", "ord").withColumn("bucket", key_bucket(F.col("key"), num_buckets).cast("int"))
+
+
+def write_records(store: DataFrame, root: str, mode: str = "overwrite") -> None:
+    """Write the store partitioned by ``bucket``. The rebalance hint sizes the writer tasks
+    by bytes (``spark.sql.adaptive.advisoryPartitionSizeInBytes``): Spark splits a large
+    bucket over many tasks and files and gathers small ones."""
+    (store.hint("rebalance", "bucket").sortWithinPartitions("bucket", "key")
      .write.mode(mode).partitionBy("bucket").parquet(os.path.join(root, "records")))
 
 
@@ -74,8 +82,9 @@ def store_stats(store: DataFrame) -> DataFrame:
 
 
 def write_embeddings(vectors: DataFrame, root: str, mode: str = "overwrite") -> None:
-    """SRC-5 sink: ``(key, embedding)`` as Parquet."""
-    vectors.select("key", "embedding").write.mode(mode).parquet(os.path.join(root, "embeddings"))
+    """SRC-5 sink: ``(key, embedding)`` and ``ord``, where there is one, as Parquet."""
+    cols = [c for c in ("ord", "key", "embedding") if c in vectors.columns]
+    vectors.select(*cols).write.mode(mode).parquet(os.path.join(root, "embeddings"))
 
 
 def write_table(df: DataFrame, root: str, name: str, mode: str = "overwrite") -> None:
@@ -105,6 +114,11 @@ class StoreCatalog:
                    _exists(spark, os.path.join(root, "embeddings")),
                    _exists(spark, os.path.join(root, "minhash")))
 
+    def index(self, spark: SparkSession):
+        """The stored IVF-PQ index."""
+        from tessera.operators.ivfpq import read_index
+        return read_index(spark, self.root)
+
     @property
     def tier(self) -> str:
         if self.has_ivf:

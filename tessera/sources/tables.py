@@ -8,18 +8,26 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin the rows over the cluster's parallelism when a scan yields
-    fewer partitions than that (a small single-row-group file gives one). On a
-    large table the scan already has many splits and nothing is added."""
+#: Files of up to this many bytes may be dealt out by ``spread``; larger ones keep their splits.
+SPREAD_BYTES = 64 << 20
+
+
+def scan_bytes(df: DataFrame) -> int:
+    """Bytes of the files of a scan, as Catalyst estimates them."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def spread(df: DataFrame, most: int = SPREAD_BYTES) -> DataFrame:
+    """Deal the rows of a small file that is one row group (so one split) over the
+    session's cores. The bound is in bytes of input: what is moved is never more than
+    ``most``, on any cluster; a larger table is left to its splits."""
     want = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
+    if scan_bytes(df) <= most and df.rdd.getNumPartitions() < want:
         return df.repartition(want)
     return df
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, *, spread_rows: bool = True) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spread(df) if spread_rows else df
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))

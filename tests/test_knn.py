@@ -1,26 +1,50 @@
-"""JOIN-1 blocked scorer against brute force, with many blocks per side."""
+"""JOIN-1 scorer against brute force: both plans, NaN and null vectors, ties, k above the corpus."""
 import numpy as np
-from pyspark.sql import functions as F
+import pytest
 
+from tessera.operators import knn
 from tessera.operators.knn import knn_topk
 
 
-def test_blocked_topk_matches_brute_force(spark):
+def data(spark, nc=300, nq=70, dim=16):
     rng = np.random.default_rng(3)
-    X = rng.standard_normal((300, 16)).astype(np.float32)
+    X = rng.standard_normal((nc, dim)).astype(np.float32)
     X /= np.linalg.norm(X, axis=1, keepdims=True)
-    Q = X[:70]
-    rows = [(i, X[i].tolist()) for i in range(len(X))]
-    corpus = spark.createDataFrame(rows, "key long, embedding array<float>")
-    queries = spark.createDataFrame([(i, Q[i].tolist()) for i in range(len(Q))], "query_id long, embedding array<float>")
-    got = knn_topk(queries, corpus, k=4, threshold=0.1, rows_per_query_block=16, rows_per_corpus_block=40)
-    got = {(r.query_id, r["rank"]): (r.key, r.score) for r in got.collect()}
-    S = np.round(Q.astype(np.float64) @ X.astype(np.float64).T, 6)
-    for qi in range(len(Q)):
-        order = sorted(range(len(X)), key=lambda j: (-S[qi, j], j))
-        want = [(j, S[qi, j]) for j in order if S[qi, j] >= 0.1][:4]
-        for r, (j, s) in enumerate(want, start=1):
-            assert got[(qi, r)][0] == j and abs(got[(qi, r)][1] - s) < 1e-9
+    corpus = spark.createDataFrame([(i, X[i].tolist()) for i in range(nc)], "key long, embedding array<float>")
+    queries = spark.createDataFrame([(i, X[i].tolist()) for i in range(nq)], "query_id long, embedding array<float>")
+    return corpus.repartition(5), queries, np.round(X[:nq].astype(np.float64) @ X.astype(np.float64).T, 6)
+
+
+def rows(df):
+    return sorted((r.query_id, r["rank"], r.key, round(r.score, 9)) for r in df.collect())
+
+
+@pytest.mark.parametrize("pairs", [4_000_000, 200])
+def test_both_plans_match_brute_force(spark, monkeypatch, pairs):
+    corpus, queries, S = data(spark)
+    monkeypatch.setattr(knn, "_PAIR_BUDGET", pairs)
+    how = {"k": 4, "threshold": 0.1}
+    sent = knn_topk(queries, corpus, **how)
+    blocks = knn_topk(queries, corpus, max_query_bytes=0, block_bytes=4000, **how)
+    assert "Exchange" not in sent._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[1].replace("REPARTITION_BY_NUM", "").split("Scan")[0].replace("Exchange RoundRobin", "")
+    want = []
+    for qi in range(len(S)):
+        order = sorted(range(S.shape[1]), key=lambda j: (-S[qi, j], j))
+        want += [(qi, r, j, S[qi, j]) for r, j in enumerate([j for j in order if S[qi, j] >= 0.1][:4], start=1)]
+    assert rows(sent) == rows(blocks) == sorted((a, b, c, round(float(d), 9)) for a, b, c, d in want)
+
+
+@pytest.mark.parametrize("most", [1 << 30, 0])
+def test_bad_vectors_only_lose_themselves(spark, most):
+    nan = float("nan")
+    corpus = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [nan, 0.0]), ("c", None), ("d", [0.6, 0.8]), ("e", [0.6, 0.8])],
+                                   "key string, embedding array<double>")
+    queries = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [nan, 1.0])], "query_id long, embedding array<double>")
+    got = knn_topk(queries, corpus, k=9, max_query_bytes=most, block_bytes=1)
+    assert rows(got) == [(1, 1, "a", 1.0), (1, 2, "d", 0.6), (1, 3, "e", 0.6)]       # equal scores: by key
+    assert rows(knn_topk(queries, corpus, k=2, max_query_bytes=most, block_bytes=1)) == rows(got)[:2]
+    assert knn_topk(queries.where("query_id > 9"), corpus, k=2, max_query_bytes=most).count() == 0
+    assert knn_topk(queries, corpus.where("key > 'x'"), k=2, max_query_bytes=most).count() == 0
 
 
 def test_agreement_kernel(spark):
@@ -28,3 +52,14 @@ def test_agreement_kernel(spark):
     c = spark.createDataFrame([(10, [1, 2, 3, 4]), (11, [1, 2, 0, 0]), (12, [9, 9, 9, 9])], "key long, sig array<bigint>")
     got = knn_topk(q, c, k=3, query_vec="sig", corpus_vec="sig", kind="agree", decimals=None).orderBy("rank").collect()
     assert [(r.key, r.score) for r in got] == [(10, 1.0), (11, 0.5), (12, 0.0)]
+
+
+def test_memory_of_the_kernel_is_flat():
+    """Candidates are cut back while records go by."""
+    rng = np.random.default_rng(0)
+    q = rng.integers(0, 3, (64, 64))
+    top = knn.TopK(q, 20, None, None, "agree")
+    for i in range(40):
+        top.add(np.arange(i * 500, i * 500 + 500), rng.integers(0, 3, (500, 64)))
+        assert top.held <= max(knn._PAIR_BUDGET // 4, 2 * 64 * 20) + 64 * 500
+    assert len(top.result()[0]) == 64 * 20

@@ -1,8 +1,7 @@
-"""SRC-1 contract errors, PRJ-1/2, record store, AGG-10 + JOIN-4/5 against brute force."""
+"""SRC-1 contract errors, PRJ-1/2, record store, AGG-10 + JOIN-4/5 against worked cases."""
 import json
 import os
 import tempfile
-import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -57,47 +56,50 @@ def test_projections_and_store(spark):
     assert {"huevo", "serendipia"} <= {r.lemma for r in parsed}
 
 
-def _py_norm(s):
-    s = s.lower().strip()
-    return "".join(c for c in unicodedata.normalize("NFD", s) if unicodedata.category(c) != "Mn")
-
-
-def _py_lev1(a, b):
-    if a == b:
-        return True
-    if abs(len(a) - len(b)) > 1:
-        return False
-    if len(a) < len(b):
-        a, b = b, a
-    if len(a) == len(b):
-        return sum(x != y for x, y in zip(a, b)) == 1
-    i = 0
-    while i < len(b) and a[i] == b[i]:
-        i += 1
-    return a[i + 1:] == b[i:]
-
-
-def test_key_boosts_brute_force(spark):
-    keys = ["huevo", "efímero", "Efimero", "serendipia", "serendipias", "melancolia", "casa"]
-    recs = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "ord long, key string")
-    qs = ["que es el huevo", "qué significa efimero", "define serendipya", "melancolía?", "que es la casa",
-          "define cassa", "nada que ver aquí", "significado de melancolias"]
-    q = spark.createDataFrame(list(enumerate(qs)), "query_id long, query string")
+def test_unknown_fields_survive(spark):
+    rows = [{"id": "1", "lemma": "faro", "category": "mar", "tags": ["a", "b"], "n": 5, "deep": {"x": None, "y": "z\"q"}},
+            {"category": "solo", "weight": 2.5}, {"id": 3, "text": "plain", "odd \"key\"": True}]
+    df = C.json_corpus_scan(spark, _write(tempfile.mkdtemp(), rows))
+    back = {r.ord: json.loads(r.v) for r in df.select("ord", C.to_json_record().alias("v")).collect()}
+    assert back == {0: rows[0], 1: rows[1], 2: rows[2] | {"id": "3"}}
+    store = keyed_records(df, 4).select("key", C.parse_record_or_wrap("value").alias("r")).collect()
+    got = {r.key: r.r for r in store}
+    assert set(got) == {"faro", "3"} and got["faro"].lemma == "faro"
+    assert {k: json.loads(v) for k, v in got["faro"].extra.items()} == {
+        "category": "mar", "tags": ["a", "b"], "n": 5, "deep": {"x": None, "y": "z\"q"}}
+    wrapped = spark.createDataFrame([("not json",), ("[1]",)], "value string").select(C.parse_record_or_wrap("value").alias("r")).collect()
+    assert [r.r.text for r in wrapped] == ["not json", "[1]"]
+
+
+def test_key_boosts_by_hand(spark):
+    keys = ["faro", "brújula", "Brujula", "ancla", "anclas", "marejada", "vela"]
+    recs = spark.createDataFrame(list(enumerate(keys)), "ord long, key string")
+    want = {"que es el faro": (0, "exact"), "qué significa brujula": (2, "exact"),      # the later spelling wins
+            "define brujola": (2, "fuzzy"), "que es la anclaz": (3, "fuzzy"),             # first key in order, of two near ones
+            "que es la vela": (6, "exact"), "define velaa": (6, "fuzzy"), "define vel": None,   # too short for an edit
+            "otra cosa distinta": None, "significado de marejades": None}
+    q = spark.createDataFrame(list(enumerate(want)), "query_id long, query string")
     got = {r.query_id: (r.ord, r.match_kind) for r in M.key_boosts(q, recs).collect()}
-    # brute force of the dict semantics
-    d = {}
-    for i, k in enumerate(keys):
-        d[_py_norm(k)] = i
-    term_of = {r.query_id: r.norm_term for r in M.with_query_terms(q).collect()}
-    for qid in range(len(qs)):
-        nt = term_of[qid]
-        want = None
-        if nt:
-            if nt in d:
-                want = (d[nt], "exact")
-            elif len(nt) >= 5:
-                for nk, i in d.items():
-                    if _py_lev1(nt, nk):
-                        want = (i, "fuzzy")
-                        break
-        assert got.get(qid) == want, (qid, qs[qid], got.get(qid), want)
+    assert got == {i: w for i, w in enumerate(want.values()) if w}
+
+
+def test_one_edit_join_equals_levenshtein(spark):
+    """Against DuckDB's edit distance, with strings on both sides of the block border."""
+    import random
+
+    import duckdb
+    rng = random.Random(9)
+    words = {"".join(rng.choice("ab") for _ in range(rng.choice([5, 6, 7, 62, 63, 64, 65, 66, 67]))) for _ in range(120)}
+    for w in list(words):
+        i = rng.randrange(len(w))
+        words |= {w[:i] + w[i + 1:], w[:i] + "c" + w[i:], w[:i] + "c" + w[i + 1:]}
+    rows = [(w,) for w in sorted(words)]
+    terms = spark.createDataFrame(rows, "norm_term string")
+    keys = spark.createDataFrame(rows, "norm_key string").selectExpr("norm_key", "0L AS first_ord", "0L AS last_ord")
+    got = {(r.norm_term, r.norm_key) for r in M.fuzzy_key_candidates(terms, keys, 5).collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE w (a VARCHAR)")
+    con.executemany("INSERT INTO w VALUES (?)", rows)
+    want = set(con.sql("SELECT x.a, y.a FROM w x JOIN w y ON abs(length(x.a) - length(y.a)) <= 1 AND levenshtein(x.a, y.a) <= 1 "
+                       "WHERE length(x.a) >= 5 AND length(y.a) >= 4").fetchall())
+    assert got == want

@@ -6,8 +6,8 @@ from tessera.operators import synth as SY
 from tessera.operators.audit import grounding_audit
 from tessera.plans.answer import answer
 
-EGG = ("Preparación culinaria que consiste en freír el huevo en aceite caliente durante aproximadamente "
-       "3 minutos. Se recomienda añadir sal al gusto al finalizar")
+EGG = ("Para freír el huevo se calienta aceite en la sartén y se deja unos instantes hasta que cuaje la clara. "
+       "Conviene añadir sal al gusto antes de servirlo")
 
 
 def qf(spark, rows):
@@ -57,8 +57,15 @@ def test_generator_routing(spark):
     f = fr(spark, [(1, 1, "x", EGG, 0.8), (3, 1, "y", "texto de baja relevancia aquí", 0.35)])
     r = {x.query_id: x.mode for x in SY.route_and_prompt(q, f, has_generator=True).collect()}
     assert r == {1: "guided", 2: "free", 3: "free"}
-    gen = answer(q, f, make_generator=SY.stub_generator)
-    assert gen.count() == 3
+    msgs = {x.query_id: [(m.role, m.content) for m in x.messages] for x in SY.route_and_prompt(q, f, has_generator=True).collect()}
+    assert [r for r, _ in msgs[1]] == ["system", "user"] and EGG in msgs[1][1][1] and msgs[1][1][1].endswith("freír huevo")
+    assert msgs[2][1] == ("user", "hola") and msgs[3][1] == ("user", "algo")
+
+    def echo():
+        return lambda messages: "eco: " + messages[-1]["content"]
+    gen = {x.query_id: (x.mode, x.response) for x in answer(q, f, make_generator=echo).collect()}
+    assert gen[2] == ("free", "eco: hola") and gen[3] == ("free", "eco: algo")
+    assert gen[1][0] == "guided" and gen[1][1].startswith("eco: ") and EGG in gen[1][1]
 
 
 def test_oregano(spark):

@@ -1,4 +1,4 @@
-"""STR-1..10, SYN-1: the reference's literal cases, as column expressions."""
+"""STR-1..11, SYN-1 on worked cases, as column expressions."""
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,40 +11,34 @@ def one(spark, expr, *vals):
 
 
 @pytest.mark.parametrize("raw,want", [
-    ("HOLA", "hola"), ("Efímero", "efimero"), ("niño", "nino"), ("  serendipia  ", "serendipia"),
-    ("", ""), (" Qué\t", "que"), ("Ça", "ca"),
+    ("MAREA", "marea"), ("Brújula", "brujula"), ("señal", "senal"), ("  vela  ", "vela"),
+    ("", ""), (" Puñal\t", "punal"), ("Glaçon", "glacon"),
 ])
 def test_normalize(spark, raw, want):
     assert one(spark, TX.normalize_text(F.col("c0")), raw) == want
 
 
 @pytest.mark.parametrize("q,want", [
-    ("que significa efimero", "efimero"),
-    ("qué es la democracia", "democracia"),
-    ("que es el amor?", "amor"),
-    ("define serendipia", "serendipia"),
-    ("definición de melancolía", "melancolía"),
-    ("significado de nostalgia", "nostalgia"),
-    ("Qué significa efímero, por favor", "efímero"),
-    ("serendipia", "serendipia"),
-    ("que es la ab", ""),
-    ("¿Qué es la democracia?", "¿Qué es la democracia"),
+    ("que significa barlovento", "barlovento"), ("qué es la marea", "marea"), ("que es el faro?", "faro"),
+    ("define sextante", "sextante"), ("definición de sotavento", "sotavento"), ("significado de bitácora", "bitácora"),
+    ("Qué significa cabotaje, por favor", "cabotaje"), ("astrolabio", "astrolabio"), ("que es la uz", ""),
+    ("¿Qué es la quilla?", "¿Qué es la quilla"),
 ])
 def test_extract_query_term(spark, q, want):
     assert one(spark, TX.extract_query_term(F.col("c0")), q) == want
 
 
 @pytest.mark.parametrize("a,b,want", [
-    ("efimero", "efimero", True), ("efimero", "efemero", True), ("efimero", "efimeros", True),
-    ("efimero", "fimero", True), ("", "", True), ("efimero", "afemero", False), ("abc", "abcde", False),
+    ("quilla", "quilla", True), ("quilla", "quella", True), ("quilla", "quillas", True),
+    ("quilla", "uilla", True), ("", "", True), ("quilla", "puella", False), ("mar", "marea", False),
 ])
 def test_within_one_edit(spark, a, b, want):
     assert one(spark, TX.within_one_edit(F.col("c0"), F.col("c1")), a, b) is want
 
 
-def test_keywords_spanish_recipe(spark):
-    kws = set(one(spark, TX.extract_keywords(F.col("c0")), "¿Cómo preparo huevos fritos con aceite para la cena?"))
-    assert {"cómo", "preparo", "huevos", "fritos", "aceite", "cena"} <= kws
+def test_keywords_spanish(spark):
+    kws = set(one(spark, TX.extract_keywords(F.col("c0")), "¿Dónde guardo velas mojadas con sal para la regata?"))
+    assert {"guardo", "velas", "mojadas", "sal", "regata"} <= kws
     assert not kws & {"con", "para", "la"}
 
 
@@ -53,7 +47,7 @@ def test_tokenize_unicode(spark):
 
 
 @pytest.mark.parametrize("a,b,lo,hi", [
-    ("the cat sat", "the cat sat", 1.0, 1.0), ("a b", "c d", 0.0, 0.0),
+    ("mar en calma", "mar en calma", 1.0, 1.0), ("a b", "c d", 0.0, 0.0),
     ("a b c", "a b d", 0.01, 0.99), ("", "", 0.0, 0.0),
 ])
 def test_jaccard(spark, a, b, lo, hi):
@@ -65,6 +59,6 @@ def test_sentence_helpers(spark):
     assert one(spark, TX.decapitalize(F.col("c0")), "Hola mundo") == "hola mundo"
     assert one(spark, TX.ensure_period(F.col("c0")), "hola") == "hola."
     assert one(spark, TX.ensure_period(F.col("c0")), "hola.") == "hola."
-    assert one(spark, TX.prefix_match(F.col("c0"), F.col("c1")), "Efímero: que dura poco", "efimero") is True
+    assert one(spark, TX.prefix_match(F.col("c0"), F.col("c1")), "Sotavento: lado opuesto al viento", "sotavento") is True
     parts = one(spark, TX.sentence_parts(F.col("c0")), "Uno. Dos!! Tres; 3.5")
     assert parts == ["Uno", " Dos", " Tres", " 3", "5"]

@@ -1,46 +1,37 @@
-"""ANN-5 Tier 1: cosine + exact/first-fuzzy boost, checked against a brute-force loop."""
-import unicodedata
-
-import numpy as np
+"""ANN-5 Tier 1: cosine with the exact / first-fuzzy key boost, on worked scores."""
 from pyspark.sql import functions as F
 
 from tessera.config import RetrievalConfig
 from tessera.plans.retrieve import cosine_boost_retrieve
 
-
-def _norm(s):
-    s = s.lower().strip()
-    return "".join(c for c in unicodedata.normalize("NFD", s) if unicodedata.category(c) != "Mn")
+KEYS = ["faro", "brújula", "ancla", "vela"]
+#: Unit vectors: the score of record i for query (1, 0) is 0.1, 0.6, 0.7, 0.8.
+SCORES = [0.1, 0.6, 0.7, 0.8]
 
 
-def test_tier1_matches_loop(spark):
-    rng = np.random.default_rng(5)
-    keys = ["huevo", "efímero", "serendipia", "casa", "perro", "gato", "melancolia", "nostalgia"] * 3
-    V = rng.standard_normal((len(keys), 8))
-    V /= np.linalg.norm(V, axis=1, keepdims=True)
-    vecs = spark.createDataFrame([(i, k, V[i].tolist()) for i, k in enumerate(keys)], "ord long, key string, embedding array<double>")
+def run(spark, text, **cfg):
+    vecs = spark.createDataFrame([(i, k, [s, (1 - s * s) ** 0.5]) for i, (k, s) in enumerate(zip(KEYS, SCORES))],
+                                 "ord long, key string, embedding array<double>")
     recs = vecs.select("ord", F.col("key").alias("text"))
-    qs = ["que es el huevo", "define serendipya", "qué significa efimero", "nada"]
-    Q = rng.standard_normal((len(qs), 8))
-    Q /= np.linalg.norm(Q, axis=1, keepdims=True)
-    q = spark.createDataFrame([(i, t, Q[i].tolist()) for i, t in enumerate(qs)], "query_id long, query string, embedding array<double>")
-    cfg = RetrievalConfig(top_k=3, threshold=-1.0)
-    got = {}
-    for r in cosine_boost_retrieve(q, vecs, recs, cfg).collect():
-        got.setdefault(r.query_id, []).append((r["rank"], r.ord))
-    terms = {0: "huevo", 1: "serendipya", 2: "efimero", 3: "nada"}
-    last = {}
-    for i, k in enumerate(keys):
-        last[_norm(k)] = i
-    for qi in range(len(qs)):
-        s = np.round(V @ Q[qi], 6)
-        nt = _norm(terms[qi])
-        if nt in last:
-            s[last[nt]] = min(1.0, s[last[nt]] + 0.40)
-        elif len(nt) >= 5:
-            for nk, i in last.items():
-                if (len(nk) == len(nt) and sum(a != b for a, b in zip(nk, nt)) == 1):
-                    s[i] = min(1.0, s[i] + 0.28)
-                    break
-        order = sorted(range(len(keys)), key=lambda j: (-s[j], j))[:3]
-        assert [o for _, o in sorted(got[qi])] == order, (qi, got[qi], order)
+    q = spark.createDataFrame([(0, text, [1.0, 0.0])], "query_id long, query string, embedding array<double>")
+    rows = cosine_boost_retrieve(q, vecs, recs, RetrievalConfig(threshold=-1.0, **cfg)).orderBy("rank").collect()
+    return [(r.ord, r.score) for r in rows]
+
+
+def test_no_key_no_boost(spark):
+    assert run(spark, "nada que ver", top_k=4) == [(3, 0.8), (2, 0.7), (1, 0.6), (0, 0.1)]
+
+
+def test_exact_key_is_raised_and_clamped(spark):
+    assert run(spark, "que es la brujula", top_k=2) == [(1, 1.0), (3, 0.8)]
+    assert run(spark, "define vela", top_k=1) == [(3, 1.0)]                    # 0.8 + 0.40 is cut at 1
+
+
+def test_one_edit_key_gets_the_smaller_boost(spark):
+    assert run(spark, "define anclas", top_k=2) == [(2, 0.98), (3, 0.8)]
+
+
+def test_boosted_row_enters_from_outside_the_shortlist(spark):
+    got = run(spark, "que es el faro", top_k=1, cosine_overfetch=1)
+    assert got == [(3, 0.8)]                                                   # 0.1 + 0.40 stays below 0.8
+    assert (0, 0.5) in run(spark, "que es el faro", top_k=4, cosine_overfetch=1)

@@ -8,6 +8,8 @@ from tessera.config import RetrievalConfig
 from tessera.operators import minhash as MH
 from tessera.operators.encode import encode
 from tessera.plans.inputs import document_records
+from tessera.operators.ivfpq import ivfpq_build, write_index
+from tessera.plans.build import build_corpus
 from tessera.plans.retrieve import tiered_retrieve
 from tessera.sources.corpus import as_corpus
 from tessera.sources.store import StoreCatalog, keyed_records, write_records, write_table
@@ -39,3 +41,36 @@ def test_tiers(spark):
     assert cat.tier == "cosine"
     res = tiered_retrieve(cat, spark, q, cfg)
     assert res.filter("tier = 'cosine'").count() == q.count() * cfg.top_k
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    assert all(r.text == texts[int(r.source_id)] for r in res.collect())          # the text, not the stored JSON
+
+    index = ivfpq_build(spark.read.parquet(root + "/embeddings"), key="key")
+    write_index(index, spark, root)
+    cat = StoreCatalog.open(spark, root)
+    assert cat.tier == "ivf" and cat.index(spark).nprobe == index.nprobe
+    ivf = tiered_retrieve(cat, spark, q, cfg)
+    pairs = lambda d: {(r.query_id, r.key) for r in d.collect()}
+    assert ivf.columns == res.columns and len(pairs(ivf) & pairs(res)) >= 0.9 * len(pairs(res))
+
+
+def test_key_boost_and_fields_in_every_tier(spark):
+    """A store of lemma/definition records: the named key wins its query in the cosine and IVF
+    tiers, and every tier returns the record's text."""
+    words = ["cold widget", "warm widget", "blue lamp", "green lamp", "iron gate"]
+    part = spark.createDataFrame([(i, w, f"kind {i}") for i, w in enumerate(words)], "id long, lemma string, definition string")
+    corpus = as_corpus(part, {"id": "id", "lemma": "lemma", "definition": "definition"}, "id")
+    q = spark.createDataFrame([(1, "define cold widget"), (2, "define blue lampp")], "query_id long, query string")
+    cfg = RetrievalConfig(threshold=0.0, top_k=1)
+    root = tempfile.mkdtemp(prefix="store-")
+    build_corpus(corpus, root, cfg)
+    want = {1: ("cold widget: kind 0", 0.97735), 2: ("blue lamp: kind 2", None)}     # 1 / sqrt(3) + 0.40
+    for drop, tier in (([], "cosine"), (["embeddings"], "minhash")):
+        cat = StoreCatalog.open(spark, root)
+        cat = StoreCatalog(root, False, cat.has_embeddings and "embeddings" not in drop, cat.has_minhash)
+        assert cat.tier == tier
+        for r in tiered_retrieve(cat, spark, q, cfg).collect():
+            assert r.text == want[r.query_id][0] and r.source_id in ("0", "2")
+            assert tier != "cosine" or want[r.query_id][1] in (None, r.score)
+    write_index(ivfpq_build(spark.read.parquet(root + "/embeddings"), key="key", k=1), spark, root)
+    got = {r.query_id: (r.text, r.tier) for r in tiered_retrieve(StoreCatalog.open(spark, root), spark, q, cfg).collect()}
+    assert got == {k: (t, "ivf") for k, (t, _) in want.items()}
