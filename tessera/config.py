@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 @dataclass(frozen=True)
 class RetrievalConfig:
-    # retrieval
+    # retrieval (fixed values: the defaults of the reference behaviour)
     top_k: int = 5
     threshold: float = 0.3
     exact_boost: float = 0.40

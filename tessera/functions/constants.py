@@ -21,16 +21,12 @@ CONNECTORS = (
     "Finalmente,",
 )
 
-# Leading definition phrase stripped from a query (case-insensitive), written
-# once in a syntax both Java regex and RE2 accept; whitespace is WS below.
+# Leading definition phrase stripped from a query (case-insensitive).
+QUERY_PREFIX = r"(?:qu[eé]\s+(?:significa|es|son|quiere\s+decir)\s+(?:la\s+|el\s+|los\s+|las\s+|un\s+|una\s+)?|defin[ei]\S*\s+(?:de\s+)?|significado\s+de\s+)"
+
+# The same for engines whose \s is ASCII only: Unicode white space spelled out.
 _WS = r"[\t\n\x{0b}\f\r\x{1c}-\x{1f} \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-_NWS = _WS.replace("[", "[^", 1)
-QUERY_PREFIX_BODY = (
-    r"(?:qu[eé]" + _WS + r"+(?:significa|es|son|quiere" + _WS + r"+decir)" + _WS
-    + r"+(?:la" + _WS + r"+|el" + _WS + r"+|los" + _WS + r"+|las" + _WS + r"+|un" + _WS
-    + r"+|una" + _WS + r"+)?"
-    + r"|defin[ei]" + _NWS + r"*" + _WS + r"+(?:de" + _WS + r"+)?|significado" + _WS + r"+de" + _WS + r"+)"
-)
+QUERY_PREFIX_BODY = QUERY_PREFIX.replace(r"\S", _WS.replace("[", "[^", 1)).replace(r"\s", _WS)
 
 # Characters Python's str.strip()/str.split() treat as whitespace.
 PY_WHITESPACE_CLASS = _WS
@@ -61,13 +57,6 @@ GUIDED_SYSTEM_PROMPT = (
     "'La información disponible no cubre este tema.'\n"
     "4. Respuesta breve: máximo 3 oraciones."
 )
-GUIDED_USER_TEMPLATE = "CONTEXTO:\n{context}\n\nPREGUNTA: {query}"
-
 # Default system prompt of the free (ungrounded) generator mode; the assistant
 # name is left out and can be set per row through the ``system_prompt`` column.
 FREE_SYSTEM_PROMPT = "Eres un asistente inteligente. Responde de forma natural, útil y concisa."
-
-# Score boosts for a key match on the query term.
-EXACT_BOOST = 0.40
-FUZZY_BOOST = 0.28
-RELEVANCE_THRESHOLD = 0.40

@@ -7,9 +7,9 @@ function ``i`` of 64 is ``(a_i * x + b_i) mod (2^31 - 1)``; the signature keeps
 the minimum of each. Signatures are per row (no shuffle): base hashes on the
 JVM, the 64-way minimum vectorised in NumPy over each Arrow batch.
 
-Candidates are the exact top ``k * overfetch`` records by signature agreement
-(the Jaccard estimate), computed with the same blocked scorer as the vector
-search, so a frequent band value cannot create a hot join key.
+Candidates share a band of two positions with the query (32 bands of the 64
+hashes); the top ``k * overfetch`` of them by signature agreement (the Jaccard
+estimate) are re-ranked. A frequent band value is split into blocks.
 """
 
 from __future__ import annotations
@@ -23,7 +23,6 @@ from pyspark.sql import types as T
 from tessera.config import RetrievalConfig
 from tessera.functions.text import py_strip, whitespace_set
 from tessera.functions.vector import cosine_eps
-from tessera.operators.knn import knn_topk
 from tessera.operators.rank import topk_per_query
 
 NUM_HASHES = 64
@@ -103,13 +102,39 @@ def with_signatures(df: DataFrame, text: str, out: str = "sig") -> DataFrame:
     return df.filter(has_token).withColumn(out, minhash_signature(F.col(text)))
 
 
+#: Signature positions per band: a record is a candidate if it shares a band with the query.
+BAND_ROWS = 2
+#: Records of one band value that one task joins; a longer one is split by a hash of the record.
+BAND_BLOCK = 10_000
+
+
+def bands(df: DataFrame, id_col: str, sig: str = "sig", n: int = NUM_HASHES, rows: int = BAND_ROWS) -> DataFrame:
+    """(id, band): one row per band of the signature; the band's number is part of its value."""
+    value = lambda b: F.xxhash64(b, *[F.get(F.col(sig), b * rows + i) for i in range(rows)])
+    return df.where(F.col(sig).isNotNull()).select(id_col, F.explode(F.transform(F.sequence(F.lit(0), F.lit(n // rows - 1)), value)).alias("band"))
+
+
+def agreement(a: Column, b: Column, n: int = NUM_HASHES) -> Column:
+    """Share of equal positions of two signatures: the Jaccard estimate."""
+    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same)) / F.lit(float(n))
+
+
 def minhash_candidates(queries: DataFrame, corpus: DataFrame, k: int, *, query_id: str = "query_id",
-                       key: str = "key", sig: str = "sig", cfg: RetrievalConfig = RetrievalConfig()) -> DataFrame:
-    """JOIN-8: top ``k`` records per query by signature agreement (share of the
-    64 positions that are equal), ties by key."""
-    return knn_topk(queries, corpus, k=k, threshold=None, query_id=query_id, query_vec=sig, key=key,
-                    corpus_vec=sig, kind="agree", decimals=None,
-                    max_query_bytes=cfg.max_query_bytes, block_bytes=cfg.block_bytes).withColumnRenamed("score", "jaccard_est")
+                       key: str = "key", sig: str = "sig", band_block: int = BAND_BLOCK) -> DataFrame:
+    """JOIN-8: of the records that share a band of ``BAND_ROWS`` positions with the query, the
+    top ``k`` by signature agreement, ties by key. An equi-join on the band; a band
+    value of many records is split into blocks, from a count table joined as a DataFrame.
+    The signatures join late, to the distinct pairs only."""
+    qb, cb = bands(queries, query_id, sig), bands(corpus, key, sig)
+    hot = cb.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / band_block).cast("int").alias("blocks")).where("blocks > 1")
+    n = F.coalesce("blocks", F.lit(1))
+    left = qb.join(hot, "band", "left").select(query_id, "band", F.explode(F.sequence(F.lit(0), n - 1)).alias("block"))
+    right = cb.join(hot, "band", "left").select(key, "band", F.pmod(F.xxhash64(key), n).cast("int").alias("block"))
+    pairs = left.join(right, ["band", "block"]).select(query_id, key).distinct()
+    scored = (pairs.join(queries.select(query_id, F.col(sig).alias("__q")), query_id)
+              .join(corpus.select(key, F.col(sig).alias("__c")), key)
+              .select(query_id, key, agreement(F.col("__q"), F.col("__c")).alias("jaccard_est")))
+    return topk_per_query(scored, k, group=query_id, score="jaccard_est", tie=key)
 
 
 def candidate_rerank(cands: DataFrame, query_vecs: DataFrame, record_vecs: DataFrame, *,
@@ -130,7 +155,7 @@ def minhash_retrieve(queries: DataFrame, q_sigs: DataFrame, corpus_sigs: DataFra
     """ANN-6 (Tier 2): ``k * minhash_overfetch`` candidates by Jaccard estimate ->
     exact cosine -> threshold -> top k by (score desc, key asc)."""
     cands = minhash_candidates(q_sigs, corpus_sigs, cfg.top_k * cfg.minhash_overfetch,
-                               query_id=query_id, key=key, cfg=cfg).drop("rank")
+                               query_id=query_id, key=key).drop("rank")
     scored = candidate_rerank(cands, query_vecs, record_vecs, query_id=query_id, key=key,
                               decimals=cfg.score_decimals)
     kept = scored.filter(~F.isnan("score") & (F.col("score") >= cfg.threshold))

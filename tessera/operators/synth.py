@@ -163,4 +163,9 @@ def stub_generator() -> Callable[[list], str]:
     return gen
 
 
-__all__ = [n for n in dir() if not n.startswith("_") and n not in ("pd",)]
+__all__ = [
+    "with_query_features", "focus_fragment", "extract_sentences", "score_sentences",
+    "top_sentences", "chain_sentences", "rewrite",
+    "context_block", "guided_messages", "free_messages", "route_and_prompt",
+    "generate", "answer_or_fallback", "stub_generator",
+]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.config import RetrievalConfig
 from tessera.operators import synth as SY
+from tessera.operators.audit import grounding_audit
 from tessera.operators.chat import last_messages, token_usage
 from tessera.operators.encode import encode
 from tessera.operators.knn import knn_topk
@@ -55,6 +56,22 @@ def answer(queries: DataFrame, fragments: DataFrame, cfg: RetrievalConfig = Retr
     return out.select("query_id", "mode", SY.answer_or_fallback(F.col("response"), has_frag, False).alias("response"))
 
 
+def audited_answer(queries: DataFrame, fragments: DataFrame, cfg: RetrievalConfig = RetrievalConfig(), *,
+                   query: str = "query",
+                   make_generator: Callable[[], Callable[[list], str]] | None = None) -> DataFrame:
+    """PIP-2 with SET-3: ``answer`` plus ``grounded`` and ``offending``. Under
+    ``restricted_vocabulary`` every answer made from fragments (statistical or guided) is
+    audited against them; fallbacks and free answers, and all answers without the
+    restriction, have null there."""
+    ans = answer(queries, fragments, cfg, query=query, make_generator=make_generator)
+    nothing = F.lit(None)
+    if not cfg.restricted_vocabulary:
+        return ans.select("*", nothing.cast("boolean").alias("grounded"), nothing.cast("array<string>").alias("offending"))
+    made = ans.where(F.col("mode").isin("statistical", "guided") & ~F.col("response").isin(SY.K.NOTHING_FOUND, SY.K.NOT_ENOUGH))
+    checked = grounding_audit(made.select("query_id", "response"), fragments)
+    return ans.join(checked, "query_id", "left").select(*ans.columns, "grounded", "offending")
+
+
 def chat_answer(conversations: DataFrame, records: DataFrame, cfg: RetrievalConfig = RetrievalConfig(), *,
                 vectors: DataFrame | None = None, encoder: Callable[[DataFrame, str, str], DataFrame] = encode,
                 make_generator: Callable[[], Callable[[list], str]] | None = None) -> DataFrame:
