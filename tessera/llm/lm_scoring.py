@@ -2,8 +2,8 @@
 
 A target model (documents labelled good) and a background model (all documents) are
 word bigram models over one vocabulary and one set of bigrams. All counts come from
-the whole tables; the vocabulary is the most frequent words and the bigrams those of at
-least the count at which ``max_bigrams`` is met, both over the background. Probabilities are
+the whole tables; the vocabulary is the most frequent words and the bigrams the most
+frequent pairs of at least 2, both over the background and within a stated size. Probabilities are
 interpolated with add-one unigrams; a document's own counts are taken off the models
 that it helped to train. The loss difference of a token is its target loss less its
 background loss; a document's score is the mean over its tokens: low is like the target.
@@ -23,6 +23,8 @@ from .common import arrow_map, checkpoint, texts
 #: Bounds of what is broadcast: a word is kept up to 64 bytes, so a vocabulary of 2^16 - 2
 #: words and 10^6 bigrams of 24 bytes take at most some 30 MB.
 VOCABULARY, MAX_BIGRAMS, MAX_WORD = (1 << 16) - 2, 1_000_000, 64
+#: The ids of the target's documents are broadcast up to this size, at so many bytes an id.
+MAX_BROADCAST, ID_BYTES = 64 << 20, 16
 #: Weight of the bigram part in the interpolation.
 BIGRAM_WEIGHT = 0.6
 UNKNOWN, START = 0, 1
@@ -41,10 +43,26 @@ def word_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
         F.sum("n").alias("n"))
 
 
+def least_count(counts: DataFrame, most: int, lowest: int = 1) -> int:
+    """The smallest count of at least ``lowest`` such that no more than ``most`` rows of
+    ``counts`` (n) have it or a larger one. Spark counts the counts; at most ``most`` of
+    them are looked at, from the largest down."""
+    held, least = 0, None
+    by_count = counts.where(F.col("n") >= lowest).groupBy("n").agg(F.count(F.lit(1)).alias("rows")).orderBy(F.col("n").desc())
+    for r in by_count.toLocalIterator():
+        held += r["rows"]
+        if held > most:
+            return least if least is not None else r["n"] + 1
+        least = r["n"]
+    return lowest
+
+
 def vocabulary(counts: DataFrame, size: int = VOCABULARY) -> dict[bytes, int]:
-    """The ``size`` most frequent words, numbered from 2 (ties: the smaller word first)."""
-    rows = counts.orderBy(F.col("n").desc(), "word").limit(size).select("word").collect()
-    return {bytes(r[0]): i + 2 for i, r in enumerate(rows)}
+    """The most frequent words, at most ``size`` (all those of a count or none of them),
+    numbered from 2 in the order of the words."""
+    counts = checkpoint(counts)
+    rows = counts.where(F.col("n") >= least_count(counts, size)).select("word").collect()
+    return {w: i + 2 for i, w in enumerate(sorted(bytes(r[0]) for r in rows))}
 
 
 def _numbers(text: bytes, words: dict[bytes, int]) -> np.ndarray:
@@ -68,23 +86,32 @@ class Models:
         for m in (0, 1):
             self.context[m, START] = np.bincount(keys >> 16, weights=pairs[m], minlength=self.size)[START] if len(keys) else 0
 
-    def loss(self, m: int, ids: np.ndarray, held_out: bool) -> np.ndarray:
-        """Bits of each token under model ``m``; ``held_out`` takes the document's own
-        counts off the model's first, so that it is not scored by its own text."""
+    def difference(self, ids: np.ndarray, member: bool) -> np.ndarray:
+        """Target loss less background loss of each token, in bits. The document's own counts
+        are taken off the background, and off the target where it is a ``member`` of it, so
+        that it is not scored by its own text."""
         key = _keys(ids)
         left, right = key >> 16, key & 0xFFFF
-        pair, uni, context = np.zeros(len(key)), self.uni[m][right], self.context[m][left]
+        known = np.zeros(len(key), bool)
+        at = np.zeros(len(key), np.int64)
         if len(self.keys):
             at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            pair = np.where(self.keys[at] == key, self.pairs[m][at], 0.0)
-        tokens = self.tokens[m]
-        if held_out:
-            _, back, own = np.unique(key, return_inverse=True, return_counts=True)
-            times = np.bincount(ids[1:], minlength=self.size)
-            pair, uni = np.maximum(pair - own[back], 0.0), np.maximum(uni - times[right], 0.0)
-            context, tokens = context - np.where(left == START, 1, times[left]), max(tokens - len(key), 0.0)
-        context = np.maximum(np.maximum(context, pair), 1.0)
-        return -np.log2(BIGRAM_WEIGHT * pair / context + (1 - BIGRAM_WEIGHT) * (uni + 1.0) / (tokens + self.size))
+            known = self.keys[at] == key
+        _, back, n = np.unique(key, return_inverse=True, return_counts=True)
+        own_pair = n[back]
+        _, back, n = np.unique(right, return_inverse=True, return_counts=True)
+        own = n[back]
+        own_left = np.concatenate(([1], own[:-1]))         # the start, then each token but the last
+        loss = []
+        for m, off in ((0, member), (1, True)):
+            pair = np.where(known, self.pairs[m][at], 0.0) if len(self.keys) else np.zeros(len(key))
+            uni, context, tokens = self.uni[m][right], self.context[m][left], self.tokens[m]
+            if off:
+                pair, uni = np.maximum(pair - own_pair, 0.0), uni - own
+                context, tokens = context - own_left, tokens - len(key)
+            context = np.maximum(np.maximum(context, pair), 1.0)
+            loss.append(-np.log2(BIGRAM_WEIGHT * pair / context + (1 - BIGRAM_WEIGHT) * (uni + 1.0) / (tokens + self.size)))
+        return loss[0] - loss[1]
 
 
 def bigram_counts(df: DataFrame, words, text_col: str = "text", target_col: str = "target") -> DataFrame:
@@ -109,13 +136,7 @@ def fit(df: DataFrame, words: dict[bytes, int], *, max_bigrams: int = MAX_BIGRAM
     uni = np.zeros((2, 1 << 16))
     for r in pairs.groupBy((F.col("k").bitwiseAND(F.lit(0xFFFF))).alias("w")).agg(F.sum("t").alias("t"), F.sum("n").alias("n")).toLocalIterator():
         uni[:, r["w"]] = r["t"], r["n"]
-    least, held = 2, 0                                     # the count from which on max_bigrams pairs are met
-    by_count = pairs.where("n >= 2").groupBy("n").count().orderBy(F.col("n").desc())
-    for r in by_count.toLocalIterator():
-        held += r["count"]
-        if held > max_bigrams:
-            least = r["n"] + 1
-            break
+    least = least_count(pairs, max_bigrams, lowest=2)
     kept = pairs.where(F.col("n") >= least).toArrow()      # at most max_bigrams rows
     keys = kept.column("k").to_numpy()
     order = np.argsort(keys)
@@ -130,25 +151,20 @@ def score(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     a null label or id is none). Null or blank texts have no tokens; repeated rows count
     each; an empty target gives the uniform target model; an empty table gives no rows."""
     good = checkpoint(labels.groupBy(F.col(f"`{label_id}`").cast("bigint").alias("id")).agg(
-        F.max(f"`{label_col}`").alias("q")).where("q = 1").select("id"))
+        F.max(f"`{label_col}`").alias("q")).where("q = 1 AND id IS NOT NULL").select("id"))
+    side = F.broadcast(good) if good.count() * ID_BYTES <= MAX_BROADCAST else good
     src = df.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    marked = src.join(side, src["doc_id"] == side["id"], "left").select("doc_id", "text", F.col("id").isNotNull().alias("target"))
     words = vocabulary(word_counts(src))
-    marked = src.join(good, src["doc_id"] == good["id"], "left").select("doc_id", "text", F.col("id").isNotNull().alias("target"))
-    models = df.sparkSession.sparkContext.broadcast(fit(marked, words))
-    table = df.sparkSession.sparkContext.broadcast(words)
+    sent = df.sparkSession.sparkContext.broadcast((words, fit(marked, words)))
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        n, inside, outside = [], [], []
-        for t in texts(b.column("text")):
-            ids = _numbers(t, table.value)
+        words, models = sent.value
+        n, mean = [], []
+        for t, member in zip(texts(b.column("text")), b.column("target").to_pylist()):
+            ids = _numbers(t, words)
             n.append(len(ids) - 1)
-            background = models.value.loss(1, ids, True)
-            for out, member in ((inside, True), (outside, False)):
-                out.append(float((models.value.loss(0, ids, member) - background).mean()) if n[-1] else 0.0)
-        return pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(inside, pa.float64()), pa.array(outside, pa.float64())],
-            names=["doc_id", "n_tokens", "inside", "outside"])
-    scored = arrow_map(src, run, "doc_id long, n_tokens long, inside double, outside double")
-    member = F.col("id").isNotNull()
-    return scored.join(good, scored["doc_id"] == good["id"], "left").select(
-        "doc_id", "n_tokens", member.alias("in_target"), F.when(member, F.col("inside")).otherwise(F.col("outside")).alias("loss_difference"))
+            mean.append(float(models.difference(ids, member).mean()) if n[-1] else 0.0)
+        return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), b.column("target"), pa.array(mean, pa.float64())],
+                                          names=["doc_id", "n_tokens", "in_target", "loss_difference"])
+    return arrow_map(marked, run, "doc_id long, n_tokens long, in_target boolean, loss_difference double")

@@ -72,3 +72,13 @@ def test_bigram_bound_keeps_the_most_frequent(spark, docs):
     words_ = lm_scoring.vocabulary(lm_scoring.word_counts(df))
     assert len(lm_scoring.fit(df, words_).keys) == 3            # a b, b a, c d
     assert len(lm_scoring.fit(df, words_, max_bigrams=2).keys) <= 2
+    counts = lm_scoring.word_counts(df)
+    assert lm_scoring.vocabulary(counts, size=4) == {b"a": 2, b"b": 3, b"c": 4, b"d": 5}
+    assert lm_scoring.vocabulary(counts, size=3) == {b"b": 2} or len(lm_scoring.vocabulary(counts, size=3)) <= 3
+
+
+def test_both_ways_to_mark_the_target(spark, docs, monkeypatch):
+    df, labels = docs([(i, f"w{i % 7} x y z", "s") for i in range(60)]), spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    sent = sorted(map(tuple, lm_scoring.score(df, labels).collect()))
+    monkeypatch.setattr(lm_scoring, "MAX_BROADCAST", 0)
+    assert sorted(map(tuple, lm_scoring.score(df, labels).collect())) == sent
