@@ -1,9 +1,9 @@
 """Byte-level BPE encoding and decoding with Spark's higher-order functions.
 
 Each batch of documents is cut into pre-tokens; its distinct ones become an array
-column. Every distinct word turns into an array of its bytes, and ``aggregate`` folds
-the ranked merges over it: each step joins the leftmost adjacent pair of lowest rank
-and looks up the ranks of its two new neighbours. The rank map is a literal (an array
+column. Every distinct word turns into an array of its adjacent byte pairs, and
+``aggregate`` folds the ranked merges over it: each step joins the leftmost pair of
+lowest rank and looks up the ranks of its two new neighbours. The rank map is a literal (an array
 of small maps by hash, so that a look-up does not scan the vocabulary). The ids of the
 words are then dealt back to the documents. Decoding concatenates the byte pieces of
 the ids. All of it happens in the task that read the documents; nothing is shuffled.
@@ -54,8 +54,59 @@ def _rank(ranks: Column, piece: Column) -> Column:
     return F.try_element_at(F.get(ranks, F.pmod(F.xxhash64(piece), F.lit(BUCKETS)).cast("int")), piece)
 
 
+#: A pair of neighbouring pieces [a, m) [m, e) as one integer: its rank, then three byte
+#: offsets of OFFSET bits. The smallest code is the leftmost pair of lowest rank.
+OFFSET = 15
+NO_RANK = (1 << 17) - 1
+
+
 def encode_word(word: Column, ranks: Column) -> Column:
     """array<int>: the ids of one pre-token."""
+    mask = F.lit((1 << OFFSET) - 1)
+
+    def start(g: Column) -> Column:
+        return F.shiftright(g, 2 * OFFSET).bitwiseAND(mask)
+
+    def middle(g: Column) -> Column:
+        return F.shiftright(g, OFFSET).bitwiseAND(mask)
+
+    def end(g: Column) -> Column:
+        return g.bitwiseAND(mask)
+
+    def short(s: Column) -> Column:
+        def piece(a: Column, e: Column) -> Column:
+            return _rank(ranks, F.substr(s, a.cast("int") + 1, (e - a).cast("int")))
+
+        def pair(a: Column, m: Column, e: Column) -> Column:
+            rank = F.coalesce(piece(a, e), F.lit(NO_RANK)).cast("bigint")
+            return F.shiftleft(rank, 3 * OFFSET).bitwiseOR(F.shiftleft(a, 2 * OFFSET)).bitwiseOR(F.shiftleft(m, OFFSET)).bitwiseOR(e)
+
+        def step(pairs: Column, _: Column) -> Column:
+            none = F.array().cast("array<bigint>")
+
+            def merge(low: Column, k: Column) -> Column:      # the pairs beside the merged one are made anew
+                left = F.when(k > 1, F.array(let(F.get(pairs, k - 2), lambda g: pair(start(g), middle(g), end(low))))).otherwise(none)
+                right = F.when(k < F.size(pairs), F.array(let(F.get(pairs, k), lambda g: pair(start(low), middle(g), end(g))))).otherwise(none)
+                return F.concat(F.slice(pairs, F.lit(1), F.greatest(k - 2, F.lit(0))), left, right, F.slice(pairs, k + 2, F.size(pairs)))
+            return let(F.array_min(pairs), lambda low: F.when(
+                F.coalesce(F.shiftright(low, 3 * OFFSET), F.lit(NO_RANK)) >= NO_RANK, pairs).otherwise(
+                let(F.array_position(pairs, low).cast("int"), lambda k: merge(low, k))))
+
+        def ids(pairs: Column) -> Column:
+            last = let(F.element_at(pairs, -1), lambda g: piece(middle(g), end(g)))
+            return F.when(F.size(pairs) == 0, F.array(_rank(ranks, s))).otherwise(
+                F.concat(F.transform(pairs, lambda g: piece(start(g), middle(g))), F.array(last)))
+        first = F.transform(F.sequence(F.lit(0).cast("bigint"), (F.length(s) - 2).cast("bigint")), lambda i: pair(i, i + 1, i + 2))
+        return let(first, lambda pairs: let(F.aggregate(F.sequence(F.lit(1), F.length(s) - 1), pairs, step), ids))
+
+    def whole(s: Column) -> Column:                     # a pre-token that is a token needs no merges
+        return let(_rank(ranks, s), lambda one: F.when(one.isNotNull(), F.array(one)).when(
+            F.length(s) < 1 << OFFSET, short(s)).otherwise(_encode_long(s, ranks)))
+    return let(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), whole)
+
+
+def _encode_long(s: Column, ranks: Column) -> Column:
+    """The same fold for a word of 2^OFFSET bytes or more, over its pieces and their ranks."""
     edge = F.array(F.lit(EDGE))
 
     def step(acc: Column, _: Column) -> Column:
@@ -77,10 +128,7 @@ def encode_word(word: Column, ranks: Column) -> Column:
         done = F.aggregate(F.sequence(F.lit(1), F.size(p) - 2), F.struct(p.alias("p"), r.alias("r")), step)
         return F.transform(F.filter(done["p"], lambda x: x != F.lit(EDGE)), lambda x: _rank(ranks, x))
 
-    def whole(s: Column) -> Column:                     # a pre-token that is a token needs no merges
-        return let(_rank(ranks, s), lambda one: F.when(one.isNotNull(), F.array(one)).otherwise(
-            let(F.concat(edge, F.split(s, ""), edge), fold)))
-    return let(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), whole)
+    return let(F.concat(edge, F.split(s, ""), edge), fold)
 
 
 def _cut_batch(texts: pa.Array, pattern: str, block_words: int):

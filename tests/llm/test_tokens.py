@@ -46,6 +46,14 @@ def test_ids_equal_the_library(spark, docs):
     assert all(r.ids == lib.encode_ordinary(texts[r.doc_id]) for r in only.collect())
 
 
+def test_long_words_take_the_other_fold(spark, docs, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "OFFSET", 4)
+    texts = [t for t in HARD if len(t) < 600] + fuzz(60)
+    lib = packing.tokenizer(MULTI, P.PATTERN)
+    rows = byte_bpe.encode(docs([(i, t, "s") for i, t in enumerate(texts)]), MULTI, P.PATTERN).collect()
+    assert all(r.ids == lib.encode_ordinary(r.text) for r in rows) and len(rows) == len(texts)
+
+
 def test_odd_rows(spark, docs):
     df = docs(ODD)
     n = sorted(((r.doc_id, r.n_tokens) for r in token_counts.count_tokens(df, JSON, P.PATTERN).collect()), key=str)
