@@ -9,6 +9,7 @@ records are appended to the corpus with an idempotent per-batch folder.
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,8 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tessera.config import RetrievalConfig
+from tessera.operators.encode import encode
+from tessera.operators.minhash import with_signatures
 from tessera.plans.answer import answer, retrieve_text
 from tessera.session import ensure_checkpoint_dir
 
@@ -29,17 +32,19 @@ def _ckpt(spark: SparkSession, name: str) -> str:
 def stream_answer(spark: SparkSession, source_dir: str, records: DataFrame, sink_dir: str, *,
                   cfg: RetrievalConfig = RetrievalConfig(), fmt: str = "parquet",
                   checkpoint: str | None = None, name: str = "answers",
-                  max_files_per_trigger: int | None = None) -> StreamingQuery:
+                  max_files_per_trigger: int | None = None, vectors: DataFrame | None = None,
+                  encoder: Callable[[DataFrame, str, str], DataFrame] = encode) -> StreamingQuery:
     """STM-1: ``readStream`` over files of ``(query_id, query)`` -> PIP-1 + PIP-2 on
     each micro-batch -> Parquet under ``sink_dir/batch_id=<id>``. A replayed batch
-    overwrites its own folder, so the sink is exactly-once with the checkpoint."""
+    overwrites its own folder, so the sink is exactly-once with the checkpoint. With the
+    stored ``vectors(ord, embedding)`` of the records a batch encodes its queries only."""
     reader = spark.readStream.schema(QUERY_SCHEMA).format(fmt)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = reader.load(source_dir)
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        frags = retrieve_text(batch, records, cfg)
+        frags = retrieve_text(batch, records, cfg, vectors=vectors, encoder=encoder)
         ans = answer(batch, frags, cfg)
         ans.write.mode("overwrite").parquet(os.path.join(sink_dir, f"batch_id={batch_id}"))
 
@@ -49,13 +54,20 @@ def stream_answer(spark: SparkSession, source_dir: str, records: DataFrame, sink
 
 
 def stream_corpus_upsert(spark: SparkSession, source_dir: str, store_dir: str, schema: T.StructType, *,
-                         key: str = "key", fmt: str = "parquet", checkpoint: str | None = None,
-                         name: str = "upserts") -> StreamingQuery:
-    """STM-2: append new records to ``store_dir/batch_id=<id>`` (idempotent on replay)."""
+                         key: str = "key", text: str = "text", fmt: str = "parquet", checkpoint: str | None = None,
+                         name: str = "upserts", encoder: Callable[[DataFrame, str, str], DataFrame] = encode) -> StreamingQuery:
+    """STM-2: append new records to ``store_dir/records/batch_id=<id>``, their vectors to
+    ``embeddings`` and their MinHash signatures to ``minhash`` beside it, each batch in its own
+    folder (idempotent on replay). ``latest_records`` reads any of the three."""
     stream = spark.readStream.schema(schema).format(fmt).load(source_dir)
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(os.path.join(store_dir, f"batch_id={batch_id}"))
+        carried = [c for c in (key, "ord") if c in batch.columns]
+        parts = {"records": batch,
+                 "embeddings": encoder(batch.select(*carried, text), text, "embedding").select(*carried, "embedding"),
+                 "minhash": with_signatures(batch.select(*carried, text), text).select(*carried, "sig")}
+        for part, rows in parts.items():
+            rows.write.mode("overwrite").parquet(os.path.join(store_dir, part, f"batch_id={batch_id}"))
 
     return (stream.writeStream.foreachBatch(per_batch)
             .option("checkpointLocation", checkpoint or _ckpt(spark, name))
@@ -63,7 +75,7 @@ def stream_corpus_upsert(spark: SparkSession, source_dir: str, store_dir: str, s
 
 
 def latest_records(spark: SparkSession, store_dir: str, key: str = "key", order: str = "ord") -> DataFrame:
-    """Read the upserted store: the latest row per key (highest batch, then ``order``)."""
+    """Read one table of the upserted store: the latest row per key (highest batch, then ``order``)."""
     df = spark.read.parquet(store_dir)
     cols = [c for c in df.columns if c != key]
     best = df.groupBy(key).agg(F.max_by(F.struct(*cols), F.struct("batch_id", order)).alias("__r"))

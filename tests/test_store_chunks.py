@@ -3,14 +3,21 @@ import tempfile
 
 from pyspark.sql import functions as F
 
+from tessera.functions.vector import l2_normalize
 from tessera.operators.chat import chunk_response, last_messages, token_usage
-from tessera.sources.store import keyed_records_kv, lookup, read_records, write_records
+from tessera.operators.encode import encode_with
+from tessera.operators.rank import rank_fragments, single_query_topk
+from tessera.sources.corpus import columnar_corpus_scan, fragment_preview
+from tessera.sources.store import keyed_records_kv, lookup, read_records, write_embeddings, write_records
 
 
 def test_kv_store_and_pruned_lookup(spark):
-    df = spark.createDataFrame([("casa", "edificio"), ("perro", "animal"), ("", "sin clave")], "word string, definition string")
+    df = spark.createDataFrame([("casa", "choza", 0), ("perro", "animal", 1), ("", "sin clave", 2), ("casa", "edificio", 3)],
+                               "word string, definition string, ord int")
     store = keyed_records_kv(df, num_buckets=8)
-    assert store.count() == 2
+    assert {r.key: r.value for r in store.collect()} == {"casa": "edificio", "perro": "animal"}      # the last of a key
+    unnumbered = spark.createDataFrame([("x", "1"), ("x", "2")], "word string, definition string").coalesce(1)
+    assert [r.value for r in keyed_records_kv(unnumbered).collect()] == ["2"]
     root = tempfile.mkdtemp(prefix="kv-")
     write_records(store, root)
     back = read_records(spark, root)
@@ -31,6 +38,39 @@ def test_chunks_match_python_split(spark):
         assert sorted(got[qid]) == want
 
 
+def test_chunks_are_linear(spark):
+    """The response is cut once, not once per word."""
+    import time
+
+    def seconds(n):
+        df = spark.createDataFrame([(i, " ".join(["word"] * n)) for i in range(8)], "query_id long, response string")
+        chunk_response(df).write.format("noop").mode("overwrite").save()
+        t = time.time()
+        chunk_response(df).write.format("noop").mode("overwrite").save()
+        return time.time() - t
+    seconds(1000)
+    assert seconds(80_000) < 10
+
+
+def test_columnar_scan_vectors_and_previews(spark):
+    root = tempfile.mkdtemp(prefix="col-")
+    rows = [("faro", "luz"), ("vela", None)]
+    spark.createDataFrame(rows, "lemma string, definition string").withColumn("other", F.lit(1)).coalesce(1).write.parquet(root + "/in")
+    scan = columnar_corpus_scan(spark, root + "/in")
+    assert [(r.ord, r.lemma, r.definition) for r in scan.orderBy("ord").collect()] == [(0, "faro", "luz"), (1, "vela", None)]
+    vec = spark.createDataFrame([("faro", [3.0, 4.0]), ("zero", [0.0, 0.0])], "key string, embedding array<double>")
+    write_embeddings(vec.withColumn("embedding", l2_normalize("embedding")), root)
+    back = {r.key: r.embedding for r in spark.read.parquet(root + "/embeddings").collect()}
+    assert back == {"faro": [0.6, 0.8], "zero": [0.0, 0.0]}
+    frags = spark.createDataFrame([(0, "x" * 70, 0.25), (1, "short", 0.75), (2, "tie", 0.75)], "ord long, text string, score double")
+    assert [r.ord for r in rank_fragments(frags).collect()] == [1, 2, 0]
+    assert [r.ord for r in single_query_topk(frags, 1, 0.5).collect()] == [1]
+    shown = [r.p for r in frags.orderBy("ord").select(fragment_preview().alias("p")).collect()]
+    assert shown[:2] == [f"Fragment(score=0.250, text={'x' * 60})", "Fragment(score=0.750, text=short)"]
+    half = encode_with(frags.select("ord", "text"), lambda: (lambda ts: [[len(t), 0.0] for t in ts]))
+    assert all(r.embedding == [1.0, 0.0] for r in half.collect())
+
+
 def test_last_messages_and_usage(spark):
     conv = spark.createDataFrame([(1, 0, "system", " be brief "), (1, 1, "user", "first q"), (1, 2, "assistant", "a"),
                                   (1, 3, "user", "   "), (2, 0, "assistant", "only")],
