@@ -42,6 +42,10 @@ BOILER_WORDS = frozenset(("ad ads adv advert adverts advertisement advertising s
                           "disqus replies reply widget pagination pager toolbar contentinfo complementary search").split())
 
 
+#: Those that rule out an article or main element too.
+NOT_AN_ARTICLE = frozenset("comment comments reply replies related ad ads advert promo sponsored teaser".split())
+
+
 class Element:
     __slots__ = ("tag", "path", "parent", "boiler", "score", "link", "depth")
 
@@ -64,7 +68,12 @@ def _step(tag: str, attrs: str) -> tuple[str, bool]:
             words |= found
             if name.lower() == "class":
                 classes |= found
-    return ".".join([tag, *sorted(classes)]), tag in BOILER_TAGS or (bool(words & BOILER_WORDS) and tag not in ("body", "html", "article", "main"))
+    marks = BOILER_WORDS
+    if tag in ("html", "body"):
+        marks = frozenset()
+    elif tag in ("article", "main"):
+        marks = NOT_AN_ARTICLE
+    return ".".join([tag, *sorted(classes)]), tag in BOILER_TAGS or bool(words & marks)
 
 
 def walk(page: str) -> Iterator[tuple[Element, str, bool]]:

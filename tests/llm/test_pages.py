@@ -44,6 +44,13 @@ def test_another_template(spark):
     assert got == {i: WANT.format(i) for i in range(8)}
 
 
+def test_comments_as_articles(spark):
+    body = "<main><article class='post'><h1>T</h1><p>the text itself</p></article>" + "".join(
+        f"<article class='comment' id='c{i}'><p>a reader says number {i} at length, again</p></article>" for i in range(5)) + "</main>"
+    got = pages.extract_pages(spark.createDataFrame([(i, "http://c.org/", page(body)) for i in range(3)], SCHEMA)).collect()
+    assert {r.text for r in got} == {"T\nthe text itself"}
+
+
 def test_hosts_agree_on_a_path(spark):
     """A page whose sidebar is longer than its article follows its host's other pages."""
     def two(i, aside, main):
