@@ -177,8 +177,9 @@ def knn_topk(
     c = corpus.select(F.col(key), F.col(corpus_vec).alias("__v")).where(F.col("__v").isNotNull())
     schema = f"{query_id} {queries.schema[query_id].dataType.simpleString()}, {key} {corpus.schema[key].dataType.simpleString()}, score double"
     how = {"k": k, "threshold": threshold, "decimals": decimals, "kind": kind}
-    n, width = q.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("__v")), F.lit(0))).first()
-    row_bytes = 8 * max(1, width) + 64
+    # the count needs no vectors, the width those of one query: neither encodes all queries
+    n, one = queries.count(), q.select(F.size("__v")).first()
+    row_bytes = 8 * max(1, one[0] if one else 1) + 64
     if n * row_bytes <= max_query_bytes:
         cells = _in_place(q, c, schema, (query_id, key), **how)
     else:

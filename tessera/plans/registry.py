@@ -390,7 +390,8 @@ def q_minhash_retrieve(spark, sf):
     q = _bench_queries(spark, sf)
     recs = document_records(table(spark, sf, "documents"))
     q_sigs = MH.with_signatures(q, "query").select("query_id", "sig")
-    c_sigs = MH.with_signatures(recs.withColumn("mh_text", minhash_text()), "mh_text").select("ord", "sig")
+    # the signature table of the tier's index, written once (``build_corpus`` keeps it as ``minhash``)
+    c_sigs = MH.with_signatures(recs.withColumn("mh_text", minhash_text()), "mh_text").select("ord", "sig").checkpoint()
     q_vecs = encode_text(q, "query", "qvec").select("query_id", "qvec")
     r_vecs = encode_text(recs, "text_out", "embedding").select("ord", "embedding")
     res = MH.minhash_retrieve(q, q_sigs, c_sigs, q_vecs, r_vecs, CFG, key="ord")
