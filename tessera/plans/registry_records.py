@@ -11,6 +11,7 @@ from tessera.functions.text import render_messages
 from tessera.operators import match as M
 from tessera.operators import synth as SY
 from tessera.operators.chat import last_messages
+from tessera.operators.dedup import dedup_corpus
 from tessera.operators.encode import encode
 from tessera.operators.knn import knn_topk
 from tessera.operators.rank import filter_by_threshold, topk_per_query
@@ -204,12 +205,32 @@ SELECT ans.query_id, mode, response,
 FROM ans LEFT JOIN bad USING (query_id)"""
 
 
+def q_dedup_corpus(spark, sf):
+    """DUP-2: the documents that the greedy rule (Jaccard >= 0.7, by id) keeps of the whole table."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return dedup_corpus(docs, CFG.dedup_threshold, order="doc_id").select("doc_id")
+
+
+SQL_DEDUP_CORPUS = f"""WITH s AS (SELECT doc_id, list_distinct({S.ws_tokens('text')}) AS ws FROM documents),
+tk AS MATERIALIZED (SELECT doc_id, length(ws) AS n, unnest(ws) AS w FROM s),
+pr AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared, any_value(a.n) AS na, any_value(b.n) AS nb
+       FROM tk a JOIN tk b ON a.w = b.w AND a.doc_id < b.doc_id AND a.n >= 0.7 * b.n - 1e-9 AND b.n >= 0.7 * a.n - 1e-9 GROUP BY 1, 2),
+ed AS (SELECT b, list(a) AS before FROM pr WHERE shared::DOUBLE / (na + nb - shared) >= 0.7 GROUP BY 1),
+it AS (SELECT list({{'id': doc_id, 'before': coalesce(before, []::BIGINT[])}} ORDER BY doc_id) AS l FROM s LEFT JOIN ed ON b = doc_id),
+kp AS (SELECT list_reduce(list_transform(l, lambda x: [x]), lambda kept, xs:
+                CASE WHEN length(list_intersect(xs[1].before, list_transform(kept, lambda k: k.id))) > 0 THEN kept
+                     ELSE list_concat(kept, xs) END) AS kept FROM it)
+SELECT k.id AS doc_id FROM (SELECT unnest(kept) AS k FROM kp)"""
+
+
 QUERIES = {
+    "dedup_corpus": q_dedup_corpus,
     "kv_store": q_kv_store, "ordinal_keymap": q_ordinal_keymap, "cache_text": q_cache_text, "built_corpus": q_built_corpus,
     "tier1_retrieve": q_tier1_retrieve, "shortlist_boost": q_shortlist_boost, "rendered_chat": q_rendered_chat,
     "chat_prompt": q_chat_prompt, "generated_answer": q_generated_answer, "audited_answer": q_audited_answer,
 }
 ORACLE_SQL = {
+    "dedup_corpus": SQL_DEDUP_CORPUS,
     "kv_store": SQL_KV_STORE, "ordinal_keymap": SQL_ORDINAL_KEYMAP, "cache_text": SQL_CACHE_TEXT, "built_corpus": SQL_BUILT_CORPUS,
     "tier1_retrieve": SQL_TIER1_RETRIEVE, "shortlist_boost": SQL_SHORTLIST_BOOST, "rendered_chat": SQL_RENDERED_CHAT,
     "chat_prompt": SQL_CHAT_PROMPT, "generated_answer": SQL_GENERATED_ANSWER, "audited_answer": _audit_sql(),
