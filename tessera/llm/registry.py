@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import hashlib
-
 import public_tokenizers
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import byte_bpe, lm_scoring, mixing, oracle_sql, packing, pages, quality, simhash, sketch, substring, token_counts
-from .common import arrow_map, read_table
+from .common import read_table
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,27 +21,18 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
                                      public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, limit=1024)
 
 
-def digests(coded: DataFrame) -> DataFrame:
+def digests(coded: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens and the SHA-256 of the ids (little-endian uint32) and of the decoded bytes."""
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        ids, raw = b.column("ids"), b.column("decoded")
-        sizes, hashes = [], []
-        for i in range(b.num_rows):
-            x = ids[i].values.to_numpy()
-            sizes.append(len(x))
-            hashes.append(hashlib.sha256(x.astype("<u4").tobytes()).hexdigest())
-        plain = [hashlib.sha256(x.as_py()).hexdigest() for x in raw]
-        return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(hashes), pa.array(plain)],
-                                          names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-    return arrow_map(coded.select(F.col("doc_id").cast("bigint").alias("doc_id"), "ids", "decoded"), run,
-                     "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    packed = byte_bpe.pack_ids(byte_bpe.decode(coded, path), path)
+    return packed.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.size("ids").cast("bigint").alias("n_tokens"),
+                         F.sha2("packed", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document under byte_bpe_multi_50k.tiktoken and their decoding, as digests."""
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = read_table(spark, sf_dir, "documents")
-    return digests(byte_bpe.decode(byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN, keep=["doc_id"]), ranks))
+    return digests(byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN, keep=["doc_id"]), ranks)
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,6 +46,14 @@ def test_ids_equal_the_library(spark, docs):
     assert all(r.ids == lib.encode_ordinary(texts[r.doc_id]) for r in only.collect())
 
 
+def test_words_are_forgotten_and_encoded_anew(spark, docs):
+    texts = [t for t in HARD if len(t) < 600] + fuzz(60)
+    lib = packing.tokenizer(MULTI, P.PATTERN)
+    df = docs([(i, t, "s") for i, t in enumerate(texts)]).coalesce(1)
+    rows = byte_bpe.encode(df, MULTI, P.PATTERN, block_words=30, remembered=40).collect()
+    assert all(r.ids == lib.encode_ordinary(r.text) for r in rows) and len(rows) == len(texts)
+
+
 def test_long_words_take_the_other_fold(spark, docs, monkeypatch):
     monkeypatch.setattr(byte_bpe, "OFFSET", 4)
     texts = [t for t in HARD if len(t) < 600] + fuzz(60)
@@ -59,7 +67,7 @@ def test_odd_rows(spark, docs):
     n = sorted(((r.doc_id, r.n_tokens) for r in token_counts.count_tokens(df, JSON, P.PATTERN).collect()), key=str)
     lib = Tokenizer.from_file(JSON)
     assert n == sorted(((i, len(lib.encode(t or "", add_special_tokens=False).ids)) for i, t, _ in ODD), key=str)
-    coded = digests(byte_bpe.decode(byte_bpe.encode(df, MULTI, P.PATTERN), MULTI)).collect()
+    coded = digests(byte_bpe.encode(df, MULTI, P.PATTERN), MULTI).collect()
     assert sorted((r.decoded_sha256 for r in coded)) == sorted(hashlib.sha256((t or "").encode()).hexdigest() for _, t, _ in ODD)
     assert token_counts.count_tokens(docs([]), JSON, P.PATTERN).count() == 0
     assert byte_bpe.decode(byte_bpe.encode(docs([]), MULTI, P.PATTERN), MULTI).count() == 0
