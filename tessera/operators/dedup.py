@@ -66,7 +66,7 @@ def dedup_corpus(df: DataFrame, threshold: float = 0.7, *, order: str = "ord", t
     rest, each round. A row stays when no earlier undecided row is similar (by the verified
     pairs) and it is the first in all its long blocks; then what is similar to it goes. Rounds
     repeat until no row is undecided, so nothing depends on ``small_block`` but the plan."""
-    source = df.select(F.col(order).alias("ord"), F.array_sort(whitespace_set(F.col(text))).alias("words"))
+    source = df.select(F.col(order).alias("ord"), F.array_sort(whitespace_set(F.coalesce(F.col(text), F.lit("")))).alias("words"))
     worded = source.where(F.size("words") > 0)
     digest = F.md5(F.array_join("words", "\0"))
     firsts = worded.groupBy(digest.alias("d")).agg(F.min("ord").alias("ord"))

@@ -1,7 +1,9 @@
 """FLT-1, SRT-1/2, WIN-1, DUP-1."""
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators.dedup import dedup_fragments
+from tessera.operators.dedup import dedup_corpus, dedup_fragments
 from tessera.operators.rank import filter_by_threshold, single_query_topk, topk_per_query
 
 
@@ -42,3 +44,37 @@ def test_dedup_keeps_unrelated_and_chain(spark):
                                   "query_id long, rank int, text string")
     kept = dedup_fragments(chain, 0.6).orderBy("rank").collect()
     assert [r["rank"] for r in kept] == [1, 3]
+
+
+def _greedy(rows, t):
+    """The rule by hand: in order, a row stays unless it is similar to one that stayed."""
+    kept = []
+    for i, text in sorted(rows):
+        s = set((text or "").lower().split())
+        if not any(s and k and len(s & k) / len(s | k) >= t for _, k in kept):
+            kept.append((i, s))
+    return {i for i, _ in kept}
+
+
+@pytest.mark.parametrize("small_block", [1, 3, 64])
+@pytest.mark.parametrize("t", [0.5, 0.7, 1.0])
+def test_corpus_dedup_equals_the_greedy_rule(spark, small_block, t):
+    rng = np.random.default_rng(int(10 * t))
+    words = [f"w{i}" for i in range(40)]
+    rows, base = [], [list(rng.choice(words, rng.integers(3, 9), replace=False)) for _ in range(5)]
+    for i in range(90):                                   # chains of near copies around a few centres, and chance meetings
+        w = list(base[rng.integers(5)]) if i % 3 else list(rng.choice(words, rng.integers(1, 9)))
+        for _ in range(rng.integers(0, 3)):
+            w[rng.integers(len(w))] = str(rng.choice(words))
+        rows.append((i, " ".join(w)))
+    rows += [(200, ""), (201, None), (202, "  "), (203, "W1 w1"), (204, "w1")]
+    df = spark.createDataFrame(rows, "ord long, text string").withColumn("words", F.lit("own"))
+    out = dedup_corpus(df, t, small_block=small_block)
+    assert out.columns == df.columns and {r.ord for r in out.collect()} == _greedy(rows, t)
+
+
+def test_corpus_dedup_of_a_large_group(spark):
+    rows = [(i, f"one two three four five six seven eight nine x{i}") for i in range(300)] + [(999, "other words here")]
+    out = dedup_corpus(spark.createDataFrame(rows, "ord long, text string"), 0.7, small_block=8)
+    assert sorted(r.ord for r in out.collect()) == [0, 999]
+    assert dedup_corpus(spark.createDataFrame([], "ord long, text string")).count() == 0
