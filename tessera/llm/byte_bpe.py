@@ -1,11 +1,10 @@
 """Byte-level BPE encoding and decoding with Spark's higher-order functions.
 
-Blocks of documents are cut into pre-tokens; the distinct ones that are new to the task
-become an array column. Every distinct word turns into an array of its adjacent byte pairs, and
+Blocks of documents are cut into pre-tokens; the distinct ones become an array column. Every distinct word turns into an array of its adjacent byte pairs, and
 ``aggregate`` folds the ranked merges over it: each step joins the leftmost pair of
 lowest rank and looks up the ranks of its two new neighbours. The rank map is a literal (an array
 of small maps by hash, so that a look-up does not scan the vocabulary). The ids of the
-words are then dealt back to the documents. Decoding concatenates the byte pieces of
+words then take the place of the words' numbers in the documents. Decoding concatenates the byte pieces of
 the ids. All of it happens in the task that read the documents; nothing is shuffled.
 
 A byte travels as the Latin-1 character of its value, so pieces are Spark strings
@@ -132,92 +131,60 @@ def _encode_long(s: Column, ranks: Column) -> Column:
     return let(F.concat(edge, F.split(s, ""), edge), fold)
 
 
-#: Distinct words that a task remembers; beyond, it starts anew.
-REMEMBERED = 1_000_000
-
-
-def _blocks(batches: Iterator[pa.RecordBatch], text_at: int, pattern: str, block_words: int, remembered: int):
-    """(new words, whether all before are forgotten, the rows' batch and place, per row the word
-    numbers) for blocks of about ``block_words`` pre-tokens. Words are numbered through
-    the task, so that each goes out once; a longer text is one block."""
+def _blocks(b: pa.RecordBatch, text_at: int, pattern: str, block_words: int):
+    """(distinct words, first row, per row the word numbers) for blocks of consecutive rows of
+    about ``block_words`` pre-tokens; a longer text is one block, its repeats held as numbers."""
     words: dict[str, int] = {}
-    fresh, new = True, []
-    for b in batches:
-        rows: list[np.ndarray] = []
-        first, held = 0, 0
-        for i, t in enumerate(b.column(text_at)):
-            numbers = []
-            for group in piece_groups(t.as_py() or "", pattern):
-                unseen = [w for w in dict.fromkeys(group) if w not in words]
-                words.update(zip(unseen, range(len(words), len(words) + len(unseen))))
-                new += unseen
-                numbers.append(np.fromiter(map(words.__getitem__, group), np.int32, len(group)))
-            rows.append(np.concatenate(numbers) if numbers else np.empty(0, np.int32))
-            held += len(rows[-1])
-            if held >= block_words or i + 1 == b.num_rows:
-                yield new, fresh, b, first, rows
-                new, fresh, rows, first, held = [], False, [], i + 1, 0
-                if len(words) > remembered:
-                    words, fresh = {}, True
+    rows: list[np.ndarray] = []
+    first, held = 0, 0
+    for i, t in enumerate(b.column(text_at)):
+        numbers = []
+        for group in piece_groups(t.as_py() or "", pattern):
+            unseen = [w for w in dict.fromkeys(group) if w not in words]
+            words.update(zip(unseen, range(len(words), len(words) + len(unseen))))
+            numbers.append(np.fromiter(map(words.__getitem__, group), np.int32, len(group)))
+        rows.append(np.concatenate(numbers) if numbers else np.empty(0, np.int32))
+        held += len(rows[-1])
+        if held >= block_words or i + 1 == b.num_rows:
+            yield list(words), first, rows
+            words, rows, first, held = {}, [], i + 1, 0
 
 
 def encode(df: DataFrame, path: str, pattern: str, *, text_col: str = "text", ids_col: str = "ids",
-           keep: list[str] | None = None, block_words: int = 500_000, remembered: int = REMEMBERED) -> DataFrame:
+           keep: list[str] | None = None, block_words: int = 2_000_000) -> DataFrame:
     """The columns ``keep`` (all if None) of ``df`` and ``ids_col`` array<int>: the ids of every
     row's whole text (null or empty: no ids), each match of ``pattern`` encoded on its own,
     without special tokens.
 
     The kept columns stay as they are; an existing column named ``ids_col`` is replaced.
-    Repeated rows are encoded each; an empty table gives no rows. ``block_words`` bounds
-    the pre-tokens that go through at a time; a task encodes a distinct word once, until it
-    has met ``remembered`` words and starts anew."""
+    Repeated rows are encoded each; an empty table gives no rows. ``block_words`` bounds the
+    pre-tokens whose distinct words are encoded together."""
     rest = [c for c in (df.columns if keep is None else keep) if c != ids_col]
     fields = [df.schema[c] for c in rest]
     at = rest.index(text_col) if text_col in rest else len(rest)
     src = df.select(*[F.col(f"`{c}`") for c in rest], *([] if text_col in rest else [F.col(f"`{text_col}`")]))
-    record = T.StructType([*fields, T.StructField(free_name(src, "numbers"), T.ArrayType(T.IntegerType()))])
-    blocked = T.StructType([T.StructField("fresh", T.BooleanType()), T.StructField("words", T.ArrayType(T.StringType())),
-                            T.StructField("records", T.ArrayType(record))])
+    numbers_name = free_name(src, "numbers")
+    record = T.StructType([*fields, T.StructField(numbers_name, T.ArrayType(T.IntegerType()))])
+    blocked = T.StructType([T.StructField("words", T.ArrayType(T.StringType())), T.StructField("records", T.ArrayType(record))])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
-        for new, fresh, b, first, rows in _blocks(batches, at, pattern, block_words, remembered):
-            part = b.select(list(range(len(rest)))).slice(first, len(rows))
-            offsets = pa.array(np.r_[0, np.cumsum([len(r) for r in rows])].astype(np.int32))
-            numbers = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(rows), pa.int32()))
-            records = pa.StructArray.from_arrays([*part.columns, numbers], names=record.names)
-            yield pa.RecordBatch.from_arrays([pa.array([fresh]), one(pa.array(new, pa.string())), one(records)],
-                                             names=["fresh", "words", "records"])
-
-    ranks = rank_map(read_ranks(path))
-    coded = src.mapInArrow(cut, blocked).select("fresh", "records", let(
-        ranks, lambda r: F.transform("words", lambda w: encode_word(w, r))).alias("ids"))
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, starts = np.empty(0, np.int32), np.zeros(1, np.int64)      # the ids of all words of the task so far
         for b in batches:
-            for i in range(b.num_rows):
-                if b.column("fresh")[i].as_py():
-                    flat, starts = np.empty(0, np.int32), np.zeros(1, np.int64)
-                ids, records = b.column("ids")[i].values, b.column("records")[i].values
-                if len(ids):
-                    off = ids.offsets.to_numpy().astype(np.int64)
-                    starts = np.concatenate((starts, off[1:] - off[0] + len(flat)))
-                    flat = np.concatenate((flat, ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32)))
-                numbers = records.field(len(rest))
-                step = 512                                   # rows sent at a time
-                for lo in range(0, len(records), step):
-                    part = numbers.slice(lo, step)
-                    off = part.offsets.to_numpy()
-                    w = part.values.to_numpy()[off[0]:off[-1]]
-                    size = starts[w + 1] - starts[w]
-                    ends = np.cumsum(size)
-                    pos = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[w] - (ends - size), size)
-                    out = np.r_[0, ends][off - off[0]].astype(np.int32)
-                    dealt = pa.ListArray.from_arrays(pa.array(out), pa.array(flat[pos]))
-                    cols = [records.field(k).slice(lo, step) for k in range(len(rest))]
-                    yield pa.RecordBatch.from_arrays([*cols, dealt], names=[*rest, ids_col])
-    return coded.mapInArrow(deal, T.StructType([*fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))]))
+            for words, first, rows in _blocks(b, at, pattern, block_words):
+                part = b.select(list(range(len(rest)))).slice(first, len(rows))
+                offsets = pa.array(np.r_[0, np.cumsum([len(r) for r in rows])].astype(np.int32))
+                numbers = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(rows), pa.int32()))
+                records = pa.StructArray.from_arrays([*part.columns, numbers], names=record.names)
+                yield pa.RecordBatch.from_arrays([one(pa.array(words, pa.string())), one(records)], names=["words", "records"])
+
+    def deal(coded: Column) -> Column:
+        """The block's records with the ids of their words in place of the word numbers."""
+        def one(r: Column) -> Column:
+            ids = F.flatten(F.transform(r[numbers_name], lambda n: F.get(coded, n)))
+            return F.struct(*[r[c].alias(c) for c in rest], ids.alias(ids_col))
+        return F.transform("records", one)
+    coded = let(rank_map(read_ranks(path)), lambda ranks: let(F.transform("words", lambda w: encode_word(w, ranks)), deal))
+    return src.mapInArrow(cut, blocked).select(F.inline(coded))
 
 
 def _joined(ids_col: str, pieces: list[str]) -> Column:

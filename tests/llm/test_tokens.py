@@ -46,14 +46,6 @@ def test_ids_equal_the_library(spark, docs):
     assert all(r.ids == lib.encode_ordinary(texts[r.doc_id]) for r in only.collect())
 
 
-def test_words_are_forgotten_and_encoded_anew(spark, docs):
-    texts = [t for t in HARD if len(t) < 600] + fuzz(60)
-    lib = packing.tokenizer(MULTI, P.PATTERN)
-    df = docs([(i, t, "s") for i, t in enumerate(texts)]).coalesce(1)
-    rows = byte_bpe.encode(df, MULTI, P.PATTERN, block_words=30, remembered=40).collect()
-    assert all(r.ids == lib.encode_ordinary(r.text) for r in rows) and len(rows) == len(texts)
-
-
 def test_long_words_take_the_other_fold(spark, docs, monkeypatch):
     monkeypatch.setattr(byte_bpe, "OFFSET", 4)
     texts = [t for t in HARD if len(t) < 600] + fuzz(60)
