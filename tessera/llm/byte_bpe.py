@@ -41,17 +41,17 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 def rank_map(ranks: dict[bytes, int]) -> Column:
-    """The literal array<map<piece, rank>>, by ``xxhash64(piece) mod BUCKETS``."""
+    """The literal array<map<piece, rank>>, by the last bits of ``xxhash64(piece)``."""
     buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
     for token, rank in ranks.items():
         piece = token.decode("latin-1")
         h = xxhash.xxh64_intdigest(piece.encode(), 42)
-        buckets[(h - (1 << 64) if h >> 63 else h) % BUCKETS][piece] = rank
+        buckets[h % BUCKETS][piece] = rank
     return F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), "array<map<string,int>>")
 
 
 def _rank(ranks: Column, piece: Column) -> Column:
-    return F.try_element_at(F.get(ranks, F.pmod(F.xxhash64(piece), F.lit(BUCKETS)).cast("int")), piece)
+    return F.try_element_at(F.get(ranks, F.xxhash64(piece).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), piece)
 
 
 #: A pair of neighbouring pieces [a, m) [m, e) as one integer: its rank, then three byte
@@ -62,41 +62,49 @@ NO_RANK = (1 << 17) - 1
 
 def encode_word(word: Column, ranks: Column) -> Column:
     """array<int>: the ids of one pre-token."""
-    mask = F.lit((1 << OFFSET) - 1)
+    end_bits = (1 << OFFSET) - 1
+    start_bits, middle_bits = end_bits << 2 * OFFSET, end_bits << OFFSET
+
+    def part(g: Column, bits: int) -> Column:
+        return g.bitwiseAND(F.lit(bits))
 
     def start(g: Column) -> Column:
-        return F.shiftright(g, 2 * OFFSET).bitwiseAND(mask)
+        return part(F.shiftright(g, 2 * OFFSET), end_bits).cast("int")
 
     def middle(g: Column) -> Column:
-        return F.shiftright(g, OFFSET).bitwiseAND(mask)
+        return part(F.shiftright(g, OFFSET), end_bits).cast("int")
 
     def end(g: Column) -> Column:
-        return g.bitwiseAND(mask)
+        return part(g, end_bits).cast("int")
 
     def short(s: Column) -> Column:
         def piece(a: Column, e: Column) -> Column:
-            return _rank(ranks, F.substr(s, a.cast("int") + 1, (e - a).cast("int")))
+            return _rank(ranks, F.substr(s, a + 1, e - a))
 
-        def pair(a: Column, m: Column, e: Column) -> Column:
-            rank = F.coalesce(piece(a, e), F.lit(NO_RANK)).cast("bigint")
-            return F.shiftleft(rank, 3 * OFFSET).bitwiseOR(F.shiftleft(a, 2 * OFFSET)).bitwiseOR(F.shiftleft(m, OFFSET)).bitwiseOR(e)
+        def pair(a: Column, e: Column, offsets: Column) -> Column:
+            return F.shiftleft(F.coalesce(piece(a, e), F.lit(NO_RANK)).cast("bigint"), 3 * OFFSET).bitwiseOR(offsets)
 
-        def step(pairs: Column, _: Column) -> Column:
+        def merge(pairs: Column, low: Column, k: Column) -> Column:
+            """The pairs beside the merged one are made anew: one ends, the other starts with it."""
             none = F.array().cast("array<bigint>")
+            g, h = F.get(pairs, k - 2), F.get(pairs, k)
+            left = pair(start(g), end(low), part(g, start_bits | middle_bits).bitwiseOR(part(low, end_bits)))
+            right = pair(start(low), end(h), part(low, start_bits).bitwiseOR(part(h, middle_bits | end_bits)))
+            return F.concat(F.slice(pairs, F.lit(1), F.greatest(k - 2, F.lit(0))), F.when(k > 1, F.array(left)).otherwise(none),
+                            F.when(k < F.size(pairs), F.array(right)).otherwise(none), F.slice(pairs, k + 2, F.size(pairs)))
 
-            def merge(low: Column, k: Column) -> Column:      # the pairs beside the merged one are made anew
-                left = F.when(k > 1, F.array(let(F.get(pairs, k - 2), lambda g: pair(start(g), middle(g), end(low))))).otherwise(none)
-                right = F.when(k < F.size(pairs), F.array(let(F.get(pairs, k), lambda g: pair(start(low), middle(g), end(g))))).otherwise(none)
-                return F.concat(F.slice(pairs, F.lit(1), F.greatest(k - 2, F.lit(0))), left, right, F.slice(pairs, k + 2, F.size(pairs)))
+        def step(pairs: Column, _: Column) -> Column:
             return let(F.array_min(pairs), lambda low: F.when(
                 F.coalesce(F.shiftright(low, 3 * OFFSET), F.lit(NO_RANK)) >= NO_RANK, pairs).otherwise(
-                let(F.array_position(pairs, low).cast("int"), lambda k: merge(low, k))))
+                let(F.array_position(pairs, low).cast("int"), lambda k: merge(pairs, low, k))))
 
         def ids(pairs: Column) -> Column:
             last = let(F.element_at(pairs, -1), lambda g: piece(middle(g), end(g)))
             return F.when(F.size(pairs) == 0, F.array(_rank(ranks, s))).otherwise(
                 F.concat(F.transform(pairs, lambda g: piece(start(g), middle(g))), F.array(last)))
-        first = F.transform(F.sequence(F.lit(0).cast("bigint"), (F.length(s) - 2).cast("bigint")), lambda i: pair(i, i + 1, i + 2))
+        # byte i and the next one: offsets i, i + 1, i + 2
+        step_bits, first_bits = (1 << 2 * OFFSET) + (1 << OFFSET) + 1, (1 << OFFSET) + 2
+        first = F.transform(F.sequence(F.lit(0), F.length(s) - 2), lambda i: pair(i, i + 2, i.cast("bigint") * step_bits + first_bits))
         return let(first, lambda pairs: let(F.aggregate(F.sequence(F.lit(1), F.length(s) - 1), pairs, step), ids))
 
     def whole(s: Column) -> Column:                     # a pre-token that is a token needs no merges
