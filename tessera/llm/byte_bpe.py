@@ -184,6 +184,7 @@ def encode(df: DataFrame, path: str, pattern: str, *, text_col: str = "text", id
                 numbers = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(rows), pa.int32()))
                 records = pa.StructArray.from_arrays([*part.columns, numbers], names=record.names)
                 yield pa.RecordBatch.from_arrays([one(pa.array(words, pa.string())), one(records)], names=["words", "records"])
+        pa.default_memory_pool().release_unused()
 
     def deal(coded: Column) -> Column:
         """The block's records with the ids of their words in place of the word numbers."""

@@ -53,9 +53,12 @@ def free_name(df: DataFrame, name: str) -> str:
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """Apply ``fn`` to each Arrow batch of ``df`` (no shuffle)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                yield fn(b)
+        try:
+            for b in batches:
+                if b.num_rows:
+                    yield fn(b)
+        finally:
+            pa.default_memory_pool().release_unused()      # an idle worker gives back what it held
     return df.mapInArrow(run, schema)
 
 

@@ -75,7 +75,7 @@ def _spanning(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
 
 
 def _collide(fps: np.ndarray, used: np.ndarray, low_bits: int, radius: int, slice_no: int, slices: int,
-             chunk: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
+             chunk: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
     """Links (member, root) between fingerprints whose balls share a variant in one
     prefix. ``used``: the bits that each fingerprint spends to reach the prefix."""
     low = fps & np.uint64((1 << low_bits) - 1)
@@ -87,23 +87,26 @@ def _collide(fps: np.ndarray, used: np.ndarray, low_bits: int, radius: int, slic
         for i in range(0, len(mine), step):
             rows = mine[i:i + step]
             z = low[rows, None] ^ masks[None, :]
-            own = np.repeat(rows, len(masks))
+            own = np.repeat(rows.astype(np.int32), len(masks))
             z = z.ravel()
             if slices > 1:
                 keep = (z * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(slices) == np.uint64(slice_no)
                 z, own = z[keep], own[keep]
             words.append(z)
-            owners.append(own.astype(np.int32))
+            owners.append(own)
     z, own = np.concatenate(words), np.concatenate(owners)
+    del words, owners
     ordered = np.sort(z)
     shared = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
     none = np.empty(0, np.int64)
     if not len(shared):
         return none, none
-    at = np.searchsorted(shared, z)
+    del ordered
+    at = np.searchsorted(shared, z).astype(np.int32)
     at[at == len(shared)] = 0
     hit = shared[at] == z
     group, own = at[hit], own[hit]
+    del z, at, hit
     order = np.lexsort((own, group))
     group, own = group[order], own[order]
     head = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
@@ -118,7 +121,7 @@ def _collide(fps: np.ndarray, used: np.ndarray, low_bits: int, radius: int, slic
     return moved, root[moved]
 
 
-def ball_links(nodes: DataFrame, *, max_bits: int = 4, per_prefix: int = 512, max_variants: int = 2_000_000) -> DataFrame:
+def ball_links(nodes: DataFrame, *, max_bits: int = 4, per_prefix: int = 256, max_variants: int = 1_000_000) -> DataFrame:
     """(a, b): links that join exactly the distinct fingerprints ``nodes.fp`` which are
     connected by steps of at most ``max_bits`` bits (``max_bits`` even). ``per_prefix``
     sets the mean number of fingerprints of a prefix, ``max_variants`` the variants that
