@@ -79,9 +79,8 @@ def _lloyd(sample: DataFrame, books: np.ndarray, parts, rounds: int) -> np.ndarr
     independent of the order of the sums."""
     m, c, ds = books.shape
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"cell": pdf["cell"].iloc[:1], "n": [pdf["n"].sum()], "total": [np.sum(np.stack(pdf["total"]), axis=0)]})
-
+    # a cell has one partial sum per task
+    total = F.aggregate(F.slice("t", F.lit(2), F.size("t")), F.get("t", F.lit(0)), lambda a, x: F.zip_with(a, x, lambda u, v: u + v))
     for _ in range(rounds):
         sent = sample.sparkSession.sparkContext.broadcast(books)
 
@@ -98,9 +97,10 @@ def _lloyd(sample: DataFrame, books: np.ndarray, parts, rounds: int) -> np.ndarr
             yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(n.ravel()[cell], pa.int64()),
                                               pa.array(list(total.reshape(-1, ds)[cell]), pa.list_(pa.float64()))],
                                              names=["cell", "n", "total"])
-        kind = "cell long, n long, total array<double>"
+        sums = sample.mapInArrow(run, "cell long, n long, total array<double>").groupBy("cell").agg(
+            F.sum("n").alias("n"), F.collect_list("total").alias("t")).select("cell", "n", total.alias("total"))
         books = books.copy()
-        for r in sample.mapInArrow(run, kind).groupBy("cell").applyInPandas(add, kind).collect():     # m x c rows
+        for r in sums.collect():                            # m x c rows
             books[r["cell"] // c, r["cell"] % c] = np.round(np.array(r["total"]) / r["n"], 6)
     return books
 
