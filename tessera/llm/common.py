@@ -50,13 +50,13 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """Apply ``fn`` to each Arrow batch of ``df`` (no shuffle)."""
+def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, rows: int = 1024) -> DataFrame:
+    """Apply ``fn`` to each Arrow batch of ``df``, at most ``rows`` rows at a time (no shuffle)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
             for b in batches:
-                if b.num_rows:
-                    yield fn(b)
+                for at in range(0, b.num_rows, rows):
+                    yield fn(b.slice(at, rows))
         finally:
             pa.default_memory_pool().release_unused()      # an idle worker gives back what it held
     return df.mapInArrow(run, schema)

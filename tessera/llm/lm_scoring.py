@@ -28,6 +28,8 @@ MAX_BROADCAST, ID_BYTES = 64 << 20, 16
 #: Weight of the bigram part in the interpolation.
 BIGRAM_WEIGHT = 0.6
 UNKNOWN, START = 0, 1
+#: Counting takes an Arrow batch as a whole: the larger it is, the fewer partial counts are shuffled.
+WHOLE = 1 << 30
 
 
 def word_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -39,7 +41,7 @@ def word_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
         keep = [w for w in seen if len(w) <= MAX_WORD]
         return pa.RecordBatch.from_arrays([pa.array(keep, pa.binary()), pa.array([seen[w] for w in keep], pa.int64())],
                                           names=["word", "n"])
-    return arrow_map(df.select(F.col(f"`{text_col}`").alias("text")), run, "word binary, n long").groupBy("word").agg(
+    return arrow_map(df.select(F.col(f"`{text_col}`").alias("text")), run, "word binary, n long", rows=WHOLE).groupBy("word").agg(
         F.sum("n").alias("n"))
 
 
@@ -127,7 +129,7 @@ def bigram_counts(df: DataFrame, words, text_col: str = "text", target_col: str
         t = np.bincount(at, weights=np.concatenate(own), minlength=len(k)).astype(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(k), pa.array(n.astype(np.int64)), pa.array(t)], names=["k", "n", "t"])
     src = df.select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{target_col}`").cast("int").alias("target"))
-    return arrow_map(src, run, "k long, n long, t long").groupBy("k").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+    return arrow_map(src, run, "k long, n long, t long", rows=WHOLE).groupBy("k").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
 
 
 def fit(df: DataFrame, words: dict[bytes, int], *, max_bigrams: int = MAX_BIGRAMS) -> Models:
