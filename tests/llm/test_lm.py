@@ -82,3 +82,26 @@ def test_both_ways_to_mark_the_target(spark, docs, monkeypatch):
     sent = sorted(map(tuple, lm_scoring.score(df, labels).collect()))
     monkeypatch.setattr(lm_scoring, "MAX_BROADCAST", 0)
     assert sorted(map(tuple, lm_scoring.score(df, labels).collect())) == sent
+
+
+def agrees(spark, docs, rows, good, size):
+    labels = spark.createDataFrame([(i, 1) for i in sorted(good)], "doc_id long, quality int")
+    got = {r.doc_id: r.loss_difference for r in lm_scoring.score(docs(rows), labels).collect()}
+    want = brute([(i, t) for i, t, _ in rows], good, size=size)
+    assert len(got) == len(rows) and all(abs(got[i] - w) < 1e-9 for (i, _, _), w in zip(rows, want))
+
+
+def test_no_word_or_bigram_is_cut(spark, docs):
+    """More words than are broadcast, each of them twice, and words of over 64 bytes."""
+    names = [f"w{i}" for i in range(70_000)] + ["x" * 65 + str(i) for i in range(50)]
+    rows = [(i, " ".join(names[k::5]), "s") for i, k in enumerate((0, 1, 2, 3, 4, 0, 1, 2, 3, 4))]
+    agrees(spark, docs, rows, {0, 1, 7}, len(names) + 2)
+
+
+def test_joined_counts_are_the_broadcast_ones(spark, docs, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [(i, " ".join(f"{'ab'[i % 2]}{x}" for x in rng.zipf(1.4, 60) % 90), "s") for i in range(40)]
+    for most in (0, 3, 40):
+        monkeypatch.setattr(lm_scoring, "VOCABULARY", most)
+        monkeypatch.setattr(lm_scoring, "MAX_BIGRAMS", 2 * most)
+        agrees(spark, docs, rows, set(range(0, 30, 2)), 1 << 16)
