@@ -7,9 +7,10 @@ function ``i`` of 64 is ``(a_i * x + b_i) mod (2^31 - 1)``; the signature keeps
 the minimum of each. Signatures are per row (no shuffle): base hashes on the
 JVM, the 64-way minimum vectorised in NumPy over each Arrow batch.
 
-Candidates share a band of two positions with the query (32 bands of the 64
-hashes); the top ``k * overfetch`` of them by signature agreement (the Jaccard
-estimate) are re-ranked. A frequent band value is split into blocks.
+Candidates share a position of the signature with the query, so none of agreement
+above 0 is lost; the top ``k * overfetch`` of them by signature agreement (the
+Jaccard estimate) are re-ranked. Bands of more positions (``band_rows``) give fewer
+pairs and lose records of low agreement. A frequent band value is split into blocks.
 """
 
 from __future__ import annotations
@@ -102,13 +103,14 @@ def with_signatures(df: DataFrame, text: str, out: str = "sig") -> DataFrame:
     return df.filter(has_token).withColumn(out, minhash_signature(F.col(text)))
 
 
-#: Signature positions per band: a record is a candidate if it shares a band with the query.
-BAND_ROWS = 2
+#: Signature positions per band: a record is a candidate if it shares a band with the query. With one
+#: position the candidates are exact; two are what the registered query's SQL asks for.
+EXACT_ROWS, BAND_ROWS = 1, 2
 #: Records of one band value that one task joins; a longer one is split by a hash of the record.
 BAND_BLOCK = 10_000
 
 
-def bands(df: DataFrame, id_col: str, sig: str = "sig", n: int = NUM_HASHES, rows: int = BAND_ROWS) -> DataFrame:
+def bands(df: DataFrame, id_col: str, sig: str = "sig", n: int = NUM_HASHES, rows: int = EXACT_ROWS) -> DataFrame:
     """(id, band): one row per band of the signature; the band's number is part of its value."""
     value = lambda b: F.xxhash64(b, *[F.get(F.col(sig), b * rows + i) for i in range(rows)])
     return df.where(F.col(sig).isNotNull()).select(id_col, F.explode(F.transform(F.sequence(F.lit(0), F.lit(n // rows - 1)), value)).alias("band"))
@@ -120,12 +122,14 @@ def agreement(a: Column, b: Column, n: int = NUM_HASHES) -> Column:
 
 
 def minhash_candidates(queries: DataFrame, corpus: DataFrame, k: int, *, query_id: str = "query_id",
-                       key: str = "key", sig: str = "sig", band_block: int = BAND_BLOCK) -> DataFrame:
-    """JOIN-8: of the records that share a band of ``BAND_ROWS`` positions with the query, the
-    top ``k`` by signature agreement, ties by key. An equi-join on the band; a band
+                       key: str = "key", sig: str = "sig", band_block: int = BAND_BLOCK,
+                       band_rows: int = EXACT_ROWS) -> DataFrame:
+    """JOIN-8: of the records that share a band of ``band_rows`` positions with the query, the
+    top ``k`` by signature agreement, ties by key; with bands of one position that is the
+    exact top ``k`` of agreement above 0. An equi-join on the band; a band
     value of many records is split into blocks, from a count table joined as a DataFrame.
     The signatures join late, to the distinct pairs only."""
-    qb, cb = bands(queries, query_id, sig), bands(corpus, key, sig)
+    qb, cb = bands(queries, query_id, sig, rows=band_rows), bands(corpus, key, sig, rows=band_rows)
     hot = cb.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / band_block).cast("int").alias("blocks")).where("blocks > 1")
     n = F.coalesce("blocks", F.lit(1))
     left = qb.join(hot, "band", "left").select(query_id, "band", F.explode(F.sequence(F.lit(0), n - 1)).alias("block"))
@@ -151,11 +155,11 @@ def candidate_rerank(cands: DataFrame, query_vecs: DataFrame, record_vecs: DataF
 
 def minhash_retrieve(queries: DataFrame, q_sigs: DataFrame, corpus_sigs: DataFrame, query_vecs: DataFrame,
                      record_vecs: DataFrame, cfg: RetrievalConfig = RetrievalConfig(), *,
-                     query_id: str = "query_id", key: str = "key") -> DataFrame:
+                     query_id: str = "query_id", key: str = "key", band_rows: int = EXACT_ROWS) -> DataFrame:
     """ANN-6 (Tier 2): ``k * minhash_overfetch`` candidates by Jaccard estimate ->
     exact cosine -> threshold -> top k by (score desc, key asc)."""
     cands = minhash_candidates(q_sigs, corpus_sigs, cfg.top_k * cfg.minhash_overfetch,
-                               query_id=query_id, key=key).drop("rank")
+                               query_id=query_id, key=key, band_rows=band_rows).drop("rank")
     scored = candidate_rerank(cands, query_vecs, record_vecs, query_id=query_id, key=key,
                               decimals=cfg.score_decimals)
     kept = scored.filter(~F.isnan("score") & (F.col("score") >= cfg.threshold))

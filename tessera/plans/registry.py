@@ -386,7 +386,8 @@ SQL_MINHASH_SIGNATURE = f"""SELECT doc_id, sig FROM (
 
 def q_minhash_retrieve(spark, sf):
     """ANN-6 / JOIN-8 / JOIN-6: MinHash tier — of the documents that share a band with a
-    benchmark text the top 20 by Jaccard estimate, exact cosine of stored vectors, >= 0.3, top 5."""
+    benchmark text the top 20 by Jaccard estimate, exact cosine of stored vectors, >= 0.3, top 5.
+    The bands of two positions are the SQL's; ``minhash_retrieve`` itself is exact without ``band_rows``."""
     q = _bench_queries(spark, sf)
     recs = document_records(table(spark, sf, "documents"))
     q_sigs = MH.with_signatures(q, "query").select("query_id", "sig")
@@ -394,7 +395,7 @@ def q_minhash_retrieve(spark, sf):
     c_sigs = MH.with_signatures(recs.withColumn("mh_text", minhash_text()), "mh_text").select("ord", "sig").checkpoint()
     q_vecs = encode_text(q, "query", "qvec").select("query_id", "qvec")
     r_vecs = encode_text(recs, "text_out", "embedding").select("ord", "embedding")
-    res = MH.minhash_retrieve(q, q_sigs, c_sigs, q_vecs, r_vecs, CFG, key="ord")
+    res = MH.minhash_retrieve(q, q_sigs, c_sigs, q_vecs, r_vecs, CFG, key="ord", band_rows=MH.BAND_ROWS)
     return _long(res.select("query_id", F.col("ord").alias("doc_id"), "rank", "score"), "rank")
 
 

@@ -74,3 +74,20 @@ def test_key_boost_and_fields_in_every_tier(spark):
     write_index(ivfpq_build(spark.read.parquet(root + "/embeddings"), key="key", k=1), spark, root)
     got = {r.query_id: (r.text, r.tier) for r in tiered_retrieve(StoreCatalog.open(spark, root), spark, q, cfg).collect()}
     assert got == {k: (t, "ivf") for k, (t, _) in want.items()}
+
+
+def test_minhash_candidates_are_the_exact_top(spark):
+    """Recall 1 against the exhaustive ranking by agreement, also of short queries over long records."""
+    docs = document_records(table(spark, SF001, "documents")).select(F.col("ord").alias("key"), F.col("text_out").alias("text"))
+    asked = table(spark, SF001, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    sigs, q_sigs = (MH.with_signatures(d, "text").drop("text").checkpoint() for d in (docs, asked))
+    got = {}
+    for r in MH.minhash_candidates(q_sigs, sigs, 20, band_block=50).collect():
+        got.setdefault(r.query_id, []).append((-r.jaccard_est, r.key))
+    rows, total = [(r.key, r.sig) for r in sigs.collect()], 0
+    for q in q_sigs.collect():
+        alike = [(-sum(x == y for x, y in zip(q.sig, sig)) / 64, key) for key, sig in rows]
+        want = sorted(a for a in alike if a[0] < 0)[:20]
+        assert sorted(got.get(q.query_id, [])) == want
+        total += len(want)
+    assert total > 0
