@@ -1,10 +1,11 @@
 """Main text of web pages by consensus host paths.
 
-First pass: each page is parsed, its containers are scored (text in blocks, less what
-stands in links and in boilerplate) and the best one votes for its generalised
+First pass: each page is parsed, its containers are scored (text in blocks, without links
+and with a low weight in boilerplate) and the best one votes for its generalised
 tag-class path. Spark sums the votes per host and path and picks each host's winner.
 Second pass: the page is parsed again and the elements at its host's winning path are
-extracted; a page without such an element gives its own best container.
+extracted without the boilerplate in them; a page without such an element gives its own
+best container, and one that is all boilerplate keeps it.
 """
 
 from __future__ import annotations
@@ -20,12 +21,12 @@ from pyspark.sql import functions as F
 from .common import arrow_map, checkpoint
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-_ATTR = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_ATTR = re.compile(r"([^\s\"'<>/=]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _WORDS = re.compile(r"[A-Za-z]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is not text of the page.
-RAW = frozenset("script style noscript template textarea title iframe object svg math canvas select option button".split())
+RAW = frozenset("script style noscript template textarea title iframe object svg canvas select option button".split())
 BOILER_TAGS = frozenset("nav header footer aside form dialog menu head".split())
 BLOCKS = frozenset(("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption "
                     "figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section "
@@ -34,51 +35,61 @@ CONTAINERS = frozenset("article main section div td body html".split())
 #: Elements that a new start tag of the second kind closes.
 CLOSED_BY = {"p": BLOCKS, "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}),
              "td": frozenset({"td", "th", "tr"}), "th": frozenset({"td", "th", "tr"}), "tr": frozenset({"tr"})}
-#: Words in a class, id or role that mark what is not the article.
+#: Words that mark what is not the article, where a whole name in a class, id or role is made of them.
 BOILER_WORDS = frozenset(("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav "
                           "navigation navbar menu breadcrumb breadcrumbs sidebar side aside footer header masthead topbar "
                           "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe "
                           "subscription signup login share sharing social related recommended comment comments respond "
                           "disqus replies reply widget pagination pager toolbar contentinfo complementary search").split())
 
-
-#: Those that rule out an article or main element too.
+#: Those that mark an article or main element too.
 NOT_AN_ARTICLE = frozenset("comment comments reply replies related ad ads advert promo sponsored teaser".split())
+#: Those, besides them, that hold also where their element has most of the page's text.
+NEVER_THE_PAGE = NOT_AN_ARTICLE | frozenset("cookie cookies consent gdpr newsletter subscribe subscription".split())
+#: What text in boilerplate counts for a container.
+BOILER_WEIGHT = 0.1
+#: Marks of an element: none, one that does not hold for most of the page's text, and one that holds.
+PLAIN, SOFT, FIRM = range(3)
 
 
 class Element:
-    __slots__ = ("tag", "path", "parent", "boiler", "score", "link", "depth")
+    __slots__ = ("tag", "path", "parent", "mark", "held", "own", "boiler", "score", "link", "depth")
 
-    def __init__(self, tag: str, step: str, parent: Element | None, boiler: bool) -> None:
-        self.tag, self.parent = tag, parent
+    def __init__(self, tag: str, step: str, parent: Element | None, mark: int) -> None:
+        self.tag, self.parent, self.mark = tag, parent, mark
+        self.held = 0                                      # characters outside links in it
+        self.own = self.boiler = None                      # its mark holds; or that of an element around it (``read``)
         self.path = f"{parent.path}/{step}" if parent else step
         self.depth = parent.depth + 1 if parent else 0
-        self.boiler = boiler or bool(parent and parent.boiler)
         self.link = tag == "a" or bool(parent and parent.link)
         self.score = 0.0
 
 
-def _step(tag: str, attrs: str) -> tuple[str, bool]:
-    """The generalised path step (tag and class words, digits dropped) and whether it is boilerplate."""
-    words: set[str] = set()
-    classes: set[str] = set()
-    if "=" in attrs:
-        for name, *value in _ATTR.findall(attrs):
-            found = {w.lower() for w in _WORDS.findall("".join(value))}
-            words |= found
-            if name.lower() == "class":
-                classes |= found
+def _step(tag: str, attrs: str) -> tuple[str, int]:
+    """The generalised path step (tag and class words, digits dropped) and the element's mark."""
     marks = BOILER_WORDS
     if tag in ("html", "body"):
         marks = frozenset()
     elif tag in ("article", "main"):
         marks = NOT_AN_ARTICLE
-    return ".".join([tag, *sorted(classes)]), tag in BOILER_TAGS or bool(words & marks)
+    classes: set[str] = set()
+    mark = (SOFT if tag == "form" else FIRM) if tag in BOILER_TAGS else PLAIN
+    if "=" in attrs:
+        for name, *value in _ATTR.findall(attrs):
+            if name.lower() not in ("class", "id", "role"):
+                continue
+            for token in "".join(value).lower().split():
+                words = set(_WORDS.findall(token))
+                if name.lower() == "class":
+                    classes |= words
+                if words and words <= marks:
+                    mark = max(mark, FIRM if words & NEVER_THE_PAGE else SOFT)
+    return ".".join([tag, *sorted(classes)]), mark
 
 
 def walk(page: str) -> Iterator[tuple[Element, str, bool]]:
     """(element, raw text, new block before it) for each stretch of text, in page order."""
-    root = Element("", "", None, False)
+    root = Element("", "", None, PLAIN)
     top, at, fresh, end = root, 0, True, len(page)
     while at < end:
         m = _TOKEN.search(page, at)
@@ -122,21 +133,43 @@ def walk(page: str) -> Iterator[tuple[Element, str, bool]]:
             top = Element(tag, *_split_step(tag, m[3], top))
 
 
-def _split_step(tag: str, attrs: str, parent: Element) -> tuple[str, Element, bool]:
-    step, boiler = _step(tag, attrs)
-    return step, parent, boiler
+def _split_step(tag: str, attrs: str, parent: Element) -> tuple[str, Element, int]:
+    step, mark = _step(tag, attrs)
+    return step, parent, mark
+
+
+def read(page: str) -> list[tuple[Element, str, bool]]:
+    """What ``walk`` gives, with the elements' boilerplate decided: a soft mark does not hold for
+    an element with most of the page's text."""
+    parts, total = list(walk(page)), 0
+    for e, raw, _ in parts:
+        n = 0 if e.link else len(raw.strip())
+        total += n
+        up = e if n else None
+        while up:
+            up.held += n
+            up = up.parent
+    for e, _, _ in parts:
+        line = []
+        while e and e.boiler is None:
+            line.append(e)
+            e = e.parent
+        for x in reversed(line):
+            x.own = x.mark == FIRM or x.mark == SOFT and 2 * x.held <= total
+            x.boiler = x.own or bool(x.parent and x.parent.boiler)
+    return parts
 
 
 def best_path(page: str) -> str | None:
-    """The path of the page's best container: the text of its blocks outside links and
-    boilerplate, where a block gives its all to the nearest container and less the
+    """The path of the page's best container: the text of its blocks outside links, little of
+    it in boilerplate, where a block gives its all to the nearest container and less the
     farther up; ties go to the deeper one. None if the page has no text."""
     scored: dict[int, Element] = {}
-    for e, raw, _ in walk(page):
+    for e, raw, _ in read(page):
         n = len(raw.strip())
-        if not n or e.boiler or e.link:
+        if not n or e.link:
             continue
-        share, up = float(n), e
+        share, up = n * (BOILER_WEIGHT if e.boiler else 1.0), e
         while up:
             if up.tag in CONTAINERS or not up.parent:           # the page itself is the outermost container
                 up.score += share * (1.1 if up.tag in ("article", "main") else 1.0)
@@ -147,14 +180,14 @@ def best_path(page: str) -> str | None:
     return best.path if best else None
 
 
-def extract(page: str, path: str | None) -> str:
-    """The text of the elements at ``path``, without boilerplate inside them: character
+def extract(page: str, path: str | None, keep: bool = False) -> str:
+    """The text of the elements at ``path``, without boilerplate inside them unless ``keep``: character
     references decoded, white space within a block one space, blocks joined by newlines."""
     blocks: list[list[str]] = []
     open_block = False
     if path is None:
         return ""
-    for e, raw, fresh in walk(page):
+    for e, raw, fresh in read(page):
         if fresh:
             open_block = False
         up, inside, boiler = e, False, False
@@ -162,9 +195,9 @@ def extract(page: str, path: str | None) -> str:
             if up.path == path:
                 inside = True
                 break
-            boiler = boiler or (up.boiler and not (up.parent and up.parent.boiler))
+            boiler = boiler or up.own
             up = up.parent
-        if not inside or boiler:
+        if not inside or (boiler and not keep):
             continue
         if not open_block:
             blocks.append([])
@@ -207,7 +240,10 @@ def extract_pages(df: DataFrame, *, id_col: str = "page_id", url_col: str = "url
         out = []
         for page, path in zip(b.column("html").to_pylist(), b.column("path").to_pylist()):
             text = extract(page or "", path)
-            out.append(text or extract(page or "", best_path(page or "")))
+            if not text:
+                own = best_path(page or "")
+                text = extract(page or "", own) or extract(page or "", own, keep=True)
+            out.append(text)
         return pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(out, pa.string()),
                                            pa.array([len(t) for t in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
     return arrow_map(joined, run, "page_id long, url string, text string, n_chars long")

@@ -72,3 +72,29 @@ def test_odd_rows(spark):
     assert got == sorted([(1, ""), (2, ""), (None, "plain text only"), (3, "open tags"), (3, "open tags"), (4, ""),
                           (5, "a < b\nc\n&bogus; &"), (6, ("word " * 50000).strip()), (7, "")], key=str)
     assert pages.extract_pages(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+LONG = "The first paragraph of a page that has a good deal to say. " * 12
+ARTICLE = f"<h2>Head</h2><p>{LONG}</p><p>And a second one, shorter.</p>"
+PLAIN = f"Head\n{LONG.strip()}\nAnd a second one, shorter."
+
+
+def test_marks_do_not_empty_a_page(spark):
+    """Names that only hold a mark word, marks around nearly all text and one form around the body."""
+    small = "<div class='copy'><p>Copyright of the site, all rights.</p></div>"
+    bodies = [f"<div class='{c}'>{ARTICLE}</div>{small}" for c in
+              ("content has-sidebar", "no-sidebar", "search-result", "social-science", "sidebar", "search")]
+    bodies += [f"<div data-id='related-3' data-class='ad'>{ARTICLE}</div>{small}", f"<div title='x class=ad'>{ARTICLE}</div>{small}",
+               f"<form action='/'><div class='page'>{ARTICLE}</div></form>{small}", f"<div class='comments'>{ARTICLE}</div>"]
+    rows = [(i, f"http://h{i}.org/", page(b)) for i, b in enumerate(bodies)]
+    rows.append((len(bodies), "http://x.org/", page(f"<form>{ARTICLE}</form>")))
+    rows.append((len(bodies) + 1, "http://y.org/", page("<p class='ad'>one</p><p class='ad'>two</p>")))
+    got = {r.page_id: r.text for r in pages.extract_pages(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {**{i: PLAIN for i in range(len(bodies) + 1)}, len(bodies) + 1: "one\ntwo"}
+
+
+def test_math_stays_and_boilerplate_goes(spark):
+    body = (f"<article>{ARTICLE}<p>So <math><mi>a</mi><mo>=</mo><mn>2</mn></math> holds.</p><div class='ad-1'><p>Buy</p></div>"
+            "<div id='comment-7'><p>A reader</p></div></article><div class='comments'><p>" + "a reader says much " * 90 + "</p></div>")
+    got = pages.extract_pages(spark.createDataFrame([(1, "http://m.org/", page(body))], SCHEMA)).collect()
+    assert [r.text for r in got] == [PLAIN + "\nSo a=2 holds."]
