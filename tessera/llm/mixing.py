@@ -65,7 +65,8 @@ def fit_counts(sizes: np.ndarray, counts: np.ndarray, budget: int, dp_budget: in
     near to ``budget`` as can be. All but about ``dp_budget`` words of it is an even share of
     every length (and, where that leaves more, whole documents from the longest down); the
     rest is fitted by bounded knapsack over the documents that are left: the nearest sum
-    that can be reached, one longest document above the rest at most."""
+    that can be reached, one longest document above the rest at most. Where all that are left
+    are longer than a rest above ``dp_budget``, that is one of the shortest or none."""
     take = np.zeros(len(sizes), np.int64)
     total = int((sizes * counts).sum())
     if not total or budget <= 0:
@@ -81,7 +82,12 @@ def fit_counts(sizes: np.ndarray, counts: np.ndarray, budget: int, dp_budget: in
         n = min(int(counts[j] - take[j]), -((dp_budget - rest) // int(sizes[j])), rest // int(sizes[j]))
         take[j] += n
         rest -= n * int(sizes[j])
-    if rest <= 0 or rest > dp_budget:
+    if rest > dp_budget:                                     # what is left is longer: one of the shortest, or none
+        left = np.flatnonzero(counts > take)
+        j = left[sizes[left].argmin()]
+        take[j] += int(sizes[j]) - rest < rest
+        return take
+    if rest <= 0:
         return take
     top = rest + min(int(sizes[counts > take].max()), rest)
     made_by = np.full(top + 1, -1, np.int32)                 # the step that first reached a sum

@@ -93,3 +93,13 @@ def test_hot_length_and_odd_rows(spark, docs):
 def test_global_index(spark):
     df = spark.createDataFrame([(x,) for x in range(999, -1, -1)], "x int").repartition(13)
     assert all(r.x == r.nth for r in mixing.global_index(df, ["x"], "nth").collect())
+
+
+def test_documents_above_the_fitted_budget():
+    """Documents that are each longer than a rest above ``dp_budget``: the nearer of one and none."""
+    fit = lambda sizes, counts, budget, **kw: mixing.fit_counts(np.array(sizes), np.array(counts), budget, **kw).tolist()
+    assert fit([300_000], [1], 290_000) == [1]
+    assert fit([300_000, 700_000], [1, 2], 290_000) == [1, 0]
+    assert fit([600_000, 700_000], [2, 2], 290_000) == [0, 0]
+    for budget in range(1, 900, 7):              # as without the bound
+        assert fit([300], [3], budget, dp_budget=10) == fit([300], [3], budget), budget
