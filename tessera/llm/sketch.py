@@ -135,7 +135,8 @@ def with_next(df: DataFrame, order: str, value: str, out_col: str, *, per_partit
 
 def edited_report(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
-    near_next. The edited text: the last floor(n/2) code points replaced by the first as
+    near_next, contained_edited, contained_next, n_distinct: the resemblance of the text to the edited
+    one and to the next, the share of its shingles they have and how many it has. The edited text: the last floor(n/2) code points replaced by the first as
     many (or all) of the next document's (by descending id; after the last the first).
 
     A null text is empty; a null id comes last; equal ids are ordered by a hash of the text;
@@ -144,7 +145,8 @@ def edited_report(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     pairs = with_next(src, "doc_id", "text", "following")
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        out = {k: [] for k in ("n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")}
+        out = {k: [] for k in ("n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next",
+                                "contained_edited", "contained_next", "n_distinct")}
         was, its = None, None                              # the row before had this row's text as its next one
         for text, nxt in zip(b.column("text").to_pylist(), b.column("following").to_pylist()):
             half = len(text) // 2
@@ -153,10 +155,12 @@ def edited_report(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             was, its = nxt, sketch(nxt.encode())
             new = sketch(edited)
             for k, v in zip(out, (len(text), hashlib.sha256(edited).hexdigest(), to_text(own), to_text(new),
-                                  resemblance(own, new), resemblance(own, its))):
+                                  resemblance(own, new), resemblance(own, its), containment(own, new),
+                                  containment(own, its), distinct_count(own))):
                 out[k].append(v)
         return pa.RecordBatch.from_arrays(
             [b.column("doc_id"), *[pa.array(v, pa.int64() if k == "n_chars" else None) for k, v in out.items()]],
             names=["doc_id", *out])
     return arrow_map(pairs, run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, "
-                                 "edited_fingerprint string, near_edited double, near_next double")
+                                 "edited_fingerprint string, near_edited double, near_next double, "
+                                 "contained_edited double, contained_next double, n_distinct double")

@@ -83,3 +83,14 @@ def test_merge_by_key(spark, docs):
         assert got[s].fingerprint == base64.b64encode(want.astype(">u8").tobytes()).decode()
         assert abs(got[s].n_distinct / len(whole) - 1) < 0.3
     assert df.where(F.col("fingerprint").isNull()).count() == 0
+
+
+def test_query_gives_containment_and_counts(spark, sf, corpus):
+    got = {r.doc_id: r for r in op5_document_fingerprints(spark, sf).collect()}
+    wrong, counts = [], []
+    for i, t, e, nxt in edited([(i, t) for i, (t, _) in corpus.items()]):
+        own = shingles(t)
+        for other, share in ((e, got[i].contained_edited), (nxt, got[i].contained_next)):
+            wrong.append(abs(share - (len(own & shingles(other)) / len(own) if own else 1.0)))
+        counts.append(abs(got[i].n_distinct / len(own) - 1) if own else got[i].n_distinct)
+    assert max(wrong) < 0.4 and np.mean(wrong) < 0.04 and max(counts) < 0.4 and np.mean(counts) < 0.06
