@@ -44,4 +44,56 @@ SELECT doc_id, s.host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_wor
 FROM s JOIN rate ON s.host IS NOT DISTINCT FROM rate.host
 """
 
-ORACLE_SQL = {"op10_quality_rules": QUALITY}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+PHRASES = f"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang,
+                  unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+           FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM p),
+total AS (SELECT lang, sum(len(ws)) AS n FROM w GROUP BY lang),
+pos AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+f AS (SELECT lang, ws[i:i + k - 1] AS ph, count(*) AS f
+      FROM pos, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE i + k - 1 <= len(ws) GROUP BY ALL HAVING count(*) >= 100),
+cut AS (SELECT f.lang, f.ph, f.f AS a, k, h.f AS l, t.f AS r, total.n AS n,
+               ((1000::HUGEINT * f.f::HUGEINT * total.n::HUGEINT) // (h.f::HUGEINT * t.f::HUGEINT))::BIGINT AS score
+        FROM f JOIN total USING (lang), (SELECT unnest([1, 2, 3, 4]) AS k), f AS h, f AS t
+        WHERE k < len(f.ph) AND h.lang = f.lang AND h.ph = f.ph[1:k] AND t.lang = f.lang AND t.ph = f.ph[k + 1:]),
+best AS (SELECT lang, ph, a, l, r, n, score FROM cut QUALIFY row_number() OVER (PARTITION BY lang, ph ORDER BY score, k) = 1),
+longer AS (SELECT lang, sub AS ph, max(f) AS f
+           FROM (SELECT lang, f, unnest([ph[2:], ph[:len(ph) - 1]]) AS sub FROM f WHERE len(ph) > 2) GROUP BY ALL),
+kept AS (SELECT best.lang, array_to_string(best.ph, ' ') AS phrase, a, l, r, n, score FROM best LEFT JOIN longer USING (lang, ph)
+         WHERE longer.f IS NULL OR 100 * longer.f < 100 * a)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept) WHERE rank <= 2000
+"""
+
+_HOST = f"translate(regexp_extract({{u}}, '(?s)^.*?://([^/?#]*)', 1), '{_UPPER}', '{_LOWER}')"
+_PATH = "regexp_extract({u}, '(?s)^.*?://[^/?#]*([^?#]*)', 1)"
+
+
+def _rule(url: str, found: str) -> str:
+    """The longest rule of the five that fits, or its verdict."""
+    host, path = _HOST.format(u=url), _PATH.format(u=url)
+    rules = [("block", "example.org", "/en/1"), ("block", "example.org", "/es/"), ("allow", "com", "/fr/"), ("block", "com", "/de/"),
+             ("allow", "org", "/")]
+    whens = " ".join(f"WHEN ({host} = '{h}' OR ends_with({host}, '.{h}')) AND starts_with({path}, '{p}') THEN "
+                     f"'{h + p if found == 'rule' else v}'" for v, h, p in rules)
+    return f"CASE {whens} END"
+
+
+#: Links are taken from absolute canonical and refresh URLs only; the operator also resolves relative ones.
+URLS = f"""
+WITH RECURSIVE u AS (SELECT page_id, coalesce(url, '') AS url, regexp_replace(coalesce(url, ''), '(?s)#.*$', '') AS page, html FROM pages),
+link AS (SELECT page AS a, regexp_replace(unnest(
+             regexp_extract_all(html, '(?i)<link[^>]*rel=["'']?canonical["'']?[^>]*href=["'']?([^"''\\s>]*://[^"''\\s>]*)', 1)
+             || regexp_extract_all(html, '(?i)<meta[^>]*http-equiv=["'']?refresh["'']?[^>]*url=[''"]?([^"''\\s>]*://[^"''\\s>]*)', 1)),
+             '(?s)#.*$', '') AS b FROM u WHERE contains(page, '://')),
+edge AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+bad AS (SELECT a AS page FROM edge WHERE {_rule("a", "verdict")} = 'block' UNION SELECT b FROM edge JOIN bad ON edge.a = bad.page)
+SELECT page_id, {_HOST.format(u="u.url")} AS host, {_PATH.format(u="u.url")} AS path, {_rule("u.url", "rule")} AS rule,
+       coalesce({_rule("u.url", "verdict")}, CASE WHEN bad.page IS NOT NULL THEN 'block' END, 'allow') AS verdict
+FROM u LEFT JOIN bad ON u.page = bad.page AND contains(u.page, '://')
+"""
+
+ORACLE_SQL = {"op10_quality_rules": QUALITY, "op11_phrase_collocations": PHRASES, "op13_url_filter": URLS}

@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, lm_scoring, mixing, oracle_sql, packing, pages, quality, simhash, sketch, substring, token_counts
+from . import (byte_bpe, conversations, lm_scoring, mixing, oracle_sql, packing, pages, phrases, quality, simhash, sketch, substring,
+               token_counts, url_filter)
 from .common import read_table
 
 
@@ -73,6 +74,25 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(read_table(spark, sf_dir, "documents"))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 phrases of 2 to 5 words of each lang of ``documents`` by collocation score."""
+    return phrases.collocations(read_table(spark, sf_dir, "documents"), max_words=5, min_count=100, absorb=100, top=2000)
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and repaired text of every conversation after the contract's damage."""
+    return conversations.repair(conversations.damage(read_table(spark, sf_dir, "conversations")))
+
+
+#: The rules of ``op13_``.
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule and the verdict of every page's URL; blocks reach aliases by redirects and canonical links."""
+    return url_filter.judge_urls(read_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_token_counts": op2_token_counts,
@@ -84,6 +104,9 @@ QUERIES = {
     "op8_source_mixing": op8_source_mixing,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_quality_rules": op10_quality_rules,
+    "op11_phrase_collocations": op11_phrase_collocations,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_url_filter": op13_url_filter,
 }
 
 ORACLE_SQL = oracle_sql.ORACLE_SQL
