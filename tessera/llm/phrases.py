@@ -9,17 +9,20 @@ prefix, already summed per task, and each group builds its depth-truncated subtr
 its own: the suffixes in order, whose common beginnings are the inner nodes. A
 node's count is the total of the leaves below it.
 
-Only words found ``min_count`` times can stand in a phrase, so others end a suffix. A bit
-table of bounded size tells them; a false hit only adds leaves.
+Only words found ``min_count`` times can stand in a phrase, so others end a suffix. The
+most frequent of them travel as numbers; a bit table of bounded size tells the rest, and a
+false hit only adds leaves.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,10 +36,14 @@ _PLAIN = bytes(BREAK if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c + 32
 CHUNK = 1 << 22
 SEED = 42
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-#: The bit table has 16 bits a word, up to this many (16 MB).
+#: Words that are numbered ahead and broadcast, the most frequent first.
+MAX_TOP = 1 << 18
+#: The bit table of the others has 16 bits a word, up to this many (16 MB).
 MAX_BITS = 1 << 27
 #: Prefixes that are split, of one round: their hashes are broadcast (8 bytes each).
 MAX_SPLIT = 1 << 23
+#: Groups at least, so that the same prefixes are split of small inputs.
+MIN_GROUPS = 64
 #: The langs with their sums are broadcast up to this many bytes.
 MAX_BROADCAST_BYTES = 1 << 20
 
@@ -131,68 +138,106 @@ def word_counts(texts: DataFrame, max_words: int) -> DataFrame:
     return rows.groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-class Sieve:
-    """A bit table of words, by a hash of lang and word."""
+class Vocabulary:
+    """The words that can stand in a phrase. The most frequent of each lang, up to a bound, have
+    numbers from 1 by falling count; the rest are told by a bit table over hashes of lang and word."""
 
-    def __init__(self, bits: int, blocks: dict[int, bytes]) -> None:
-        self.bits, self.blocks = bits, blocks
+    def __init__(self, top: dict[str, list[bytes]], keys: dict[str, np.ndarray], bits: int, blocks: dict[int, bytes]) -> None:
+        self.top, self.keys, self.bits, self.blocks = top, keys, bits, blocks
+        self.numbers: dict[str, dict[bytes, int]] = {}
+        self.table: np.ndarray | None = None
 
-    def hashes(self, lang: str, words: list[bytes]) -> np.ndarray:
-        h, seed = xxhash.xxh64_intdigest, xxhash.xxh64_intdigest(lang.encode(), SEED)
-        return np.fromiter((h(w, seed) for w in words), np.uint64, len(words))
+    def __getstate__(self) -> tuple:
+        return self.top, self.keys, self.bits, self.blocks
+
+    def __setstate__(self, state: tuple) -> None:
+        self.__init__(*state)
 
-    def has(self, hashes: np.ndarray) -> np.ndarray:
-        if not hasattr(self, "table"):
+    def _in_table(self, hashes: np.ndarray) -> np.ndarray:
+        if self.table is None:
             self.table = np.zeros(self.bits // 8, np.uint8)
             for block, b in self.blocks.items():
                 self.table[block * 4096:block * 4096 + len(b)] = np.frombuffer(b, np.uint8)
         at = hashes & np.uint64(self.bits - 1)
         return (self.table[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
-    def __getstate__(self) -> tuple:
-        return self.bits, self.blocks
-
-    def __setstate__(self, state: tuple) -> None:
-        self.bits, self.blocks = state
-
-
-def build_sieve(words: DataFrame, n: int) -> Sieve:
-    """The bit table of ``words`` (lang, word), ``n`` of them, formed by blocks of 32,768 bits in Spark."""
-    bits = min(MAX_BITS, max(1 << 15, 1 << (16 * max(1, n) - 1).bit_length()))
-    at = words.select(F.xxhash64("lang", "word").bitwiseAND(F.lit(bits - 1)).alias("at"))
-    blocks = at.select(F.shiftright("at", 15).alias("block"), F.col("at").bitwiseAND(F.lit((1 << 15) - 1)).alias("bit")) \
-        .groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bits"))
-    return Sieve(bits, {r["block"]: bytes(r["bits"]) for r in blocks.collect()})     # at most MAX_BITS
-
-
-def _suffixes(distinct: list[bytes], ids: np.ndarray, own: int, common: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(windows, n): the distinct suffixes of the first ``own`` tokens, cut off at ``depth`` words and before
-    BREAK or an uncommon word (then 0), in order, with their counts; those of one word are left out."""
-    renumber = np.concatenate(([0], np.cumsum(common[1:]))).astype(np.int64)
-    renumber[~common] = 0
-    line = renumber[ids]
-    size = int(renumber.max(initial=0)) + 1
-    padded = np.concatenate((line, np.zeros(depth, np.int64)))
-    at = np.flatnonzero((line[:own] > 0) & (padded[1:own + 1] > 0))
-    cols = np.zeros((depth, len(at)), np.int64)
-    cols[0] = line[at]
-    for k in range(1, depth):
-        cols[k] = padded[at + k] * (cols[k - 1] > 0)
-    if not len(at):
-        return cols.T, np.empty(0, np.int64)
-    if size ** depth < 1 << 63:                            # one integer a window
-        key = cols[0]
-        for c in cols[1:]:
-            key = key * size + c
-        key, n = np.unique(key, return_counts=True)
-        for k in range(depth - 1, -1, -1):
-            cols[k, :len(key)] = key % size
-            key = key // size
-        return cols[:, :len(n)].T, n
-    order = np.lexsort(cols[::-1])
-    cols = cols[:, order]
-    head = np.flatnonzero(np.r_[True, (cols[:, 1:] != cols[:, :-1]).any(axis=0)])
-    return cols[:, head].T, np.diff(np.r_[head, len(order)])
+    def number(self, lang: str, distinct: list[bytes]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+        """(numbers, more, hashes): each token's number (0: BREAK or in no phrase), the words whose numbers
+        follow those of the lang's frequent ones, and the hash of every number."""
+        top = self.top.get(lang, [])
+        if lang not in self.numbers:
+            self.numbers[lang] = dict(zip(top, range(1, len(top) + 1)))
+        found = self.numbers[lang]
+        out = np.fromiter((found.get(w, 0) for w in distinct), np.int64, len(distinct))
+        out[0] = 0
+        more, hashes = [], np.concatenate((np.zeros(1, np.uint64), self.keys.get(lang, np.empty(0, np.uint64))))
+        if self.blocks:
+            rest = np.flatnonzero(out == 0)[1:]
+            h, seed = xxhash.xxh64_intdigest, xxhash.xxh64_intdigest(lang.encode(), SEED)
+            own = np.fromiter((h(distinct[i], seed) for i in rest.tolist()), np.uint64, len(rest))
+            kept = np.flatnonzero(self._in_table(own))
+            rest = rest[kept]
+            out[rest] = len(top) + 1 + np.arange(len(rest))
+            more, hashes = [distinct[i] for i in rest.tolist()], np.concatenate((hashes, own[kept]))
+        return out, more, hashes
+
+
+def build_vocabulary(words: DataFrame, max_top: int) -> Vocabulary:
+    """The vocabulary of ``words`` (lang, word, n): those of the highest counts, at most ``max_top``, are
+    collected; a bit table of at most MAX_BITS is formed in Spark by blocks of 32,768 bits for the rest."""
+    step = F.floor(8 * F.log2("n")).cast("int")
+    room, least = max_top, None
+    n_words = 0
+    for r in sorted(words.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("w")).collect(), reverse=True):   # under 500 rows
+        n_words += r["w"]
+        room -= r["w"]
+        if room >= 0:
+            least = r["step"]
+    top: dict[str, list[bytes]] = {}
+    keys: dict[str, list[int]] = {}
+    is_top = step >= (least if least is not None else 1 << 30)
+    for r in sorted(words.where(is_top).select("lang", "word", "n", F.xxhash64("lang", "word").alias("key")).collect(),
+                    key=lambda r: (-r["n"], r["word"])):
+        top.setdefault(r["lang"], []).append(r["word"].encode())
+        keys.setdefault(r["lang"], []).append(r["key"])
+    n_rest = n_words - sum(map(len, top.values()))
+    bits, blocks = 1 << 15, {}
+    if n_rest:
+        bits = min(MAX_BITS, max(bits, 1 << (16 * n_rest - 1).bit_length()))
+        at = words.where(~is_top).select(F.xxhash64("lang", "word").bitwiseAND(F.lit(bits - 1)).alias("at"))
+        formed = at.select(F.shiftright("at", 15).alias("block"), F.col("at").bitwiseAND(F.lit((1 << 15) - 1)).alias("bit")) \
+            .groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bits"))
+        blocks = {r["block"]: bytes(r["bits"]) for r in formed.collect()}
+    return Vocabulary(top, {k: np.array(v, np.int64).view(np.uint64) for k, v in keys.items()}, bits, blocks)
+
+
+def _suffixes(line: np.ndarray, own: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(windows, n): the distinct suffixes of two words or more of the first ``own`` places of ``line``, cut off at
+    ``depth`` words and before a 0 (zeros follow), in order, with their counts.
+
+    Runs of words are ranked by doubling: a run of 2 p words is the pair of the ranks of its halves,
+    and a window the pair of the ranks of its first and last runs."""
+    zero = line == 0
+    first = ~(zero & np.r_[False, zero[:-1]])              # of zeros side by side one stays, made wide
+    at = np.flatnonzero(first)
+    at = np.repeat(at, np.where(zero[at], depth - 1, 1))
+    wide = np.concatenate((line[at], np.zeros(2 * depth, np.int64)))
+    m, run = len(at), 1
+    starts = np.flatnonzero((wide[:m] > 0) & (wide[1:m + 1] > 0) & (at < own))
+    if not len(starts):
+        return np.zeros((0, depth), np.int64), np.empty(0, np.int64)
+    rank, size = wide, int(wide.max()) + 1
+    while 2 * run < depth:
+        pair = rank[:m + depth] * size + np.concatenate((rank[run:m + depth], np.zeros(run, np.int64)))
+        seen, rank = np.unique(pair, return_inverse=True)
+        rank = np.concatenate((rank, np.zeros(depth, np.int64)))
+        size, run = len(seen), 2 * run
+    key, n = np.unique(rank[starts] * size + rank[starts + depth - run], return_counts=True)
+    place = np.zeros(size, np.int64)
+    place[rank[:m + depth - run]] = np.arange(m + depth - run)   # where each rank can be read
+    a, b = place[key // size], place[key % size]
+    cols = [wide[a + k] if k < run else wide[b + k - (depth - run)] for k in range(depth)]
+    return np.stack(cols, axis=1), n
 
 
 def _prefix_hash(hashes: np.ndarray, windows: np.ndarray, so_far: np.ndarray | None, k: int) -> np.ndarray:
@@ -211,24 +256,16 @@ def _is_in(table: np.ndarray, h: np.ndarray) -> np.ndarray:
     return table[at] == h
 
 
-def _common_words(sieve: Sieve, lang: str, distinct: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """(common, hashes, words): which tokens the sieve has, and the hashes and words of those, number 0 empty."""
-    h = sieve.hashes(lang, distinct)
-    common = sieve.has(h)
-    common[0] = False
-    at = np.flatnonzero(common)
-    return common, np.concatenate(([np.uint64(0)], h[at])), [b"", *(distinct[i] for i in at.tolist())]
-
-
-def split_counts(texts: DataFrame, sieve: Sieve, split: list[np.ndarray], max_words: int) -> DataFrame:
+def split_counts(texts: DataFrame, vocabulary: Vocabulary, split: list[np.ndarray], max_words: int) -> DataFrame:
     """(lang, phrase, key, n): the counts of the prefixes one word longer than those ``split`` last."""
     spark, depth = texts.sparkSession, len(split) + 1
-    shared = spark.sparkContext.broadcast((sieve, split))
+    shared = spark.sparkContext.broadcast((vocabulary, split))
 
     def count(lang: str, distinct: list[bytes], ids: np.ndarray, own: int) -> pa.RecordBatch | None:
-        sieve, split = shared.value
-        common, hashes, words = _common_words(sieve, lang, distinct)
-        windows, n = _suffixes(distinct, ids, own, common, depth)
+        vocabulary, split = shared.value
+        numbers, more, hashes = vocabulary.number(lang, distinct)
+        words = [b"", *vocabulary.top.get(lang, []), *more]
+        windows, n = _suffixes(numbers[ids], own, depth)
         keep, h = windows[:, depth - 1] > 0, None
         for k, table in enumerate(split):
             h = _prefix_hash(hashes, windows, h, k)
@@ -257,18 +294,17 @@ def _unpack(packed: bytes, rows: int, n: int) -> np.ndarray:
     return np.frombuffer(raw, f"<u{width}").reshape(rows, n)
 
 
-LEAVES = "grp int, lang string, n_leaves int, words binary, leaves binary, counts binary"
-
+LEAVES = "grp int, lang string, n_leaves int, more binary, leaves binary, counts binary"
 
-def leaves(texts: DataFrame, sieve: Sieve, split: list[np.ndarray], groups: int, max_words: int) -> DataFrame:
-    """LEAVES: per chunk and group the suffixes, as numbers into their words, the words of
-    their prefix in the partition (last row of ``leaves``) and their counts."""
-    shared = texts.sparkSession.sparkContext.broadcast((sieve, split))
 
+def leaves(texts: DataFrame, shared: Broadcast, groups: int, max_words: int) -> DataFrame:
+    """LEAVES: per chunk and group the suffixes as numbers, the number of words of their prefix in
+    the partition (last row of ``leaves``), their counts, and the words behind the numbers that
+    only this row has. ``shared``: the vocabulary and the keys of the split prefixes by length."""
     def deal(lang: str, distinct: list[bytes], ids: np.ndarray, own: int) -> pa.RecordBatch | None:
-        sieve, split = shared.value
-        common, hashes, words = _common_words(sieve, lang, distinct)
-        windows, n = _suffixes(distinct, ids, own, common, max_words)
+        vocabulary, split = shared.value
+        numbers, more, hashes = vocabulary.number(lang, distinct)
+        windows, n = _suffixes(numbers[ids], own, max_words)
         if not len(n):
             return None
         length = (windows > 0).sum(axis=1)
@@ -286,14 +322,17 @@ def leaves(texts: DataFrame, sieve: Sieve, split: list[np.ndarray], groups: int,
         order = np.argsort(group, kind="stable")
         group, left = group[order].astype(np.int64), left[order]
         heads = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.empty(0, np.int64)
+        known = len(hashes) - len(more)                    # numbers from here on are those of ``more``
         out: list[tuple] = []
         for a, e in zip(heads.tolist(), [*heads[1:].tolist(), len(group)]):
             at = left[a:e]
-            used, numbers = np.unique(windows[at], return_inverse=True)
-            if used[0]:                                    # 0 stays 0
-                used, numbers = np.concatenate(([0], used)), numbers + 1
-            cols = np.concatenate((numbers.reshape(-1, max_words).T, depth[at][None]))
-            out.append((int(group[a]), lang, e - a, _STOP.join([words[i] for i in used.tolist()]), _pack(cols), _pack(n[at][None])))
+            some, own_words = windows[at], b""
+            if more and (rare := some >= known).any():
+                used, again = np.unique(some[rare], return_inverse=True)
+                some[rare] = known + again
+                own_words = _STOP.join([more[i] for i in (used - known).tolist()])
+            cols = np.concatenate((some.T, depth[at][None]))
+            out.append((int(group[a]), lang, e - a, own_words, _pack(cols), _pack(n[at][None])))
         if not out:
             return None
         types = [pa.int32(), pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
@@ -302,23 +341,29 @@ def leaves(texts: DataFrame, sieve: Sieve, split: list[np.ndarray], groups: int,
     return _map(texts, deal, LEAVES, max_words)
 
 
-def _subtree(rows: list[dict], max_words: int, min_count: int) -> tuple[list[str], np.ndarray]:
+def _subtree(rows: list[dict], top: list[bytes], max_words: int, min_count: int) -> tuple[list[str], np.ndarray]:
     """(phrases, counts): the nodes of two words or more, at or below their prefix, of a lang's subtrees in one group."""
-    numbers: dict[bytes, int] = {b"": 0}
+    known = len(top) + 1
+    rare: dict[bytes, int] = {}
     parts, sums = [], []
     for r in rows:
-        own = r["words"].split(_STOP)
-        for w in own:
-            numbers.setdefault(w, len(numbers))
-        cols = _unpack(r["leaves"], max_words + 1, r["n_leaves"])
-        to = np.fromiter(map(numbers.__getitem__, own), np.int32, len(own))
-        parts.append(np.concatenate((to[cols[:-1]], cols[-1:].astype(np.int32))))
+        cols = _unpack(r["leaves"], max_words + 1, r["n_leaves"]).astype(np.int32)
+        if r["more"]:
+            own = [rare.setdefault(w, len(rare)) for w in r["more"].split(_STOP)]
+            some = cols[:-1]
+            at = some >= known
+            some[at] = known + np.array(own, np.int32)[some[at] - known]
+        parts.append(cols)
         sums.append(_unpack(r["counts"], 1, r["n_leaves"])[0].astype(np.int64))
     cols, n = np.concatenate(parts, axis=1), np.concatenate(sums)
     del parts, sums
-    order = np.lexsort(cols[max_words - 1::-1])
+    keys = list(cols[:max_words])
+    if known + len(rare) < 1 << 21:                        # three numbers in one
+        keys = [functools.reduce(lambda a, c: a << 21 | c, keys[i:i + 3], np.int64(0)) for i in range(0, max_words, 3)]
+    order = np.lexsort(keys[::-1])
+    del keys
     cols, n = cols[:, order], n[order]
-    words = list(numbers)
+    words = [b"", *top, *rare]
     phrases, counts = [], []
     new = np.zeros(len(n), bool)
     new[:1] = True
@@ -334,13 +379,14 @@ def _subtree(rows: list[dict], max_words: int, min_count: int) -> tuple[list[str
     return phrases, np.concatenate(counts)
 
 
-def subtree_counts(packed: DataFrame, max_words: int, min_count: int) -> DataFrame:
+def subtree_counts(packed: DataFrame, shared: Broadcast, max_words: int, min_count: int) -> DataFrame:
     """(lang, phrase, f): the phrases of two words or more found ``min_count`` times, but those that were split."""
     def run(group: pa.Table) -> pa.Table:
+        top = shared.value[0].top
         by_lang: dict[str, list[dict]] = {}
         for r in group.to_pylist():
             by_lang.setdefault(r["lang"], []).append(r)
-        out = [(lang, *_subtree(rows, max_words, min_count)) for lang, rows in by_lang.items()]
+        out = [(lang, *_subtree(rows, top.get(lang, []), max_words, min_count)) for lang, rows in by_lang.items()]
         pa.default_memory_pool().release_unused()
         return pa.table({"lang": pa.array([x for lang, p, _ in out for x in [lang] * len(p)], pa.string()),
                          "phrase": pa.array([x for _, p, _ in out for x in p], pa.string()),
@@ -348,18 +394,19 @@ def subtree_counts(packed: DataFrame, max_words: int, min_count: int) -> DataFra
     return packed.groupBy("grp").applyInArrow(run, "lang string, phrase string, f long")
 
 
-def phrase_counts(texts: DataFrame, *, max_words: int = 5, min_count: int = 100, budget: int = 1 << 22) -> tuple[DataFrame, DataFrame]:
+def phrase_counts(texts: DataFrame, *, max_words: int = 5, min_count: int = 100, budget: int = 1 << 22,
+                  max_top: int = MAX_TOP) -> tuple[DataFrame, DataFrame]:
     """((lang, phrase, f), (lang, n)) of ``texts`` (lang, text): every phrase of 1 to ``max_words`` words that is
     found ``min_count`` times or more, and all words of each lang. ``budget``: suffixes that a task may hold
-    for one group; it changes the plan only, not the counts."""
+    for one group; ``max_top``: words that are numbered ahead. Both change the plan only, not the counts."""
     spark = texts.sparkSession
     counted = word_counts(texts, max_words)
     words = checkpoint(counted.where((F.col("n") >= min_count) | F.col("word").isNull()))
     common = words.where("word IS NOT NULL")
-    n_common, suffixes = common.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-2 * suffixes // budget))
+    suffixes = common.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    groups = max(MIN_GROUPS, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-2 * suffixes // budget))
     too_many = max(suffixes // (4 * groups), suffixes // MAX_SPLIT, min_count)
-    sieve = build_sieve(common, n_common)
+    vocabulary = build_vocabulary(common, max_top)
     total = words.where("word IS NULL").select("lang", "n")
     found = [common.select("lang", F.col("word").alias("phrase"), F.col("n").alias("f"))]
     heads = common.where(F.col("n") > too_many).select(F.xxhash64("lang", "word").alias("key"))
@@ -372,11 +419,11 @@ def phrase_counts(texts: DataFrame, *, max_words: int = 5, min_count: int = 100,
         split.append(np.unique(keys))
         if len(split) == max_words - 1:
             break
-        longer = checkpoint(split_counts(texts, sieve, split, max_words).where(F.col("n") >= min_count))
+        longer = checkpoint(split_counts(texts, vocabulary, split, max_words).where(F.col("n") >= min_count))
         heads = checkpoint(longer.where(F.col("n") > too_many).select("key").distinct())
         found.append(longer.join(heads, "key", "left_semi").select("lang", "phrase", F.col("n").alias("f")))
-    packed = leaves(texts, sieve, split, groups, max_words)
-    found.append(subtree_counts(packed, max_words, min_count))
+    shared = spark.sparkContext.broadcast((vocabulary, split))
+    found.append(subtree_counts(leaves(texts, shared, groups, max_words), shared, max_words, min_count))
     out = found[0]
     for part in found[1:]:
         out = out.unionByName(part)
@@ -384,7 +431,7 @@ def phrase_counts(texts: DataFrame, *, max_words: int = 5, min_count: int = 100,
 
 
 def collocations(df: DataFrame, *, text_col: str = "text", lang_col: str = "lang", max_words: int = 5, min_count: int = 100,
-                 absorb: int = 100, top: int = 2000, budget: int = 1 << 22) -> DataFrame:
+                 absorb: int = 100, top: int = 2000, budget: int = 1 << 22, max_top: int = MAX_TOP) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the ``top`` phrases of 2 to ``max_words`` words of each lang.
 
     Texts are lower-cased (A-Z), cut into pieces at ``.,;:!?`` and line ends, those into words at
@@ -397,7 +444,7 @@ def collocations(df: DataFrame, *, text_col: str = "text", lang_col: str = "lang
     gives no rows; other columns are ignored."""
     texts = df.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"),
                       F.col(f"`{text_col}`").cast("string").alias("text")).where("text IS NOT NULL")
-    counts, totals = phrase_counts(texts, max_words=max_words, min_count=min_count, budget=budget)
+    counts, totals = phrase_counts(texts, max_words=max_words, min_count=min_count, budget=budget, max_top=max_top)
     phrases = counts.withColumn("words", F.split("phrase", " ")).where(F.size("words") > 1)
 
     def some(first, n):

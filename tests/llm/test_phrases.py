@@ -64,16 +64,16 @@ def test_query_matches_plain_counts_and_sql(spark, sf):
     assert rel.columns == COLS and sorted(rel.fetchall()) == got
 
 
-@pytest.mark.parametrize("budget", [1 << 22, 40])
-def test_small_budget_splits_prefixes_and_counts_alike(spark, sf, budget, monkeypatch):
-    """A budget of a few suffixes forces every round of splitting and small chunks of text."""
+@pytest.mark.parametrize("budget,max_top", [(1 << 22, 1 << 18), (40, 6), (4000, 0)])
+def test_small_budget_splits_prefixes_and_counts_alike(spark, sf, budget, max_top):
+    """A budget of a few suffixes forces every round of splitting; ``max_top`` leaves words to the bit table."""
     rng = random.Random(1)
     words = [f"w{i}" for i in range(12)] + ["Été", "漢"]
     rows = [(i, " ".join(rng.choice([" ", " ", " ", ", ", "\t", "\n", "."]).join(rng.choices(words, range(14, 0, -1), k=3)) for _ in range(12)),
              rng.choice(["en", "fr", None, "und"])) for i in range(150)]
     rows += [(200 + i, "a b c d e f g. " * 3 + "x y z", "en") for i in range(30)]
-    assert mined(spark, rows, min_count=3, absorb=90, budget=budget, top=50) == brute(rows, min_count=3, absorb=90, top=50)
-    assert mined(spark, rows, min_count=5, max_words=3, budget=budget) == brute(rows, min_count=5, max_words=3)
+    assert mined(spark, rows, min_count=3, absorb=90, budget=budget, max_top=max_top, top=50) == brute(rows, min_count=3, absorb=90, top=50)
+    assert mined(spark, rows, min_count=5, max_words=3, budget=budget, max_top=max_top) == brute(rows, min_count=5, max_words=3)
 
 
 def test_long_texts_are_cut_without_loss():
@@ -84,30 +84,32 @@ def test_long_texts_are_cut_without_loss():
         out = Counter()
         for words, own in phrases._chunks(iter(texts), 4, size):
             distinct, ids = phrases._numbered(words)
-            windows, n = phrases._suffixes(distinct, ids, own, np.array([False] + [True] * (len(distinct) - 1)), 5)
+            windows, n = phrases._suffixes(ids, own, 5)
             names = [b""] + distinct[1:]
             out.update({tuple(names[i] for i in w): c for w, c in zip(windows.tolist(), n.tolist())})
         want, got = got, out
     assert got == want and sum(got.values()) > 500
 
 
-def test_wide_vocabulary_sorts_by_columns():
-    """Over 6200 distinct words a window does not fit one integer."""
-    rng = np.random.default_rng(3)
-    ids = rng.integers(0, 7000, 3000)
-    ids = np.concatenate((ids, ids[:1000]))
-    distinct = [str(i).encode() for i in range(7000)]
-    windows, n = phrases._suffixes(distinct, ids, len(ids), np.array([False] + [True] * 6999), 5)
-    want = Counter()
-    for i in range(len(ids)):
-        w = []
-        for x in ids[i:i + 5].tolist():
-            if not x:
-                break
-            w.append(x)
-        if len(w) > 1:
-            want[tuple(w + [0] * (5 - len(w)))] += 1
-    assert {tuple(w): c for w, c in zip(windows.tolist(), n.tolist())} == want
+@pytest.mark.parametrize("depth", [2, 3, 4, 5, 7])
+def test_windows_by_doubling(depth):
+    rng = np.random.default_rng(depth)
+    for size, n in ((4, 60), (7000, 2000), (1 << 20, 500), (1, 9), (3, 1), (3, 0)):
+        ids = rng.integers(0, size, n)
+        ids = np.concatenate((ids, ids[:n // 2]))
+        own = len(ids) * 3 // 4
+        windows, counts = phrases._suffixes(ids, own, depth)
+        want = Counter()
+        for i in range(own):
+            w = []
+            for x in ids[i:i + depth].tolist():
+                if not x:
+                    break
+                w.append(x)
+            if len(w) > 1:
+                want[tuple(w + [0] * (depth - len(w)))] += 1
+        got = list(map(tuple, windows.tolist()))
+        assert got == sorted(want) and counts.tolist() == [want[w] for w in got]
 
 
 def test_odd_rows(spark, sf):
