@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,20 +55,40 @@ class TopK:
         self.floor = np.full(len(queries), -np.inf if threshold is None else threshold)
         self.norm = np.linalg.norm(queries, axis=1) if kind == "cosine" else None
         self.rows, self.scores, self.keys, self.held = [], [], [], 0
+        self.postings: list[tuple[np.ndarray, np.ndarray]] | None = None
 
     def _score(self, c: np.ndarray) -> np.ndarray:
         if self.kind == "agree":
-            return (self.q[:, None, :] == c[None, :, :]).sum(axis=2) / float(self.q.shape[1])
+            return self._agree(c)
         s = self.q @ c.T
         return s / (np.outer(self.norm, np.linalg.norm(c, axis=1)) + 1e-9) if self.kind == "cosine" else s
 
+    def _agree(self, c: np.ndarray) -> np.ndarray:
+        """The share of equal positions, counted from postings: a position's value leads to the queries
+        that have it there, so the work grows with the matches and not with all pairs."""
+        if self.postings is None:
+            order = [np.argsort(v, kind="stable") for v in self.q.T]
+            self.postings = [(v[o], o) for v, o in zip(self.q.T, order)]
+        cells = []
+        for (values, owners), mine in zip(self.postings, c.T):
+            first = np.searchsorted(values, mine)
+            many = np.searchsorted(values, mine, "right") - first
+            hit = np.flatnonzero(many)
+            if len(hit):
+                many = many[hit]
+                ends = np.cumsum(many)
+                at = np.arange(ends[-1]) - np.repeat(ends - many - first[hit], many)
+                cells.append(owners[at] * len(c) + np.repeat(hit, many))
+        same = np.bincount(np.concatenate(cells), minlength=len(self.q) * len(c)) if cells else np.zeros(len(self.q) * len(c))
+        return same.reshape(len(self.q), len(c)) / float(self.q.shape[1])
+
     def add(self, keys: np.ndarray, c: np.ndarray) -> None:
-        n, width = len(self.q), self.q.shape[1] if self.kind == "agree" else 1
+        n = len(self.q)
         if not n or not len(c):
             return
         if c.shape[1] != self.q.shape[1]:
             raise ValueError(f"query vectors have {self.q.shape[1]} values, records {c.shape[1]}")
-        step = max(1, _PAIR_BUDGET // (n * width))
+        step = max(1, _PAIR_BUDGET // n)
         for i in range(0, len(c), step):
             s = self._score(c[i:i + step])
             if self.decimals is not None:
@@ -116,6 +137,7 @@ def _in_place(queries: DataFrame, corpus: DataFrame, schema: str, names: tuple[s
     """The corpus scored where it lies, against the broadcast query matrix."""
     table = queries.toArrow()
     dtype, (query_id, key) = _dtype(how["kind"]), names
+    table = table.filter(pc.is_valid(table.column(1)))
     sent = queries.sparkSession.sparkContext.broadcast((table.column(0).combine_chunks(), _matrix(table.column(1), dtype)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,6 +146,7 @@ def _in_place(queries: DataFrame, corpus: DataFrame, schema: str, names: tuple[s
         kind = None
         for b in batches:
             kind = b.column(0).type
+            b = b.filter(pc.is_valid(b.column(1)))
             top.add(np.asarray(b.column(0).to_pylist(), object), _matrix(b.column(1), dtype))
         r, keys, s = top.result()
         if len(r):
@@ -141,6 +164,7 @@ def _in_blocks(queries: DataFrame, corpus: DataFrame, schema: str, names: tuple[
          .withColumn("qblock", F.explode(F.sequence(F.lit(0), F.lit(qb - 1)))))
 
     def cell(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
+        qpdf, cpdf = (x[x["__v"].notna()] for x in (qpdf, cpdf))
         stack = lambda v: np.stack([np.asarray(x, dtype=dtype) for x in v]) if len(v) else np.zeros((0, 0), dtype)
         top = TopK(stack(qpdf["__v"]), **how)
         top.add(cpdf[key].to_numpy(object), stack(cpdf["__v"]))
@@ -173,13 +197,14 @@ def knn_topk(
     """
     if query_id == key:
         raise ValueError("query and corpus id columns must have different names")
-    q = queries.select(F.col(query_id), F.col(query_vec).alias("__v")).where(F.col("__v").isNotNull())
-    c = corpus.select(F.col(key), F.col(corpus_vec).alias("__v")).where(F.col("__v").isNotNull())
+    # null vectors are dropped in the tasks: a filter here would be pushed below an exchange and run an encoder twice
+    q = queries.select(F.col(query_id), F.col(query_vec).alias("__v"))
+    c = corpus.select(F.col(key), F.col(corpus_vec).alias("__v"))
     schema = f"{query_id} {queries.schema[query_id].dataType.simpleString()}, {key} {corpus.schema[key].dataType.simpleString()}, score double"
     how = {"k": k, "threshold": threshold, "decimals": decimals, "kind": kind}
-    # the count needs no vectors, the width those of one query: neither encodes all queries
-    n, one = queries.count(), q.select(F.size("__v")).first()
-    row_bytes = 8 * max(1, one[0] if one else 1) + 64
+    # the count needs no vectors, the width those of some queries: neither encodes all queries
+    n, some = queries.count(), q.select(F.size("__v")).limit(64).collect()
+    row_bytes = 8 * max([1, *(r[0] for r in some if r[0])]) + 64
     if n * row_bytes <= max_query_bytes:
         cells = _in_place(q, c, schema, (query_id, key), **how)
     else:

@@ -7,10 +7,9 @@ function ``i`` of 64 is ``(a_i * x + b_i) mod (2^31 - 1)``; the signature keeps
 the minimum of each. Signatures are per row (no shuffle): base hashes on the
 JVM, the 64-way minimum vectorised in NumPy over each Arrow batch.
 
-Candidates share a position of the signature with the query, so none of agreement
-above 0 is lost; the top ``k * overfetch`` of them by signature agreement (the
-Jaccard estimate) are re-ranked. Bands of more positions (``band_rows``) give fewer
-pairs and lose records of low agreement. A frequent band value is split into blocks.
+Candidates are the exact top ``k * overfetch`` by signature agreement (the Jaccard
+estimate): a short query and a long record agree in few positions, which bands of several
+positions would miss. They are re-ranked by cosine.
 """
 
 from __future__ import annotations
@@ -24,6 +23,7 @@ from pyspark.sql import types as T
 from tessera.config import RetrievalConfig
 from tessera.functions.text import py_strip, whitespace_set
 from tessera.functions.vector import cosine_eps
+from tessera.operators.knn import BLOCK_BYTES, MAX_QUERY_BYTES, knn_topk
 from tessera.operators.rank import topk_per_query
 
 NUM_HASHES = 64
@@ -46,7 +46,7 @@ def _mod_mersenne31(x: np.ndarray) -> np.ndarray:
     return np.where(x >= PRIME, x - PRIME, x)
 
 
-def _signatures(hashes: pd.Series, n: int, chunk_tokens: int = 1 << 18) -> pd.Series:
+def _signatures(hashes: pd.Series, n: int, chunk_tokens: int = 1 << 14) -> pd.Series:
     """Vectorised over an Arrow batch, in row chunks of about ``chunk_tokens``
     tokens: one (n x tokens) int64 matrix per chunk, then a segmented minimum."""
     params = np.array(hash_params(n), dtype=np.int64)
@@ -103,42 +103,21 @@ def with_signatures(df: DataFrame, text: str, out: str = "sig") -> DataFrame:
     return df.filter(has_token).withColumn(out, minhash_signature(F.col(text)))
 
 
-#: Signature positions per band: a record is a candidate if it shares a band with the query. With one
-#: position the candidates are exact; two are what the registered query's SQL asks for.
-EXACT_ROWS, BAND_ROWS = 1, 2
-#: Records of one band value that one task joins; a longer one is split by a hash of the record.
-BAND_BLOCK = 10_000
-
-
-def bands(df: DataFrame, id_col: str, sig: str = "sig", n: int = NUM_HASHES, rows: int = EXACT_ROWS) -> DataFrame:
-    """(id, band): one row per band of the signature; the band's number is part of its value."""
-    value = lambda b: F.xxhash64(b, *[F.get(F.col(sig), b * rows + i) for i in range(rows)])
-    return df.where(F.col(sig).isNotNull()).select(id_col, F.explode(F.transform(F.sequence(F.lit(0), F.lit(n // rows - 1)), value)).alias("band"))
-
-
-def agreement(a: Column, b: Column, n: int = NUM_HASHES) -> Column:
-    """Share of equal positions of two signatures: the Jaccard estimate."""
-    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same)) / F.lit(float(n))
+#: Less than any agreement of one position.
+_SOME = 0.5 / NUM_HASHES
 
 
 def minhash_candidates(queries: DataFrame, corpus: DataFrame, k: int, *, query_id: str = "query_id",
-                       key: str = "key", sig: str = "sig", band_block: int = BAND_BLOCK,
-                       band_rows: int = EXACT_ROWS) -> DataFrame:
-    """JOIN-8: of the records that share a band of ``band_rows`` positions with the query, the
-    top ``k`` by signature agreement, ties by key; with bands of one position that is the
-    exact top ``k`` of agreement above 0. An equi-join on the band; a band
-    value of many records is split into blocks, from a count table joined as a DataFrame.
-    The signatures join late, to the distinct pairs only."""
-    qb, cb = bands(queries, query_id, sig, rows=band_rows), bands(corpus, key, sig, rows=band_rows)
-    hot = cb.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / band_block).cast("int").alias("blocks")).where("blocks > 1")
-    n = F.coalesce("blocks", F.lit(1))
-    left = qb.join(hot, "band", "left").select(query_id, "band", F.explode(F.sequence(F.lit(0), n - 1)).alias("block"))
-    right = cb.join(hot, "band", "left").select(key, "band", F.pmod(F.xxhash64(key), n).cast("int").alias("block"))
-    pairs = left.join(right, ["band", "block"]).select(query_id, key).distinct()
-    scored = (pairs.join(queries.select(query_id, F.col(sig).alias("__q")), query_id)
-              .join(corpus.select(key, F.col(sig).alias("__c")), key)
-              .select(query_id, key, agreement(F.col("__q"), F.col("__c")).alias("jaccard_est")))
-    return topk_per_query(scored, k, group=query_id, score="jaccard_est", tie=key)
+                       key: str = "key", sig: str = "sig", max_query_bytes: int = MAX_QUERY_BYTES,
+                       block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """JOIN-8: the top ``k`` records of each query by signature agreement (the Jaccard estimate) above
+    0, ties by key: the exact ranking, with no bands. The signatures are scored where they lie
+    against postings of the queries' positions, so a record costs one look-up a position and one
+    count a match; only each task's top ``k`` travels. More queries than ``max_query_bytes`` go by
+    blocks (JOIN-1); both bounds change the plan only."""
+    best = knn_topk(queries.select(query_id, sig), corpus.select(key, sig), k=k, threshold=_SOME, query_id=query_id, query_vec=sig,
+                    key=key, corpus_vec=sig, kind="agree", decimals=None, max_query_bytes=max_query_bytes, block_bytes=block_bytes)
+    return best.withColumnRenamed("score", "jaccard_est")
 
 
 def candidate_rerank(cands: DataFrame, query_vecs: DataFrame, record_vecs: DataFrame, *,
@@ -155,11 +134,12 @@ def candidate_rerank(cands: DataFrame, query_vecs: DataFrame, record_vecs: DataF
 
 def minhash_retrieve(queries: DataFrame, q_sigs: DataFrame, corpus_sigs: DataFrame, query_vecs: DataFrame,
                      record_vecs: DataFrame, cfg: RetrievalConfig = RetrievalConfig(), *,
-                     query_id: str = "query_id", key: str = "key", band_rows: int = EXACT_ROWS) -> DataFrame:
+                     query_id: str = "query_id", key: str = "key") -> DataFrame:
     """ANN-6 (Tier 2): ``k * minhash_overfetch`` candidates by Jaccard estimate ->
     exact cosine -> threshold -> top k by (score desc, key asc)."""
     cands = minhash_candidates(q_sigs, corpus_sigs, cfg.top_k * cfg.minhash_overfetch,
-                               query_id=query_id, key=key, band_rows=band_rows).drop("rank")
+                               query_id=query_id, key=key, max_query_bytes=cfg.max_query_bytes,
+                               block_bytes=cfg.block_bytes).drop("rank")
     scored = candidate_rerank(cands, query_vecs, record_vecs, query_id=query_id, key=key,
                               decimals=cfg.score_decimals)
     kept = scored.filter(~F.isnan("score") & (F.col("score") >= cfg.threshold))

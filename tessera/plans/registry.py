@@ -385,9 +385,8 @@ SQL_MINHASH_SIGNATURE = f"""SELECT doc_id, sig FROM (
 
 
 def q_minhash_retrieve(spark, sf):
-    """ANN-6 / JOIN-8 / JOIN-6: MinHash tier — of the documents that share a band with a
-    benchmark text the top 20 by Jaccard estimate, exact cosine of stored vectors, >= 0.3, top 5.
-    The bands of two positions are the SQL's; ``minhash_retrieve`` itself is exact without ``band_rows``."""
+    """ANN-6 / JOIN-8 / JOIN-6: MinHash tier — for every benchmark text the top 20 of all documents by
+    Jaccard estimate above 0, exact cosine of stored vectors, >= 0.3, top 5."""
     q = _bench_queries(spark, sf)
     recs = document_records(table(spark, sf, "documents"))
     q_sigs = MH.with_signatures(q, "query").select("query_id", "sig")
@@ -395,7 +394,7 @@ def q_minhash_retrieve(spark, sf):
     c_sigs = MH.with_signatures(recs.withColumn("mh_text", minhash_text()), "mh_text").select("ord", "sig").checkpoint()
     q_vecs = encode_text(q, "query", "qvec").select("query_id", "qvec")
     r_vecs = encode_text(recs, "text_out", "embedding").select("ord", "embedding")
-    res = MH.minhash_retrieve(q, q_sigs, c_sigs, q_vecs, r_vecs, CFG, key="ord", band_rows=MH.BAND_ROWS)
+    res = MH.minhash_retrieve(q, q_sigs, c_sigs, q_vecs, r_vecs, CFG, key="ord")
     return _long(res.select("query_id", F.col("ord").alias("doc_id"), "rank", "score"), "rank")
 
 
@@ -405,11 +404,9 @@ dsrc AS (SELECT doc_id AS ord, CASE WHEN text IS NOT NULL AND text <> '' THEN te
          '  ' || coalesce(text, '') AS mh FROM documents),
 qs AS MATERIALIZED (SELECT * FROM (SELECT query_id, {S.minhash_sig('query')} AS sig FROM qsrc) WHERE sig IS NOT NULL),
 ds AS MATERIALIZED (SELECT * FROM (SELECT ord, {S.minhash_sig('mh')} AS sig FROM dsrc) WHERE sig IS NOT NULL),
-qb AS (SELECT query_id, unnest(list_transform(range(0, 32), lambda i: [i, sig[2 * i + 1], sig[2 * i + 2]])) AS band FROM qs),
-db AS (SELECT ord, unnest(list_transform(range(0, 32), lambda i: [i, sig[2 * i + 1], sig[2 * i + 2]])) AS band FROM ds),
-pr AS (SELECT DISTINCT query_id, ord FROM qb JOIN db USING (band)),
-ag AS (SELECT query_id, ord, length(list_filter(range(1, 65), lambda i: qs.sig[i] = ds.sig[i])) / 64.0 AS jac
-       FROM pr JOIN qs USING (query_id) JOIN ds USING (ord)),
+ag AS (SELECT * FROM (
+         SELECT query_id, ord, length(list_filter(range(1, 65), lambda i: qs.sig[i] = ds.sig[i])) / 64.0 AS jac FROM qs, ds)
+       WHERE jac > 0),
 cand AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY jac DESC, ord) AS r FROM ag)
          WHERE r <= 20),
 {S.unit_vectors('qv', 'qsrc', 'query_id', 'query')},

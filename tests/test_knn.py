@@ -63,3 +63,21 @@ def test_memory_of_the_kernel_is_flat():
         top.add(np.arange(i * 500, i * 500 + 500), rng.integers(0, 3, (500, 64)))
         assert top.held <= max(knn._PAIR_BUDGET // 4, 2 * 64 * 20) + 64 * 500
     assert len(top.result()[0]) == 64 * 20
+
+
+def test_agreement_by_postings_equals_comparing_all():
+    rng = np.random.default_rng(4)
+    for n, m, values in ((7, 40, 3), (1, 5, 50), (30, 200, 8), (3, 0, 2)):
+        q, c = rng.integers(0, values, (n, 16)), rng.integers(0, values, (m, 16))
+        got = knn.TopK(q, 5, None, None, "agree")._agree(c)
+        assert (got == (q[:, None, :] == c[None, :, :]).sum(axis=2) / 16).all() and got.shape == (n, m)
+
+
+def test_an_encoder_runs_once(spark):
+    """No filter stands on the encoder's result, which would be pushed below an exchange and run it again."""
+    from tessera.config import RetrievalConfig
+    from tessera.plans.answer import retrieve_text
+    records = spark.createDataFrame([(i, str(i), f"text {i}") for i in range(20)], "ord long, source_id string, text_out string")
+    queries = spark.createDataFrame([(1, "text 3"), (2, None)], "query_id long, query string")
+    plan = retrieve_text(queries, records.repartition(4), RetrievalConfig(threshold=0.0))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "isnotnull(pythonUDF" not in plan

@@ -82,8 +82,12 @@ def test_minhash_candidates_are_the_exact_top(spark):
     asked = table(spark, SF001, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     sigs, q_sigs = (MH.with_signatures(d, "text").drop("text").checkpoint() for d in (docs, asked))
     got = {}
-    for r in MH.minhash_candidates(q_sigs, sigs, 20, band_block=50).collect():
+    for r in MH.minhash_candidates(q_sigs, sigs, 20).collect():
         got.setdefault(r.query_id, []).append((-r.jaccard_est, r.key))
+    blocks = {}
+    for r in MH.minhash_candidates(q_sigs, sigs, 20, max_query_bytes=0, block_bytes=20_000).collect():
+        blocks.setdefault(r.query_id, []).append((-r.jaccard_est, r.key))
+    assert {q: sorted(x) for q, x in got.items()} == {q: sorted(x) for q, x in blocks.items()}
     rows, total = [(r.key, r.sig) for r in sigs.collect()], 0
     for q in q_sigs.collect():
         alike = [(-sum(x == y for x, y in zip(q.sig, sig)) / 64, key) for key, sig in rows]
