@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import jaccard_sets, whitespace_set
+from tessera.operators.setjoin import MAX_KEY, SMALL_BLOCK, candidate_pairs, distinct_sets, has_word, verified, with_order, word_sets
 
 
 def dedup_fragments(fragments: DataFrame, threshold: float = 0.7, *, group: str = "query_id",
@@ -35,66 +36,42 @@ def dedup_fragments(fragments: DataFrame, threshold: float = 0.7, *, group: str
     return folded.select(F.explode("__kept").alias("__k")).select("__k.__r.*")
 
 
-#: Rows of one prefix token up to which all its pairs are tried at once; a longer block goes by rounds.
-SMALL_BLOCK = 64
-
-
-def _prefixes(sets: DataFrame, threshold: float) -> DataFrame:
-    """(ord, n, words): the words of each set from the rarest up, the order of prefix filtering."""
-    tokens = sets.select("ord", F.explode("words").alias("w"))
-    counts = tokens.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
-    ordered = tokens.join(counts, "w").groupBy("ord").agg(F.sort_array(F.collect_list(F.struct("df", "w"))).alias("o"))
-    return ordered.select("ord", F.size("o").alias("n"), F.transform("o", lambda x: x["w"]).alias("words"))
-
-
-def _similar(pairs: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose word sets have Jaccard of at least ``threshold``."""
-    a = rows.select(F.col("ord").alias("a"), F.col("words").alias("wa"))
-    b = rows.select(F.col("ord").alias("b"), F.col("words").alias("wb"))
-    return pairs.join(a, "a").join(b, "b").where(jaccard_sets(F.col("wa"), F.col("wb")) >= threshold).select("a", "b")
-
-
 def dedup_corpus(df: DataFrame, threshold: float = 0.7, *, order: str = "ord", text: str = "text",
-                 small_block: int = SMALL_BLOCK) -> DataFrame:
+                 small_block: int = SMALL_BLOCK, max_key: int = MAX_KEY) -> DataFrame:
     """DUP-2: the greedy rule of ``dedup_fragments`` over a whole table: in ``order`` (unique), a
     row stays unless its word set has Jaccard >= ``threshold`` with an earlier row that stayed.
     Columns unchanged; rows without a word all stay.
 
-    Equal sets collapse first (the first stays). Similar sets share one of their
-    ``n - ceil(t n) + 1`` rarest words. Words of up to ``small_block`` rows give candidate
-    pairs, verified at once; of a more frequent word only its first undecided row meets the
-    rest, each round. A row stays when no earlier undecided row is similar (by the verified
-    pairs) and it is the first in all its long blocks; then what is similar to it goes. Rounds
-    repeat until no row is undecided, so nothing depends on ``small_block`` but the plan."""
-    source = df.select(F.col(order).alias("ord"), F.array_sort(whitespace_set(F.coalesce(F.col(text), F.lit("")))).alias("words"))
-    worded = source.where(F.size("words") > 0)
-    digest = F.md5(F.array_join("words", "\0"))
-    firsts = worded.groupBy(digest.alias("d")).agg(F.min("ord").alias("ord"))
-    rows = _prefixes(worded.join(firsts.select("ord"), "ord"), threshold).checkpoint()
-    keep_n = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
-    blocks = rows.select("ord", "n", F.explode(F.slice("words", F.lit(1), keep_n.cast("int"))).alias("w"))
-    sizes = blocks.groupBy("w").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    met = blocks.join(sizes, "w").checkpoint()
-    small = met.where(F.col("rows") <= small_block)
-    x, y = (small.select("w", F.col("ord").alias(c), F.col("n").alias(f"n{c}")) for c in ("a", "b"))
-    near = (F.col("na") >= F.col("nb") * threshold - 1e-9) & (F.col("nb") >= F.col("na") * threshold - 1e-9)
-    edges = _similar(x.join(y, "w").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct(), rows, threshold).checkpoint()
-    long = met.where(F.col("rows") > small_block).select("w", "ord").checkpoint()
-    open_rows = edges.select(F.col("b").alias("ord")).unionByName(edges.select(F.col("a").alias("ord"))).unionByName(
-        long.select("ord")).distinct().checkpoint()
-    kept = rows.select("ord").join(open_rows, "ord", "left_anti")
-    while open_rows.limit(1).count():
-        live = edges.join(open_rows.select(F.col("ord").alias("a")), "a", "left_semi").join(open_rows.select(F.col("ord").alias("b")), "b", "left_semi")
-        here = long.join(open_rows, "ord", "left_semi")
-        heads = here.groupBy("w").agg(F.min("ord").alias("head"))
-        waits = live.select(F.col("b").alias("ord")).unionByName(
-            here.join(heads, "w").where("ord > head").select("ord")).distinct()
-        stay = open_rows.join(waits, "ord", "left_anti").checkpoint()
-        beside = heads.join(stay, heads["head"] == stay["ord"], "left_semi")
-        met_now = here.join(beside, "w").where("ord > head").select(F.col("head").alias("a"), F.col("ord").alias("b")).distinct()
-        gone = live.join(stay.select(F.col("ord").alias("a")), "a", "left_semi").select(F.col("b").alias("ord")).unionByName(
-            _similar(met_now, rows, threshold).select(F.col("b").alias("ord")))
+    Equal sets collapse first (the first stays). The similar pairs come from the set join of the table
+    with itself; every row that waits for no earlier undecided one stays, what is similar to it
+    goes, and so on. Blocks that are long even by ``max_key`` words hold near copies, so their
+    pairs are not listed: each round the first undecided row of one meets the rest. Rounds
+    repeat until no row is undecided, so nothing depends on the last two parameters but the plan."""
+    rows, _ = distinct_sets(word_sets(df, order, text))
+    pairs, long = candidate_pairs(*with_order(rows), None, threshold, small_block=small_block, max_key=max_key)
+    edges = verified(pairs, rows, rows, threshold).select("a", "b").checkpoint()
+    long = long.distinct().checkpoint()
+    open_rows = edges.select(F.col("b").alias("id")).unionByName(edges.select(F.col("a").alias("id"))).unionByName(
+        long.select("id")).distinct().checkpoint()
+    kept = rows.select("id").join(open_rows, "id", "left_anti")
+    live, here, left = edges, long if long.limit(1).count() else None, open_rows.count()
+    while left:
+        waits = live.select(F.col("b").alias("id"))
+        if here is not None:
+            heads = here.groupBy("key").agg(F.min("id").alias("head"))
+            waits = waits.unionByName(here.join(heads, "key").where("id > head").select("id"))
+        stay = open_rows.join(waits, "id", "left_anti").checkpoint()
+        gone = live.join(stay.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id"))
+        if here is not None:
+            beside = heads.join(stay, heads["head"] == stay["id"], "left_semi")
+            met_now = here.join(beside, "key").where("id > head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
+            gone = gone.unionByName(verified(met_now, rows, rows, threshold).select(F.col("b").alias("id")))
         kept = kept.unionByName(stay)
-        open_rows = open_rows.join(stay.unionByName(gone), "ord", "left_anti").checkpoint()
-    staying = kept.unionByName(source.where(F.size("words") == 0).select("ord")).withColumnRenamed("ord", order)
+        open_rows = open_rows.join(stay.unionByName(gone), "id", "left_anti").checkpoint()
+        left = open_rows.count()
+        if left:                                           # what the decided rows had to say is said
+            live = live.join(open_rows.select(F.col("id").alias("a")), "a", "left_semi").join(
+                open_rows.select(F.col("id").alias("b")), "b", "left_semi")
+            here = None if here is None else here.join(open_rows, "id", "left_semi").select("key", "id").checkpoint()
+    staying = kept.unionByName(df.where(~has_word(text)).select(F.col(order).alias("id"))).withColumnRenamed("id", order)
     return df.join(staying, order, "left_semi")

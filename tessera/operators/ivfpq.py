@@ -9,9 +9,11 @@ in the probed lists with ``target_recall``.
 
 Search: a query picks its nearest lists; (query, list) pairs meet the members in a
 ``cogroup`` on (list, member block, query block). Long lists and lists that many queries
-probe are both cut into blocks, by count tables that are joined as DataFrames. A cell
-looks distances up in chunks with a running best; a window keeps the shortlist, which
-is re-ranked with the exact vectors (JOIN-6).
+probe are both cut into blocks, by the index's table of list headers and the probes'
+counts. A cell looks distances up in chunks with a running best; a window keeps the
+shortlist, which is re-ranked with the exact vectors (JOIN-6). A stored index is
+partitioned by list: the table of probed lists (at most ``max_lists`` rows) is broadcast and
+prunes codes and vectors to those lists.
 
 On the driver: centroids (at most ``max_lists`` x d), codebooks (at most 256 x d) and the
 bounded calibration queries.
@@ -44,7 +46,8 @@ class IvfPqIndex:
     centroids: np.ndarray   # (K, d)
     codebooks: np.ndarray   # (m, n_codes, dsub); the last sub-space is padded with zeros
     lists: DataFrame        # list_id int, key, codes binary
-    vectors: DataFrame      # key, embedding (for re-ranking)
+    headers: DataFrame      # list_id int, n_rows bigint: lists that have members
+    vectors: DataFrame      # list_id int, key, embedding (for re-ranking)
     nprobe: int
 
     @property
@@ -114,8 +117,8 @@ def ivfpq_build(vectors: DataFrame, *, key: str = "key", vec: str = "embedding",
     from tessera.session import ensure_checkpoint_dir
     spark = vectors.sparkSession
     ensure_checkpoint_dir(spark)
-    base = vectors.select(F.col(key).alias("key"), F.col(vec).cast("array<double>").alias("v")).where(F.col("v").isNotNull())
     kept = vectors.select(F.col(key).alias("key"), F.col(vec).alias("embedding"))
+    base = kept.select("*", F.col("embedding").cast("array<double>").alias("v")).where(F.col("v").isNotNull())
     n = base.count()
     h = F.pmod(F.xxhash64(F.lit(seed), "key"), F.lit(1 << 30))
     sample = base.where(h < min(1 << 30, math.ceil((1 << 30) * train_rows / max(1, n)))).checkpoint()
@@ -123,7 +126,8 @@ def ivfpq_build(vectors: DataFrame, *, key: str = "key", vec: str = "embedding",
     K = max(1, min(n_lists or round(math.sqrt(n)), max_lists, n_sample))
     seeds = np.array([r[0] for r in first.select("v").limit(max(K, min(n_codes, n_sample))).collect()], np.float64)
     if not n:
-        return IvfPqIndex(np.zeros((1, 1)), np.zeros((1, 1, 1)), base.select(F.lit(0).alias("list_id"), "key", F.lit(b"").alias("codes")), kept, 1)
+        none = base.select(F.lit(0).alias("list_id"), "key", F.lit(b"").alias("codes"))
+        return IvfPqIndex(np.zeros((1, 1)), np.zeros((1, 1, 1)), none, headers_of(none), kept.select(F.lit(0).alias("list_id"), "key", "embedding"), 1)
     dsub = min(dims_per_sub or PROFILES[profile], seeds.shape[1])
     coarse = _lloyd(sample.select("v"), seeds[None, :K], lambda x: x[:, None, :], rounds)[0]
     start = np.ascontiguousarray(_residuals(seeds[:min(n_codes, n_sample)], coarse, dsub)[1].transpose(1, 0, 2))
@@ -136,21 +140,28 @@ def ivfpq_build(vectors: DataFrame, *, key: str = "key", vec: str = "embedding",
             if b.num_rows:
                 lid, x = _residuals(_matrix(b.column("v"), np.float64), coarse, dsub)
                 codes = np.stack([_nearest(x[:, j], books[j]) for j in range(len(books))], 1).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([pa.array(lid, pa.int32()), b.column("key"), pa.array([r.tobytes() for r in codes], pa.binary())],
-                                                 names=["list_id", "key", "codes"])
-    kind = base.schema["key"].dataType.simpleString()
-    lists = base.mapInArrow(code, f"list_id int, key {kind}, codes binary").checkpoint()
-    index = IvfPqIndex(coarse, books, lists, kept, nprobe or K)
+                yield pa.RecordBatch.from_arrays([pa.array(lid, pa.int32()), b.column("key"), pa.array([r.tobytes() for r in codes], pa.binary()),
+                                                  b.column("embedding")], names=["list_id", "key", "codes", "embedding"])
+    kinds = {f.name: f.dataType.simpleString() for f in kept.schema.fields}
+    coded = base.select("key", "v", F.col("embedding")).mapInArrow(
+        code, f"list_id int, key {kinds['key']}, codes binary, embedding {kinds['embedding']}").checkpoint()
+    lists = coded.select("list_id", "key", "codes")
+    index = IvfPqIndex(coarse, books, lists, headers_of(lists).checkpoint(), coded.select("list_id", "key", "embedding"), nprobe or K)
     if nprobe is None:
         index.nprobe = calibrate(index, first.limit(min(n_sample, CALIBRATION_QUERIES)), k, target_recall)
     return index
 
 
+def headers_of(lists: DataFrame) -> DataFrame:
+    """(list_id, n_rows) of the lists that have members."""
+    return lists.groupBy("list_id").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 def calibrate(index: IvfPqIndex, queries: DataFrame, k: int, target_recall: float) -> int:
     """The fewest lists to probe so that ``target_recall`` of the exact top k of ``queries`` (key,
     v) lie in them: how far down a query's order of lists each neighbour's list stands."""
     q = queries.select(F.col("key").alias("qid"), F.col("v").alias("embedding")).toPandas()
-    near = knn_topk(queries.select(F.col("key").alias("qid"), F.col("v").alias("embedding")), index.vectors, k=k, query_id="qid")
+    near = knn_topk(queries.select(F.col("key").alias("qid"), F.col("v").alias("embedding")), index.vectors.drop("list_id"), k=k, query_id="qid")
     found = near.join(index.lists.select("key", "list_id"), "key").select("qid", "list_id").toPandas()     # at most queries x k rows
     order = np.argsort(_distances(np.stack(q["embedding"]), index.centroids), axis=1, kind="stable")
     rank = np.argsort(order, axis=1)
@@ -160,13 +171,14 @@ def calibrate(index: IvfPqIndex, queries: DataFrame, k: int, target_recall: floa
 
 
 def write_index(index: IvfPqIndex, spark: SparkSession, root: str) -> None:
-    """Persist as tables: model (centroids, codebooks, nprobe), lists by list_id, vectors."""
+    """Persist as tables: model (centroids, codebooks, nprobe), list headers, and codes and vectors by list_id."""
     rows = [("centroid", 0, i, c.tolist()) for i, c in enumerate(index.centroids)]
     rows += [("code", j, i, c.tolist()) for j, book in enumerate(index.codebooks) for i, c in enumerate(book)]
     rows.append(("nprobe", 0, 0, [float(index.nprobe)]))
     spark.createDataFrame(rows, "kind string, sub int, no int, v array<double>").write.mode("overwrite").parquet(f"{root}/ivf/model")
-    index.lists.hint("rebalance", "list_id").write.mode("overwrite").partitionBy("list_id").parquet(f"{root}/ivf/lists")
-    index.vectors.write.mode("overwrite").parquet(f"{root}/ivf/vectors")
+    index.headers.write.mode("overwrite").parquet(f"{root}/ivf/headers")
+    for name, part in (("lists", index.lists), ("vectors", index.vectors)):
+        part.hint("rebalance", "list_id").write.mode("overwrite").partitionBy("list_id").parquet(f"{root}/ivf/{name}")
 
 
 def read_index(spark: SparkSession, root: str) -> IvfPqIndex:
@@ -175,8 +187,9 @@ def read_index(spark: SparkSession, root: str) -> IvfPqIndex:
     pick = lambda kind: [r for r in rows if r["kind"] == kind]
     m = 1 + max(r["sub"] for r in pick("code"))
     books = np.array([[r["v"] for r in pick("code") if r["sub"] == j] for j in range(m)])
-    return IvfPqIndex(np.array([r["v"] for r in pick("centroid")]), books, spark.read.parquet(f"{root}/ivf/lists").withColumn("list_id", F.col("list_id").cast("int")),
-                      spark.read.parquet(f"{root}/ivf/vectors"), int(pick("nprobe")[0]["v"][0]))
+    lists, vectors = (spark.read.parquet(f"{root}/ivf/{name}") for name in ("lists", "vectors"))
+    return IvfPqIndex(np.array([r["v"] for r in pick("centroid")]), books, lists, spark.read.parquet(f"{root}/ivf/headers"), vectors,
+                      int(pick("nprobe")[0]["v"][0]))
 
 
 def _look_up(q: np.ndarray, codes: np.ndarray, books: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -219,29 +232,33 @@ def ivfpq_search(index: IvfPqIndex, queries: DataFrame, k_cand: int, *, query_id
                 yield pa.RecordBatch.from_arrays([b.column("qid"), b.column("qv"), pa.array(list(order), pa.list_(pa.int32()))],
                                                  names=["qid", "qv", "near"])
     pairs = q.mapInArrow(probes, f"qid {qid_type}, qv array<double>, near array<int>").select("qid", "qv", F.explode("near").alias("list_id"))
-    n_blocks = lambda per: F.ceil(F.count(F.lit(1)) / per).cast("int")
-    blocks = (index.lists.groupBy("list_id").agg(n_blocks(members_per_block).alias("mb"))
-              .join(pairs.groupBy("list_id").agg(n_blocks(queries_per_block).alias("qb")), "list_id"))
+    n_blocks = lambda n, per: F.ceil(F.col(n) / per).cast("int")
+    asked = pairs.groupBy("list_id").agg(F.count(F.lit(1)).alias("n_queries"))
+    # one row per probed list; the filter after the checkpoint is what dynamic pruning looks for
+    probed = (index.headers.join(asked, "list_id").select("list_id", n_blocks("n_rows", members_per_block).alias("mb"),
+                                                          n_blocks("n_queries", queries_per_block).alias("qb")).checkpoint().where("qb > 0"))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = (pairs.join(blocks, "list_id").withColumn("qblock", F.pmod(F.xxhash64("qid"), F.col("qb")).cast("int"))
+    left = (pairs.join(F.broadcast(probed), "list_id").withColumn("qblock", F.pmod(F.xxhash64("qid"), F.col("qb")).cast("int"))
             .withColumn("mblock", each("mb")).drop("mb", "qb"))
-    right = (index.lists.join(blocks, "list_id").withColumn("mblock", F.pmod(F.xxhash64("key"), F.col("mb")).cast("int"))
+    right = (index.lists.join(F.broadcast(probed), "list_id").withColumn("mblock", F.pmod(F.xxhash64("key"), F.col("mb")).cast("int"))
              .withColumn("qblock", each("qb")).drop("mb", "qb"))
 
     def cell(qpdf: pd.DataFrame, mpdf: pd.DataFrame) -> pd.DataFrame:
         if qpdf.empty or mpdf.empty:
-            return pd.DataFrame({"qid": qpdf["qid"].iloc[:0], "key": mpdf["key"].iloc[:0], "adc": np.zeros(0)})
+            return pd.DataFrame({"qid": qpdf["qid"].iloc[:0], "list_id": mpdf["list_id"].iloc[:0], "key": mpdf["key"].iloc[:0], "adc": np.zeros(0)})
         cents, books = sent.value
         x = _split(np.stack(qpdf["qv"]) - cents[int(qpdf["list_id"].iat[0])], dsub)
         codes = np.frombuffer(b"".join(mpdf["codes"]), np.uint8).reshape(len(mpdf), -1)
         r, i, d = _look_up(x, codes, books, k_cand)
-        return pd.DataFrame({"qid": qpdf["qid"].to_numpy()[r], "key": mpdf["key"].to_numpy()[i], "adc": np.round(d, 9)})
+        return pd.DataFrame({"qid": qpdf["qid"].to_numpy()[r], "list_id": mpdf["list_id"].to_numpy()[i], "key": mpdf["key"].to_numpy()[i],
+                             "adc": np.round(d, 9)})
 
     at = ["list_id", "qblock", "mblock"]
-    cands = left.groupBy(*at).cogroup(right.groupBy(*at)).applyInPandas(cell, schema=f"qid {qid_type}, key {key_type}, adc double")
+    cands = left.groupBy(*at).cogroup(right.groupBy(*at)).applyInPandas(cell, schema=f"qid {qid_type}, list_id int, key {key_type}, adc double")
     w = Window.partitionBy("qid").orderBy(F.col("adc").asc(), F.col("key").asc())
     short = cands.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= k_cand).drop("__r", "adc")
     s = dot_product(F.col("qv"), F.col("embedding"))
     if decimals is not None:
         s = F.round(s, decimals)
-    return short.join(q, "qid").join(index.vectors, "key").select(F.col("qid").alias(query_id), "key", s.alias("score"))
+    vectors = index.vectors.join(F.broadcast(probed.select("list_id")), "list_id", "left_semi")
+    return short.join(q, "qid").join(vectors, ["list_id", "key"]).select(F.col("qid").alias(query_id), "key", s.alias("score"))

@@ -15,6 +15,7 @@ from tessera.operators.dedup import dedup_corpus
 from tessera.operators.encode import encode
 from tessera.operators.knn import knn_topk
 from tessera.operators.rank import filter_by_threshold, topk_per_query
+from tessera.operators.setjoin import jaccard_pairs
 from tessera.plans import oracle_sql as S
 from tessera.plans.answer import answer, audited_answer, retrieve_text
 from tessera.plans.build import corpus_rows
@@ -223,14 +224,26 @@ kp AS (SELECT list_reduce(list_transform(l, lambda x: [x]), lambda kept, xs:
 SELECT k.id AS doc_id FROM (SELECT unnest(kept) AS k FROM kp)"""
 
 
+def q_jaccard_pairs(spark, sf):
+    """JOIN-9: every pair of a benchmark text and a document with word Jaccard >= 0.2."""
+    items, docs = table(spark, sf, "benchmark").select("item_id", "text"), table(spark, sf, "documents").select("doc_id", "text")
+    return jaccard_pairs(items, docs, 0.2, left_id="item_id", right_id="doc_id")
+
+
+SQL_JACCARD_PAIRS = f"""WITH b AS (SELECT item_id, list_distinct({S.ws_tokens('text')}) AS wb FROM benchmark),
+d AS (SELECT doc_id, list_distinct({S.ws_tokens('text')}) AS wd FROM documents),
+p AS (SELECT item_id, doc_id, length(list_intersect(wb, wd)) AS i, length(wb) AS nb, length(wd) AS nd FROM b, d)
+SELECT item_id, doc_id, i::DOUBLE / (nb + nd - i) AS jaccard FROM p WHERE i > 0 AND i::DOUBLE / (nb + nd - i) >= 0.2"""
+
+
 QUERIES = {
-    "dedup_corpus": q_dedup_corpus,
+    "dedup_corpus": q_dedup_corpus, "jaccard_pairs": q_jaccard_pairs,
     "kv_store": q_kv_store, "ordinal_keymap": q_ordinal_keymap, "cache_text": q_cache_text, "built_corpus": q_built_corpus,
     "tier1_retrieve": q_tier1_retrieve, "shortlist_boost": q_shortlist_boost, "rendered_chat": q_rendered_chat,
     "chat_prompt": q_chat_prompt, "generated_answer": q_generated_answer, "audited_answer": q_audited_answer,
 }
 ORACLE_SQL = {
-    "dedup_corpus": SQL_DEDUP_CORPUS,
+    "dedup_corpus": SQL_DEDUP_CORPUS, "jaccard_pairs": SQL_JACCARD_PAIRS,
     "kv_store": SQL_KV_STORE, "ordinal_keymap": SQL_ORDINAL_KEYMAP, "cache_text": SQL_CACHE_TEXT, "built_corpus": SQL_BUILT_CORPUS,
     "tier1_retrieve": SQL_TIER1_RETRIEVE, "shortlist_boost": SQL_SHORTLIST_BOOST, "rendered_chat": SQL_RENDERED_CHAT,
     "chat_prompt": SQL_CHAT_PROMPT, "generated_answer": SQL_GENERATED_ANSWER, "audited_answer": _audit_sql(),

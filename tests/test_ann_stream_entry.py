@@ -47,6 +47,34 @@ def test_ivf_odd_sizes(spark):
     assert ivfpq_build(same.where("key > 99")).lists.count() == 0
 
 
+def test_stored_index_reads_only_probed_lists(spark):
+    """The plan prunes codes and vectors by the probed lists: a broken file of another list is never opened."""
+    import glob
+    import shutil
+
+    from tessera.operators.ivfpq import read_index, write_index
+    emb = table(spark, SF01, "embeddings")
+    built = ivfpq_build(emb, key="vec_id", profile="low-ram", seed=1)
+    root = tempfile.mkdtemp(prefix="ivf-")
+    write_index(built, spark, root)
+    index = read_index(spark, root)
+    q = emb.select(F.col("vec_id").alias("query_id"), "embedding").where("query_id < 3")
+    for nprobe in (1, 3):
+        found = ivfpq_search(index, q, 20, nprobe=nprobe)
+        plan = found._jdf.queryExecution().toString()
+        assert plan.count("dynamicpruning") >= 2 and "headers" not in plan
+        got, want = ({tuple(r) for r in f.collect()} for f in (found, ivfpq_search(built, q, 20, nprobe=nprobe)))
+        assert got == want and got
+    keys = {r.key for r in ivfpq_search(index, q, 1000, nprobe=1).collect()}
+    used = {r.list_id for r in built.lists.collect() if r.key in keys}
+    broken = 0
+    for path in glob.glob(f"{root}/ivf/*/list_id=*/part-*.parquet"):
+        if int(path.split("list_id=")[1].split("/")[0]) not in used:
+            shutil.copy(__file__, path)                     # no Parquet file any more
+            broken += 1
+    assert broken and {r.key for r in ivfpq_search(index, q, 1000, nprobe=1).collect()} == keys
+
+
 def test_minhash_udf_equals_sql_form(spark):
     d = table(spark, SF001, "documents").limit(50)
     a = d.select("doc_id", MH.minhash_signature(F.col("text")).alias("s1"),

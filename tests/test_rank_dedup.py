@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators.dedup import dedup_corpus, dedup_fragments
+from tessera.operators.setjoin import jaccard_pairs
 from tessera.operators.rank import filter_by_threshold, single_query_topk, topk_per_query
 
 
@@ -56,8 +57,8 @@ def _greedy(rows, t):
     return {i for i, _ in kept}
 
 
-@pytest.mark.parametrize("small_block,t", [(1, 0.7), (3, 0.5), (64, 0.7), (2, 1.0)])
-def test_corpus_dedup_equals_the_greedy_rule(spark, small_block, t):
+@pytest.mark.parametrize("small_block,t,max_key", [(1, 0.7, 3), (3, 0.5, 1), (64, 0.7, 3), (2, 1.0, 2), (1, 0.4, 3)])
+def test_corpus_dedup_equals_the_greedy_rule(spark, small_block, t, max_key):
     rng = np.random.default_rng(int(10 * t))
     words = [f"w{i}" for i in range(40)]
     rows, base = [], [list(rng.choice(words, rng.integers(3, 9), replace=False)) for _ in range(5)]
@@ -68,7 +69,7 @@ def test_corpus_dedup_equals_the_greedy_rule(spark, small_block, t):
         rows.append((i, " ".join(w)))
     rows += [(200, ""), (201, None), (202, "  "), (203, "W1 w1"), (204, "w1")]
     df = spark.createDataFrame(rows, "ord long, text string").withColumn("words", F.lit("own"))
-    out = dedup_corpus(df, t, small_block=small_block)
+    out = dedup_corpus(df, t, small_block=small_block, max_key=max_key)
     assert out.columns == df.columns and {r.ord for r in out.collect()} == _greedy(rows, t)
 
 
@@ -76,4 +77,39 @@ def test_corpus_dedup_of_a_large_group(spark):
     rows = [(i, f"one two three four five six seven eight nine x{i}") for i in range(300)] + [(999, "other words here")]
     out = dedup_corpus(spark.createDataFrame(rows, "ord long, text string"), 0.7, small_block=8)
     assert sorted(r.ord for r in out.collect()) == [0, 999]
+
+
+def test_corpus_dedup_of_a_long_block_without_copies(spark, monkeypatch):
+    """One word that all rows have, and nothing alike: no round for each row of its block."""
+    from tessera.operators import dedup
+    verifies = []
+    plain = dedup.verified
+    monkeypatch.setattr(dedup, "verified", lambda *a: verifies.append(1) or plain(*a))
+    rows = [(i, f"the x{i} y{i % 60} z{i % 50}") for i in range(200)]
+    out = dedup_corpus(spark.createDataFrame(rows, "ord long, text string"), 0.7, small_block=4)
+    assert out.count() == 200 and len(verifies) <= 8        # one for the pairs, one a round
+
+
+@pytest.mark.parametrize("small_block,max_key,t", [(1, 3, 0.5), (2, 2, 0.7), (64, 3, 0.3), (1, 1, 0.6), (3, 3, 1.0)])
+def test_jaccard_pairs_are_all_pairs(spark, small_block, max_key, t):
+    rng = np.random.default_rng(small_block)
+    words = [f"w{i}" for i in range(30)]
+
+    def some(n):
+        p = 1 / np.arange(1, 31)
+        return [(i, " ".join(rng.choice(words, rng.integers(1, 8), p=p / p.sum()))) for i in range(n)] + [
+            (900, None), (901, " "), (902, "w0 W1"), (903, "w1 w0 w1"), (904, "w0"), (905, "w0 w1 w2 w3 w4 w5 w6 w7 w8 w9")]
+    left, right = some(90), some(120)
+    got = jaccard_pairs(spark.createDataFrame(left, "item_id long, text string").withColumn("n", F.lit(1)),
+                        spark.createDataFrame(right, "doc_id long, text string").withColumn("h", F.lit(1)), t,
+                        left_id="item_id", right_id="doc_id", small_block=small_block, max_key=max_key)
+    sets = [[(i, set((x or "").lower().split())) for i, x in side] for side in (left, right)]
+    want = {(i, j, len(a & b) / len(a | b)) for i, a in sets[0] for j, b in sets[1] if a and b and len(a & b) / len(a | b) >= t}
+    rows = got.collect()
+    assert got.columns == ["item_id", "doc_id", "jaccard"] and len(rows) == len(want) and {tuple(r) for r in rows} == want
+
+
+def test_jaccard_pairs_of_nothing(spark):
+    none = spark.createDataFrame([], "a long, text string")
+    assert jaccard_pairs(none, none.withColumnRenamed("a", "b"), 0.5, left_id="a", right_id="b").count() == 0
     assert dedup_corpus(spark.createDataFrame([], "ord long, text string")).count() == 0
