@@ -1,12 +1,22 @@
 """Keyed record store and index tables (SRC-3/4/5/6/8, AGG-11, PIP-5 sinks).
 
-Layout under one root folder (any Hadoop file system path)::
+Layout of a version (any Hadoop file system path)::
 
     records/bucket=<b>/part-*.parquet     key, value (JSON), ord
     embeddings/part-*.parquet             key, embedding array<float>
     minhash/part-*.parquet                key, sig array<bigint>
     ivf/{model,lists,vectors}/            IVF-PQ tables (see operators.ivfpq)
 
+A store root holds versions and manifests::
+
+    versions/<name>/...                   the tables above, never changed after publishing
+    manifests/<number>                    {"version": <name>, "tables": [...]}, each written once
+
+``new_version`` names a folder, the builder writes its tables there, and ``publish`` adds the
+manifest last, by a rename. Readers open the manifest of the highest number, so
+that a build that fails half-way, or runs while others read, changes nothing for them. A
+root without manifests is a single version itself, told by its folders.
+
 The bucket of a key is ``first 32 bits of md5(key) mod n`` — a stable hash any
 engine can recompute; buckets are a partition column, so a lookup of known keys
 prunes to their buckets.
@@ -14,7 +24,9 @@ prunes to their buckets.
 
 from __future__ import annotations
 
+import json
 import os
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -68,9 +80,11 @@ def read_records(spark: SparkSession, root: str) -> DataFrame:
 
 
 def lookup(store: DataFrame, keys: DataFrame, num_buckets: int, key: str = "key") -> DataFrame:
-    """Fetch records of known keys; the bucket equality lets Spark prune partitions."""
+    """Fetch records of known keys, reading their buckets only: the buckets that the keys need (at
+    most ``num_buckets`` numbers) become a partition filter of the scan."""
     k = keys.select(F.col(key).alias("key")).withColumn("bucket", key_bucket(F.col("key"), num_buckets).cast("int"))
-    return store.join(k, ["bucket", "key"], "inner")
+    wanted = sorted(r["bucket"] for r in k.where("bucket IS NOT NULL").select("bucket").distinct().collect())
+    return store.where(F.col("bucket").isin(wanted)).join(k, ["bucket", "key"], "inner")
 
 
 def store_stats(store: DataFrame) -> DataFrame:
@@ -92,15 +106,82 @@ def write_table(df: DataFrame, root: str, name: str, mode: str = "overwrite") ->
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    fs, at = _fs(spark, path)
+    return fs.exists(at)
+
+
+def _fs(spark: SparkSession, path: str):
+    """(file system, Hadoop path) of ``path``."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def new_version(root: str) -> str:
+    """The folder of a version that is not published yet."""
+    return os.path.join(root, "versions", uuid.uuid4().hex)
+
+
+def _numbers(spark: SparkSession, root: str) -> list[int]:
+    fs, at = _fs(spark, os.path.join(root, "manifests"))
+    names = [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
+    return sorted(int(n) for n in names if n.isdigit())
+
+
+def publish(spark: SparkSession, root: str, version: str) -> int:
+    """Make the folder ``version`` of ``root`` the one that readers open; its manifest's number. Of
+    two builders that publish at once each gets a number of its own; the higher one holds."""
+    fs, at = _fs(spark, version)
+    if not fs.exists(at):
+        raise FileNotFoundError(f"no version at {version}")
+    tables = sorted(f.getPath().getName() for f in fs.listStatus(at))
+    if "ivf" in tables and not fs.exists(_fs(spark, os.path.join(version, "ivf", "lists"))[1]):
+        tables.remove("ivf")
+    text = json.dumps({"version": os.path.basename(version.rstrip("/")), "tables": tables})
+    _, draft = _fs(spark, os.path.join(root, "manifests", f"draft-{uuid.uuid4().hex}"))
+    out = fs.create(draft, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    number = max(_numbers(spark, root), default=0) + 1
+    while not fs.rename(draft, _fs(spark, os.path.join(root, "manifests", str(number)))[1]):
+        number += 1
+        if number > max(_numbers(spark, root), default=0) + 1:
+            raise OSError(f"the manifest could not be renamed in {root}")
+    return number
+
+
+def published(spark: SparkSession, root: str, number: int | None = None) -> tuple[str, list[str]] | None:
+    """(folder, tables) of the version of the highest manifest, or of manifest ``number``; None without any."""
+    numbers = _numbers(spark, root)
+    if not numbers:
+        return None
+    if number is not None and number not in numbers:
+        raise FileNotFoundError(f"no manifest {number} in {root}")
+    path = os.path.join(root, "manifests", str(numbers[-1] if number is None else number))
+    found = json.loads("".join(r["value"] for r in spark.read.text(path).collect()))
+    return os.path.join(root, "versions", found["version"]), found["tables"]
+
+
+def drop_versions(spark: SparkSession, root: str, keep: int = 2) -> list[int]:
+    """Delete the versions before the last ``keep`` published ones, manifest first; their numbers.
+    Folders that were never published are left alone: a builder may be writing them."""
+    if keep < 1:
+        raise ValueError("the last version stays")
+    old = _numbers(spark, root)[:-keep]
+    still = {published(spark, root, n)[0] for n in _numbers(spark, root)[-keep:]}
+    for n in old:
+        folder, _ = published(spark, root, n)
+        fs, manifest = _fs(spark, os.path.join(root, "manifests", str(n)))
+        fs.delete(manifest, False)
+        if folder not in still:
+            fs.delete(_fs(spark, folder)[1], True)
+    return old
 
 
 @dataclass(frozen=True)
 class StoreCatalog:
     """SRC-8 ``index_scan``: which tables a store has, and the search tier they
-    allow (IVF-PQ, then embeddings, then MinHash, else exact key only)."""
+    allow (IVF-PQ, then embeddings, then MinHash, else exact key only). ``root`` is the
+    folder of the opened version: what was opened stays readable while others build."""
 
     root: str
     has_ivf: bool
@@ -108,11 +189,13 @@ class StoreCatalog:
     has_minhash: bool
 
     @classmethod
-    def open(cls, spark: SparkSession, root: str) -> "StoreCatalog":
-        return cls(root,
-                   _exists(spark, os.path.join(root, "ivf", "lists")),
-                   _exists(spark, os.path.join(root, "embeddings")),
-                   _exists(spark, os.path.join(root, "minhash")))
+    def open(cls, spark: SparkSession, root: str, number: int | None = None) -> "StoreCatalog":
+        """The last published version of ``root``, or that of manifest ``number``; without manifests the root itself."""
+        found = published(spark, root, number)
+        if found is None:
+            return cls(root, *(_exists(spark, os.path.join(root, t)) for t in (os.path.join("ivf", "lists"), "embeddings", "minhash")))
+        folder, tables = found
+        return cls(folder, *(t in tables for t in ("ivf", "embeddings", "minhash")))
 
     def index(self, spark: SparkSession):
         """The stored IVF-PQ index."""
@@ -130,5 +213,5 @@ class StoreCatalog:
         return "exact"
 
 
-__all__ = ["RECORD_FIELDS", "StoreCatalog", "keyed_records", "keyed_records_kv", "key_bucket", "lookup",
-           "read_records", "store_stats", "write_embeddings", "write_records", "write_table"]
+__all__ = ["RECORD_FIELDS", "StoreCatalog", "drop_versions", "keyed_records", "keyed_records_kv", "key_bucket", "lookup",
+           "new_version", "publish", "published", "read_records", "store_stats", "write_embeddings", "write_records", "write_table"]

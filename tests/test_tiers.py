@@ -66,12 +66,12 @@ def test_key_boost_and_fields_in_every_tier(spark):
     want = {1: ("cold widget: kind 0", 0.97735), 2: ("blue lamp: kind 2", None)}     # 1 / sqrt(3) + 0.40
     for drop, tier in (([], "cosine"), (["embeddings"], "minhash")):
         cat = StoreCatalog.open(spark, root)
-        cat = StoreCatalog(root, False, cat.has_embeddings and "embeddings" not in drop, cat.has_minhash)
+        cat = StoreCatalog(cat.root, False, cat.has_embeddings and "embeddings" not in drop, cat.has_minhash)
         assert cat.tier == tier
         for r in tiered_retrieve(cat, spark, q, cfg).collect():
             assert r.text == want[r.query_id][0] and r.source_id in ("0", "2")
             assert tier != "cosine" or want[r.query_id][1] in (None, r.score)
-    write_index(ivfpq_build(spark.read.parquet(root + "/embeddings"), key="key", k=1), spark, root)
+    build_corpus(corpus, root, cfg, index=True)
     got = {r.query_id: (r.text, r.tier) for r in tiered_retrieve(StoreCatalog.open(spark, root), spark, q, cfg).collect()}
     assert got == {k: (t, "ivf") for k, (t, _) in want.items()}
 
@@ -95,3 +95,49 @@ def test_minhash_candidates_are_the_exact_top(spark):
         assert sorted(got.get(q.query_id, [])) == want
         total += len(want)
     assert total > 0
+
+
+def test_versions_are_published_whole(spark, monkeypatch):
+    """A build that fails half-way leaves the version before readable; an opened one stays as it is."""
+    import pytest
+
+    from tessera.plans import build
+    from tessera.sources.store import drop_versions, published, read_records
+
+    def corpus(text):
+        return as_corpus(spark.createDataFrame([(0, "lamp", text)], "id long, lemma string, definition string"),
+                         {"id": "id", "lemma": "lemma", "definition": "definition"}, "id")
+
+    def value(cat):
+        return read_records(spark, cat.root).first().value
+    root = tempfile.mkdtemp(prefix="versions-")
+    assert published(spark, root) is None
+    build_corpus(corpus("first"), root)
+    first = StoreCatalog.open(spark, root)
+    assert first.tier == "cosine" and "first" in value(first)
+
+    def broken(*a, **k):
+        raise RuntimeError("lost")
+    with monkeypatch.context() as m:
+        m.setattr(build, "with_signatures", broken)
+        with pytest.raises(RuntimeError):
+            build_corpus(corpus("half"), root)
+    assert StoreCatalog.open(spark, root) == first
+    for text in ("second", "third"):
+        build_corpus(corpus(text), root)
+    assert "third" in value(StoreCatalog.open(spark, root)) and "first" in value(first)
+    assert "second" in value(StoreCatalog.open(spark, root, 2))
+    assert drop_versions(spark, root) == [1]
+    assert "third" in value(StoreCatalog.open(spark, root)) and "second" in value(StoreCatalog.open(spark, root, 2))
+    with pytest.raises(FileNotFoundError):
+        StoreCatalog.open(spark, root, 1)
+
+
+def test_stored_kv_lookup_reads_its_buckets(spark):
+    from tessera.sources.store import keyed_records_kv, lookup, read_records
+    rows = [(f"k{i}", f"v{i}", i) for i in range(200)]
+    root = tempfile.mkdtemp(prefix="kv-")
+    write_records(keyed_records_kv(spark.createDataFrame(rows, "word string, definition string, ord long"), num_buckets=50), root)
+    hit = lookup(read_records(spark, root), spark.createDataFrame([("k7",), ("k7",), ("none",), (None,)], "key string"), 50)
+    scan = next(x for x in hit._jdf.queryExecution().executedPlan().toString().split("\n") if "FileScan" in x and "bucket" in x)
+    assert "PartitionFilters: [bucket#" in scan and [r.value for r in hit.collect()] == ["v7", "v7"]
