@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.config import RetrievalConfig
+from tessera.sources.arrays import array_records
 
 RECORD_FIELDS = ("id", "lemma", "term", "title", "name", "content", "text", "definition")
 
@@ -18,39 +19,19 @@ PARSED_FIELDS = (*RECORD_FIELDS, "extra")
 EXTRA_TYPE = "map<string,string>"
 
 
-def _json_of(col: str, kind: T.DataType) -> Column:
-    """A column's value as JSON text."""
-    c = F.col(f"`{col}`")
-    nested = isinstance(kind, (T.StructType, T.ArrayType, T.MapType))
-    return F.to_json(F.to_variant_object(c) if nested else c.cast("variant"))
-
-
 def json_corpus_scan(spark: SparkSession, path: str) -> DataFrame:
     """SRC-1: read a JSON array of records: the known fields as strings, all others in
     ``extra`` (name -> the value as JSON text; a null value is left out).
 
-    Missing path -> ``FileNotFoundError``; a top level that is not an array ->
-    ``ValueError`` (Spark would read a lone object as one row). The first
-    non-blank character is checked on the first bytes of the file only.
-    A single multi-line array is not splittable; rewrite it to Parquet once
-    (``build_corpus``) and read that at scale. ``ord`` is the array position.
-    """
+    Missing path -> ``FileNotFoundError``; a top level that is not an array, or an array that
+    does not end -> ``ValueError``. One file is read by as many tasks as it has byte ranges
+    (``arrays``). ``ord`` is the array position."""
     jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(jvm_path):
         raise FileNotFoundError(f"no corpus at {path}")
-    # only the first non-blank character of the file comes back to the driver
-    first = (spark.read.text(path)
-             .select(F.substring(F.regexp_replace("value", r"^\s+", ""), 1, 1).alias("c"))
-             .filter(F.col("c") != "").limit(1).collect())
-    if not first or first[0]["c"] != "[":
-        raise ValueError(f"{path} does not hold a JSON array")
-    df = with_ordinal(spark.read.option("multiLine", True).json(path))
-    known = [(F.col(f).cast("string") if f in df.columns else F.lit(None).cast("string")).alias(f) for f in RECORD_FIELDS]
-    other = [f for f in df.schema.fields if f.name not in (*RECORD_FIELDS, "ord")]
-    pairs = [F.struct(F.lit(f.name).alias("key"), _json_of(f.name, f.dataType).alias("value")) for f in other]
-    extra = F.map_from_entries(F.filter(F.array(*pairs), lambda e: e["value"].isNotNull())) if pairs else F.create_map()
-    return df.select("ord", *known, extra.cast(EXTRA_TYPE).alias("extra"))
+    rows = array_records(spark, path).select("ord", parse_record_or_wrap("raw").alias("r"))
+    return rows.select("ord", *[F.col(f"r.{f}").alias(f) for f in PARSED_FIELDS])
 
 
 def columnar_corpus_scan(spark: SparkSession, path: str, fmt: str = "parquet",
