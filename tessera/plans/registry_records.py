@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +24,8 @@ from tessera.plans.build import corpus_rows
 from tessera.plans.inputs import PART_AS_CORPUS, definition_questions, document_records
 from tessera.plans.retrieve import cosine_boost_retrieve
 from tessera.sources.corpus import as_corpus, cache_embedding_text, record_key, with_ordinal
-from tessera.sources.store import keyed_records_kv
+from tessera.session import ensure_checkpoint_dir
+from tessera.sources.store import keyed_records_kv, write_bucketed
 from tessera.sources.tables import table
 
 CFG = RetrievalConfig()
@@ -236,14 +239,30 @@ p AS (SELECT item_id, doc_id, length(list_intersect(wb, wd)) AS i, length(wb) AS
 SELECT item_id, doc_id, i::DOUBLE / (nb + nd - i) AS jaccard FROM p WHERE i > 0 AND i::DOUBLE / (nb + nd - i) >= 0.2"""
 
 
+def q_bucketed_fetch(spark, sf):
+    """SRC-3 / JOIN-2: records and their labels as stored tables bucketed by key; the fetch join moves no row."""
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/bucketed-{uuid.uuid4().hex}"
+    docs, labels = (table(spark, sf, name).withColumnRenamed("doc_id", "key") for name in ("documents", "labels"))
+    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    records = write_bucketed(docs.select("key", "text", "source"), root, f"records_{uuid.uuid4().hex}", buckets)
+    wanted = write_bucketed(labels.select("key", "quality", "toxic"), root, f"labels_{uuid.uuid4().hex}", buckets)
+    got = wanted.hint("merge").join(records, "key")
+    return got.select(F.col("key").alias("doc_id"), "quality", "toxic", "source", F.length("text").cast("bigint").alias("n_chars"),
+                      F.md5("text").alias("text_md5"))
+
+
+SQL_BUCKETED_FETCH = """SELECT doc_id, quality, toxic, source, length(text)::BIGINT AS n_chars, md5(text) AS text_md5
+FROM labels JOIN documents USING (doc_id)"""
+
+
 QUERIES = {
-    "dedup_corpus": q_dedup_corpus, "jaccard_pairs": q_jaccard_pairs,
+    "dedup_corpus": q_dedup_corpus, "jaccard_pairs": q_jaccard_pairs, "bucketed_fetch": q_bucketed_fetch,
     "kv_store": q_kv_store, "ordinal_keymap": q_ordinal_keymap, "cache_text": q_cache_text, "built_corpus": q_built_corpus,
     "tier1_retrieve": q_tier1_retrieve, "shortlist_boost": q_shortlist_boost, "rendered_chat": q_rendered_chat,
     "chat_prompt": q_chat_prompt, "generated_answer": q_generated_answer, "audited_answer": q_audited_answer,
 }
 ORACLE_SQL = {
-    "dedup_corpus": SQL_DEDUP_CORPUS, "jaccard_pairs": SQL_JACCARD_PAIRS,
+    "dedup_corpus": SQL_DEDUP_CORPUS, "jaccard_pairs": SQL_JACCARD_PAIRS, "bucketed_fetch": SQL_BUCKETED_FETCH,
     "kv_store": SQL_KV_STORE, "ordinal_keymap": SQL_ORDINAL_KEYMAP, "cache_text": SQL_CACHE_TEXT, "built_corpus": SQL_BUILT_CORPUS,
     "tier1_retrieve": SQL_TIER1_RETRIEVE, "shortlist_boost": SQL_SHORTLIST_BOOST, "rendered_chat": SQL_RENDERED_CHAT,
     "chat_prompt": SQL_CHAT_PROMPT, "generated_answer": SQL_GENERATED_ANSWER, "audited_answer": _audit_sql(),

@@ -87,6 +87,30 @@ def lookup(store: DataFrame, keys: DataFrame, num_buckets: int, key: str = "key"
     return store.where(F.col("bucket").isin(wanted)).join(k, ["bucket", "key"], "inner")
 
 
+def write_bucketed(df: DataFrame, root: str, name: str, buckets: int, key: str = "key") -> DataFrame:
+    """Store ``df`` as the table ``name``, bucketed and sorted by ``key``, under ``root``, and return it.
+    Two tables of one number of buckets join on their keys without a shuffle. The layout is
+    written beside the files, so that ``open_bucketed`` finds it in another session."""
+    spark, path = df.sparkSession, os.path.join(root, name)
+    (df.repartition(buckets, F.col(key)).write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
+     .option("path", path).format("parquet").saveAsTable(name))
+    fs, at = _fs(spark, path.rstrip("/") + ".layout")
+    out = fs.create(at, True)
+    out.write(bytearray(json.dumps({"key": key, "buckets": buckets, "schema": spark.table(name).schema.toDDL()}).encode()))
+    out.close()
+    return spark.table(name)
+
+
+def open_bucketed(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """The table that ``write_bucketed`` stored, registered in this session if it is not."""
+    path = os.path.join(root, name)
+    if not spark.catalog.tableExists(name):
+        layout = json.loads("".join(r["value"] for r in spark.read.text(path.rstrip("/") + ".layout").collect()))
+        spark.sql(f"CREATE TABLE `{name}` ({layout['schema']}) USING parquet CLUSTERED BY (`{layout['key']}`) "
+                  f"SORTED BY (`{layout['key']}`) INTO {int(layout['buckets'])} BUCKETS LOCATION '{path}'")
+    return spark.table(name)
+
+
 def store_stats(store: DataFrame) -> DataFrame:
     """SRC-6 / AGG-11: records and value bytes per bucket, plus a total row
     (``bucket`` null) from ``rollup``."""
@@ -214,4 +238,4 @@ class StoreCatalog:
 
 
 __all__ = ["RECORD_FIELDS", "StoreCatalog", "drop_versions", "keyed_records", "keyed_records_kv", "key_bucket", "lookup",
-           "new_version", "publish", "published", "read_records", "store_stats", "write_embeddings", "write_records", "write_table"]
+           "new_version", "open_bucketed", "publish", "published", "read_records", "store_stats", "write_bucketed", "write_embeddings", "write_records", "write_table"]

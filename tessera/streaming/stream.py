@@ -9,6 +9,7 @@ records are appended to the corpus with an idempotent per-batch folder.
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +22,7 @@ from tessera.operators.encode import encode
 from tessera.operators.minhash import with_signatures
 from tessera.plans.answer import answer, retrieve_text
 from tessera.session import ensure_checkpoint_dir
+from tessera.sources.store import _fs, publish, published
 
 QUERY_SCHEMA = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("query", T.StringType())])
 
@@ -58,25 +60,80 @@ def stream_corpus_upsert(spark: SparkSession, source_dir: str, store_dir: str, s
                          name: str = "upserts", encoder: Callable[[DataFrame, str, str], DataFrame] = encode) -> StreamingQuery:
     """STM-2: append new records to ``store_dir/records/batch_id=<id>``, their vectors to
     ``embeddings`` and their MinHash signatures to ``minhash`` beside it, each batch in its own
-    folder (idempotent on replay). ``latest_records`` reads any of the three."""
+    folder (idempotent on replay). Records without ``ord`` are numbered as they come. ``latest_records``
+    reads any of the three, ``compact_store`` folds the batches."""
     stream = spark.readStream.schema(schema).format(fmt).load(source_dir)
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        carried = [c for c in (key, "ord") if c in batch.columns]
+        if "ord" not in batch.columns:                     # the order of arrival
+            batch = batch.withColumn("ord", F.monotonically_increasing_id())
+        batch = batch.persist()
         parts = {"records": batch,
-                 "embeddings": encoder(batch.select(*carried, text), text, "embedding").select(*carried, "embedding"),
-                 "minhash": with_signatures(batch.select(*carried, text), text).select(*carried, "sig")}
+                 "embeddings": encoder(batch.select(key, "ord", text), text, "embedding").select(key, "ord", "embedding"),
+                 "minhash": with_signatures(batch.select(key, "ord", text), text).select(key, "ord", "sig")}
         for part, rows in parts.items():
             rows.write.mode("overwrite").parquet(os.path.join(store_dir, part, f"batch_id={batch_id}"))
+        batch.unpersist()
 
     return (stream.writeStream.foreachBatch(per_batch)
             .option("checkpointLocation", checkpoint or _ckpt(spark, name))
             .start())
 
 
+def _batches(spark: SparkSession, folder: str, after: int) -> list[str]:
+    """The folders of the batches after number ``after``."""
+    fs, at = _fs(spark, folder)
+    names = [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
+    ids = sorted(int(n.removeprefix("batch_id=")) for n in names if n.startswith("batch_id="))
+    return [os.path.join(folder, f"batch_id={i}") for i in ids if i > after]
+
+
+def _generation(spark: SparkSession, root: str) -> tuple[str | None, int]:
+    """(folder, last batch folded) of the store's published generation; (None, -1) without one."""
+    found = published(spark, root)
+    return (None, -1) if found is None else (found[0], int(os.path.basename(found[0]).split("-")[0]))
+
+
+def _last_rows(df: DataFrame, key: str, order: str) -> DataFrame:
+    """The last row of each key by (batch_id, ``order``): the winners are found on narrow columns, then
+    joined back. Of rows that are equal in these one stays."""
+    place = F.struct(F.col("batch_id"), F.col(order) if order in df.columns else F.lit(0))
+    named = df.withColumn("__at", place)
+    last = named.groupBy(key).agg(F.max("__at").alias("__at"))
+    return named.join(last, [key, "__at"], "left_semi").drop("__at").dropDuplicates([key])
+
+
 def latest_records(spark: SparkSession, store_dir: str, key: str = "key", order: str = "ord") -> DataFrame:
-    """Read one table of the upserted store: the latest row per key (highest batch, then ``order``)."""
-    df = spark.read.parquet(store_dir)
-    cols = [c for c in df.columns if c != key]
-    best = df.groupBy(key).agg(F.max_by(F.struct(*cols), F.struct("batch_id", order)).alias("__r"))
-    return best.select(key, "__r.*")
+    """Read one table of the upserted store (``<store>/records``, ``embeddings`` or ``minhash``): the latest row per key
+    (highest batch, then ``order``, where there is one). After ``compact_store`` the folded batches are read
+    as one generation of one row per key, and only batches after it beside it."""
+    root, part = os.path.split(store_dir.rstrip("/"))
+    folder, through = _generation(spark, root)
+    newer = _batches(spark, store_dir, through)
+    parts = [spark.read.option("basePath", store_dir).parquet(*newer)] if newer else []
+    if folder is not None:
+        old = spark.read.parquet(os.path.join(folder, part))
+        if not parts:
+            return old
+        parts.append(old)
+    if not parts:
+        raise FileNotFoundError(f"no batches in {store_dir}")
+    whole = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
+    return _last_rows(whole, key, order)
+
+
+def compact_store(spark: SparkSession, root: str, key: str = "key", order: str = "ord") -> int:
+    """STM-2 merge: fold the generation of the upserted store ``root`` and all batches after it into a new
+    generation with one row per key for each table, and publish it; the last batch it holds (-1: nothing
+    to fold). Readers of the generation before go on; a replayed batch that is folded already is not
+    read again; a job that fails half-way leaves the generation before in place."""
+    _, through = _generation(spark, root)
+    newest = [int(b.rsplit("=", 1)[1]) for b in _batches(spark, os.path.join(root, "records"), through)]
+    if not newest:
+        return through
+    to = os.path.join(root, "versions", f"{max(newest)}-{uuid.uuid4().hex}")
+    for part in ("records", "embeddings", "minhash"):
+        if _batches(spark, os.path.join(root, part), -1):
+            latest_records(spark, os.path.join(root, part), key, order).where(F.col("batch_id") <= max(newest)).write.parquet(os.path.join(to, part))
+    publish(spark, root, to)
+    return max(newest)

@@ -79,3 +79,22 @@ def test_last_messages_and_usage(spark):
     assert got == {1: ("first q", "be brief"), 2: (None, None)}
     u = token_usage(spark.createDataFrame([("a b  c", "x\ty")], "query string, response string")).first()
     assert (u.prompt_tokens, u.completion_tokens, u.total_tokens) == (3, 2, 5)
+
+
+def test_bucketed_tables_join_without_exchange(spark):
+    import uuid
+
+    from tessera.sources.store import open_bucketed, write_bucketed
+    root, names = tempfile.mkdtemp(prefix="bk-"), [f"t_{uuid.uuid4().hex}" for _ in range(2)]
+    rows = [(f"k{i}", i) for i in range(100)]
+    a = write_bucketed(spark.createDataFrame(rows, "key string, a long"), root, names[0], 4)
+    b = write_bucketed(spark.createDataFrame(rows[::2] + [("k2", -1)], "key string, b long"), root, names[1], 4)
+    want = sorted((k, i, i) for k, i in rows[::2]) + [("k2", 2, -1)]
+    for x, y in ((a, b), [None, None]):
+        if x is None:                                      # another session knows the files only
+            for n in names:
+                spark.sql(f"DROP TABLE {n}")
+            x, y = (open_bucketed(spark, root, n) for n in names)
+        joined = x.hint("merge").join(y, "key")
+        assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, joined.collect())) == sorted(want)
