@@ -27,39 +27,62 @@ def py_strip(x) -> Column:
     return F.btrim(_c(x), F.lit(K.PY_WHITESPACE_CHARS))
 
 
+#: Code points that decompose or are combining marks lie in these ranges.
+_DECOMPOSING = (range(0x80, 0xD800), range(0xE000, 0x30000), range(0xE0000, 0xE0200))
+_SYLLABLES, _VOWELS, _TAILS = 0xAC00, 21, 28
+
+
 @lru_cache(maxsize=1)
-def fold_table(first: int = 0x80, last: int = 0xFFFF) -> tuple[str, str]:
-    """(from, to) strings for ``translate``: every BMP character whose canonical
-    decomposition, without combining marks (category Mn), is one other character
-    or nothing. Built from ``unicodedata`` by rule, not listed by hand.
-    Characters that decompose into two or more base characters (Hangul syllables,
-    some spacing-mark scripts) are left composed."""
-    src, dst, drop = [], [], []
-    for cp in range(first, last + 1):
-        if 0xD800 <= cp <= 0xDFFF:
+def fold_table() -> tuple[str, str, dict[str, str]]:
+    """(from, to, spelled): ``from`` / ``to`` for ``translate``: every character whose canonical
+    decomposition, without combining marks (category Mn), is one other character or nothing, the
+    marks too; ``spelled``: those with several characters there, but Hangul syllables, which
+    follow a rule. Built from ``unicodedata`` by rule, not listed by hand."""
+    src, dst, drop, spelled = [], [], [], {}
+    for cp in (c for r in _DECOMPOSING for c in r):
+        if _SYLLABLES <= cp < _SYLLABLES + 19 * _VOWELS * _TAILS:
             continue
         ch = chr(cp)
-        if unicodedata.category(ch) == "Mn":
-            continue  # removed by the \p{Mn} pass
-        dec = unicodedata.normalize("NFD", ch)
-        if dec == ch:
-            continue
-        base = "".join(c for c in dec if unicodedata.category(c) != "Mn")
+        base = "".join(c for c in unicodedata.normalize("NFD", ch) if unicodedata.category(c) != "Mn")
         if base == ch:
             continue
-        if len(base) == 1:
+        if not base:
+            drop.append(ch)
+        elif len(base) == 1:
             src.append(ch)
             dst.append(base)
-        elif len(base) == 0:
-            drop.append(ch)
-    return "".join(src) + "".join(drop), "".join(dst)
+        else:
+            spelled[ch] = base
+    return "".join(src) + "".join(drop), "".join(dst), spelled
+
+
+def _spell(x: Column, spelled: dict[str, str]) -> Column:
+    """``x`` with the characters of ``spelled`` and Hangul syllables as their parts."""
+    table = F.create_map(*[F.lit(v) for pair in spelled.items() for v in pair])
+    leads, vowels = ("".join(chr(first + i) for i in range(n)) for first, n in ((0x1100, 19), (0x1161, _VOWELS)))
+    tails = "".join(chr(0x11A8 + i) for i in range(_TAILS - 1))
+
+    def one(ch: Column) -> Column:
+        n = F.ascii(ch) - _SYLLABLES
+        pick = lambda parts, at: F.substr(F.lit(parts), at + 1, F.lit(1))
+        tail = F.when(n % _TAILS == 0, "").otherwise(pick(tails, (n % _TAILS - 1).cast("int")))
+        syllable = F.concat(pick(leads, F.floor(n / (_VOWELS * _TAILS)).cast("int")),
+                            pick(vowels, F.floor(n / _TAILS).cast("int") % _VOWELS), tail)
+        return F.when((n >= 0) & (n < 19 * _VOWELS * _TAILS), syllable).otherwise(F.coalesce(F.try_element_at(table, ch), ch))
+    return F.array_join(F.transform(F.split(x, ""), one), "")
+
+
+def strip_marks(x) -> Column:
+    """NFD without combining marks (Mn)."""
+    frm, to, spelled = fold_table()
+    folded = F.translate(_c(x), frm, to)
+    has = "[\uac00-\ud7a3" + "".join(spelled) + "]"
+    return F.when(folded.rlike(has), _spell(folded, spelled)).otherwise(folded)
 
 
 def normalize_text(x) -> Column:
     """STR-1: lower, strip, NFD, drop combining marks (Mn)."""
-    frm, to = fold_table()
-    stripped = py_strip(F.lower(_c(x)))
-    return F.regexp_replace(F.translate(stripped, frm, to), r"\p{Mn}+", "")
+    return strip_marks(py_strip(F.lower(_c(x))))
 
 
 def extract_query_term(x) -> Column:

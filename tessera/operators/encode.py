@@ -33,7 +33,7 @@ def token_buckets(text: Column, dim: int = DEFAULT_DIM) -> Column:
     )
 
 
-def _counts_to_unit(buckets: pd.Series, dim: int) -> pd.Series:
+def _counts_to_unit(buckets: pd.Series, dim: int, weights: np.ndarray | None = None) -> pd.Series:
     n = len(buckets)
     lengths = np.fromiter((len(b) for b in buckets), dtype=np.int64, count=n)
     counts = np.zeros((n, dim), dtype=np.float64)
@@ -41,18 +41,20 @@ def _counts_to_unit(buckets: pd.Series, dim: int) -> pd.Series:
         flat = np.concatenate([np.asarray(b, dtype=np.int64) for b in buckets if len(b)])
         rows = np.repeat(np.arange(n), lengths)
         np.add.at(counts, (rows, flat), 1.0)
+    if weights is not None:
+        counts *= weights
     norms = np.sqrt((counts * counts).sum(axis=1))
     with np.errstate(invalid="ignore", divide="ignore"):
         unit = np.where(norms[:, None] > 0, counts / norms[:, None], 0.0).astype(np.float32)
     return pd.Series(list(unit))
 
 
-def hashed_bow(text: Column, dim: int = DEFAULT_DIM) -> Column:
-    """Unit float32 vector of hashed word counts."""
+def hashed_bow(text: Column, dim: int = DEFAULT_DIM, weights: np.ndarray | None = None) -> Column:
+    """Unit float32 vector of hashed word counts, times the ``weights`` of the buckets if given."""
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def _unit(buckets: pd.Series) -> pd.Series:
-        return _counts_to_unit(buckets, dim)
+        return _counts_to_unit(buckets, dim, weights)
 
     # a null text has no tokens: it becomes the zero vector
     return _unit(F.coalesce(token_buckets(text, dim), F.array().cast("array<bigint>")))
@@ -63,6 +65,28 @@ def encode(df: DataFrame, text: str = "text", out: str = "embedding", dim: int =
     return df.withColumn(out, hashed_bow(F.col(text), dim))
 
 
+def fit_idf(records: DataFrame, text: str = "text_out", dim: int = DEFAULT_DIM) -> DataFrame:
+    """(bucket, n_records, idf): the corpus statistic that records and queries share, one row per bucket: in how
+    many records it occurs, and ``ln((1 + N) / (1 + n)) + 1`` to six decimals. Null and empty texts count to N."""
+    has = records.select(F.explode(F.array_distinct(token_buckets(F.col(text), dim))).alias("bucket"))
+    counts = has.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_records"))
+    every = records.sparkSession.range(dim).select(F.col("id").alias("bucket"))
+    n = F.coalesce("n_records", F.lit(0))
+    return every.join(counts, "bucket", "left").select(
+        F.col("bucket").cast("int").alias("bucket"), n.alias("n_records"),
+        F.round(F.log(F.lit(1.0 + records.count()) / (n + 1.0)) + 1.0, 6).alias("idf"))
+
+
+def tfidf_encoder(idf: DataFrame) -> Callable[[DataFrame, str, str], DataFrame]:
+    """An encoder of counts weighted by a fitted ``idf`` (a row per bucket, collected), normalised."""
+    rows = sorted((r["bucket"], r["idf"]) for r in idf.select("bucket", "idf").collect())
+    weights = np.array([w for _, w in rows])
+
+    def run(df: DataFrame, text: str = "text", out: str = "embedding") -> DataFrame:
+        return df.withColumn(out, hashed_bow(F.col(text), len(weights), weights))
+    return run
+
+
 def encode_with(df: DataFrame, make_encoder: Callable[[], Callable[[list[str]], np.ndarray]],
                 text: str = "text", out: str = "embedding", normalize: bool = True) -> DataFrame:
     """Add ``out`` using a user encoder. ``make_encoder()`` runs once per Python

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.config import RetrievalConfig
 from tessera.functions.text import normalize_text
-from tessera.operators.encode import encode
+from tessera.operators.encode import encode, fit_idf, tfidf_encoder
 from tessera.operators.ivfpq import ivfpq_build, write_index
 from tessera.operators.minhash import with_signatures
 from tessera.sources.corpus import minhash_text, record_key, record_to_text, source_id
@@ -27,18 +27,23 @@ def corpus_rows(corpus: DataFrame, cfg: RetrievalConfig = RetrievalConfig()) ->
 
 
 def build_corpus(corpus: DataFrame, root: str, cfg: RetrievalConfig = RetrievalConfig(), *,
-                 encoder: Callable[[DataFrame, str, str], DataFrame] = encode, index: bool = False) -> DataFrame:
+                 encoder: Callable[[DataFrame, str, str], DataFrame] = encode, index: bool = False,
+                 weighted: bool = False) -> DataFrame:
     """Write records, embeddings, MinHash signatures and counts of ``corpus`` (ord, record
     fields, extra), with ``index`` an IVF-PQ index too, as a new version under ``root``, publish it and
     return the stored rows. The rows are written once and read back for the vectors; readers
     of the version before see nothing until the last table is written, and a build that fails
-    leaves that one in place. ``encoder(df, text_col, out_col)`` makes the vectors; a
+    leaves that one in place. ``weighted`` fits an IDF of the texts, stores it and encodes with it;
+    ``stored_encoder`` then gives the same encoder for queries. ``encoder(df, text_col, out_col)`` makes the vectors; a
     null text has the zero vector with the default one."""
     spark: SparkSession = corpus.sparkSession
     to = new_version(root)
     write_table(corpus_rows(corpus, cfg), to, "corpus")
     rows = spark.read.parquet(os.path.join(to, "corpus"))
     write_records(rows.select("key", "value", "ord", "bucket"), to)
+    if weighted:
+        write_table(fit_idf(rows, "text_out").coalesce(1), to, "idf")
+        encoder = tfidf_encoder(spark.read.parquet(os.path.join(to, "idf")))
     write_embeddings(encoder(rows.select("ord", "key", "text_out"), "text_out", "embedding"), to)
     write_table(with_signatures(rows.select("ord", "key", "mh_text"), "mh_text").select("ord", "key", "sig"), to, "minhash")
     write_table(rows.agg(F.count(F.lit(1)).alias("n_records"), F.sum(F.octet_length("value")).alias("value_bytes")), to, "counts")

@@ -84,6 +84,14 @@ def unit_vectors(name: str, src: str, id_col: str, text_col: str, dim: int = 256
 {name} AS (SELECT c.id, c.b, (c.c / n.nrm)::FLOAT::DOUBLE AS w FROM {name}_cnt c JOIN {name}_nrm n USING (id))"""
 
 
+def weighted_vectors(name: str, src: str, id_col: str, text_col: str, idf: str, dim: int = 256) -> str:
+    """CTEs ``{name}`` (id, b, w): unit vectors of counts times ``{idf}``(b, idf), float32 weights."""
+    return f"""{name}_tok AS (SELECT {id_col} AS id, unnest({words(text_col)}) AS t FROM {src}),
+{name}_cnt AS (SELECT id, b, c * idf AS c FROM (SELECT id, {bucket('t', dim)} AS b, count(*) AS c FROM {name}_tok GROUP BY 1, 2) JOIN {idf} USING (b)),
+{name}_nrm AS (SELECT id, sqrt(sum(c * c)) AS nrm FROM {name}_cnt GROUP BY 1),
+{name} AS (SELECT c.id, c.b, (c.c / n.nrm)::FLOAT::DOUBLE AS w FROM {name}_cnt c JOIN {name}_nrm n USING (id))"""
+
+
 def text_fragments(queries_sql: str, k: int = 5, threshold: float = 0.3) -> str:
     """CTEs ending in ``frag(query_id, rank, source_id, text, score, ord)``:
     documents scored against ``queries_sql(query_id, query)``."""

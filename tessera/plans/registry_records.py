@@ -14,7 +14,7 @@ from tessera.operators import match as M
 from tessera.operators import synth as SY
 from tessera.operators.chat import last_messages
 from tessera.operators.dedup import dedup_corpus
-from tessera.operators.encode import encode
+from tessera.operators.encode import encode, fit_idf, tfidf_encoder
 from tessera.operators.knn import knn_topk
 from tessera.operators.rank import filter_by_threshold, topk_per_query
 from tessera.operators.setjoin import jaccard_pairs
@@ -255,14 +255,37 @@ SQL_BUCKETED_FETCH = """SELECT doc_id, quality, toxic, source, length(text)::BIG
 FROM labels JOIN documents USING (doc_id)"""
 
 
+def q_tfidf_retrieve(spark, sf):
+    """ANN-1 / PIP-1 with a fitted IDF: every benchmark text against all documents, top 5 >= 0.3."""
+    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    recs = document_records(table(spark, sf, "documents"))
+    frags = retrieve_text(q, recs, CFG, encoder=tfidf_encoder(fit_idf(recs, "text_out")))
+    return frags.select("query_id", F.col("rank").cast("bigint").alias("rank"), "source_id", "score")
+
+
+SQL_TFIDF_RETRIEVE = f"""WITH qsrc AS (SELECT item_id AS query_id, text AS query FROM benchmark),
+dsrc AS (SELECT doc_id AS ord, CASE WHEN text IS NOT NULL AND text <> '' THEN text
+           ELSE CAST(to_json({{'id': CAST(doc_id AS VARCHAR)}}) AS VARCHAR) END AS text FROM documents),
+has AS (SELECT DISTINCT ord, {S.bucket('t', 256)} AS b FROM (SELECT ord, unnest({S.words('text')}) AS t FROM dsrc)),
+idf AS (SELECT b, round(ln((1.0 + (SELECT count(*) FROM dsrc))::DOUBLE / (count(ord) + 1.0)::DOUBLE) + 1.0, 6) AS idf
+        FROM (SELECT unnest(range(256)) AS b) LEFT JOIN has USING (b) GROUP BY b),
+{S.weighted_vectors('qv', 'qsrc', 'query_id', 'query', 'idf')},
+{S.weighted_vectors('dv', 'dsrc', 'ord', 'text', 'idf')},
+sc AS (SELECT q.id AS query_id, d.id AS ord, round(sum(q.w * d.w), 6) AS score FROM qv q JOIN dv d ON q.b = d.b GROUP BY 1, 2),
+rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ord) AS rank FROM sc WHERE score >= 0.3)
+SELECT query_id, rank, CAST(ord AS VARCHAR) AS source_id, score FROM rk WHERE rank <= 5"""
+
+
 QUERIES = {
     "dedup_corpus": q_dedup_corpus, "jaccard_pairs": q_jaccard_pairs, "bucketed_fetch": q_bucketed_fetch,
+    "tfidf_retrieve": q_tfidf_retrieve,
     "kv_store": q_kv_store, "ordinal_keymap": q_ordinal_keymap, "cache_text": q_cache_text, "built_corpus": q_built_corpus,
     "tier1_retrieve": q_tier1_retrieve, "shortlist_boost": q_shortlist_boost, "rendered_chat": q_rendered_chat,
     "chat_prompt": q_chat_prompt, "generated_answer": q_generated_answer, "audited_answer": q_audited_answer,
 }
 ORACLE_SQL = {
     "dedup_corpus": SQL_DEDUP_CORPUS, "jaccard_pairs": SQL_JACCARD_PAIRS, "bucketed_fetch": SQL_BUCKETED_FETCH,
+    "tfidf_retrieve": SQL_TFIDF_RETRIEVE,
     "kv_store": SQL_KV_STORE, "ordinal_keymap": SQL_ORDINAL_KEYMAP, "cache_text": SQL_CACHE_TEXT, "built_corpus": SQL_BUILT_CORPUS,
     "tier1_retrieve": SQL_TIER1_RETRIEVE, "shortlist_boost": SQL_SHORTLIST_BOOST, "rendered_chat": SQL_RENDERED_CHAT,
     "chat_prompt": SQL_CHAT_PROMPT, "generated_answer": SQL_GENERATED_ANSWER, "audited_answer": _audit_sql(),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tessera.config import RetrievalConfig
 from tessera.functions.vector import clamped_boost, dot_product
 from tessera.operators import minhash as MH
-from tessera.operators.encode import encode
+from tessera.operators.encode import encode, tfidf_encoder
 from tessera.operators.ivfpq import IvfPqIndex, ivfpq_search
 from tessera.operators.knn import knn_topk
 from tessera.operators.match import boost_shortlist, exact_key_lookup, key_boosts, with_query_terms
@@ -59,14 +59,19 @@ def stored_texts(records: DataFrame) -> DataFrame:
         "key", "ord", record_to_text().alias("text"), source_id().alias("source_id"))
 
 
+def stored_encoder(spark: SparkSession, catalog: StoreCatalog) -> Encoder:
+    """The encoder that made the store's vectors: with its IDF, if it has one, else plain counts."""
+    return tfidf_encoder(spark.read.parquet(os.path.join(catalog.root, "idf"))) if catalog.has_idf else encode
+
+
 def tiered_retrieve(catalog: StoreCatalog, spark: SparkSession, queries: DataFrame, cfg: RetrievalConfig = RetrievalConfig(), *,
                     encoder: Encoder | None = None, index: IvfPqIndex | None = None) -> DataFrame:
     """ANN-7: pick the plan from the tables the store has — IVF-PQ, else exact
     cosine over stored embeddings with the key boost, else MinHash, else exact key
     lookup. ``queries(query_id, query)``; ``encoder(df, text_col, out_col)`` adds query
-    vectors (default: hashed bag of words). Every tier returns fragments: ``(query_id,
+    vectors (default: the one the store was built with). Every tier returns fragments: ``(query_id,
     rank, source_id, text, score, key, tier)``."""
-    enc = encoder or encode
+    enc = encoder or stored_encoder(spark, catalog)
     texts = stored_texts(read_records(spark, catalog.root))
     tier = catalog.tier
     if tier == "ivf":

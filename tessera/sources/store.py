@@ -211,15 +211,16 @@ class StoreCatalog:
     has_ivf: bool
     has_embeddings: bool
     has_minhash: bool
+    has_idf: bool = False
 
     @classmethod
     def open(cls, spark: SparkSession, root: str, number: int | None = None) -> "StoreCatalog":
         """The last published version of ``root``, or that of manifest ``number``; without manifests the root itself."""
         found = published(spark, root, number)
         if found is None:
-            return cls(root, *(_exists(spark, os.path.join(root, t)) for t in (os.path.join("ivf", "lists"), "embeddings", "minhash")))
+            return cls(root, *(_exists(spark, os.path.join(root, t)) for t in (os.path.join("ivf", "lists"), "embeddings", "minhash", "idf")))
         folder, tables = found
-        return cls(folder, *(t in tables for t in ("ivf", "embeddings", "minhash")))
+        return cls(folder, *(t in tables for t in ("ivf", "embeddings", "minhash", "idf")))
 
     def index(self, spark: SparkSession):
         """The stored IVF-PQ index."""

@@ -62,3 +62,17 @@ def test_sentence_helpers(spark):
     assert one(spark, TX.prefix_match(F.col("c0"), F.col("c1")), "Sotavento: lado opuesto al viento", "sotavento") is True
     parts = one(spark, TX.sentence_parts(F.col("c0")), "Uno. Dos!! Tres; 3.5")
     assert parts == ["Uno", " Dos", " Tres", " 3", "5"]
+
+
+def test_marks_of_every_code_point(spark):
+    """Equal to NFD without Mn, between plain letters and alone."""
+    import unicodedata
+    points = [c for c in range(1, 0x110000) if not 0xD800 <= c <= 0xDFFF]
+    df = spark.createDataFrame([(c, "a" + chr(c) + "b" + chr(c)) for c in points if c < 0x32000 or c >= 0xE0000 and c < 0xE0400], "c long, t string")
+    bad = []
+    for r in df.select("c", "t", TX.strip_marks(F.col("t")).alias("s")).collect():
+        want = "".join(x for x in unicodedata.normalize("NFD", r.t) if unicodedata.category(x) != "Mn")
+        if r.s != want:
+            bad.append((hex(r.c), r.s, want))
+    assert not bad, (len(bad), bad[:5])
+    assert one(spark, TX.normalize_text(F.col("c0")), " \ud55c\uae00 \uac00 É ") == "\u1112\u1161\u11ab\u1100\u1173\u11af \u1100\u1161 e"
