@@ -2,20 +2,23 @@
 
 The reference has no stream engine; requests arrive one by one. Here a stream
 of query files is answered micro-batch by micro-batch against a static corpus
-(stateless: no watermark is needed, a late row is an ordinary row), and new
-records are appended to the corpus with an idempotent per-batch folder.
+(stateless: no watermark is needed, a late row is an ordinary row), new
+records are appended to the corpus with an idempotent per-batch folder and folded
+by a compaction job, and turns of conversations keep their last messages in keyed state.
 """
 
 from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessera.config import RetrievalConfig
 from tessera.operators.encode import encode
@@ -80,6 +83,55 @@ def stream_corpus_upsert(spark: SparkSession, source_dir: str, store_dir: str, s
             .start())
 
 
+TURN_SCHEMA = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("turn", T.LongType()),
+                            T.StructField("role", T.StringType()), T.StructField("text", T.StringType())])
+_LAST = "conv_id long, user_text string, system_text string"
+_LAST_STATE = "user_turn long, user_text string, system_turn long, system_text string"
+
+
+def _keep_last(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """One conversation's last user and system message by turn, over what earlier batches left in ``state``."""
+    now = list(state.get) if state.exists else [None] * 4
+    for b in batches:
+        for turn, role, text in zip(b["turn"], b["role"], b["text"]):
+            said = text.strip() if isinstance(text, str) else ""
+            at = {"user": 0, "system": 2}.get(role)
+            if at is not None and said and not pd.isna(turn) and (now[at] is None or turn >= now[at]):
+                now[at:at + 2] = [int(turn), said]
+    state.update(tuple(now))
+    yield pd.DataFrame({"conv_id": [key[0]], "user_text": [now[1]], "system_text": [now[3]]}).astype(
+        {"conv_id": "Int64", "user_text": object, "system_text": object})
+
+
+def last_message_stream(turns: DataFrame) -> DataFrame:
+    """AGG-4 on a stream of turns (TURN_SCHEMA): per conversation with new turns a row (conv_id, user_text,
+    system_text) with its last non-blank user and system messages so far, as ``last_messages`` gives them
+    of all turns at once. The state of a conversation is four values; turns may come late or out of order."""
+    return turns.groupBy("conv_id").applyInPandasWithState(_keep_last, _LAST, _LAST_STATE, "update", GroupStateTimeout.NoTimeout)
+
+
+def stream_last_messages(spark: SparkSession, source_dir: str, sink_dir: str, *, fmt: str = "parquet", checkpoint: str | None = None,
+                         name: str = "last-messages", max_files_per_trigger: int | None = None) -> StreamingQuery:
+    """``last_message_stream`` over files of turns -> Parquet under ``sink_dir/batch_id=<id>``: the changed
+    conversations of each batch. ``current_messages`` reads the last state of all."""
+    reader = spark.readStream.schema(TURN_SCHEMA).format(fmt)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+
+    def per_batch(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(os.path.join(sink_dir, f"batch_id={batch_id}"))
+    return (last_message_stream(reader.load(source_dir)).writeStream.outputMode("update").foreachBatch(per_batch)
+            .option("checkpointLocation", checkpoint or _ckpt(spark, name)).start())
+
+
+def current_messages(spark: SparkSession, sink_dir: str) -> DataFrame:
+    """(conv_id, user_text, system_text): the latest row of each conversation of ``stream_last_messages``."""
+    rows = spark.read.parquet(sink_dir)
+    last = rows.groupBy("conv_id").agg(F.max("batch_id").alias("at"))
+    mine = rows.join(last, rows["conv_id"].eqNullSafe(last["conv_id"]) & (rows["batch_id"] == last["at"]), "left_semi")
+    return mine.select("conv_id", "user_text", "system_text")
+
+
 def _batches(spark: SparkSession, folder: str, after: int) -> list[str]:
     """The folders of the batches after number ``after``."""
     fs, at = _fs(spark, folder)

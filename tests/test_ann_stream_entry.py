@@ -164,6 +164,43 @@ def test_compaction_folds_batches(spark):
     assert compact_store(spark, store) == 2 and {k: v[1] for k, v in read().items()} == {"a": "five", "b": "four", "c": "None", "d": "six"}
 
 
+def test_turns_over_batches_give_the_batch_answer(spark):
+    """Turns split over batches, out of order, with a restart between: the state goes on."""
+    from tessera.operators.chat import last_messages
+    from tessera.streaming.stream import current_messages, stream_last_messages
+    conv = table(spark, SF01, "conversations").select("conv_id", "turn", "role", "text")
+    odd = spark.createDataFrame([(None, 0, "user", "no id"), (9000, 5, "system", " late "), (9000, 1, "system", "early"), (9000, None, "user", "x"),
+                                 (9001, 0, "user", " \t"), (9001, 1, "assistant", "only"), (9002, 0, None, None)], conv.schema)
+    turns = conv.unionByName(odd).withColumn("part", F.pmod(F.xxhash64("conv_id", "turn", "role"), F.lit(4)))
+    src, sink = tempfile.mkdtemp(prefix="turn-src-"), tempfile.mkdtemp(prefix="turn-sink-")
+    run = {"checkpoint": tempfile.mkdtemp(prefix="turn-ckpt-"), "max_files_per_trigger": 1}
+    for parts in ((3, 1), (0, 2)):                         # two runs of two batches each
+        for p in parts:
+            turns.where(F.col("part") == p).drop("part").coalesce(1).write.parquet(os.path.join(src, str(p)))
+        sq = stream_last_messages(spark, os.path.join(src, "*"), sink, **run)
+        sq.processAllAvailable()
+        sq.stop()
+    got, want = ({tuple(r) for r in df.collect()} for df in (current_messages(spark, sink), last_messages(turns)))
+    assert got == want and (9000, None, "late") in got and len(os.listdir(sink)) >= 4
+
+
+def test_store_with_idf_gives_queries_its_encoder(spark):
+    from tessera.plans.build import build_corpus
+    from tessera.plans.retrieve import stored_encoder, tiered_retrieve
+    from tessera.sources.corpus import as_corpus
+    from tessera.sources.store import StoreCatalog
+    texts = ["the lamp the lamp", "the the the gate", "the iron gate"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    root, q = tempfile.mkdtemp(prefix="idf-"), spark.createDataFrame([(1, "the iron")], "query_id long, query string")
+    build_corpus(as_corpus(docs, {"id": "id", "text": "text"}, "id"), root, weighted=True)
+    cat = StoreCatalog.open(spark, root)
+    assert cat.has_idf
+    vec = stored_encoder(spark, cat)(q, "query", "v").first().v
+    assert len({round(x, 6) for x in vec if x}) == 2          # the rarer word weighs more
+    best = tiered_retrieve(cat, spark, q, RetrievalConfig(threshold=0.0, top_k=1)).first()
+    assert best.text.endswith("the iron gate") and best.score > 0.8
+
+
 def test_driver_contract(spark):
     import __spark_entry__ as e
     df = e.entry(spark)
