@@ -6,13 +6,16 @@ tag-class path. Spark sums the votes per host and path and picks each host's win
 Second pass: the page is parsed again and the elements at its host's winning path are
 extracted without the boilerplate in them; a page without such an element gives its own
 best container, and one that is all boilerplate keeps it.
+
+All of it is linear in the page: what an element passes to its ancestors is summed once per
+element, children before parents, and a path is spelled out for the best container only.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -52,17 +55,32 @@ BOILER_WEIGHT = 0.1
 PLAIN, SOFT, FIRM = range(3)
 
 
+#: Elements that something closes, and what closes any of them.
+_CLOSERS = frozenset().union(*CLOSED_BY.values())
+
+
 class Element:
-    __slots__ = ("tag", "path", "parent", "mark", "held", "own", "boiler", "score", "link", "depth")
+    __slots__ = ("tag", "step", "parent", "mark", "held", "own", "boiler", "flow", "link", "depth", "near", "inside", "hidden")
 
     def __init__(self, tag: str, step: str, parent: Element | None, mark: int) -> None:
-        self.tag, self.parent, self.mark = tag, parent, mark
+        self.tag, self.step, self.parent, self.mark = tag, step, parent, mark
         self.held = 0                                      # characters outside links in it
-        self.own = self.boiler = None                      # its mark holds; or that of an element around it (``read``)
-        self.path = f"{parent.path}/{step}" if parent else step
+        self.own = self.boiler = False                     # its mark holds; or that of an element around it (``read``)
+        self.flow = 0.0                                    # what its text is worth
         self.depth = parent.depth + 1 if parent else 0
         self.link = tag == "a" or bool(parent and parent.link)
-        self.score = 0.0
+        # the innermost element that a start tag may close, itself or above, up to the next container
+        up = None if tag in CONTAINERS or not parent else parent.near
+        self.near = self if tag in CLOSED_BY and tag not in CONTAINERS else up
+        self.inside = self.hidden = False                  # in the extracted element; in boilerplate within it
+
+    @property
+    def path(self) -> str:
+        steps, e = [], self
+        while e:
+            steps.append(e.step)
+            e = e.parent
+        return "/".join(reversed(steps))
 
 
 def _step(tag: str, attrs: str) -> tuple[str, int]:
@@ -87,15 +105,26 @@ def _step(tag: str, attrs: str) -> tuple[str, int]:
     return ".".join([tag, *sorted(classes)]), mark
 
 
-def walk(page: str) -> Iterator[tuple[Element, str, bool]]:
-    """(element, raw text, new block before it) for each stretch of text, in page order."""
+def walk(page: str) -> tuple[list[Element], list[tuple[Element, str, bool]]]:
+    """(elements, parts): the elements, parents first, and (element, raw text, new block before it) for each
+    stretch of text, in page order."""
     root = Element("", "", None, PLAIN)
+    elements, parts = [root], []
+    open_tags: dict[str, int] = {}
     top, at, fresh, end = root, 0, True, len(page)
+
+    def close(to: Element) -> Element:
+        """Up to the element ``to``, which stays open."""
+        e = top
+        while e is not to:
+            open_tags[e.tag] -= 1
+            e = e.parent
+        return to
     while at < end:
         m = _TOKEN.search(page, at)
         stop = m.start() if m else end
         if stop > at:
-            yield top, page[at:stop], fresh
+            parts.append((top, page[at:stop], fresh))
             fresh = False
         if not m:
             break
@@ -104,100 +133,105 @@ def walk(page: str) -> Iterator[tuple[Element, str, bool]]:
         if not tag:
             continue
         if m[1]:                                           # an end tag closes its element and all within
-            e = top
-            while e.parent and e.tag != tag:
-                e = e.parent
-            if e.parent:
-                top = e.parent
+            if open_tags.get(tag):
+                e = top
+                while e.tag != tag:
+                    e = e.parent
+                top = close(e.parent)
             fresh = fresh or tag in BLOCKS
             continue
         if tag == "br":
-            yield top, " ", fresh
+            parts.append((top, " ", fresh))
             fresh = False
             continue
         if tag in RAW:                                     # skip to its end tag
             if not m[3].endswith("/"):
-                close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
-                at = close.end() if close else end
+                found = _raw_end(tag).search(page, at)
+                at = found.end() if found else end
             continue
         if tag in BLOCKS:
             fresh = True
-        e = top                                            # what the start tag closes, up to the next container
-        while e.parent and e.tag not in CONTAINERS:
-            if tag in CLOSED_BY.get(e.tag, ()):
-                top = e.parent
-                if e.tag == "p":
-                    break
-            e = e.parent
+        if tag in _CLOSERS:                                # what the start tag closes, up to the next container
+            e = top.near
+            while e:
+                if tag in CLOSED_BY[e.tag]:
+                    top = close(e.parent)
+                    if e.tag == "p":
+                        break
+                e = e.parent.near
         if tag not in VOID and not m[3].endswith("/"):
-            top = Element(tag, *_split_step(tag, m[3], top))
+            step, mark = _step(tag, m[3])
+            top = Element(tag, step, top, mark)
+            elements.append(top)
+            open_tags[tag] = open_tags.get(tag, 0) + 1
+    return elements, parts
 
 
-def _split_step(tag: str, attrs: str, parent: Element) -> tuple[str, Element, int]:
-    step, mark = _step(tag, attrs)
-    return step, parent, mark
+@lru_cache(maxsize=None)
+def _raw_end(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I)
 
 
-def read(page: str) -> list[tuple[Element, str, bool]]:
+def read(page: str) -> tuple[list[Element], list[tuple[Element, str, bool]]]:
     """What ``walk`` gives, with the elements' boilerplate decided: a soft mark does not hold for
     an element with most of the page's text."""
-    parts, total = list(walk(page)), 0
+    elements, parts = walk(page)
+    total = 0
     for e, raw, _ in parts:
-        n = 0 if e.link else len(raw.strip())
-        total += n
-        up = e if n else None
-        while up:
-            up.held += n
-            up = up.parent
-    for e, _, _ in parts:
-        line = []
-        while e and e.boiler is None:
-            line.append(e)
-            e = e.parent
-        for x in reversed(line):
-            x.own = x.mark == FIRM or x.mark == SOFT and 2 * x.held <= total
-            x.boiler = x.own or bool(x.parent and x.parent.boiler)
-    return parts
+        if not e.link:
+            n = len(raw.strip())
+            e.held += n
+            total += n
+    for e in reversed(elements[1:]):
+        e.parent.held += e.held
+    for e in elements:
+        e.own = e.mark == FIRM or e.mark == SOFT and 2 * e.held <= total
+        e.boiler = e.own or bool(e.parent and e.parent.boiler)
+    return elements, parts
 
 
 def best_path(page: str) -> str | None:
     """The path of the page's best container: the text of its blocks outside links, little of
     it in boilerplate, where a block gives its all to the nearest container and less the
-    farther up; ties go to the deeper one. None if the page has no text."""
-    scored: dict[int, Element] = {}
-    for e, raw, _ in read(page):
-        n = len(raw.strip())
-        if not n or e.link:
-            continue
-        share, up = n * (BOILER_WEIGHT if e.boiler else 1.0), e
-        while up:
-            if up.tag in CONTAINERS or not up.parent:           # the page itself is the outermost container
-                up.score += share * (1.1 if up.tag in ("article", "main") else 1.0)
-                scored[id(up)] = up
-                share *= 0.9
-            up = up.parent
-    best = max(scored.values(), key=lambda e: (e.score, e.depth), default=None)
+    farther up; ties go to the deeper one, then the first. None if the page has no text."""
+    elements, parts = read(page)
+    for e, raw, _ in parts:
+        if not e.link:
+            e.flow += len(raw.strip()) * (BOILER_WEIGHT if e.boiler else 1.0)
+    best, most = None, (0.0, 0)
+    for e in reversed(elements):
+        passed = e.flow
+        if passed and (e.tag in CONTAINERS or not e.parent):     # the page itself is the outermost container
+            score = (round(passed * (1.1 if e.tag in ("article", "main") else 1.0), 6), e.depth)
+            if score >= most:
+                best, most = e, score
+            passed *= 0.9
+        if e.parent:
+            e.parent.flow += passed
     return best.path if best else None
 
 
 def extract(page: str, path: str | None, keep: bool = False) -> str:
     """The text of the elements at ``path``, without boilerplate inside them unless ``keep``: character
     references decoded, white space within a block one space, blocks joined by newlines."""
-    blocks: list[list[str]] = []
-    open_block = False
     if path is None:
         return ""
-    for e, raw, fresh in read(page):
+    steps = path.split("/")[1:]
+    elements, parts = read(page)
+    along = {id(elements[0])}                              # elements whose own path begins ``path``
+    for e in elements:
+        up = e.parent
+        if up and id(up) in along and e.depth <= len(steps) and e.step == steps[e.depth - 1]:
+            along.add(id(e))
+        here = e.depth == len(steps) and id(e) in along
+        e.inside = here or bool(up and up.inside)
+        e.hidden = not here and e.inside and (e.own or up.hidden)
+    blocks: list[list[str]] = []
+    open_block = False
+    for e, raw, fresh in parts:
         if fresh:
             open_block = False
-        up, inside, boiler = e, False, False
-        while up:
-            if up.path == path:
-                inside = True
-                break
-            boiler = boiler or up.own
-            up = up.parent
-        if not inside or (boiler and not keep):
+        if not e.inside or (e.hidden and not keep):
             continue
         if not open_block:
             blocks.append([])
@@ -212,8 +246,8 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-#: Host tables up to this many rows (a host name and a path each) may be broadcast.
-MAX_BROADCAST_HOSTS = 100_000
+#: Host tables (a host name and a path each) up to this many bytes may be broadcast.
+MAX_BROADCAST_BYTES = 16 << 20
 
 
 def host_paths(df: DataFrame, *, url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -229,9 +263,11 @@ def host_paths(df: DataFrame, *, url_col: str = "url", html_col: str = "html") -
 
 def extract_pages(df: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars of every page. A null or empty page has no text; a null
-    url has the host ''; repeated rows are extracted each; other columns are ignored."""
+    url has the host ''; repeated rows are extracted each; other columns are ignored. Time and memory
+    are linear in a page, however deep its elements lie."""
     winners = checkpoint(host_paths(df, url_col=url_col, html_col=html_col).select("host", "path"))
-    small = winners.limit(MAX_BROADCAST_HOSTS + 1).count() <= MAX_BROADCAST_HOSTS
+    size = winners.agg(F.coalesce(F.sum(F.octet_length("host") + F.octet_length("path") + 16), F.lit(0))).first()[0]
+    small = size <= MAX_BROADCAST_BYTES
     src = df.select(F.col(f"`{id_col}`").cast("bigint").alias("page_id"), F.col(f"`{url_col}`").alias("url"),
                     F.col(f"`{html_col}`").alias("html"), host_of(F.col(f"`{url_col}`")).alias("host"))
     joined = src.join(F.broadcast(winners) if small else winners, "host", "left").select("page_id", "url", "html", "path")

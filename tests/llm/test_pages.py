@@ -98,3 +98,60 @@ def test_math_stays_and_boilerplate_goes(spark):
             "<div id='comment-7'><p>A reader</p></div></article><div class='comments'><p>" + "a reader says much " * 90 + "</p></div>")
     got = pages.extract_pages(spark.createDataFrame([(1, "http://m.org/", page(body))], SCHEMA)).collect()
     assert [r.text for r in got] == [PLAIN + "\nSo a=2 holds."]
+
+
+def test_deep_and_unclosed_elements_are_linear():
+    import time
+    words = "some words of the article stand here"
+    pages_ = ["<div>" * 50_000 + words + "</div>" * 50_000, "<b>x</b><b>" * 50_000 + words, "<p><b>" * 50_000 + words, "</i>" * 50_000 + words,
+              "<ul><li>" * 50_000 + words, "<div><p>" * 25_000 + words]
+    for page in pages_:
+        t = time.time()
+        assert pages.extract(page, pages.best_path(page)).endswith(words)
+        assert time.time() - t < 20
+
+
+def _plain_walk(page):
+    """(ancestors, text) by a stack, for pages without implied end tags."""
+    import re
+    stack, out = [], []
+    for m in re.finditer(r"<(/?)(\w+)(?: class='([a-z ]*)')?>|([^<]+)", page):
+        if m[4]:
+            out.append((list(stack), m[4]))
+        elif m[1]:
+            stack.pop()
+        else:
+            stack.append((m[2], tuple(sorted((m[3] or "").split()))))
+    return out
+
+
+def _plain_best(page):
+    """The best container by summing every text over all its ancestors."""
+    scores = {}
+    for n, (line, text) in enumerate(_plain_walk(page)):
+        if any(t == "a" for t, _ in line) or not text.strip():
+            continue
+        share = len(text.strip()) * (0.1 if any(t == "nav" for t, _ in line) else 1.0)
+        for depth in range(len(line), -1, -1):
+            if depth == 0 or line[depth - 1][0] in pages.CONTAINERS:
+                at = tuple(line[:depth])
+                scores[at] = scores.get(at, 0) + share * (1.1 if depth and line[depth - 1][0] in ("article", "main") else 1.0)
+                share *= 0.9
+    best = max(scores.items(), key=lambda x: (round(x[1], 6), len(x[0])), default=None)
+    return None if best is None else "".join("/" + ".".join([t, *c]) for t, c in best[0])
+
+
+def test_votes_of_generated_templates_match_plain_sums():
+    """Pages of random nested templates, each element with a class of its own: scores by brute force."""
+    import random
+    rng = random.Random(6)
+
+    def some(depth, n):
+        tag = rng.choice(["div", "section", "article", "span", "a", "nav", "main", "h1"])
+        name = "".join(rng.choice("bcdfghjk") for _ in range(4)) + "q" * n[0]
+        n[0] += 1
+        inner = "".join(some(depth - 1, n) if depth and rng.random() < 0.6 else "word " * rng.randrange(6) for _ in range(rng.randrange(1, 4)))
+        return f"<{tag} class='{name}'>{inner}</{tag}>"
+    for _ in range(300):
+        page = f"<html><body>{some(4, [0])}{some(4, [100])}</body></html>"
+        assert pages.best_path(page) == _plain_best(page), page
