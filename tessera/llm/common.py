@@ -36,10 +36,25 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def row_hash(df: DataFrame) -> Column:
-    """A 64-bit hash of all columns of a row, nulls included."""
-    return F.xxhash64(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\0")) for c in df.columns]) if df.columns \
-        else F.lit(0).cast("bigint")
+def row_hash(df: DataFrame, seed: int = 0) -> Column:
+    """A 64-bit hash of all columns of a row, nulls told from any value. Two of them with different
+    seeds (ROW) are a row's identity: 128 bits, so that no two rows of a corpus share one."""
+    cells = [x for c in df.columns for x in (F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")), F.col(f"`{c}`").isNull())]
+    return F.xxhash64(F.lit(seed), *cells)
+
+
+#: The columns of a row's identity, and how they are made.
+ROW = ("row_key", "row_key2")
+
+
+def row_keys(df: DataFrame, names: tuple[str, ...] = ROW) -> list[Column]:
+    return [row_hash(df, seed).alias(name) for seed, name in enumerate(names)]
+
+
+def free_keys(df: DataFrame) -> tuple[str, ...]:
+    """The names of ROW as ``free_name`` gives them."""
+    first = free_name(df, ROW[0])
+    return first, free_name(df.withColumn(first, F.lit(0)), ROW[1])
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpoint, free_name, row_hash
+from .common import ROW, WORD, checkpoint, free_keys, free_name, row_keys
 
 WEIGHTS = (5.0, 2.0, 1.0)
 #: The largest budget that the dynamic programme is run over (words).
@@ -121,7 +121,7 @@ def fit_counts(sizes: np.ndarray, counts: np.ndarray, budget: int, dp_budget: in
 
 def mixture(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
             seed: int = 17, weights: tuple[float, ...] = WEIGHTS, budget: float = 1.5, most: float = 2.0) -> DataFrame:
-    """doc_id, row_key, size, source_size, target, copies: how often each row is taken.
+    """doc_id, ROW, size, source_size, target, copies: how often each row is taken.
     ``size`` is the number of words; a null source is a source of its own (last).
 
     Null or blank texts have size 0 and are taken as often as their source is passed over
@@ -129,7 +129,7 @@ def mixture(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", so
     them may be the one taken); an empty table gives no rows. Reruns agree."""
     text, source = F.col(f"`{text_col}`"), F.col(f"`{source_col}`").cast("string")
     rows = checkpoint(df.select(
-        F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), row_hash(df).alias("row_key"),
+        F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), *row_keys(df),
         source.isNotNull().alias("has_source"), F.coalesce(source, F.lit("")).alias("source"),
         F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint").alias("size")))
     lengths = checkpoint(rows.groupBy("has_source", "source", "size").agg(F.count(F.lit(1)).alias("n")))
@@ -151,7 +151,7 @@ def mixture(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", so
     plan = checkpoint(counted.groupBy("has_source", "source").applyInPandas(
         fit, "has_source boolean, source string, size long, source_size long, target double, passes long, n long, take long"))
     key = ["has_source", "source", "size"]
-    joined = rows.join(plan, key).withColumn("h", F.xxhash64(F.lit(seed), "row_key", "doc_id"))
+    joined = rows.join(plan, key).withColumn("h", F.xxhash64(F.lit(seed), ROW[0], "doc_id"))
     whole = joined.where("take = 0 OR take = n").withColumn("more", (F.col("take") > 0).cast("bigint"))
     # of a length taken in part: the smallest hashes, found by 1024 ranges of the hash so that one length can be hot
     partly = checkpoint(joined.where("take > 0 AND take < n").withColumn("b", F.shiftright("h", 54)))
@@ -160,23 +160,24 @@ def mixture(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", so
     ranges = checkpoint(ranges.withColumn("before", F.coalesce(before, F.lit(0))).select(*key, "b", "in_b", "before"))
     placed = partly.join(ranges, [*key, "b"])
     sure = placed.where("before >= take OR before + in_b <= take").withColumn("more", (F.col("before") < F.col("take")).cast("bigint"))
-    nth = F.row_number().over(Window.partitionBy(*key, "b").orderBy("h", "doc_id", "row_key"))
+    nth = F.row_number().over(Window.partitionBy(*key, "b").orderBy("h", "doc_id", *ROW))
     edge = placed.where("before < take AND before + in_b > take").withColumn("nth", nth).withColumn(
         "more", (F.col("before") + F.col("nth") <= F.col("take")).cast("bigint"))
-    cols = ["doc_id", "row_key", "size", "source_size", "target", (F.col("passes") + F.col("more")).alias("copies")]
+    cols = ["doc_id", *ROW, "size", "source_size", "target", (F.col("passes") + F.col("more")).alias("copies")]
     return whole.select(*cols).unionByName(sure.select(*cols)).unionByName(edge.select(*cols))
 
 
 def mix(df: DataFrame, **options) -> DataFrame:
     """The rows of ``df`` (same columns), each as often as ``mixture`` takes it."""
-    picks = checkpoint(mixture(df, **options).groupBy("row_key").agg(
+    picks = checkpoint(mixture(df, **options).groupBy(*ROW).agg(
         F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("same")).where("copies > 0"))
-    key, nth = free_name(df, "row_key"), free_name(df, "nth")
-    keyed = df.withColumn(key, row_hash(df))
+    keys, nth = free_keys(df), free_name(df, "nth")
+    keyed = df.select("*", *row_keys(df, keys))
     own, share = free_name(keyed, "copies"), free_name(keyed, "same")
-    joined = keyed.join(picks.select(F.col("row_key").alias(key), F.col("copies").alias(own), F.col("same").alias(share)), key)
+    joined = keyed.join(picks.select(*[F.col(r).alias(n) for r, n in zip(ROW, keys)], F.col("copies").alias(own),
+                                    F.col("same").alias(share)), list(keys))
     # equal rows share their copies out among them
-    ranked = joined.withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(key)))
+    ranked = joined.withColumn(nth, F.row_number().over(Window.partitionBy(*keys).orderBy(*keys)))
     mine = F.floor(F.col(own) / F.col(share)) + (F.col(nth) <= F.col(own) % F.col(share)).cast("bigint")
     return (ranked.withColumn(nth, mine).where(F.col(nth) > 0)
             .withColumn(nth, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(nth))))

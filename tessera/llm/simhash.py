@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, checkpoint, free_name, row_hash, shingle_hashes, texts
+from .common import ROW, arrow_map, checkpoint, free_keys, row_keys, shingle_hashes, texts
 
 SEED = 42
 
@@ -43,16 +43,16 @@ def simhash64(text: bytes, shingle: int = 4) -> int:
 
 
 def fingerprints(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """(doc_id, row_key, fp): the fingerprint of each row's whole text (null: zero)
-    as a signed 64-bit integer; ``row_key`` is a hash of the whole row."""
-    src = df.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), row_hash(df).alias("row_key"),
+    """(doc_id, ROW, fp): the fingerprint of each row's whole text (null: zero)
+    as a signed 64-bit integer; ROW is the row's identity."""
+    src = df.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), *row_keys(df),
                     F.col(f"`{text_col}`").alias("text"))
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         fp = np.fromiter((simhash64(t, shingle) for t in texts(b.column("text"))), np.uint64, b.num_rows)
-        return pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row_key"), pa.array(fp.view(np.int64))],
-                                          names=["doc_id", "row_key", "fp"])
-    return arrow_map(src, run, "doc_id long, row_key long, fp long")
+        return pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", *ROW)), pa.array(fp.view(np.int64))],
+                                          names=["doc_id", *ROW, "fp"])
+    return arrow_map(src, run, "doc_id long, row_key long, row_key2 long, fp long")
 
 
 def _flips(bits: int, most: int) -> np.ndarray:
@@ -184,7 +184,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4,
                     max_bits: int = 4) -> DataFrame:
-    """(doc_id, row_key, fp, component_id): one row per input row. ``component_id`` is
+    """(doc_id, ROW, fp, component_id): one row per input row. ``component_id`` is
     the smallest id that the row reaches over links of at most ``max_bits`` differing
     bits, itself included.
 
@@ -199,7 +199,7 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         "fp", "low_id", F.coalesce("root", "fp").alias("root"))
     names = checkpoint(rooted.groupBy("root").agg(F.min("low_id").alias("component_id")))
     named = checkpoint(rooted.join(names, "root").select("fp", "component_id"))
-    return fps.join(named, "fp").select("doc_id", "row_key", "fp", "component_id")
+    return fps.join(named, "fp").select("doc_id", *ROW, "fp", "component_id")
 
 
 def keep_one(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4,
@@ -208,12 +208,14 @@ def keep_one(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", s
     with the smallest id (null last), then the smallest row hash; of fully equal rows
     one stays."""
     found = near_duplicates(df, id_col=id_col, text_col=text_col, shingle=shingle, max_bits=max_bits)
-    rooted = found.select("row_key", "fp", F.coalesce("component_id", "fp").alias("c"),
+    rooted = found.select(*ROW, "fp", F.coalesce("component_id", "fp").alias("c"),
                           F.col("component_id").isNull().alias("unnamed"),
                           F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d"))
     first = rooted.groupBy("c", "unnamed").agg(F.min("d").alias("d"))
-    kept = rooted.join(first, ["c", "unnamed", "d"]).groupBy("c", "unnamed").agg(F.min("row_key").alias("row_key"))
-    key = free_name(df, "row_key")
-    keys = checkpoint(kept.select(F.col("row_key").alias(key)).distinct())
-    out = df.withColumn(key, row_hash(df)).join(keys, key, "left_semi").dropDuplicates([key])
+    of_id = rooted.join(first, ["c", "unnamed", "d"]).select("c", "unnamed", *ROW)
+    low = of_id.groupBy("c", "unnamed").agg(F.min(ROW[0]).alias(ROW[0]))
+    kept = of_id.join(low, ["c", "unnamed", ROW[0]]).groupBy("c", "unnamed", ROW[0]).agg(F.min(ROW[1]).alias(ROW[1]))
+    names = free_keys(df)
+    keys = checkpoint(kept.select(*[F.col(r).alias(n) for r, n in zip(ROW, names)]).distinct())
+    out = df.select("*", *row_keys(df, names)).join(keys, list(names), "left_semi").dropDuplicates(list(names))
     return out.select(*[F.col(f"`{c}`") for c in df.columns])

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, checkpoint, free_name, row_hash, texts
+from .common import ROW, arrow_map, checkpoint, free_keys, free_name, row_keys, texts
 
 REACH, MAX_CHUNK, MIN_RUN = 24, 512, 96
 #: The gear table: one 32-bit word per byte value, from XXH32.
@@ -55,9 +55,9 @@ def cut_points(text: bytes, reach: int = REACH, max_chunk: int = MAX_CHUNK) -> n
 
 
 def chunks(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, row_key, start, end, d1, d2): the chunks of every text in byte offsets of
+    """(doc_id, ROW, start, end, d1, d2): the chunks of every text in byte offsets of
     its UTF-8 form, with a 128-bit digest. Null or empty texts have none."""
-    src = df.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), row_hash(df).alias("row_key"),
+    src = df.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), *row_keys(df),
                     F.col(f"`{text_col}`").alias("text")).where(F.length("text") > 0)
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -72,15 +72,15 @@ def chunks(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
         row = pa.array(np.repeat(np.arange(b.num_rows), counts))
         d = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
         return pa.RecordBatch.from_arrays(
-            [b.column("doc_id").take(row), b.column("row_key").take(row), pa.array(np.concatenate(starts).astype(np.int32)),
+            [*(b.column(c).take(row) for c in ("doc_id", *ROW)), pa.array(np.concatenate(starts).astype(np.int32)),
              pa.array(np.concatenate(ends).astype(np.int32)), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy())],
-            names=["doc_id", "row_key", "start", "end", "d1", "d2"])
-    return arrow_map(src, run, "doc_id long, row_key long, start int, end int, d1 long, d2 long")
+            names=["doc_id", *ROW, "start", "end", "d1", "d2"])
+    return arrow_map(src, run, "doc_id long, row_key long, row_key2 long, start int, end int, d1 long, d2 long")
 
 
 def repeated_spans(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                    min_run: int = MIN_RUN) -> DataFrame:
-    """(doc_id, row_key, start, end, first_doc_id): the byte spans of at least ``min_run``
+    """(doc_id, ROW, start, end, first_doc_id): the byte spans of at least ``min_run``
     bytes whose chunks all occur earlier. The order is by doc_id (null last), then the
     row's hash, then the offset: of equal passages the first in this order stays;
     ``first_doc_id`` is the smallest document that holds a first occurrence of the span's
@@ -93,19 +93,19 @@ def repeated_spans(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     firsts = checkpoint(keyed.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("k1"))
                         .where("n > 1").select("d1", "d2", "k1"))
     seen = keyed.join(firsts, ["d1", "d2"]).select(
-        "doc_id", "row_key", "start", "end", "d1", "d2", (F.col("k") == F.col("k1")).alias("own"),
+        "doc_id", *ROW, "start", "end", "d1", "d2", (F.col("k") == F.col("k1")).alias("own"),
         F.expr("(k1 - pmod(k1, 4294967296BD)) div 4294967296BD").alias("first_doc_id"))
-    seen = seen.repartition("doc_id", "row_key")        # a document's chunks meet once for all that follows
-    doc = Window.partitionBy("doc_id", "row_key").orderBy("start")
-    nth = F.row_number().over(Window.partitionBy("doc_id", "row_key", "d1", "d2").orderBy("start", "end"))
-    late = seen.dropDuplicates(["doc_id", "row_key", "start"]).withColumn("nth", nth).where(~F.col("own") | (F.col("nth") > 1))
+    seen = seen.repartition("doc_id", *ROW)        # a document's chunks meet once for all that follows
+    doc = Window.partitionBy("doc_id", *ROW).orderBy("start")
+    nth = F.row_number().over(Window.partitionBy("doc_id", *ROW, "d1", "d2").orderBy("start", "end"))
+    late = seen.dropDuplicates(["doc_id", *ROW, "start"]).withColumn("nth", nth).where(~F.col("own") | (F.col("nth") > 1))
     run = late.withColumn("new", (F.coalesce(F.lag("end").over(doc), F.lit(-1)) != F.col("start")).cast("int")) \
               .withColumn("run", F.sum("new").over(doc))
     first = F.when(F.col("first_doc_id") == 2**63 - 1, None).otherwise(F.col("first_doc_id"))
-    return (run.groupBy("doc_id", "row_key", "run")
+    return (run.groupBy("doc_id", *ROW, "run")
             .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min(first).alias("first_doc_id"))
             .where(F.col("end") - F.col("start") >= min_run)
-            .select("doc_id", "row_key", "start", "end", "first_doc_id"))
+            .select("doc_id", *ROW, "start", "end", "first_doc_id"))
 
 
 def repeat_report(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
@@ -115,7 +115,7 @@ def repeat_report(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     first_doc_ids (the documents that keep the passages; not the document itself).
     Documents without a repeat have no row; neither have null or empty texts."""
     spans = repeated_spans(df, id_col=id_col, text_col=text_col, min_run=min_run)
-    listed = spans.groupBy("doc_id", "row_key").agg(
+    listed = spans.groupBy("doc_id", *ROW).agg(
         F.sort_array(F.collect_list(F.struct("start", "end", "first_doc_id"))).alias("spans"),
         F.count(F.lit(1)).alias("n_spans"), F.sum(F.col("end") - F.col("start")).alias("removed_bytes"))
     firsts = F.array_sort(F.array_distinct(F.filter(F.transform("spans", lambda s: s["first_doc_id"]), lambda x: x.isNotNull())))
@@ -141,11 +141,11 @@ def drop_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     """The rows of ``df`` (same columns) with repeated spans cut out of the text and
     ``chars_col``, where there is one, set to the new length. A row of which nothing but
     white space is left goes; rows without a repeat, null and empty texts stay as they are."""
-    key, cut, new = free_name(df, "row_key"), free_name(df, "cuts"), free_name(df, "cut_text")
+    keys, cut, new = free_keys(df), free_name(df, "cuts"), free_name(df, "cut_text")
     spans = repeated_spans(df, id_col=id_col, text_col=text_col, min_run=min_run)
-    listed = checkpoint(spans.groupBy("row_key").agg(
-        F.sort_array(F.collect_set(F.struct("start", "end"))).alias(cut)).withColumnRenamed("row_key", key))
-    joined = df.withColumn(key, row_hash(df)).join(listed, key, "left")
+    listed = checkpoint(spans.groupBy(*[F.col(r).alias(n) for r, n in zip(ROW, keys)]).agg(
+        F.sort_array(F.collect_set(F.struct("start", "end"))).alias(cut)))
+    joined = df.select("*", *row_keys(df, keys)).join(listed, list(keys), "left")
 
     def run(text: pa.Array, cuts: pa.Array) -> pa.Array:
         done = [None if t is None else cut_spans(t, [(c["start"], c["end"]) for c in cs]) if cs else t.decode("utf-8")
