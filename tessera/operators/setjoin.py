@@ -48,11 +48,11 @@ def has_word(text_col: str) -> Column:
 
 def distinct_sets(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((id, words) with one row per distinct set, the smallest id; (id, member) of all rows)."""
-    keyed = sets.withColumn("d", F.sha2(F.array_join("words", "\0"), 256)).checkpoint()
+    # only the digests are kept; the words of the first rows are cut again, which is cheaper than a second copy of all
+    keyed = sets.select("id", F.sha2(F.array_join("words", "\0"), 256).alias("d")).checkpoint()
     first = keyed.groupBy("d").agg(F.min("id").alias("first"))
     named = keyed.select("d", F.col("id").alias("member")).join(first, "d").select(F.col("first").alias("id"), "member")
-    alone = keyed.join(first, (keyed["d"] == first["d"]) & (keyed["id"] == first["first"]), "left_semi").select("id", "words")
-    return alone.checkpoint(), named
+    return sets.join(first.select(F.col("first").alias("id")), "id", "left_semi").select("id", "words").checkpoint(), named
 
 
 def _common_words(tokens: DataFrame) -> tuple[np.ndarray, np.ndarray]:
