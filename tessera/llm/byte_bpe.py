@@ -1,12 +1,16 @@
 """Byte-level BPE encoding and decoding with Spark's higher-order functions.
 
-Blocks of documents are cut into pre-tokens; the distinct ones become an array column. Every distinct word turns into an array of its adjacent byte pairs, and
-``aggregate`` folds the ranked merges over it: each step joins the leftmost pair of
-lowest rank and looks up the ranks of its two new neighbours. The rank map is a literal (an array
-of small maps by hash, so that a look-up does not scan the vocabulary). The ids of the
-words then take the place of the words' numbers in the documents. Decoding concatenates the byte pieces of
+Blocks of documents are cut into pre-tokens; the distinct ones become an array column of byte arrays. ``aggregate``
+folds the ranked merges over each: its state is one integer a token (the rank of the pair that starts with it, its place,
+its id), so the smallest integer is the leftmost pair of lowest rank. A step merges that pair and looks up the ranks of the two new
+pairs in the rank map, a literal array that is read by ids (see ``PairTable``). The ids of the words then
+take the place of the words' numbers in the documents. Decoding concatenates the byte pieces of
 the ids. All of it happens in the task that read the documents; nothing is shuffled.
 
+A pre-token of more than CUT_OVER bytes is first cut between neighbouring bytes that no token holds side by side, for no
+merge can cross such a place. A part that is still over LONG bytes (a run of one letter, say) is merged rank by rank
+over an array in the same task, because a fold copies its state at each step.
+
 A byte travels as the Latin-1 character of its value, so pieces are Spark strings
 and ``encode(.., 'ISO-8859-1')`` turns their concatenation into the bytes.
 """
@@ -28,9 +32,13 @@ from pyspark.sql import types as T
 from .common import free_name, let
 from .pretokens import piece_groups
 
-#: Stands before and after a word's bytes; no byte maps to it, so it never merges.
-EDGE = "Ā"
 BUCKETS = 1 << 15
+#: Pre-tokens of more bytes are cut where no merge can cross.
+CUT_OVER = 32
+#: Parts of more bytes are merged rank by rank.
+LONG = 1024
+#: Bits of a token's place in its part.
+PLACE = 10
 
 
 @lru_cache(maxsize=2)
@@ -54,136 +62,216 @@ def _rank(ranks: Column, piece: Column) -> Column:
     return F.try_element_at(F.get(ranks, F.xxhash64(piece).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), piece)
 
 
-#: A pair of neighbouring pieces [a, m) [m, e) as one integer: its rank, then three byte
-#: offsets of OFFSET bits. The smallest code is the leftmost pair of lowest rank.
-OFFSET = 15
-NO_RANK = (1 << 17) - 1
-
-
-def encode_word(word: Column, ranks: Column) -> Column:
-    """array<int>: the ids of one pre-token."""
-    end_bits = (1 << OFFSET) - 1
-    start_bits, middle_bits = end_bits << 2 * OFFSET, end_bits << OFFSET
-
-    def part(g: Column, bits: int) -> Column:
-        return g.bitwiseAND(F.lit(bits))
-
-    def start(g: Column) -> Column:
-        return part(F.shiftright(g, 2 * OFFSET), end_bits).cast("int")
-
-    def middle(g: Column) -> Column:
-        return part(F.shiftright(g, OFFSET), end_bits).cast("int")
-
-    def end(g: Column) -> Column:
-        return part(g, end_bits).cast("int")
+class PairTable:
+    """The rank of each pair of ids that merges; the rank is the id of the token it makes."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        missing = [x for x in range(256) if bytes([x]) not in ranks]
+        if missing:
+            raise ValueError(f"not a byte-level vocabulary: no token for byte {missing[0]}")
+        self.size = max(ranks.values()) + 1
+        self.bits = self.size.bit_length()
+        self.none = (1 << self.bits) - 1                   # no rank: above every id
+        found = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
+        left, right, rank = np.array(found, np.int64).reshape(-1, 3).T
+        keys = left << self.bits | right
+        order = np.argsort(keys)
+        self.keys, self.ranks = np.append(keys[order], -1), np.append(rank[order], self.none)
+        self.byte_id = np.array([ranks[bytes([x])] for x in range(256)], np.int64)
+        first_use = np.full(self.size, self.none, np.int64)
+        np.minimum.at(first_use, left, rank)
+        np.minimum.at(first_use, right, rank)
+        #: whether a token starts or ends a pair of lower rank than its own: its merges are made one at a time
+        self.single = first_use < np.arange(self.size)
+        #: which bytes stand side by side in a token, by first byte * 256 + second byte
+        text = np.frombuffer(b"".join(ranks), np.uint8).astype(np.int64)
+        inner = np.ones(len(text), bool)
+        inner[np.cumsum([len(t) for t in ranks]) - 1] = False
+        at = np.flatnonzero(inner)
+        self.beside = np.zeros(1 << 16, bool)
+        self.beside[text[at] << 8 | text[at + 1]] = True
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left << self.bits | right
+        at = np.searchsorted(self.keys[:-1], key)
+        return np.where(self.keys[at] == key, self.ranks[at], self.none)
+
+    def cells(self) -> tuple[np.ndarray, np.ndarray]:
+        """(cells, shift): ``cells[shift[left] + right]`` is ``left << bits | rank``. The rows of the
+        (left, right) matrix, which is nearly empty, are laid over each other so that no two entries share a
+        cell; a cell of another left id says that the pair does not merge. ``size`` as right id: no token."""
+        left, right = self.keys[:-1] >> self.bits, self.keys[:-1] & self.none
+        ids, start, n = np.unique(left, return_index=True, return_counts=True)
+        entries = left << self.bits | self.ranks[:-1]
+        room = 16 * (self.size + len(left))                # more than is ever used; what is not is cut off below
+        taken, shift, cells = np.zeros(room, bool), np.zeros(self.size, np.int64), np.full(room, self.none << self.bits, np.int64)
+        at, by_size = 0, np.argsort(-n, kind="stable")
+        for i, larger in zip(by_size, [0, *n[by_size]]):
+            if n[i] == 1:
+                break
+            if n[i] <= 8 < larger:                         # the short rows start over between the long ones
+                at = 0
+            mine, step = right[start[i]:start[i] + n[i]], max(32, 1024 // int(n[i]))
+            while True:                                    # the next shift at which all cells of the row are free
+                fits = np.flatnonzero(~taken[at + np.arange(step)[:, None] + mine].any(axis=1))
+                if len(fits):
+                    break
+                at += step
+            at += int(fits[0])
+            shift[ids[i]] = at
+            taken[at + mine] = True
+            cells[at + mine] = entries[start[i]:start[i] + n[i]]
+        alone = np.flatnonzero(n == 1)                     # rows of one entry fill the free cells from ``size`` on
+        free = self.size + np.flatnonzero(~taken[self.size:])[:len(alone)]
+        shift[ids[alone]] = free - right[start[alone]]
+        cells[free] = entries[start[alone]]
+        return cells[:int(shift.max()) + self.size + 1], shift
+
+    def first(self) -> np.ndarray:
+        """By first byte + 256 * second byte (256: none): the rank of the pair and the id of the first byte."""
+        y, x = np.divmod(np.arange(1 << 16), 256)
+        pair = np.append(self.rank(self.byte_id[x], self.byte_id[y]), np.full(256, self.none))
+        return pair << (PLACE + self.bits) | np.tile(self.byte_id, 257)
+
+    def parts(self, word: bytes) -> list[bytes]:
+        """``word`` cut where no merge can cross."""
+        b = np.frombuffer(word, np.uint8).astype(np.int64)
+        at = (np.flatnonzero(~self.beside[b[:-1] << 8 | b[1:]]) + 1).tolist()
+        return [word[i:j] for i, j in zip([0, *at], [*at, len(word)])]
+
+    def merged(self, word: bytes) -> np.ndarray:
+        """The ids of a word, whatever its length: all pairs of the lowest rank at a time, from the
+        left; one at a time where the made token starts a pair of lower rank."""
+        ids = self.byte_id[np.frombuffer(word, np.uint8)]
+        rank = self.rank(ids[:-1], ids[1:])
+        while len(rank) and (low := rank.min()) < self.none:
+            at = np.flatnonzero(rank == low)
+            if self.single[low]:
+                at = at[:1]
+            else:                                          # of overlapping pairs every second one
+                begin = np.maximum.accumulate(np.where(np.r_[True, np.diff(at) > 1], np.arange(len(at)), 0))
+                at = at[(np.arange(len(at)) - begin) % 2 == 0]
+            ids[at] = low
+            ids = np.delete(ids, at + 1)
+            rank = np.delete(rank, at)
+            at = at - np.arange(len(at))
+            near = np.unique(np.concatenate((at, at - 1)))
+            near = near[(near >= 0) & (near < len(rank))]
+            rank[near] = self.rank(ids[near], ids[near + 1])
+        return ids
 
-    def short(s: Column) -> Column:
-        def piece(a: Column, e: Column) -> Column:
-            return _rank(ranks, F.substr(s, a + 1, e - a))
 
-        def pair(a: Column, e: Column, offsets: Column) -> Column:
-            return F.shiftleft(F.coalesce(piece(a, e), F.lit(NO_RANK)).cast("bigint"), 3 * OFFSET).bitwiseOR(offsets)
+@lru_cache(maxsize=2)
+def pair_table(path: str) -> PairTable:
+    return PairTable(read_ranks(path))
 
-        def merge(pairs: Column, low: Column, k: Column) -> Column:
-            """The pairs beside the merged one are made anew: one ends, the other starts with it."""
-            none = F.array().cast("array<bigint>")
-            g, h = F.get(pairs, k - 2), F.get(pairs, k)
-            left = pair(start(g), end(low), part(g, start_bits | middle_bits).bitwiseOR(part(low, end_bits)))
-            right = pair(start(low), end(h), part(low, start_bits).bitwiseOR(part(h, middle_bits | end_bits)))
-            return F.concat(F.slice(pairs, F.lit(1), F.greatest(k - 2, F.lit(0))), F.when(k > 1, F.array(left)).otherwise(none),
-                            F.when(k < F.size(pairs), F.array(right)).otherwise(none), F.slice(pairs, k + 2, F.size(pairs)))
 
-        def step(pairs: Column, _: Column) -> Column:
-            return let(F.array_min(pairs), lambda low: F.when(
-                F.coalesce(F.shiftright(low, 3 * OFFSET), F.lit(NO_RANK)) >= NO_RANK, pairs).otherwise(
-                let(F.array_position(pairs, low).cast("int"), lambda k: merge(pairs, low, k))))
+def _array(numbers: np.ndarray) -> Column:
+    return F.from_json(F.lit(json.dumps(numbers.tolist(), separators=(",", ":"))), "array<bigint>")
 
-        def ids(pairs: Column) -> Column:
-            last = let(F.element_at(pairs, -1), lambda g: piece(middle(g), end(g)))
-            return F.when(F.size(pairs) == 0, F.array(_rank(ranks, s))).otherwise(
-                F.concat(F.transform(pairs, lambda g: piece(start(g), middle(g))), F.array(last)))
-        # byte i and the next one: offsets i, i + 1, i + 2
-        step_bits, first_bits = (1 << 2 * OFFSET) + (1 << OFFSET) + 1, (1 << OFFSET) + 2
-        first = F.transform(F.sequence(F.lit(0), F.length(s) - 2), lambda i: pair(i, i + 2, i.cast("bigint") * step_bits + first_bits))
-        return let(first, lambda pairs: let(F.aggregate(F.sequence(F.lit(1), F.length(s) - 1), pairs, step), ids))
 
-    def whole(s: Column) -> Column:                     # a pre-token that is a token needs no merges
-        return let(_rank(ranks, s), lambda one: F.when(one.isNotNull(), F.array(one)).when(
-            F.length(s) < 1 << OFFSET, short(s)).otherwise(_encode_long(s, ranks)))
-    return let(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), whole)
+def encode_bytes(word: Column, table: PairTable, cells: Column, shift: Column, first: Column) -> Column:
+    """array<int>: the ids of one part, given as array<int> of its bytes (at least two, at most LONG)."""
+    bits, above = table.bits, PLACE + table.bits
+    ids, places, below = (1 << bits) - 1, ((1 << PLACE) - 1) << bits, (1 << above) - 1
+    none = F.lit(table.none)
 
+    def part(x: Column, mask: int) -> Column:
+        return x.bitwiseAND(F.lit(mask))
 
-def _encode_long(s: Column, ranks: Column) -> Column:
-    """The same fold for a word of 2^OFFSET bytes or more, over its pieces and their ranks."""
-    edge = F.array(F.lit(EDGE))
+    def rank(left: Column, right: Column) -> Column:
+        cell = F.get(cells, (F.get(shift, left.cast("int")) + right).cast("int"))
+        return F.shiftleft(F.least(cell.bitwiseXOR(F.shiftleft(left, bits)), none), above)
 
-    def step(acc: Column, _: Column) -> Column:
-        p, r = acc["p"], acc["r"]
+    def merge(codes: Column, low: Column, made: Column, k: Column) -> Column:
+        """Tokens k and k + 1 (from 1) become one; the token before them has a new pair too."""
+        after = F.coalesce(part(F.get(codes, k + 1), ids), F.lit(table.size))
+        mine = rank(made, after).bitwiseOR(part(low, places)).bitwiseOR(made)
+        before = let(F.get(codes, k - 2), lambda c: rank(part(c, ids), made).bitwiseOR(part(c, below)))
+        rest = F.slice(codes, k + 2, F.size(codes))
+        return F.when(k > 1, F.concat(F.slice(codes, F.lit(1), k - 2), F.array(before, mine), rest)).otherwise(F.concat(F.array(mine), rest))
 
-        def merge(k: Column) -> Column:
-            def joined(q: Column) -> Column:
-                left, right = F.concat(F.get(p, k - 2), q), F.concat(q, F.get(p, k + 1))
-                return F.struct(
-                    F.concat(F.slice(p, F.lit(1), k - 1), F.array(q), F.slice(p, k + 2, F.size(p))).alias("p"),
-                    F.concat(F.slice(r, F.lit(1), k - 2), F.array(_rank(ranks, left), _rank(ranks, right)),
-                             F.slice(r, k + 2, F.size(r))).alias("r"))
-            return let(F.concat(F.get(p, k - 1), F.get(p, k)), joined)
-        return let(F.array_min(r), lambda low: F.when(low.isNull(), acc).otherwise(
-            let(F.array_position(r, low).cast("int"), merge)))
+    def at(codes: Column, low: Column) -> Column:
+        """The index of ``low`` from 1, told by the places before it (``array_position`` throws to end its loop)."""
+        return let(part(low, places), lambda place: F.size(F.filter(codes, lambda c: part(c, places) <= place)))
 
-    def fold(p: Column) -> Column:
-        r = F.transform(F.sequence(F.lit(0), F.size(p) - 2), lambda i: _rank(ranks, F.concat(F.get(p, i), F.get(p, i + 1))))
-        done = F.aggregate(F.sequence(F.lit(1), F.size(p) - 2), F.struct(p.alias("p"), r.alias("r")), step)
-        return F.transform(F.filter(done["p"], lambda x: x != F.lit(EDGE)), lambda x: _rank(ranks, x))
+    def step(codes: Column, _: Column) -> Column:
+        return let(F.array_min(codes), lambda low: F.when(low >= F.lit(table.none << above), codes).otherwise(
+            let(at(codes, low), lambda k: merge(codes, low, F.shiftright(low, above), k))))
 
-    return let(F.concat(edge, F.split(s, ""), edge), fold)
+    start = F.transform(word, lambda x, i: F.get(first, x + 256 * F.coalesce(F.get(word, i + 1), F.lit(256))) + F.shiftleft(i.cast("bigint"), bits))
+    return F.transform(F.aggregate(F.sequence(F.lit(2), F.size(word)), start, step), lambda c: part(c, ids).cast("int"))
 
 
-def _blocks(b: pa.RecordBatch, text_at: int, pattern: str, block_words: int):
-    """(distinct words, first row, per row the word numbers) for blocks of consecutive rows of
-    about ``block_words`` pre-tokens; a longer text is one block, its repeats held as numbers."""
-    words: dict[str, int] = {}
+def _blocks(b: pa.RecordBatch, text_at: int, pattern: str, table: PairTable, block_words: int):
+    """(distinct words as bytes, first row, per row the word numbers) for blocks of consecutive rows of
+    about ``block_words`` pre-tokens; a longer text is one block, its repeats held as numbers.
+    The parts of a long pre-token stand for it as words of their own."""
+    words: dict[str | bytes, int] = {}
     rows: list[np.ndarray] = []
     first, held = 0, 0
     for i, t in enumerate(b.column(text_at)):
         numbers = []
         for group in piece_groups(t.as_py() or "", pattern):
+            if group and 4 * len(max(group, key=len)) > CUT_OVER:
+                group = [p for w in group for p in ([w] if 4 * len(w) <= CUT_OVER or len(w.encode()) <= CUT_OVER else table.parts(w.encode()))]
             unseen = [w for w in dict.fromkeys(group) if w not in words]
             words.update(zip(unseen, range(len(words), len(words) + len(unseen))))
             numbers.append(np.fromiter(map(words.__getitem__, group), np.int32, len(group)))
         rows.append(np.concatenate(numbers) if numbers else np.empty(0, np.int32))
         held += len(rows[-1])
         if held >= block_words or i + 1 == b.num_rows:
-            yield list(words), first, rows
+            yield [w.encode() if isinstance(w, str) else w for w in words], first, rows
             words, rows, first, held = {}, [], i + 1, 0
 
 
+def _lists(parts: list, kind: pa.DataType) -> pa.ListArray:
+    offsets = np.r_[0, np.cumsum([len(p) for p in parts])].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*parts, np.empty(0, np.int64)]), kind))
+
+
+def _words(words: list[bytes], table: PairTable, most: int) -> pa.StructArray:
+    """(piece: as a string, bytes, ids: of a part over ``most`` bytes) of each word."""
+    short = [w if len(w) <= most else b"" for w in words]
+    none = np.empty(0, np.int64)
+    offsets = np.r_[0, np.cumsum([len(w) for w in short])].astype(np.int32)
+    values = np.frombuffer(b"".join(short), np.uint8).astype(np.int32)
+    return pa.StructArray.from_arrays(
+        [pa.array([w.decode("latin-1") for w in short], pa.string()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)),
+         _lists([none if len(w) <= most else table.merged(w) for w in words], pa.int32())], names=["piece", "bytes", "ids"])
+
+
 def encode(df: DataFrame, path: str, pattern: str, *, text_col: str = "text", ids_col: str = "ids",
-           keep: list[str] | None = None, block_words: int = 2_000_000) -> DataFrame:
+           keep: list[str] | None = None, block_words: int = 2_000_000,
+           most_folded: int = LONG) -> DataFrame:
     """The columns ``keep`` (all if None) of ``df`` and ``ids_col`` array<int>: the ids of every
     row's whole text (null or empty: no ids), each match of ``pattern`` encoded on its own,
     without special tokens.
 
     The kept columns stay as they are; an existing column named ``ids_col`` is replaced.
-    Repeated rows are encoded each; an empty table gives no rows. ``block_words`` bounds the
-    pre-tokens whose distinct words are encoded together."""
+    Repeated rows are encoded each; an empty table gives no rows; a pre-token may be as long as a
+    text. ``block_words`` bounds the pre-tokens whose distinct words are encoded together, ``most_folded``
+    (up to LONG) the bytes of a part that is folded; both change the plan only."""
     rest = [c for c in (df.columns if keep is None else keep) if c != ids_col]
     fields = [df.schema[c] for c in rest]
     at = rest.index(text_col) if text_col in rest else len(rest)
     src = df.select(*[F.col(f"`{c}`") for c in rest], *([] if text_col in rest else [F.col(f"`{text_col}`")]))
     numbers_name = free_name(src, "numbers")
     record = T.StructType([*fields, T.StructField(numbers_name, T.ArrayType(T.IntegerType()))])
-    blocked = T.StructType([T.StructField("words", T.ArrayType(T.StringType())), T.StructField("records", T.ArrayType(record))])
+    blocked = T.StructType([T.StructField("words", T.ArrayType(T.StructType.fromDDL("piece string, bytes array<int>, ids array<int>"))),
+                            T.StructField("records", T.ArrayType(record))])
+    table = pair_table(path)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
+        table = pair_table(path)
         for b in batches:
-            for words, first, rows in _blocks(b, at, pattern, block_words):
+            for words, first, rows in _blocks(b, at, pattern, table, block_words):
                 part = b.select(list(range(len(rest)))).slice(first, len(rows))
                 offsets = pa.array(np.r_[0, np.cumsum([len(r) for r in rows])].astype(np.int32))
                 numbers = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(rows), pa.int32()))
                 records = pa.StructArray.from_arrays([*part.columns, numbers], names=record.names)
-                yield pa.RecordBatch.from_arrays([one(pa.array(words, pa.string())), one(records)], names=["words", "records"])
+                yield pa.RecordBatch.from_arrays([one(_words(words, table, min(most_folded, LONG))), one(records)], names=["words", "records"])
         pa.default_memory_pool().release_unused()
 
     def deal(coded: Column) -> Column:
@@ -192,8 +280,16 @@ def encode(df: DataFrame, path: str, pattern: str, *, text_col: str = "text", id
             ids = F.flatten(F.transform(r[numbers_name], lambda n: F.get(coded, n)))
             return F.struct(*[r[c].alias(c) for c in rest], ids.alias(ids_col))
         return F.transform("records", one)
-    coded = let(rank_map(read_ranks(path)), lambda ranks: let(F.transform("words", lambda w: encode_word(w, ranks)), deal))
-    return src.mapInArrow(cut, blocked).select(F.inline(coded))
+
+    def coded(ranks: Column, cells: Column, shift: Column, first: Column) -> Column:
+        def one(w: Column) -> Column:                      # a pre-token that is a token needs no merges
+            return F.when(F.size(w["ids"]) > 0, w["ids"]).otherwise(let(_rank(ranks, w["piece"]), lambda whole: F.when(
+                whole.isNotNull(), F.array(whole)).otherwise(encode_bytes(w["bytes"], table, cells, shift, first))))
+        return let(F.transform("words", one), deal)
+    literals = [_array(x) for x in (*table.cells(), table.first())]
+    bound = let(rank_map(read_ranks(path)), lambda ranks: let(literals[0], lambda cells: let(
+        literals[1], lambda shift: let(literals[2], lambda first: coded(ranks, cells, shift, first)))))
+    return src.mapInArrow(cut, blocked).select(F.inline(bound))
 
 
 def _joined(ids_col: str, pieces: list[str]) -> Column:

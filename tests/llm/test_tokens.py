@@ -46,14 +46,37 @@ def test_ids_equal_the_library(spark, docs):
     assert all(r.ids == lib.encode_ordinary(texts[r.doc_id]) for r in only.collect())
 
 
-def test_long_words_take_the_other_fold(spark, docs, monkeypatch):
-    monkeypatch.setattr(byte_bpe, "OFFSET", 4)
+def test_long_words_are_merged_rank_by_rank(spark, docs):
     texts = [t for t in HARD if len(t) < 600] + fuzz(60)
     lib = packing.tokenizer(MULTI, P.PATTERN)
-    rows = byte_bpe.encode(docs([(i, t, "s") for i, t in enumerate(texts)]), MULTI, P.PATTERN).collect()
+    rows = byte_bpe.encode(docs([(i, t, "s") for i, t in enumerate(texts)]), MULTI, P.PATTERN, most_folded=3).collect()
     assert all(r.ids == lib.encode_ordinary(r.text) for r in rows) and len(rows) == len(texts)
 
 
+def test_parts_and_ranks_of_a_long_word():
+    rng = np.random.default_rng(8)
+    lib, table = packing.tokenizer(MULTI, P.PATTERN), byte_bpe.pair_table(MULTI)
+    for pool, n in (("ab", 900), ("thereinonatan", 900), ("etaoinshrdlucmfwypvbgkjqxz", 5000), ("漢字仮名中国人大小", 700), ("é", 500)):
+        word = "".join(rng.choice(list(pool), n))
+        parts = table.parts(word.encode())
+        assert b"".join(parts) == word.encode()
+        assert [i for p in parts for i in table.merged(p)] == table.merged(word.encode()).tolist() == lib.encode_ordinary(word)
+    cells, shift = table.cells()
+    left, right = rng.integers(0, table.size, (2, 100_000))
+    assert (np.minimum(cells[shift[left] + right] ^ left << table.bits, table.none) == table.rank(left, right)).all()
+    left, right = table.keys[:-1] >> table.bits, table.keys[:-1] & table.none
+    assert (cells[shift[left] + right] == left << table.bits | table.ranks[:-1]).all()
+    with pytest.raises(ValueError, match="no token for byte"):
+        byte_bpe.PairTable({b"a": 0})
+
+
+def test_a_pre_token_of_a_million_letters(spark, docs):
+    rng = np.random.default_rng(9)
+    texts = ["a" * 1_000_000, "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 1_000_000)), "".join(rng.choice(list("ab"), 40_000))]
+    rows = byte_bpe.decode(byte_bpe.encode(docs([(i, t, "s") for i, t in enumerate(texts)]), MULTI, P.PATTERN), MULTI).collect()
+    assert {r.doc_id: bytes(r.decoded).decode() for r in rows} == dict(enumerate(texts))
+
+
 def test_odd_rows(spark, docs):
     df = docs(ODD)
     n = sorted(((r.doc_id, r.n_tokens) for r in token_counts.count_tokens(df, JSON, P.PATTERN).collect()), key=str)
