@@ -7,7 +7,7 @@ pairs in the rank map, a literal array that is read by ids (see ``PairTable``).
 take the place of the words' numbers in the documents. Decoding concatenates the byte pieces of
 the ids. All of it happens in the task that read the documents; nothing is shuffled.
 
-A pre-token of more than CUT_OVER bytes is first cut between neighbouring bytes that no token holds side by side, for no
+A pre-token of more than CUT_OVER characters is first cut between neighbouring bytes that no token holds side by side, for no
 merge can cross such a place. A part that is still over LONG bytes (a run of one letter, say) is merged rank by rank
 over an array in the same task, because a fold copies its state at each step.
 
@@ -33,8 +33,8 @@ from .common import free_name, let
 from .pretokens import piece_groups
 
 BUCKETS = 1 << 15
-#: Pre-tokens of more bytes are cut where no merge can cross.
-CUT_OVER = 32
+#: Pre-tokens of more characters are cut where no merge can cross.
+CUT_OVER = 64
 #: Parts of more bytes are merged rank by rank.
 LONG = 1024
 #: Bits of a token's place in its part.
@@ -213,9 +213,11 @@ def _blocks(b: pa.RecordBatch, text_at: int, pattern: str, table: PairTable, blo
     for i, t in enumerate(b.column(text_at)):
         numbers = []
         for group in piece_groups(t.as_py() or "", pattern):
-            if group and 4 * len(max(group, key=len)) > CUT_OVER:
-                group = [p for w in group for p in ([w] if 4 * len(w) <= CUT_OVER or len(w.encode()) <= CUT_OVER else table.parts(w.encode()))]
-            unseen = [w for w in dict.fromkeys(group) if w not in words]
+            unseen = dict.fromkeys(group)
+            if unseen and len(max(unseen, key=len)) > CUT_OVER:
+                group = [p for w in group for p in ([w] if len(w) <= CUT_OVER else table.parts(w.encode()))]
+                unseen = dict.fromkeys(group)
+            unseen = [w for w in unseen if w not in words]
             words.update(zip(unseen, range(len(words), len(words) + len(unseen))))
             numbers.append(np.fromiter(map(words.__getitem__, group), np.int32, len(group)))
         rows.append(np.concatenate(numbers) if numbers else np.empty(0, np.int32))
