@@ -14,7 +14,7 @@ out of the shuffle; a document's other n-grams are joined to the tables.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +26,6 @@ from .common import arrow_map, checkpoint, texts
 
 #: Bounds of what is broadcast, not of the models: words and bigrams, 24 bytes each.
 VOCABULARY, MAX_BIGRAMS = (1 << 16) - 2, 1_000_000
-#: The longest word that counts (bytes): as long as a text can be.
-MAX_WORD = 1 << 31
-#: Add-one smoothing is over this many words at least.
-LEAST_SIZE = 1 << 16
 #: The bits (a power of 2) that say which n-grams may be in the tables, so that most single ones are
 #: not shuffled; full bits only let more through.
 SIEVE_BITS = 1 << 27
@@ -37,30 +33,16 @@ SIEVE_BITS = 1 << 27
 MAX_BROADCAST, ID_BYTES = 64 << 20, 16
 #: Weight of the bigram part in the interpolation.
 BIGRAM_WEIGHT = 0.6
-UNKNOWN, START = 0, 1
+#: In place of a word's hash before a text's first word.
+START = 1
 #: What the join adds to a document is summed as whole numbers of this part, so that reruns agree.
 PART = 2.0 ** -34
 #: In place of a left word's hash: a row of a word (START: of a text's first bigram).
 WORD_ROW = 0
-#: Counting takes an Arrow batch as a whole: the larger it is, the fewer partial counts are shuffled.
-WHOLE = 1 << 30
 #: Documents that are counted at a time where all words and bigrams are.
 COUNT_ROWS = 2048
 
 
-def word_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """(word binary, n) over all texts: counted per batch, then summed."""
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        seen: Counter[bytes] = Counter()
-        for t in texts(b.column("text")):
-            seen.update(t.lower().split())
-        keep = [w for w in seen if len(w) <= MAX_WORD]
-        return pa.RecordBatch.from_arrays([pa.array(keep, pa.binary()), pa.array([seen[w] for w in keep], pa.int64())],
-                                          names=["word", "n"])
-    return arrow_map(df.select(F.col(f"`{text_col}`").alias("text")), run, "word binary, n long", rows=WHOLE).groupBy("word").agg(
-        F.sum("n").alias("n"))
-
-
 def least_count(counts: DataFrame, most: int, lowest: int = 1) -> int:
     """The smallest count of at least ``lowest`` such that no more than ``most`` rows of
     ``counts`` (n) have it or a larger one. Spark counts the counts; at most ``most`` of
@@ -75,65 +57,6 @@ def least_count(counts: DataFrame, most: int, lowest: int = 1) -> int:
     return lowest
 
 
-def vocabulary(counts: DataFrame, size: int = VOCABULARY) -> dict[bytes, int]:
-    """The most frequent words, at most ``size`` (all those of a count or none of them),
-    numbered from 2 in the order of the words."""
-    counts = checkpoint(counts)
-    rows = counts.where(F.col("n") >= least_count(counts, size)).select("word").collect()
-    return {w: i + 2 for i, w in enumerate(sorted(bytes(r[0]) for r in rows))}
-
-
-def _numbers(text: bytes, words: dict[bytes, int]) -> np.ndarray:
-    get = words.get
-    return np.array([START, *[get(w, UNKNOWN) for w in text.lower().split()]], np.int64)
-
-
-def _keys(ids: np.ndarray) -> np.ndarray:
-    return ids[:-1] << 16 | ids[1:]
-
-
-class Models:
-    """Unigram and kept-bigram counts of both models as far as they are small (``fit``).
-    ``uni``: (2, V) counts of words; ``keys``: the kept bigrams, ascending; ``pairs``: (2,
-    number of keys) their counts. Row 0 is the target, row 1 the background."""
-
-    def __init__(self, uni: np.ndarray, keys: np.ndarray, pairs: np.ndarray) -> None:
-        self.uni, self.keys, self.pairs, self.size = uni, keys, pairs, uni.shape[1]
-        self.tokens = uni.sum(axis=1)
-        self.context = uni.copy()                          # how often a word has a token after it
-        for m in (0, 1):
-            self.context[m, START] = np.bincount(keys >> 16, weights=pairs[m], minlength=self.size)[START] if len(keys) else 0
-
-
-def bigram_counts(df: DataFrame, words, text_col: str = "text", target_col: str = "target") -> DataFrame:
-    """(k, n, t): how often the pair of word numbers k (left * 2^16 + right) occurs in all
-    rows and in the target rows. ``words`` is a broadcast vocabulary."""
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        keys, own = [], []
-        for t, is_target in zip(texts(b.column("text")), b.column("target").to_pylist()):
-            k = _keys(_numbers(t, words.value))
-            keys.append(k)
-            own.append(np.full(len(k), is_target))
-        k, at, n = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
-        t = np.bincount(at, weights=np.concatenate(own), minlength=len(k)).astype(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(k), pa.array(n.astype(np.int64)), pa.array(t)], names=["k", "n", "t"])
-    src = df.select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{target_col}`").cast("int").alias("target"))
-    return arrow_map(src, run, "k long, n long, t long", rows=WHOLE).groupBy("k").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-
-
-def fit(df: DataFrame, words: dict[bytes, int], *, max_bigrams: int = MAX_BIGRAMS) -> Models:
-    """Both models from all rows of ``df`` (text, target)."""
-    pairs = checkpoint(bigram_counts(df, df.sparkSession.sparkContext.broadcast(words)))
-    uni = np.zeros((2, 1 << 16))
-    for r in pairs.groupBy((F.col("k").bitwiseAND(F.lit(0xFFFF))).alias("w")).agg(F.sum("t").alias("t"), F.sum("n").alias("n")).toLocalIterator():
-        uni[:, r["w"]] = r["t"], r["n"]
-    least = least_count(pairs, max_bigrams, lowest=2)
-    kept = pairs.where(F.col("n") >= least).toArrow()      # at most max_bigrams rows
-    keys = kept.column("k").to_numpy()
-    order = np.argsort(keys)
-    return Models(uni, keys[order], np.stack([kept.column(c).to_numpy()[order].astype(float) for c in ("t", "n")]))
-
-
 def _hashed(batch: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hashes of the batch's distinct words, ascending, and START; row, left and right word of each
     token, as positions in them; tokens of each text)."""
@@ -264,7 +187,7 @@ def score(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     words, pairs = grams.where(F.col("l") == WORD_ROW), grams.where(F.col("l") != WORD_ROW)
     distinct, *totals = words.agg(F.count(F.lit(1)), F.coalesce(F.sum("t"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
     start = tuple(pairs.where(F.col("l") == START).agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("t", "n")]).first())
-    size = max(LEAST_SIZE, distinct + 2)
+    size = distinct + 2                                    # add-one smoothing: all words, an unseen one and the start
     # a word is no rarer than its bigrams: the words of a hot bigram are hot
     word_least = least_count(words, VOCABULARY, lowest=2)
     pair_least = max(least_count(pairs, MAX_BIGRAMS, lowest=2), word_least)

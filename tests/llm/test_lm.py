@@ -10,11 +10,11 @@ from tessera.llm import lm_scoring
 from tessera.llm.registry import op9_lm_scoring
 
 
-def brute(texts, good, weight=lm_scoring.BIGRAM_WEIGHT, size=1 << 16):
+def brute(texts, good, weight=lm_scoring.BIGRAM_WEIGHT):
     """texts: list of (id, text) -> list of mean loss differences."""
     tokens = [[w.lower() for w in words(t)] for _, t in texts]
-    known = {w for t in tokens for w in t if len(w) <= lm_scoring.MAX_WORD}
-    seqs = [[None, *(w if w in known else b"" for w in t)] for t in tokens]
+    size = len({w for t in tokens for w in t}) + 2
+    seqs = [[None, *t] for t in tokens]
     pairs = [Counter(zip(s, s[1:])) for s in seqs]
     counts = [sum((p for p, (i, _) in zip(pairs, texts) if m or i in good), Counter()) for m in (0, 1)]
     kept = {k for k, n in counts[1].items() if n >= 2}
@@ -67,16 +67,6 @@ def test_query_and_empty(spark, sf, corpus, docs):
     assert lm_scoring.score(docs(ODD), none).where(F.col("in_target")).count() == 0
 
 
-def test_bigram_bound_keeps_the_most_frequent(spark, docs):
-    df = docs([(1, "a b a b a b c d c d e f", "s")]).withColumn("target", F.lit(True))
-    words_ = lm_scoring.vocabulary(lm_scoring.word_counts(df))
-    assert len(lm_scoring.fit(df, words_).keys) == 3            # a b, b a, c d
-    assert len(lm_scoring.fit(df, words_, max_bigrams=2).keys) <= 2
-    counts = lm_scoring.word_counts(df)
-    assert lm_scoring.vocabulary(counts, size=4) == {b"a": 2, b"b": 3, b"c": 4, b"d": 5}
-    assert lm_scoring.vocabulary(counts, size=3) == {b"b": 2} or len(lm_scoring.vocabulary(counts, size=3)) <= 3
-
-
 def test_both_ways_to_mark_the_target(spark, docs, monkeypatch):
     df, labels = docs([(i, f"w{i % 7} x y z", "s") for i in range(60)]), spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
     sent = sorted(map(tuple, lm_scoring.score(df, labels).collect()))
@@ -84,10 +74,10 @@ def test_both_ways_to_mark_the_target(spark, docs, monkeypatch):
     assert sorted(map(tuple, lm_scoring.score(df, labels).collect())) == sent
 
 
-def agrees(spark, docs, rows, good, size):
+def agrees(spark, docs, rows, good):
     labels = spark.createDataFrame([(i, 1) for i in sorted(good)], "doc_id long, quality int")
     got = {r.doc_id: r.loss_difference for r in lm_scoring.score(docs(rows), labels).collect()}
-    want = brute([(i, t) for i, t, _ in rows], good, size=size)
+    want = brute([(i, t) for i, t, _ in rows], good)
     assert len(got) == len(rows) and all(abs(got[i] - w) < 1e-9 for (i, _, _), w in zip(rows, want))
 
 
@@ -95,7 +85,7 @@ def test_no_word_or_bigram_is_cut(spark, docs):
     """More words than are broadcast, each of them twice, and words of over 64 bytes."""
     names = [f"w{i}" for i in range(70_000)] + ["x" * 65 + str(i) for i in range(50)]
     rows = [(i, " ".join(names[k::5]), "s") for i, k in enumerate((0, 1, 2, 3, 4, 0, 1, 2, 3, 4))]
-    agrees(spark, docs, rows, {0, 1, 7}, len(names) + 2)
+    agrees(spark, docs, rows, {0, 1, 7})
 
 
 def test_joined_counts_are_the_broadcast_ones(spark, docs, monkeypatch):
@@ -104,4 +94,4 @@ def test_joined_counts_are_the_broadcast_ones(spark, docs, monkeypatch):
     for most in (0, 3, 40):
         monkeypatch.setattr(lm_scoring, "VOCABULARY", most)
         monkeypatch.setattr(lm_scoring, "MAX_BIGRAMS", 2 * most)
-        agrees(spark, docs, rows, set(range(0, 30, 2)), 1 << 16)
+        agrees(spark, docs, rows, set(range(0, 30, 2)))
