@@ -503,8 +503,9 @@ ORACLE_SQL: dict[str, str] = {
     "minhash_signature": SQL_MINHASH_SIGNATURE,
     "minhash_retrieve": SQL_MINHASH_RETRIEVE,
 }
-from tessera.plans import registry_records as RR  # noqa: E402
+from tessera.plans import registry_records as RR, registry_stores as RS  # noqa: E402
 
-QUERIES.update(RR.QUERIES)
-ORACLE_SQL.update(RR.ORACLE_SQL)
+for _more in (RR, RS):
+    QUERIES.update(_more.QUERIES)
+    ORACLE_SQL.update(_more.ORACLE_SQL)
 FLAGSHIP = "answer"
