@@ -7,8 +7,8 @@ pairs in the rank map, a literal array that is read by ids (see ``PairTable``).
 take the place of the words' numbers in the documents. Decoding concatenates the byte pieces of
 the ids. All of it happens in the task that read the documents; nothing is shuffled.
 
-A pre-token of more than CUT_OVER characters is first cut between neighbouring bytes that no token holds side by side, for no
-merge can cross such a place. A part that is still over LONG bytes (a run of one letter, say) is merged rank by rank
+A pre-token that is a token is known by its bytes in the task that cuts it. One of more than CUT_OVER characters is
+first cut between neighbouring bytes that no token holds side by side, for no merge can cross such a place. A part that is still over LONG bytes (a run of one letter, say) is merged rank by rank
 over an array in the same task, because a fold copies its state at each step.
 
 A byte travels as the Latin-1 character of its value, so pieces are Spark strings
@@ -19,12 +19,12 @@ from __future__ import annotations
 
 import base64
 import json
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,7 +32,6 @@ from pyspark.sql import types as T
 from .common import free_name, let
 from .pretokens import piece_groups
 
-BUCKETS = 1 << 15
 #: Pre-tokens of more characters are cut where no merge can cross.
 CUT_OVER = 64
 #: Parts of more bytes are merged rank by rank.
@@ -48,20 +47,6 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, filter(bytes.strip, f))}
 
 
-def rank_map(ranks: dict[bytes, int]) -> Column:
-    """The literal array<map<piece, rank>>, by the last bits of ``xxhash64(piece)``."""
-    buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
-    for token, rank in ranks.items():
-        piece = token.decode("latin-1")
-        h = xxhash.xxh64_intdigest(piece.encode(), 42)
-        buckets[h % BUCKETS][piece] = rank
-    return F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), "array<map<string,int>>")
-
-
-def _rank(ranks: Column, piece: Column) -> Column:
-    return F.try_element_at(F.get(ranks, F.xxhash64(piece).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), piece)
-
-
 class PairTable:
     """The rank of each pair of ids that merges; the rank is the id of the token it makes."""
 
@@ -223,24 +208,29 @@ def _blocks(b: pa.RecordBatch, text_at: int, pattern: str, table: PairTable, blo
         rows.append(np.concatenate(numbers) if numbers else np.empty(0, np.int32))
         held += len(rows[-1])
         if held >= block_words or i + 1 == b.num_rows:
-            yield [w.encode() if isinstance(w, str) else w for w in words], first, rows
-            words, rows, first, held = {}, [], i + 1, 0
+            block, words = [w.encode() if isinstance(w, str) else w for w in words], {}
+            yield block, first, rows
+            rows, first, held = [], i + 1, 0
 
 
-def _lists(parts: list, kind: pa.DataType) -> pa.ListArray:
-    offsets = np.r_[0, np.cumsum([len(p) for p in parts])].astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*parts, np.empty(0, np.int64)]), kind))
+def _list(sizes: list[int], values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), values)
 
 
-def _words(words: list[bytes], table: PairTable, most: int) -> pa.StructArray:
-    """(piece: as a string, bytes, ids: of a part over ``most`` bytes) of each word."""
-    short = [w if len(w) <= most else b"" for w in words]
-    none = np.empty(0, np.int64)
-    offsets = np.r_[0, np.cumsum([len(w) for w in short])].astype(np.int32)
-    values = np.frombuffer(b"".join(short), np.uint8).astype(np.int32)
-    return pa.StructArray.from_arrays(
-        [pa.array([w.decode("latin-1") for w in short], pa.string()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)),
-         _lists([none if len(w) <= most else table.merged(w) for w in words], pa.int32())], names=["piece", "bytes", "ids"])
+def _words(words: list[bytes], ranks: dict[bytes, int], table: PairTable, most: int) -> pa.StructArray:
+    """(bytes: of a word to be folded, ids: of a word that is a token itself, or a part over ``most`` bytes) of each word."""
+    done, sizes = array("i"), []
+    for w in words:
+        before, rank = len(done), ranks.get(w)
+        if rank is not None:
+            done.append(rank)
+        elif len(w) > most:
+            done.frombytes(table.merged(w).astype(np.int32).tobytes())
+        sizes.append(len(done) - before)
+    folded = [b"" if n else w for n, w in zip(sizes, words)]
+    values = np.frombuffer(b"".join(folded), np.uint8).astype(np.int32)
+    return pa.StructArray.from_arrays([_list([len(w) for w in folded], pa.array(values)), _list(sizes, pa.array(np.array(done, np.int32)))],
+                                      names=["bytes", "ids"])
 
 
 def encode(df: DataFrame, path: str, pattern: str, *, text_col: str = "text", ids_col: str = "ids",
@@ -260,20 +250,20 @@ def encode(df: DataFrame, path: str, pattern: str, *, text_col: str = "text", id
     src = df.select(*[F.col(f"`{c}`") for c in rest], *([] if text_col in rest else [F.col(f"`{text_col}`")]))
     numbers_name = free_name(src, "numbers")
     record = T.StructType([*fields, T.StructField(numbers_name, T.ArrayType(T.IntegerType()))])
-    blocked = T.StructType([T.StructField("words", T.ArrayType(T.StructType.fromDDL("piece string, bytes array<int>, ids array<int>"))),
+    blocked = T.StructType([T.StructField("words", T.ArrayType(T.StructType.fromDDL("bytes array<int>, ids array<int>"))),
                             T.StructField("records", T.ArrayType(record))])
     table = pair_table(path)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
-        table = pair_table(path)
+        ranks, table = read_ranks(path), pair_table(path)
         for b in batches:
             for words, first, rows in _blocks(b, at, pattern, table, block_words):
                 part = b.select(list(range(len(rest)))).slice(first, len(rows))
                 offsets = pa.array(np.r_[0, np.cumsum([len(r) for r in rows])].astype(np.int32))
                 numbers = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(rows), pa.int32()))
                 records = pa.StructArray.from_arrays([*part.columns, numbers], names=record.names)
-                yield pa.RecordBatch.from_arrays([one(_words(words, table, min(most_folded, LONG))), one(records)], names=["words", "records"])
+                yield pa.RecordBatch.from_arrays([one(_words(words, ranks, table, min(most_folded, LONG))), one(records)], names=["words", "records"])
         pa.default_memory_pool().release_unused()
 
     def deal(coded: Column) -> Column:
@@ -283,14 +273,12 @@ def encode(df: DataFrame, path: str, pattern: str, *, text_col: str = "text", id
             return F.struct(*[r[c].alias(c) for c in rest], ids.alias(ids_col))
         return F.transform("records", one)
 
-    def coded(ranks: Column, cells: Column, shift: Column, first: Column) -> Column:
+    def coded(cells: Column, shift: Column, first: Column) -> Column:
         def one(w: Column) -> Column:                      # a pre-token that is a token needs no merges
-            return F.when(F.size(w["ids"]) > 0, w["ids"]).otherwise(let(_rank(ranks, w["piece"]), lambda whole: F.when(
-                whole.isNotNull(), F.array(whole)).otherwise(encode_bytes(w["bytes"], table, cells, shift, first))))
+            return F.when(F.size(w["ids"]) > 0, w["ids"]).otherwise(encode_bytes(w["bytes"], table, cells, shift, first))
         return let(F.transform("words", one), deal)
     literals = [_array(x) for x in (*table.cells(), table.first())]
-    bound = let(rank_map(read_ranks(path)), lambda ranks: let(literals[0], lambda cells: let(
-        literals[1], lambda shift: let(literals[2], lambda first: coded(ranks, cells, shift, first)))))
+    bound = let(literals[0], lambda cells: let(literals[1], lambda shift: let(literals[2], lambda first: coded(cells, shift, first))))
     return src.mapInArrow(cut, blocked).select(F.inline(bound))
 
 
