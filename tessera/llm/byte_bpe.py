@@ -156,7 +156,7 @@ def _array(numbers: np.ndarray) -> Column:
 
 
 def encode_bytes(word: Column, table: PairTable, cells: Column, shift: Column, first: Column) -> Column:
-    """array<int>: the ids of one part, given as array<int> of its bytes (at least two, at most LONG)."""
+    """array<int>: the ids of one part, given as array<smallint> of its bytes (at least two, at most LONG)."""
     bits, above = table.bits, PLACE + table.bits
     ids, places, below = (1 << bits) - 1, ((1 << PLACE) - 1) << bits, (1 << above) - 1
     none = F.lit(table.none)
@@ -184,7 +184,7 @@ def encode_bytes(word: Column, table: PairTable, cells: Column, shift: Column, f
         return let(F.array_min(codes), lambda low: F.when(low >= F.lit(table.none << above), codes).otherwise(
             let(at(codes, low), lambda k: merge(codes, low, F.shiftright(low, above), k))))
 
-    start = F.transform(word, lambda x, i: F.get(first, x + 256 * F.coalesce(F.get(word, i + 1), F.lit(256))) + F.shiftleft(i.cast("bigint"), bits))
+    start = F.transform(word, lambda x, i: F.get(first, x + F.lit(256) * F.coalesce(F.get(word, i + 1).cast("int"), F.lit(256))) + F.shiftleft(i.cast("bigint"), bits))
     return F.transform(F.aggregate(F.sequence(F.lit(2), F.size(word)), start, step), lambda c: part(c, ids).cast("int"))
 
 
@@ -228,13 +228,13 @@ def _words(words: list[bytes], ranks: dict[bytes, int], table: PairTable, most:
             done.frombytes(table.merged(w).astype(np.int32).tobytes())
         sizes.append(len(done) - before)
     folded = [b"" if n else w for n, w in zip(sizes, words)]
-    values = np.frombuffer(b"".join(folded), np.uint8).astype(np.int32)
+    values = np.frombuffer(b"".join(folded), np.uint8).astype(np.int16)
     return pa.StructArray.from_arrays([_list([len(w) for w in folded], pa.array(values)), _list(sizes, pa.array(np.array(done, np.int32)))],
                                       names=["bytes", "ids"])
 
 
 def encode(df: DataFrame, path: str, pattern: str, *, text_col: str = "text", ids_col: str = "ids",
-           keep: list[str] | None = None, block_words: int = 2_000_000,
+           keep: list[str] | None = None, block_words: int = 1_000_000,
            most_folded: int = LONG) -> DataFrame:
     """The columns ``keep`` (all if None) of ``df`` and ``ids_col`` array<int>: the ids of every
     row's whole text (null or empty: no ids), each match of ``pattern`` encoded on its own,
@@ -250,7 +250,7 @@ def encode(df: DataFrame, path: str, pattern: str, *, text_col: str = "text", id
     src = df.select(*[F.col(f"`{c}`") for c in rest], *([] if text_col in rest else [F.col(f"`{text_col}`")]))
     numbers_name = free_name(src, "numbers")
     record = T.StructType([*fields, T.StructField(numbers_name, T.ArrayType(T.IntegerType()))])
-    blocked = T.StructType([T.StructField("words", T.ArrayType(T.StructType.fromDDL("bytes array<int>, ids array<int>"))),
+    blocked = T.StructType([T.StructField("words", T.ArrayType(T.StructType.fromDDL("bytes array<smallint>, ids array<int>"))),
                             T.StructField("records", T.ArrayType(record))])
     table = pair_table(path)
 
@@ -264,7 +264,8 @@ def encode(df: DataFrame, path: str, pattern: str, *, text_col: str = "text", id
                 numbers = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(rows), pa.int32()))
                 records = pa.StructArray.from_arrays([*part.columns, numbers], names=record.names)
                 yield pa.RecordBatch.from_arrays([one(_words(words, ranks, table, min(most_folded, LONG))), one(records)], names=["words", "records"])
-        pa.default_memory_pool().release_unused()
+                del words, rows, part, numbers, records
+                pa.default_memory_pool().release_unused()
 
     def deal(coded: Column) -> Column:
         """The block's records with the ids of their words in place of the word numbers."""
