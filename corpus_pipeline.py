@@ -16,6 +16,10 @@ from tessera.llm.common import prepare, read_table
 from tessera.llm.registry import digests
 
 
+#: Rows of whole texts that a task of the last stage holds as one Arrow batch, on both sides of Python.
+ENCODE_ROWS = 2048
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and whose host (``source``) is not rejected."""
     prepare(spark)
@@ -43,6 +47,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and the digests of the ids and of the decoded bytes."""
     prepare(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ENCODE_ROWS)
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     coded = byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN, keep=["doc_id"])
     return digests(coded, ranks)
