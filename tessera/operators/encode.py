@@ -3,8 +3,9 @@
 There is no sentence-embedding model in this environment, so the default
 encoder is a **hashed bag of words** (a stand-in, not semantic): Unicode word
 tokens (STR-4) are hashed to ``dim`` buckets on the JVM (first 32 bits of
-``md5``), then an Arrow-batched pandas UDF turns each bucket list into counts
-and L2-normalises them (float32, like a stored embedding matrix).
+``md5``), then an Arrow UDF turns each bucket list into counts and L2-normalises
+them (float32, like a stored embedding matrix), ``SLICE`` rows at a time: what a
+worker holds is one Arrow batch of buckets and its vectors, however large the table.
 
 Any other encoder plugs in through ``encode_with``: an iterator pandas UDF that
 builds the user's model once per Python worker and encodes Arrow batches.
@@ -16,6 +17,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +25,8 @@ from pyspark.sql import types as T
 from tessera.functions.text import tokenize_words
 
 DEFAULT_DIM = 256
+#: Rows whose counts are held at once in a worker.
+SLICE = 512
 
 
 def token_buckets(text: Column, dim: int = DEFAULT_DIM) -> Column:
@@ -33,31 +37,36 @@ def token_buckets(text: Column, dim: int = DEFAULT_DIM) -> Column:
     )
 
 
-def _counts_to_unit(buckets: pd.Series, dim: int, weights: np.ndarray | None = None) -> pd.Series:
+def _counts_to_unit(buckets: pa.ListArray, dim: int, weights: np.ndarray | None = None) -> pa.ListArray:
+    """Unit vectors of lists of buckets (no nulls); the counts of ``SLICE`` rows are held at a time."""
     n = len(buckets)
-    lengths = np.fromiter((len(b) for b in buckets), dtype=np.int64, count=n)
-    counts = np.zeros((n, dim), dtype=np.float64)
-    if lengths.sum():
-        flat = np.concatenate([np.asarray(b, dtype=np.int64) for b in buckets if len(b)])
-        rows = np.repeat(np.arange(n), lengths)
-        np.add.at(counts, (rows, flat), 1.0)
-    if weights is not None:
-        counts *= weights
-    norms = np.sqrt((counts * counts).sum(axis=1))
-    with np.errstate(invalid="ignore", divide="ignore"):
-        unit = np.where(norms[:, None] > 0, counts / norms[:, None], 0.0).astype(np.float32)
-    return pd.Series(list(unit))
+    out = np.empty((n, dim), np.float32)
+    for i in range(0, n, SLICE):
+        part = buckets.slice(i, SLICE)
+        rows = np.repeat(np.arange(len(part)), np.diff(part.offsets.to_numpy()))
+        flat = part.flatten().to_numpy(zero_copy_only=False)
+        counts = np.bincount(rows * dim + flat, minlength=len(part) * dim).reshape(-1, dim).astype(np.float64)
+        if weights is not None:
+            counts *= weights
+        norms = np.sqrt((counts * counts).sum(axis=1))
+        with np.errstate(invalid="ignore", divide="ignore"):
+            out[i:i + SLICE] = np.where(norms[:, None] > 0, counts / norms[:, None], 0.0)
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * dim), pa.array(out.ravel()))
 
 
 def hashed_bow(text: Column, dim: int = DEFAULT_DIM, weights: np.ndarray | None = None) -> Column:
     """Unit float32 vector of hashed word counts, times the ``weights`` of the buckets if given."""
 
-    @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def _unit(buckets: pd.Series) -> pd.Series:
-        return _counts_to_unit(buckets, dim, weights)
+    @F.arrow_udf(T.ArrayType(T.FloatType()))
+    def _unit(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for b in batches:
+            yield _counts_to_unit(b, dim, weights)
+            del b
+            pa.default_memory_pool().release_unused()
 
-    # a null text has no tokens: it becomes the zero vector
-    return _unit(F.coalesce(token_buckets(text, dim), F.array().cast("array<bigint>")))
+    # a null text has no tokens: it becomes the zero vector; a bucket travels as the smallest type that holds it
+    kind = "array<smallint>" if dim <= 1 << 15 else "array<int>"
+    return _unit(F.coalesce(token_buckets(text, dim).cast(kind), F.array().cast(kind)))
 
 
 def encode(df: DataFrame, text: str = "text", out: str = "embedding", dim: int = DEFAULT_DIM) -> DataFrame:
