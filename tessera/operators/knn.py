@@ -3,9 +3,10 @@
 * Queries that fit ``max_query_bytes`` (row count x vector width, both measured) are
   broadcast as one matrix; the corpus is scored where it lies (``mapInArrow``, no
   exchange) and every task sends its top k per query.
-* More queries: both sides are cut into hash blocks of at most ``block_bytes`` and
+* More queries: equal vectors are scored once on both sides (see ``_of_distinct``). If the distinct
+  ones still do not fit, they are cut into hash blocks of at most ``block_bytes`` and
   ``cogroup``ed on ``(qblock, cblock)``, a blocked matrix product as an equi-join.
-  Data moved: ``|Q| * Cb + |C| * Qb`` rows.
+  Data moved: ``|Q| * Cb + |C| * Qb`` rows of distinct vectors.
 * Both ways use one kernel: scores of a chunk of records, a running top k per query.
   A window on ``query_id`` (with a partial ``WindowGroupLimit`` before its exchange)
   keeps the global top k.
@@ -24,12 +25,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.rank import topk_per_query
 
-_PAIR_BUDGET = 4_000_000  # score-matrix cells held at once in a worker
+_PAIR_BUDGET = 1_000_000  # score-matrix cells held at once in a worker
+_ROWS = 1024  # records of an Arrow batch that are turned into a matrix at once
 #: Documented bounds: the largest query matrix that is broadcast, and the vectors of a block.
 MAX_QUERY_BYTES, BLOCK_BYTES = 64 << 20, 32 << 20
 
@@ -129,6 +131,13 @@ class TopK:
         return self.rows[0], self.keys[0], self.scores[0]
 
 
+def _plain(keys: pa.Array) -> np.ndarray:
+    """Keys as numbers where they are whole numbers without nulls, which rank much faster than objects."""
+    if pa.types.is_integer(keys.type) and not keys.null_count:
+        return keys.to_numpy(zero_copy_only=False)
+    return np.asarray(keys.to_pylist(), object)
+
+
 def _dtype(kind: str):
     return np.int64 if kind == "agree" else np.float64
 
@@ -144,14 +153,15 @@ def _in_place(queries: DataFrame, corpus: DataFrame, schema: str, names: tuple[s
         ids, q = sent.value
         top = TopK(q, **how)
         kind = None
-        for b in batches:
+        for b in (x.slice(i, _ROWS) for x in batches for i in range(0, x.num_rows, _ROWS)):
             kind = b.column(0).type
             b = b.filter(pc.is_valid(b.column(1)))
-            top.add(np.asarray(b.column(0).to_pylist(), object), _matrix(b.column(1), dtype))
+            top.add(_plain(b.column(0)), _matrix(b.column(1), dtype))
         r, keys, s = top.result()
         if len(r):
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(r)), pa.array(keys.tolist(), kind), pa.array(s)],
                                              names=[query_id, key, "score"])
+        pa.default_memory_pool().release_unused()          # an idle worker gives back what it held
     return corpus.mapInArrow(run, schema)
 
 
@@ -173,6 +183,40 @@ def _in_blocks(queries: DataFrame, corpus: DataFrame, schema: str, names: tuple[
     return q.groupBy("qblock", "cblock").cogroup(c.groupBy("qblock", "cblock")).applyInPandas(cell, schema=schema)
 
 
+def _digest(v: str) -> Column:
+    """A vector's name: 128 bits of hash, so that no two vectors share one."""
+    return F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(seed), v)), 16, "0") for seed in (0, 1)])
+
+
+def _of_distinct(queries: DataFrame, corpus: DataFrame, names: tuple[str, str], row_bytes: int, max_query_bytes: int,
+                 block_bytes: int, **how) -> DataFrame:
+    """The top k per query where equal vectors are scored once. The distinct vectors of the corpus are
+    numbered by their smallest key; a row among the best k has one of the best k vectors by (score, number), so
+    these are found first, then give way to their k smallest keys each, and the best k of those are every query's
+    with that vector. Sides that many rows share are joined by sort and merge: their sizes are not what Catalyst expects."""
+    (query_id, key), k = names, how["k"]
+    asked = queries.select("__v").distinct().select(_digest("__v").alias("__q"), "__v").checkpoint()
+    stored = (corpus.groupBy("__v").agg(F.min(key).alias("__first")).orderBy("__first")
+              .select(F.monotonically_increasing_id().alias("__c"), "__v").checkpoint())
+    n, args = asked.count(), ("__q string, __c long, score double", ("__q", "__c"))
+    if n * row_bytes <= max_query_bytes:
+        cells = _in_place(asked, stored, *args, **how)
+    else:
+        per_block = max(1, block_bytes // row_bytes)
+        qb, cb = (max(1, math.ceil(x / per_block)) for x in (n, stored.count()))
+        cells = _in_blocks(asked, stored, *args, qb, cb, **how)
+    best = topk_per_query(cells, k, group="__q", tie="__c").select("__q", "__c", "score")
+    few = Window.partitionBy("__d").orderBy(key)
+    keys = corpus.select(_digest("__v").alias("__d"), key).withColumn("__n", F.row_number().over(few)).where(F.col("__n") <= k).drop("__n")
+    owners = keys.hint("merge").join(stored.select(_digest("__v").alias("__d"), "__c"), "__d").select("__c", key)
+    top = topk_per_query(best.hint("merge").join(owners, "__c"), k, group="__q", tie=key).select("__q", key, "score", "rank")
+    members = queries.select(query_id, _digest("__v").alias("__q"))
+    out = members.hint("merge").join(top, "__q").select(query_id, key, "score", "rank")
+    if queries.select(query_id).distinct().count() == queries.count():
+        return out
+    return topk_per_query(out.drop("rank"), k, group=query_id, tie=key)
+
+
 def knn_topk(
     queries: DataFrame,
     corpus: DataFrame,
@@ -206,9 +250,5 @@ def knn_topk(
     n, some = queries.count(), q.select(F.size("__v")).limit(64).collect()
     row_bytes = 8 * max([1, *(r[0] for r in some if r[0])]) + 64
     if n * row_bytes <= max_query_bytes:
-        cells = _in_place(q, c, schema, (query_id, key), **how)
-    else:
-        per_block = max(1, block_bytes // row_bytes)
-        qb, cb = (max(1, math.ceil(x / per_block)) for x in (n, c.count()))
-        cells = _in_blocks(q, c, schema, (query_id, key), qb, cb, **how)
-    return topk_per_query(cells, k, group=query_id, tie=key)
+        return topk_per_query(_in_place(q, c, schema, (query_id, key), **how), k, group=query_id, tie=key)
+    return _of_distinct(q, c, (query_id, key), row_bytes, max_query_bytes, block_bytes, **how)

@@ -4,7 +4,8 @@ JOIN-4 exact-match boost, JOIN-5 one-edit (fuzzy) boost, WIN-4 first fuzzy key.
 The one-edit join never compares all pairs: both sides are expanded into block
 hashes that strings within one edit share (``edit_blocks``), joined on them, and
 every candidate is verified with ``levenshtein(a, b, 1)``. A popular term or key is
-one join key; Spark's skew join splits it.
+one join key; Spark's skew join splits it. The joins are by sort and merge: all their sides
+grow with the queries or the records, more than Catalyst expects of exploded rows.
 """
 
 from __future__ import annotations
@@ -49,9 +50,10 @@ def normalised_keys(records: DataFrame, key: str = "key", ord_col: str = "ord")
     """AGG-10: one row per normalised key. ``last_ord`` is the record a lookup
     resolves to (a later duplicate wins); ``first_ord`` is the key's position in
     insertion order (a dict keeps the first insertion position)."""
-    return (records.withColumn("norm_key", normalize_text(F.col(key)))
+    keys = records.groupBy(key).agg(F.max(ord_col).alias("last_ord"), F.min(ord_col).alias("first_ord"))  # a key is normalised once
+    return (keys.withColumn("norm_key", normalize_text(F.col(key)))
             .groupBy("norm_key")
-            .agg(F.max(ord_col).alias("last_ord"), F.min(ord_col).alias("first_ord")))
+            .agg(F.max("last_ord").alias("last_ord"), F.min("first_ord").alias("first_ord")))
 
 
 def exact_key_lookup(queries: DataFrame, records: DataFrame, *, query: str = "query",
@@ -68,7 +70,7 @@ def fuzzy_key_candidates(terms: DataFrame, nkeys: DataFrame, min_len: int) -> Da
          .select("norm_term", F.explode(edit_blocks(F.col("norm_term"))).alias("h")))
     k = (nkeys.filter(F.length("norm_key") >= min_len - 1)
          .select("norm_key", "first_ord", "last_ord", F.explode(edit_blocks(F.col("norm_key"))).alias("h")))
-    pairs = t.join(k, "h").drop("h").dropDuplicates(["norm_term", "norm_key"])
+    pairs = t.join(k.hint("merge"), "h").drop("h").dropDuplicates(["norm_term", "norm_key"])
     return pairs.filter(F.levenshtein("norm_term", "norm_key", 1).between(0, 1))
 
 
@@ -84,7 +86,7 @@ def key_boosts(queries: DataFrame, records: DataFrame, cfg: RetrievalConfig = Re
     nkeys = normalised_keys(records, key, ord_col)
     terms = q.select("norm_term").distinct()
     # one left join decides: a term with a key is exact, the misses go on to the one-edit join
-    found = terms.join(nkeys, terms.norm_term == nkeys.norm_key, "left").select("norm_term", F.col("last_ord").alias("ord"))
+    found = terms.join(nkeys.hint("merge"), terms.norm_term == nkeys.norm_key, "left").select("norm_term", F.col("last_ord").alias("ord"))
     exact = found.where("ord IS NOT NULL").select("norm_term", "ord", F.lit("exact").alias("match_kind"),
                                                   F.lit(cfg.exact_boost).alias("boost"))
     no_exact = found.where("ord IS NULL").select("norm_term")
@@ -93,7 +95,7 @@ def key_boosts(queries: DataFrame, records: DataFrame, cfg: RetrievalConfig = Re
              .agg(F.min_by("last_ord", "first_ord").alias("ord"))
              .select("norm_term", "ord", F.lit("fuzzy").alias("match_kind"), F.lit(cfg.fuzzy_boost).alias("boost")))
     per_term = exact.unionByName(fuzzy)
-    return q.join(per_term, "norm_term").select(query_id, "ord", "match_kind", "boost")
+    return q.join(per_term.hint("merge"), "norm_term").select(query_id, "ord", "match_kind", "boost")
 
 
 def boost_shortlist(cands: DataFrame, cfg: RetrievalConfig = RetrievalConfig(), *,

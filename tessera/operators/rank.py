@@ -46,4 +46,4 @@ def fetch_records(cands: DataFrame, records: DataFrame, *, key: str, cand_bytes:
     ``max_broadcast_bytes``; otherwise both sides shuffle on the key."""
     if cand_bytes is not None and cand_bytes <= max_broadcast_bytes:
         return records.join(F.broadcast(cands), key, "inner")
-    return cands.join(records, key, "inner")
+    return cands.join(records.hint("merge"), key, "inner")

@@ -22,7 +22,7 @@ from tessera.plans import oracle_sql as S
 from tessera.plans.answer import answer, audited_answer, retrieve_text
 from tessera.plans.build import corpus_rows
 from tessera.plans.inputs import PART_AS_CORPUS, definition_questions, document_records
-from tessera.plans.retrieve import cosine_boost_retrieve
+from tessera.plans.retrieve import cosine_boost_retrieve, once_per_text
 from tessera.sources.corpus import as_corpus, cache_embedding_text, record_key, with_ordinal
 from tessera.session import ensure_checkpoint_dir
 from tessera.sources.store import keyed_records_kv, write_bucketed
@@ -76,16 +76,17 @@ FROM (SELECT p_name AS key, arg_max(p_name || ': ' || p_type, p_partkey) AS text
 
 
 def _key_vectors(spark, sf):
-    """Vectors of the names of ``part`` and of the definition questions."""
+    """Vectors of the names of ``part``, and the definition questions."""
     part = table(spark, sf, "part").select(F.col("p_partkey").alias("ord"), F.col("p_name").alias("key"))
-    return encode(part, "key", "embedding"), encode(definition_questions(table(spark, sf, "part")), "query", "embedding")
+    return encode(part, "key", "embedding"), definition_questions(table(spark, sf, "part"))
 
 
 def q_tier1_retrieve(spark, sf):
     """ANN-5 Tier 1 / MTH-4 / WIN-5 / SRT-3 / PRJ-8: every definition question against the names of
     ``part``, the named key boosted, shortlist of 15, at least 0.3, top 5."""
-    vectors, q = _key_vectors(spark, sf)
-    res = cosine_boost_retrieve(q, vectors, vectors.select("ord", "key"), CFG)
+    vectors, questions = _key_vectors(spark, sf)
+    res = once_per_text(questions, lambda q: cosine_boost_retrieve(
+        encode(q, "query", "embedding"), vectors, vectors.select("ord", "key"), CFG))
     return res.select("query_id", F.col("ord").alias("p_partkey"), F.col("rank").cast("bigint").alias("rank"), "raw_score", "score")
 
 
@@ -114,12 +115,15 @@ SELECT query_id, ord AS p_partkey, rank, raw_score, score FROM (
 def q_shortlist_boost(spark, sf):
     """Tier-0 boost (JOIN-4/5 ``fuzzy="all"``, MTH-4, PRJ-8) on the exact top 40 names of ``part`` per
     definition question: every exact key and every key within one edit, at least 0.3, top 5."""
-    vectors, q = _key_vectors(spark, sf)
-    short = knn_topk(q, vectors, k=CFG.top_k * CFG.ivf_overfetch, key="ord", decimals=CFG.score_decimals).drop("rank")
-    terms = M.with_query_terms(q.select("query_id", "query")).select("query_id", "norm_term")
-    named = short.join(terms, "query_id").join(vectors.select("ord", "key"), "ord")
-    kept = filter_by_threshold(M.boost_shortlist(named, CFG), CFG.threshold)
-    return topk_per_query(kept, CFG.top_k, tie="ord").select(
+    vectors, questions = _key_vectors(spark, sf)
+
+    def boosted(q: DataFrame) -> DataFrame:
+        short = knn_topk(encode(q, "query", "embedding"), vectors, k=CFG.top_k * CFG.ivf_overfetch, key="ord",
+                         decimals=CFG.score_decimals).drop("rank")
+        terms = M.with_query_terms(q.select("query_id", "query")).select("query_id", "norm_term")
+        named = short.join(terms.hint("merge"), "query_id").join(vectors.select("ord", "key").hint("merge"), "ord")
+        return topk_per_query(filter_by_threshold(M.boost_shortlist(named, CFG), CFG.threshold), CFG.top_k, tie="ord")
+    return once_per_text(questions, boosted).select(
         "query_id", F.col("ord").alias("p_partkey"), F.col("rank").cast("bigint").alias("rank"), "raw_score", "boost", "score")
 
 

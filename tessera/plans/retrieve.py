@@ -36,6 +36,23 @@ def cosine_retrieve(queries: DataFrame, corpus: DataFrame, cfg: RetrievalConfig
                 key=key, corpus_vec=corpus_vec, kind="dot")
 
 
+def once_per_text(queries: DataFrame, run: Callable[[DataFrame], DataFrame], *, query_id: str = "query_id",
+                  query: str = "query") -> DataFrame:
+    """``run(queries)``, whose rows (with ``query_id``) hang on a query's text alone: each distinct text is run
+    once, under the smallest of its ids, and every query gets its rows. Where ids repeat or are
+    null, ``run`` takes the queries as they are. The join is by sort and merge: a text may be asked by any number of
+    queries, and either side may be larger than Catalyst expects."""
+    ids = queries.select(F.col(query_id)).where(F.col(query_id).isNotNull())
+    if ids.distinct().count() < queries.count():
+        return run(queries)
+    first = queries.groupBy(query).agg(F.min(query_id).alias(query_id)).checkpoint()
+    rep = first.select(F.col(query).alias("__text"), F.col(query_id).alias("__rep"))
+    owners = queries.select(query_id, query).hint("merge").join(rep, F.col(query).eqNullSafe(F.col("__text"))).select(query_id, "__rep")
+    res = run(first.select(query_id, query))
+    rest = [c for c in res.columns if c != query_id]
+    return owners.hint("merge").join(res.withColumnRenamed(query_id, "__rep"), "__rep").select(query_id, *rest)
+
+
 def ivf_retrieve(index: IvfPqIndex, queries: DataFrame, records: DataFrame, cfg: RetrievalConfig = RetrievalConfig(), *,
                  query_id: str = "query_id", query_vec: str = "embedding", key: str = "key",
                  query_text: str | None = None) -> DataFrame:
@@ -103,7 +120,8 @@ def cosine_boost_retrieve(queries: DataFrame, vectors: DataFrame, records: DataF
     (FLT-2); top k. ``vectors(ord, key, embedding)``, ``records(ord, ...)``.
 
     Boosting raises one row per query, so the boosted shortlist is the best
-    ``k*3`` of the raw top ``k*3`` and the boosted row: no full re-scoring."""
+    ``k*3`` of the raw top ``k*3`` and the boosted row: no full re-scoring. All joins are by sort
+    and merge, for Catalyst takes sides as long as the queries for small ones and would broadcast them."""
     short_k = cfg.top_k * cfg.cosine_overfetch
     qv = queries.select("query_id", query_vec)
     raw = _knn(qv, vectors.select("ord", "embedding"), cfg, k=short_k, threshold=None, query_id="query_id",
@@ -111,10 +129,10 @@ def cosine_boost_retrieve(queries: DataFrame, vectors: DataFrame, records: DataF
     boosts = key_boosts(queries.select("query_id", query_text), vectors.select("ord", key), cfg,
                         query=query_text, key=key).select("query_id", "ord", "boost")
     # the boosted row joins the shortlist only where the raw top has it not
-    missing = boosts.join(raw, ["query_id", "ord"], "left_anti")
-    scored = (missing.join(qv, "query_id").join(vectors.select("ord", F.col("embedding").alias("__e")), "ord")
+    missing = boosts.join(raw.hint("merge"), ["query_id", "ord"], "left_anti")
+    scored = (missing.join(qv.hint("merge"), "query_id").join(vectors.select("ord", F.col("embedding").alias("__e")).hint("merge"), "ord")
               .select("query_id", "ord", F.round(dot_product(F.col(query_vec), F.col("__e")), cfg.score_decimals).alias("score")))
-    cands = raw.unionByName(scored).join(boosts, ["query_id", "ord"], "left").withColumnRenamed("score", "raw_score")
+    cands = raw.unionByName(scored).join(boosts.hint("merge"), ["query_id", "ord"], "left").withColumnRenamed("score", "raw_score")
     cands = cands.withColumn("score", F.when(F.col("boost").isNotNull(), clamped_boost(F.col("raw_score"), F.col("boost")))
                              .otherwise(F.col("raw_score")))
     shortlist = topk_per_query(cands, short_k, tie="ord").drop("rank")

@@ -81,3 +81,38 @@ def test_an_encoder_runs_once(spark):
     queries = spark.createDataFrame([(1, "text 3"), (2, None)], "query_id long, query string")
     plan = retrieve_text(queries, records.repartition(4), RetrievalConfig(threshold=0.0))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and "isnotnull(pythonUDF" not in plan
+
+
+def test_equal_vectors_are_scored_once(spark, monkeypatch):
+    """Beyond the broadcast bound only distinct vectors of both sides meet; ties over keys, repeated rows and ids as by brute force."""
+    kinds = [[1.0, 0.0], [0.0, 1.0], [0.6, 0.8], None, [-0.0, 1.0]]
+    c = [(i % 40, kinds[i % 5]) for i in range(60)]
+    q = [(i, kinds[i % 3]) for i in range(30)] + [(0, kinds[0]), (1, kinds[2]), (99, None)]
+    corpus = spark.createDataFrame(c, "key long, embedding array<float>").repartition(3)
+    queries = spark.createDataFrame(q, "query_id long, embedding array<float>").repartition(3)
+    met, blocks = [], knn._in_blocks
+    monkeypatch.setattr(knn, "_in_blocks", lambda a, b, *args, **how: (met.append((a.count(), b.count())), blocks(a, b, *args, **how))[1])
+    got = knn_topk(queries, corpus, k=7, max_query_bytes=0, block_bytes=80)
+    want = []
+    for i in sorted({i for i, _ in q}):
+        hits = [(float(np.round(np.float32(v) @ np.float32(w), 6)), key) for j, v in q if j == i and v for key, w in c if w]
+        want += [(i, r, key, round(s, 9)) for r, (s, key) in enumerate(sorted(hits, key=lambda h: (-h[0], h[1]))[:7], start=1)]
+    assert rows(got) == sorted((i, r, key, round(float(s), 6)) for i, r, key, s in want)
+    assert met == [(4, 4)]                                 # three vectors and the null one
+
+
+def test_encoding_holds_a_slice_of_counts():
+    """Beyond its result the encoder's memory does not grow with the rows of a batch."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from tessera.operators import encode as E
+    buckets = pa.array([[i % 256, (7 * i) % 256, i % 256] for i in range(8000)] + [[]], pa.list_(pa.int16()))
+    tracemalloc.start()
+    got = E._counts_to_unit(buckets, 256)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8001 * 256 * 4 + 8 * E.SLICE * 256 * 8
+    assert len(got) == 8001 and got[0].as_py()[0] == 1.0 and not any(got[8000].as_py())
+    assert [round(x, 6) for x in (got[1].as_py()[1], got[1].as_py()[7])] == [0.894427, 0.447214]
