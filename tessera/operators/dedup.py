@@ -55,6 +55,8 @@ def dedup_corpus(df: DataFrame, threshold: float = 0.7, *, order: str = "ord", t
         long.select("id")).distinct().checkpoint()
     kept = rows.select("id").join(open_rows, "id", "left_anti")
     live, here, left = edges, long if long.limit(1).count() else None, open_rows.count()
+    # a round verifies rows of long blocks only: the words of the others do not travel again
+    met = None if here is None else rows.join(here.select("id").distinct(), "id", "left_semi").checkpoint()
     while left:
         waits = live.select(F.col("b").alias("id"))
         if here is not None:
@@ -65,7 +67,7 @@ def dedup_corpus(df: DataFrame, threshold: float = 0.7, *, order: str = "ord", t
         if here is not None:
             beside = heads.join(stay, heads["head"] == stay["id"], "left_semi")
             met_now = here.join(beside, "key").where("id > head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
-            gone = gone.unionByName(verified(met_now, rows, rows, threshold).select(F.col("b").alias("id")))
+            gone = gone.unionByName(verified(met_now, met, met, threshold).select(F.col("b").alias("id")))
         kept = kept.unionByName(stay)
         open_rows = open_rows.join(stay.unionByName(gone), "id", "left_anti").checkpoint()
         left = open_rows.count()

@@ -4,9 +4,9 @@ Words are ordered from the rarest up, so that similar sets share rare words earl
 prefix rule two sets of Jaccard >= t share one of their first ``n - ceil(t n) + 1`` words;
 more generally, with one word more for each, the first k words that they share lie in their
 first ``n - ceil(t n) + k``. A block of one word that many rows have on both sides is not
-compared all against all: its rows go on to blocks of that word and a second one, and then a
-third. What shares no more than the block's words goes on to none, and is a result if those
-are enough.
+compared all against all, unless that is less work than the longer keys of its rows: they go
+on to blocks of that word and a second one, and then a third. What shares no more than the
+block's words goes on to none, and is a result if those are enough.
 
 Pairs are cut by length, by position (words that can still be shared) and by a bitmap of
 each set before any word array travels: words flip bits, so two bitmaps differ in no more
@@ -25,10 +25,14 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import jaccard_sets, py_strip, whitespace_set
 
-#: A block whose smaller side has up to this many rows is compared; a larger one is split by one more word.
+#: A block whose smaller side has up to this many rows is compared; a larger one may be split by one more word.
 SMALL_BLOCK = 64
+#: Pairs of a block that cost as much as one longer key of a row, which is stored, shuffled and joined to the row's words.
+KEY_COST = 4
 #: Words of a block's key at most.
 MAX_KEY = 3
+#: A block of MAX_KEY words is not split; it is long over so many times the rows of a small one.
+LAST_BLOCK = 8
 #: Words that may be ordered by their count (16 bytes each are broadcast); rarer ones come before them by hash.
 MAX_COUNTED = 1 << 20
 #: Bits of a set's bitmaps: one for all candidates, and one for what is left, which are larger sets.
@@ -109,6 +113,12 @@ def _first_keys(side: DataFrame, threshold: float) -> DataFrame:
         .select("key", "id", "n", "at")
 
 
+def _marked(rows: DataFrame, threshold: float, words: int, left: int, right: int) -> DataFrame:
+    """(key, l, r, more): which sides a row counts on, and how many longer keys it has."""
+    more = F.greatest(F.lit(0), _prefix(F.col("n"), threshold, words) - F.col("at") - 1).cast("long")
+    return rows.select("key", F.lit(left).alias("l"), F.lit(right).alias("r"), more.alias("more"))
+
+
 def _longer_keys(rows: DataFrame, side: DataFrame, threshold: float, words: int) -> DataFrame:
     """The blocks of one more word of the rows of blocks of ``words`` words."""
     later = F.slice("h", F.col("at") + 2, F.greatest(F.lit(0), _prefix(F.col("n"), threshold, words) - F.col("at") - 1))
@@ -138,7 +148,7 @@ def _enough(left: DataFrame, right: DataFrame, threshold: float, words: int, sam
 
 
 def candidate_pairs(left: DataFrame, right: DataFrame | None, threshold: float, *, small_block: int = SMALL_BLOCK,
-                    max_key: int = MAX_KEY) -> tuple[DataFrame, DataFrame]:
+                    max_key: int = MAX_KEY, key_cost: float = KEY_COST) -> tuple[DataFrame, DataFrame]:
     """((a, b) candidates, (key, id) rows of blocks that are long at ``max_key`` words) of the ordered
     sets ``left`` and ``right`` (None: pairs a < b within ``left``). Long blocks of two tables are
     in the candidates too; those within one table are left to the caller."""
@@ -151,11 +161,15 @@ def candidate_pairs(left: DataFrame, right: DataFrame | None, threshold: float,
         nonlocal found
         found = pairs if found is None else found.unionByName(pairs)
     for words in range(1, max_key + 1):
-        marked = rows[0].select("key", F.lit(1).alias("l"), F.lit(0 if not same else 1).alias("r"))
+        marked = _marked(rows[0], threshold, words, 1, int(same))
         if not same:
-            marked = marked.unionByName(rows[1].select("key", F.lit(0).alias("l"), F.lit(1).alias("r")))
-        sizes = marked.groupBy("key").agg(F.sum("l").alias("l"), F.sum("r").alias("r")).where("l > 1" if same else "l > 0 AND r > 0")
-        sizes = sizes.select("key", (F.least("l", "r") > small_block).alias("long"))
+            marked = marked.unionByName(_marked(rows[1], threshold, words, 0, 1))
+        sizes = marked.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("l", "r", "more")]).where("l > 1" if same else "l > 0 AND r > 0")
+        if words == max_key:
+            long = F.least("l", "r") > LAST_BLOCK * small_block
+        else:
+            long = (F.least("l", "r") > small_block) & (F.expr("l * (l - 1) / 2" if same else "l * r") > key_cost * F.col("more"))
+        sizes = sizes.select("key", long.alias("long"))
         met = [r.join(sizes, "key").checkpoint() for r in rows]
         small, long = ([m.where(c).drop("long") for m in met] for c in ("NOT long", "long"))
         add(_meet(small[0], small[-1], threshold, words, same).distinct())

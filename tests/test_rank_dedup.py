@@ -90,6 +90,17 @@ def test_corpus_dedup_of_a_long_block_without_copies(spark, monkeypatch):
     assert out.count() == 200 and len(verifies) <= 8        # one for the pairs, one a round
 
 
+def test_a_block_is_split_only_where_its_pairs_are_more_work(spark, monkeypatch):
+    """Twelve near copies of thirty words: 66 pairs a block, where keys of three words would be 1440."""
+    from tessera.operators import setjoin
+    asked = []
+    plain = setjoin._longer_keys
+    monkeypatch.setattr(setjoin, "_longer_keys", lambda *a: asked.append(1) or plain(*a))
+    rows = [(i, " ".join([*[f"w{k}" for k in range(29)], f"x{i}"])) for i in range(12)] + [(50, "other words here")]
+    out = dedup_corpus(spark.createDataFrame(rows, "ord long, text string"), 0.7, small_block=8)
+    assert sorted(r.ord for r in out.collect()) == [0, 50] and not asked
+
+
 @pytest.mark.parametrize("small_block,max_key,t", [(1, 3, 0.5), (2, 2, 0.7), (64, 3, 0.3), (1, 1, 0.6), (3, 3, 1.0)])
 def test_jaccard_pairs_are_all_pairs(spark, small_block, max_key, t):
     rng = np.random.default_rng(small_block)
