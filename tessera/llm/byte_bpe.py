@@ -3,7 +3,8 @@
 Blocks of documents are cut into pre-tokens; the distinct ones become an array column of byte arrays. ``aggregate``
 folds the ranked merges over each: its state is one integer a token (the rank of the pair that starts with it, its place,
 its id), so the smallest integer is the leftmost pair of lowest rank. A step merges that pair and looks up the ranks of the two new
-pairs in the rank map, a literal array that is read by ids (see ``PairTable``). The ids of the words then
+pairs in the rank map, a literal array that is read by ids (see ``PairTable``) and stands in the one row of a local
+relation: as an expression its megabytes of text would be in every description of the plan that the driver holds. The ids of the words then
 take the place of the words' numbers in the documents. Decoding concatenates the byte pieces of
 the ids. All of it happens in the task that read the documents; nothing is shuffled.
 
@@ -25,7 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -151,8 +152,10 @@ def pair_table(path: str) -> PairTable:
     return PairTable(read_ranks(path))
 
 
-def _array(numbers: np.ndarray) -> Column:
-    return F.from_json(F.lit(json.dumps(numbers.tolist(), separators=(",", ":"))), "array<bigint>")
+def _tables(spark: SparkSession, table: PairTable) -> DataFrame:
+    """One row (cells, shift, first): the rank map."""
+    arrays = zip(("cells", "shift", "first"), (*table.cells(), table.first()))
+    return spark.createDataFrame(pa.table({name: pa.array([numbers], pa.list_(pa.int64())) for name, numbers in arrays}))
 
 
 def encode_bytes(word: Column, table: PairTable, cells: Column, shift: Column, first: Column) -> Column:
@@ -278,9 +281,10 @@ def encode(df: DataFrame, path: str, pattern: str, *, text_col: str = "text", id
         def one(w: Column) -> Column:                      # a pre-token that is a token needs no merges
             return F.when(F.size(w["ids"]) > 0, w["ids"]).otherwise(encode_bytes(w["bytes"], table, cells, shift, first))
         return let(F.transform("words", one), deal)
-    literals = [_array(x) for x in (*table.cells(), table.first())]
-    bound = let(literals[0], lambda cells: let(literals[1], lambda shift: let(literals[2], lambda first: coded(cells, shift, first))))
-    return src.mapInArrow(cut, blocked).select(F.inline(bound))
+    # the fold reads arrays of objects faster than those of a row: each is made into one once a block
+    maps = [F.transform(name, lambda x: x) for name in ("cells", "shift", "first")]
+    bound = let(maps[0], lambda cells: let(maps[1], lambda shift: let(maps[2], lambda first: coded(cells, shift, first))))
+    return src.mapInArrow(cut, blocked).crossJoin(F.broadcast(_tables(df.sparkSession, table))).select(F.inline(bound))
 
 
 def _joined(ids_col: str, pieces: list[str]) -> Column:

@@ -46,6 +46,12 @@ def test_ids_equal_the_library(spark, docs):
     assert all(r.ids == lib.encode_ordinary(texts[r.doc_id]) for r in only.collect())
 
 
+def test_the_plan_does_not_spell_the_rank_map(spark, docs):
+    """The driver keeps descriptions of a plan: the rank map in them is megabytes each."""
+    coded = byte_bpe.encode(docs([(1, "some text", "s")]), MULTI, P.PATTERN)
+    assert len(coded._jdf.queryExecution().toString()) < 100_000
+
+
 def test_long_words_are_merged_rank_by_rank(spark, docs):
     texts = [t for t in HARD if len(t) < 600] + fuzz(60)
     lib = packing.tokenizer(MULTI, P.PATTERN)
