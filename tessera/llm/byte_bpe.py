@@ -281,7 +281,7 @@ def encode(df: DataFrame, path: str, pattern: str, *, text_col: str = "text", id
         def one(w: Column) -> Column:                      # a pre-token that is a token needs no merges
             return F.when(F.size(w["ids"]) > 0, w["ids"]).otherwise(encode_bytes(w["bytes"], table, cells, shift, first))
         return let(F.transform("words", one), deal)
-    # the fold reads arrays of objects faster than those of a row: each is made into one once a block
+    # made into arrays of objects once a block, so that the fold's reads box nothing
     maps = [F.transform(name, lambda x: x) for name in ("cells", "shift", "first")]
     bound = let(maps[0], lambda cells: let(maps[1], lambda shift: let(maps[2], lambda first: coded(cells, shift, first))))
     return src.mapInArrow(cut, blocked).crossJoin(F.broadcast(_tables(df.sparkSession, table))).select(F.inline(bound))
