@@ -1,6 +1,6 @@
 """Byte-level BPE encoding and decoding with Spark's higher-order functions.
 
-Blocks of documents are cut into pre-tokens; the distinct ones become an array column of byte arrays. ``aggregate``
+Blocks of documents are cut into pre-tokens; the distinct ones become an array column of arrays, one integer a byte. ``aggregate``
 folds the ranked merges over each: its state is one integer a token (the rank of the pair that starts with it, its place,
 its id), so the smallest integer is the leftmost pair of lowest rank. A step merges that pair and looks up the ranks of the two new
 pairs in the rank map, a literal array that is read by ids (see ``PairTable``) and stands in the one row of a local
@@ -76,6 +76,7 @@ class PairTable:
         at = np.flatnonzero(inner)
         self.beside = np.zeros(1 << 16, bool)
         self.beside[text[at] << 8 | text[at + 1]] = True
+        self.starts = self.first()
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left << self.bits | right
@@ -119,6 +120,15 @@ class PairTable:
         pair = np.append(self.rank(self.byte_id[x], self.byte_id[y]), np.full(256, self.none))
         return pair << (PLACE + self.bits) | np.tile(self.byte_id, 257)
 
+    def codes(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(sizes, codes) of the words: what the fold starts with, an integer for each byte."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        x, ends = np.frombuffer(b"".join(words), np.uint8).astype(np.int64), np.cumsum(sizes)
+        after = np.append(x[1:], 256)[:len(x)]
+        after[ends[sizes > 0] - 1] = 256
+        place = np.arange(len(x)) - np.repeat(ends - sizes, sizes)
+        return sizes, self.starts[x + 256 * after] | place << self.bits
+
     def parts(self, word: bytes) -> list[bytes]:
         """``word`` cut where no merge can cross."""
         b = np.frombuffer(word, np.uint8).astype(np.int64)
@@ -153,13 +163,13 @@ def pair_table(path: str) -> PairTable:
 
 
 def _tables(spark: SparkSession, table: PairTable) -> DataFrame:
-    """One row (cells, shift, first): the rank map."""
-    arrays = zip(("cells", "shift", "first"), (*table.cells(), table.first()))
+    """One row (cells, shift): the rank map."""
+    arrays = zip(("cells", "shift"), table.cells())
     return spark.createDataFrame(pa.table({name: pa.array([numbers], pa.list_(pa.int64())) for name, numbers in arrays}))
 
 
-def encode_bytes(word: Column, table: PairTable, cells: Column, shift: Column, first: Column) -> Column:
-    """array<int>: the ids of one part, given as array<smallint> of its bytes (at least two, at most LONG)."""
+def encode_bytes(word: Column, table: PairTable, cells: Column, shift: Column) -> Column:
+    """array<int>: the ids of one part, given as array<bigint> of its bytes' codes (at least two, at most LONG)."""
     bits, above = table.bits, PLACE + table.bits
     ids, places, below = (1 << bits) - 1, ((1 << PLACE) - 1) << bits, (1 << above) - 1
     none = F.lit(table.none)
@@ -175,20 +185,20 @@ def encode_bytes(word: Column, table: PairTable, cells: Column, shift: Column, f
         """Tokens k and k + 1 (from 1) become one; the token before them has a new pair too."""
         after = F.coalesce(part(F.get(codes, k + 1), ids), F.lit(table.size))
         mine = rank(made, after).bitwiseOR(part(low, places)).bitwiseOR(made)
-        before = let(F.get(codes, k - 2), lambda c: rank(part(c, ids), made).bitwiseOR(part(c, below)))
+        left = F.get(codes, k - 2)                         # twice is cheaper than a name
+        before = rank(part(left, ids), made).bitwiseOR(part(left, below))
         rest = F.slice(codes, k + 2, F.size(codes))
         return F.when(k > 1, F.concat(F.slice(codes, F.lit(1), k - 2), F.array(before, mine), rest)).otherwise(F.concat(F.array(mine), rest))
 
     def at(codes: Column, low: Column) -> Column:
         """The index of ``low`` from 1, told by the places before it (``array_position`` throws to end its loop)."""
-        return let(part(low, places), lambda place: F.size(F.filter(codes, lambda c: part(c, places) <= place)))
+        return F.size(F.filter(codes, lambda c: part(c, places) <= part(low, places)))
 
     def step(codes: Column, _: Column) -> Column:
         return let(F.array_min(codes), lambda low: F.when(low >= F.lit(table.none << above), codes).otherwise(
             let(at(codes, low), lambda k: merge(codes, low, F.shiftright(low, above), k))))
 
-    start = F.transform(word, lambda x, i: F.get(first, x + F.lit(256) * F.coalesce(F.get(word, i + 1).cast("int"), F.lit(256))) + F.shiftleft(i.cast("bigint"), bits))
-    return F.transform(F.aggregate(F.sequence(F.lit(2), F.size(word)), start, step), lambda c: part(c, ids).cast("int"))
+    return F.transform(F.aggregate(F.sequence(F.lit(2), F.size(word)), word, step), lambda c: part(c, ids).cast("int"))
 
 
 def _blocks(b: pa.RecordBatch, text_at: int, pattern: str, table: PairTable, block_words: int):
@@ -216,12 +226,12 @@ def _blocks(b: pa.RecordBatch, text_at: int, pattern: str, table: PairTable, blo
             rows, first, held = [], i + 1, 0
 
 
-def _list(sizes: list[int], values: pa.Array) -> pa.ListArray:
+def _list(sizes: list[int] | np.ndarray, values: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), values)
 
 
 def _words(words: list[bytes], ranks: dict[bytes, int], table: PairTable, most: int) -> pa.StructArray:
-    """(bytes: of a word to be folded, ids: of a word that is a token itself, or a part over ``most`` bytes) of each word."""
+    """(codes: of a word to be folded, ids: of a word that is a token itself, or a part over ``most`` bytes) of each word."""
     done, sizes = array("i"), []
     for w in words:
         before, rank = len(done), ranks.get(w)
@@ -230,10 +240,9 @@ def _words(words: list[bytes], ranks: dict[bytes, int], table: PairTable, most:
         elif len(w) > most:
             done.frombytes(table.merged(w).astype(np.int32).tobytes())
         sizes.append(len(done) - before)
-    folded = [b"" if n else w for n, w in zip(sizes, words)]
-    values = np.frombuffer(b"".join(folded), np.uint8).astype(np.int16)
-    return pa.StructArray.from_arrays([_list([len(w) for w in folded], pa.array(values)), _list(sizes, pa.array(np.array(done, np.int32)))],
-                                      names=["bytes", "ids"])
+    n_codes, codes = table.codes([b"" if n else w for n, w in zip(sizes, words)])
+    return pa.StructArray.from_arrays([_list(n_codes, pa.array(codes)), _list(sizes, pa.array(np.array(done, np.int32)))],
+                                      names=["codes", "ids"])
 
 
 def encode(df: DataFrame, path: str, pattern: str, *, text_col: str = "text", ids_col: str = "ids",
@@ -253,7 +262,7 @@ def encode(df: DataFrame, path: str, pattern: str, *, text_col: str = "text", id
     src = df.select(*[F.col(f"`{c}`") for c in rest], *([] if text_col in rest else [F.col(f"`{text_col}`")]))
     numbers_name = free_name(src, "numbers")
     record = T.StructType([*fields, T.StructField(numbers_name, T.ArrayType(T.IntegerType()))])
-    blocked = T.StructType([T.StructField("words", T.ArrayType(T.StructType.fromDDL("bytes array<smallint>, ids array<int>"))),
+    blocked = T.StructType([T.StructField("words", T.ArrayType(T.StructType.fromDDL("codes array<bigint>, ids array<int>"))),
                             T.StructField("records", T.ArrayType(record))])
     table = pair_table(path)
 
@@ -277,13 +286,13 @@ def encode(df: DataFrame, path: str, pattern: str, *, text_col: str = "text", id
             return F.struct(*[r[c].alias(c) for c in rest], ids.alias(ids_col))
         return F.transform("records", one)
 
-    def coded(cells: Column, shift: Column, first: Column) -> Column:
+    def coded(cells: Column, shift: Column) -> Column:
         def one(w: Column) -> Column:                      # a pre-token that is a token needs no merges
-            return F.when(F.size(w["ids"]) > 0, w["ids"]).otherwise(encode_bytes(w["bytes"], table, cells, shift, first))
+            return F.when(F.size(w["ids"]) > 0, w["ids"]).otherwise(encode_bytes(w["codes"], table, cells, shift))
         return let(F.transform("words", one), deal)
     # made into arrays of objects once a block, so that the fold's reads box nothing
-    maps = [F.transform(name, lambda x: x) for name in ("cells", "shift", "first")]
-    bound = let(maps[0], lambda cells: let(maps[1], lambda shift: let(maps[2], lambda first: coded(cells, shift, first))))
+    maps = [F.transform(name, lambda x: x) for name in ("cells", "shift")]
+    bound = let(maps[0], lambda cells: let(maps[1], lambda shift: coded(cells, shift)))
     return src.mapInArrow(cut, blocked).crossJoin(F.broadcast(_tables(df.sparkSession, table))).select(F.inline(bound))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -32,6 +33,22 @@ def _newer() -> regex.Pattern:
     return regex.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in NEWER) + "]")
 
 
+#: What the classes of a pattern hold in ASCII.
+ASCII = {r"\p{L}": "A-Za-z", r"\p{N}": "0-9", r"\s": r"\t-\r ", r"\S": r"\x00-\x08\x0e-\x1f!-\x7f"}
+_CLASS = re.compile(r"\\p\{\w+\}|\\[sS]")
+#: A pattern of which only the classes outside of ``re`` are rewritten: letters, groups of ``?:`` and ``?!``, plain sets and quantifiers.
+_PLAIN = re.compile(r"(?:\[\^?(?:\\p\{[LN]\}|\\[sS])+\]|\\p\{[LN]\}|\\[sS]|\(\?[:!]|\)|[?*+](?![?*+])|\||[A-Za-z' ])+")
+
+
+@lru_cache(maxsize=None)
+def _ascii(pattern: str) -> re.Pattern | None:
+    """``pattern`` for ``re``, which cuts ASCII texts in half the time; None if it has more than what is told from PLAIN."""
+    if not _PLAIN.fullmatch(pattern):
+        return None
+    parts = re.split(r"(\[[^\]]*\])", pattern)            # sets at the odd places
+    return re.compile("".join(_CLASS.sub(lambda m, one=i % 2: ASCII[m[0]] if one else f"[{ASCII[m[0]]}]", p) for i, p in enumerate(parts)))
+
+
 @lru_cache(maxsize=None)
 def _compiled(pattern: str) -> regex.Pattern:
     return regex.compile(pattern)
@@ -39,7 +56,7 @@ def _compiled(pattern: str) -> regex.Pattern:
 
 def piece_groups(text: str, pattern: str, group: int = 200_000) -> Iterator[list[str]]:
     """The pre-tokens of ``text`` in order, in lists of bounded length."""
-    cut = _compiled(pattern)
+    cut = text.isascii() and _ascii(pattern) or _compiled(pattern)
     newer = not text.isascii() and _newer().search(text)
     if not newer and len(text) <= LONG_TEXT:
         yield cut.findall(text)

@@ -22,6 +22,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
                                      public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, limit=1024)
 
 
+#: Pre-tokens of ``op3_`` whose distinct words are folded together: about those of an Arrow batch. It changes the plan only.
+BLOCK_WORDS = 4_000_000
+
+
 def digests(coded: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens and the SHA-256 of the ids (little-endian uint32) and of the decoded bytes."""
     packed = byte_bpe.pack_ids(byte_bpe.decode(coded, path), path)
@@ -33,7 +37,7 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document under byte_bpe_multi_50k.tiktoken and their decoding, as digests."""
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = read_table(spark, sf_dir, "documents")
-    return digests(byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN, keep=["doc_id"]), ranks)
+    return digests(byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN, keep=["doc_id"], block_words=BLOCK_WORDS), ranks)
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -103,6 +103,38 @@ def test_long_texts_are_cut_in_groups(monkeypatch):
     assert [p for g in parts for p in g] == whole and max(map(len, parts)) == 7 and "".join(whole) == text
 
 
+def test_ascii_texts_are_cut_the_same():
+    from tessera.llm import pretokens
+    rng = np.random.default_rng(3)
+    assert pretokens._ascii(P.PATTERN) is not None
+    for pool in ([chr(x) for x in range(128)], list("abs'tlld 12 \t\n\r\x0b\x0c\x1c\x1f.,"), list(" \n'rveAZ09@[`{/:")):
+        for n in rng.integers(0, 60, 500):
+            text = "".join(rng.choice(pool, n))
+            assert [p for g in pretokens.piece_groups(text, P.PATTERN) for p in g] == pretokens._compiled(P.PATTERN).findall(text)
+    for odd in (r"(?i:'s)|\p{L}+", r"\p{Lu}+", r"a{2}", r"\s++", r"\w+", r"."):
+        assert pretokens._ascii(odd) is None
+
+
+def test_words_are_folded_once_a_batch(spark, sf, monkeypatch):
+    """The fold is what costs: the words of a usual Arrow batch of the query stand in one block."""
+    held, real = [], byte_bpe.encode
+    monkeypatch.setattr(byte_bpe, "encode", lambda *a, **k: held.append(k) or real(*a, **k))
+    op3_byte_bpe(spark, sf)
+    assert held[0]["block_words"] >= 4_000_000
+
+
+def test_a_word_starts_with_the_ranks_of_its_byte_pairs():
+    table = byte_bpe.pair_table(MULTI)
+    words = [b"", b"the", b"", b"x", "é漢".encode()]
+    sizes, codes = table.codes(words)
+    assert sizes.tolist() == [0, 3, 0, 1, 5]
+    for w, got in zip(words, np.split(codes, np.cumsum(sizes)[:-1])):
+        ids = table.byte_id[np.frombuffer(w, np.uint8)]
+        rank = np.append(table.rank(ids[:-1], ids[1:]), np.full(min(len(w), 1), table.none))
+        assert (got == (rank << byte_bpe.PLACE + table.bits | np.arange(len(w)) << table.bits | ids)).all()
+    assert not len(table.codes([b"", b""])[1]) and not len(table.codes([])[1])
+
+
 @pytest.mark.parametrize("query", [op2_token_counts, op3_byte_bpe])
 def test_queries(spark, sf, corpus, query):
     lib = {op2_token_counts: Tokenizer.from_file(JSON), op3_byte_bpe: packing.tokenizer(MULTI, P.PATTERN)}[query]
