@@ -1,13 +1,19 @@
 """Byte-level BPE encoding and decoding with Spark's higher-order functions.
 
-Blocks of documents are cut into pre-tokens; the distinct ones become an array column of arrays, one integer a byte. ``aggregate``
-folds the ranked merges over each: its state is one integer a token (the rank of the pair that starts with it, its place,
-its id), so the smallest integer is the leftmost pair of lowest rank. A step merges that pair and looks up the ranks of the two new
-pairs in the rank map, a literal array that is read by ids (see ``PairTable``) and stands in the one row of a local
-relation: as an expression its megabytes of text would be in every description of the plan that the driver holds. The ids of the words then
+Blocks of documents are cut into pre-tokens; the distinct ones become an array column of strings, a character for each byte's id.
+``aggregate`` folds the ranked merges over each: a step is one merge of the vocabulary, and ``replace`` puts the character of the
+token it makes in the place of its pair, from the left, wherever the pair stands. Merges come in the order of their ranks, and only those
+whose token's bytes stand in the word: no other can ever apply. The pairs and the tokens they make are literal arrays, read by rank, that stand in the one row of a local
+relation: as an expression their text would be in every description of the plan that the driver holds. The ids of the words then
 take the place of the words' numbers in the documents. Decoding concatenates the byte pieces of
 the ids. All of it happens in the task that read the documents; nothing is shuffled.
 
+That order is the library's (always the lowest rank that stands in the word) if each token is made by one pair out of its own bytes, as training
+leaves it (``token_pairs``): where a token's bytes start and end on tokens, they were that pair when its turn came. In any other
+vocabulary a merge may bring up a pair of lower rank than its own; there the fold looks for it at each step. Its state is one integer a token (the rank of the pair
+that starts with it, its place, its id), so the smallest integer is the leftmost pair of lowest rank. A step merges that pair and looks up the
+ranks of the two new pairs in the rank map, an array that is read by ids (see ``PairTable``).
+
 A pre-token that is a token is known by its bytes in the task that cuts it. One of more than CUT_OVER characters is
 first cut between neighbouring bytes that no token holds side by side, for no merge can cross such a place. A part that is still over LONG bytes (a run of one letter, say) is merged rank by rank
 over an array in the same task, because a fold copies its state at each step.
@@ -39,6 +45,10 @@ CUT_OVER = 64
 LONG = 1024
 #: Bits of a token's place in its part.
 PLACE = 10
+#: The first surrogate and their number: no character stands for them, so an id from there on is that much higher.
+SURROGATE, SURROGATES = 0xD800, 0x800
+#: Words whose bytes are looked at together for tokens.
+FIND_WORDS = 1 << 13
 
 
 @lru_cache(maxsize=2)
@@ -162,10 +172,106 @@ def pair_table(path: str) -> PairTable:
     return PairTable(read_ranks(path))
 
 
-def _tables(spark: SparkSession, table: PairTable) -> DataFrame:
-    """One row (cells, shift): the rank map."""
-    arrays = zip(("cells", "shift"), table.cells())
-    return spark.createDataFrame(pa.table({name: pa.array([numbers], pa.list_(pa.int64())) for name, numbers in arrays}))
+def sign(i: int) -> str:
+    """The character that stands for an id in a folded word."""
+    return chr(i if i < SURROGATE else i + SURROGATES)
+
+
+@lru_cache(maxsize=2)
+def token_pairs(path: str) -> dict[int, tuple[int, int]] | None:
+    """By rank of each token of two bytes or more: the pair that its bytes have become when all merges of lower
+    rank are done. None if that is not one pair for some token: then the merges' order is not that of the ranks alone."""
+    ranks, pairs = read_ranks(path), {}
+    for token, rank in ranks.items():
+        parts = [token[i:i + 1] for i in range(len(token))]
+        while len(parts) > 2:
+            low, at = min((ranks.get(a + b, rank), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
+            if low >= rank:
+                return None
+            parts[at:at + 2] = [parts[at] + parts[at + 1]]
+        if len(parts) == 2:
+            pairs[rank] = ranks[parts[0]], ranks[parts[1]]
+    return pairs
+
+
+class Finder:
+    """The merges whose tokens stand in words, by a hash of each run of bytes. A run of the same hash as a token's
+    would only add a merge that finds its pair nowhere or is right to be made."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        tokens = [t for t in ranks if len(t) > 1]
+        self.longest = max(map(len, tokens), default=0)
+        size, self.base = np.fromiter(map(len, tokens), np.int64, len(tokens)), np.uint64(0x9E3779B97F4A7C15)
+        x, starts = np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(size) - size
+        while True:
+            keys = np.zeros(len(tokens), np.uint64)
+            for n in range(self.longest):
+                more = np.flatnonzero(size > n)
+                keys[more] = self._next(keys[more], x[starts[more] + n])
+            if len(np.unique(keys)) == len(keys):          # no two tokens of one hash
+                break
+            self.base += np.uint64(2)
+        order = np.argsort(keys)
+        self.keys, self.ranks = keys[order], np.array([ranks[t] for t in tokens], np.int64)[order]
+        #: the token (its place in ``keys``) of each slot, and which slots have more than one
+        self.bits = np.uint64(64 - max(10, (16 * len(tokens)).bit_length()))
+        slot = self._slot(self.keys)
+        self.at = np.full(1 << (64 - int(self.bits)), -1, np.int32)
+        self.at[slot] = np.arange(len(slot))
+        self.crowded = np.bincount(slot, minlength=len(self.at)) > 1
+
+    def _next(self, keys: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """The hashes of runs that are one byte longer."""
+        return keys * self.base + (x + np.uint64(1))
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * np.uint64(0xD6E8FEB86659FD93) >> self.bits).astype(np.int64)
+
+    def merges(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(sizes, ranks): of each word, ascending, the ranks of the tokens of two bytes or more that stand in it."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        x = np.frombuffer(b"".join(words), np.uint8)
+        word = np.repeat(np.arange(len(words)), size)
+        left = np.repeat(np.cumsum(size), size) - np.arange(len(x))  # bytes from here to the word's end
+        at, keys, found = np.arange(len(x)), self._next(np.zeros(len(x), np.uint64), x), []
+        for n in range(1, self.longest):
+            more = np.flatnonzero(left > n)
+            if not len(more):
+                break
+            at, left = at[more], left[more]
+            keys = self._next(keys[more], x[at + n])
+            slot = self._slot(keys)
+            token = self.at[slot]
+            hit = (token >= 0) & (self.keys[token] == keys)
+            odd = np.flatnonzero(~hit & self.crowded[slot])
+            token[odd] = np.minimum(np.searchsorted(self.keys, keys[odd]), len(self.keys) - 1)
+            hit[odd] = self.keys[token[odd]] == keys[odd]
+            found.append(word[at[hit]] << 32 | self.ranks[token[hit]])
+        found = np.sort(np.concatenate([*found, np.zeros(0, np.int64)]))
+        found = found[np.diff(found, prepend=-1) > 0]      # each once
+        return np.bincount(found >> 32, minlength=len(words)), found & 0xFFFFFFFF
+
+
+@lru_cache(maxsize=2)
+def finder(path: str) -> Finder:
+    return Finder(read_ranks(path))
+
+
+def _tables(spark: SparkSession, table: PairTable, pairs: dict[int, tuple[int, int]] | None) -> DataFrame:
+    """One row: by rank the pairs and what they make (pairs, made), or the rank map (cells, shift)."""
+    if pairs is None:
+        arrays, of = zip(("cells", "shift"), table.cells()), pa.int64()
+    else:
+        signs = [(sign(pairs[i][0]) + sign(pairs[i][1]), sign(i)) if i in pairs else (None, None) for i in range(table.size)]
+        arrays, of = zip(("pairs", "made"), map(list, zip(*signs))), pa.string()
+    return spark.createDataFrame(pa.table({name: pa.array([values], pa.list_(of)) for name, values in arrays}))
+
+
+def fold_merges(word: Column, merges: Column, table: PairTable, pairs: Column, made: Column) -> Column:
+    """array<int>: the ids of one part, given as the string of its bytes' signs and the ranks of the merges to try, ascending."""
+    folded = F.aggregate(merges, word, lambda s, rank: F.replace(s, F.get(pairs, rank), F.get(made, rank)))
+    ids = F.transform(F.split(folded, ""), F.ascii)
+    return ids if table.size <= SURROGATE else F.transform(ids, lambda i: F.when(i < SURROGATE, i).otherwise(i - SURROGATES))
 
 
 def encode_bytes(word: Column, table: PairTable, cells: Column, shift: Column) -> Column:
@@ -230,8 +336,9 @@ def _list(sizes: list[int] | np.ndarray, values: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), values)
 
 
-def _words(words: list[bytes], ranks: dict[bytes, int], table: PairTable, most: int) -> pa.StructArray:
-    """(codes: of a word to be folded, ids: of a word that is a token itself, or a part over ``most`` bytes) of each word."""
+def _words(words: list[bytes], ranks: dict[bytes, int], table: PairTable, most: int, find: Finder | None) -> pa.StructArray:
+    """(ids: of a word that is a token itself, or a part over ``most`` bytes; of a word to be folded what the fold starts with:
+    its signs and merges, or its codes without ``find``) of each word."""
     done, sizes = array("i"), []
     for w in words:
         before, rank = len(done), ranks.get(w)
@@ -240,9 +347,16 @@ def _words(words: list[bytes], ranks: dict[bytes, int], table: PairTable, most:
         elif len(w) > most:
             done.frombytes(table.merged(w).astype(np.int32).tobytes())
         sizes.append(len(done) - before)
-    n_codes, codes = table.codes([b"" if n else w for n, w in zip(sizes, words)])
-    return pa.StructArray.from_arrays([_list(n_codes, pa.array(codes)), _list(sizes, pa.array(np.array(done, np.int32)))],
-                                      names=["codes", "ids"])
+    ids = _list(sizes, pa.array(np.array(done, np.int32)))
+    todo = [b"" if n else w for n, w in zip(sizes, words)]
+    if find is None:
+        n_codes, codes = table.codes(todo)
+        return pa.StructArray.from_arrays([ids, _list(n_codes, pa.array(codes))], names=["ids", "codes"])
+    signs = [sign(i) for i in table.byte_id.tolist()]
+    text = pa.array([w.decode("latin-1").translate(signs) for w in todo], pa.string())
+    merges = [find.merges(todo[i:i + FIND_WORDS]) for i in range(0, len(todo), FIND_WORDS)]
+    n, found = (np.concatenate([m[k] for m in merges] or [np.zeros(0, np.int64)]) for k in (0, 1))
+    return pa.StructArray.from_arrays([ids, text, _list(n, pa.array(found.astype(np.int32)))], names=["ids", "signs", "merges"])
 
 
 def encode(df: DataFrame, path: str, pattern: str, *, text_col: str = "text", ids_col: str = "ids",
@@ -262,20 +376,22 @@ def encode(df: DataFrame, path: str, pattern: str, *, text_col: str = "text", id
     src = df.select(*[F.col(f"`{c}`") for c in rest], *([] if text_col in rest else [F.col(f"`{text_col}`")]))
     numbers_name = free_name(src, "numbers")
     record = T.StructType([*fields, T.StructField(numbers_name, T.ArrayType(T.IntegerType()))])
-    blocked = T.StructType([T.StructField("words", T.ArrayType(T.StructType.fromDDL("codes array<bigint>, ids array<int>"))),
+    table, pairs = pair_table(path), token_pairs(path)
+    ordered = pairs is not None
+    starts = "signs string, merges array<int>" if ordered else "codes array<bigint>"
+    blocked = T.StructType([T.StructField("words", T.ArrayType(T.StructType.fromDDL(f"ids array<int>, {starts}"))),
                             T.StructField("records", T.ArrayType(record))])
-    table = pair_table(path)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
-        ranks, table = read_ranks(path), pair_table(path)
+        ranks, table, find = read_ranks(path), pair_table(path), finder(path) if ordered else None
         for b in batches:
             for words, first, rows in _blocks(b, at, pattern, table, block_words):
                 part = b.select(list(range(len(rest)))).slice(first, len(rows))
                 offsets = pa.array(np.r_[0, np.cumsum([len(r) for r in rows])].astype(np.int32))
                 numbers = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(rows), pa.int32()))
                 records = pa.StructArray.from_arrays([*part.columns, numbers], names=record.names)
-                yield pa.RecordBatch.from_arrays([one(_words(words, ranks, table, min(most_folded, LONG))), one(records)], names=["words", "records"])
+                yield pa.RecordBatch.from_arrays([one(_words(words, ranks, table, min(most_folded, LONG), find)), one(records)], names=["words", "records"])
                 del words, rows, part, numbers, records
                 pa.default_memory_pool().release_unused()
 
@@ -286,21 +402,23 @@ def encode(df: DataFrame, path: str, pattern: str, *, text_col: str = "text", id
             return F.struct(*[r[c].alias(c) for c in rest], ids.alias(ids_col))
         return F.transform("records", one)
 
-    def coded(cells: Column, shift: Column) -> Column:
+    def coded(*tables: Column) -> Column:
         def one(w: Column) -> Column:                      # a pre-token that is a token needs no merges
-            return F.when(F.size(w["ids"]) > 0, w["ids"]).otherwise(encode_bytes(w["codes"], table, cells, shift))
+            folded = fold_merges(w["signs"], w["merges"], table, *tables) if ordered else encode_bytes(w["codes"], table, *tables)
+            return F.when(F.size(w["ids"]) > 0, w["ids"]).otherwise(folded)
         return let(F.transform("words", one), deal)
     # made into arrays of objects once a block, so that the fold's reads box nothing
-    maps = [F.transform(name, lambda x: x) for name in ("cells", "shift")]
-    bound = let(maps[0], lambda cells: let(maps[1], lambda shift: coded(cells, shift)))
-    return src.mapInArrow(cut, blocked).crossJoin(F.broadcast(_tables(df.sparkSession, table))).select(F.inline(bound))
+    sent = _tables(df.sparkSession, table, pairs)
+    maps = [F.transform(name, lambda x: x) for name in sent.columns]
+    bound = let(maps[0], lambda one: let(maps[1], lambda other: coded(one, other)))
+    return src.mapInArrow(cut, blocked).crossJoin(F.broadcast(sent)).select(F.inline(bound))
 
 
 def _joined(ids_col: str, pieces: list[str]) -> Column:
-    """The pieces of a row's ids (null: none), concatenated."""
+    """The pieces of a row's ids (null: none), concatenated. Their table is a constant by the time the query runs."""
     table = F.from_json(F.lit(json.dumps(pieces, separators=(",", ":"))), "array<string>")
     ids = F.coalesce(F.col(f"`{ids_col}`"), F.array().cast("array<int>"))
-    return let(table, lambda t: F.array_join(F.transform(ids, lambda i: F.get(t, i)), ""))
+    return F.array_join(F.transform(ids, lambda i: F.get(table, i)), "")
 
 
 def decode(df: DataFrame, path: str, *, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:

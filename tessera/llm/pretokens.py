@@ -26,6 +26,8 @@ NEWER = (
 OTHER = "\u0378"
 #: Texts over this many characters are cut piece by piece, not into one list.
 LONG_TEXT = 1 << 20
+#: The characters from the first of NEWER on. Most texts have none, and one range is searched for in a tenth of the time.
+HIGH = re.compile(f"[{chr(NEWER[0][0])}-\U0010ffff]")
 
 
 @lru_cache(maxsize=None)
@@ -54,10 +56,15 @@ def _compiled(pattern: str) -> regex.Pattern:
     return regex.compile(pattern)
 
 
+def _first_newer(text: str) -> regex.Match | None:
+    high = not text.isascii() and HIGH.search(text)
+    return _newer().search(text, high.start()) if high else None
+
+
 def piece_groups(text: str, pattern: str, group: int = 200_000) -> Iterator[list[str]]:
     """The pre-tokens of ``text`` in order, in lists of bounded length."""
     cut = text.isascii() and _ascii(pattern) or _compiled(pattern)
-    newer = not text.isascii() and _newer().search(text)
+    newer = _first_newer(text)
     if not newer and len(text) <= LONG_TEXT:
         yield cut.findall(text)
         return

@@ -115,6 +115,15 @@ def test_ascii_texts_are_cut_the_same():
         assert pretokens._ascii(odd) is None
 
 
+def test_characters_newer_than_the_libraries_are_found():
+    from tessera.llm import pretokens
+    assert pretokens.HIGH.pattern[1] == chr(min(a for a, _ in pretokens.NEWER))
+    for a, b in pretokens.NEWER:
+        for c in (a, b):
+            assert pretokens._first_newer("é" * 50 + "漢" + chr(c)).start() == 51
+    assert not pretokens._first_newer("é漢\U0001f600\U0010ffff") and not pretokens._first_newer("plain")
+
+
 def test_words_are_folded_once_a_batch(spark, sf, monkeypatch):
     """The fold is what costs: the words of a usual Arrow batch of the query stand in one block."""
     held, real = [], byte_bpe.encode
@@ -135,6 +144,52 @@ def test_a_word_starts_with_the_ranks_of_its_byte_pairs():
     assert not len(table.codes([b"", b""])[1]) and not len(table.codes([])[1])
 
 
+def test_a_fold_goes_over_the_merges_of_its_word_only():
+    """One step for each token that stands in the word, in the order of their ranks; there were as many as bytes, each of some fifty operations."""
+    ranks, find = byte_bpe.read_ranks(MULTI), byte_bpe.finder(MULTI)
+    words = [b"", b"x", *(t.encode() for t in HARD if t), *(t.encode() for t in fuzz(200)), *ranks]
+    assert find.crowded.any()
+    sizes, merges = find.merges(words)
+    for w, got in zip(words, np.split(merges, np.cumsum(sizes)[:-1])):
+        runs = {w[i:i + n] for n in range(2, find.longest + 1) for i in range(len(w) - n + 1)}
+        assert got.tolist() == sorted(ranks[t] for t in runs if t in ranks)
+    assert not len(find.merges([])[0]) and not len(find.merges([b""])[1])
+
+
+def test_each_token_is_made_by_the_pair_of_its_bytes():
+    ranks, pairs = byte_bpe.read_ranks(MULTI), byte_bpe.token_pairs(MULTI)
+    tokens = {i: t for t, i in ranks.items()}
+    assert {i: tokens[a] + tokens[b] for i, (a, b) in pairs.items()} == {i: t for t, i in ranks.items() if len(t) > 1}
+    assert [ord(byte_bpe.sign(i)) for i in (0, 0xd7ff, 0xd800, 70_000)] == [0, 0xd7ff, 0xe000, 70_000 + 0x800]
+
+
+def vocabulary(path, merged, at=256):
+    """A file of the bytes and the tokens ``merged`` after them, ids from ``at`` on."""
+    import base64
+    tokens = {bytes([x]): x for x in range(256)} | {t: at + i for i, t in enumerate(merged)}
+    path.write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % i for t, i in tokens.items()))
+    return tokens
+
+
+@pytest.mark.parametrize("merged, at, ordered", [
+    ([b"ab", b"bc", b"aa", b"abc", b"aaaa", b"cab"], 256, True),
+    ([b"ab", b"bc", b"aa", b"abc", b"aaaa", b"cab"], 0xd7fe, True),    # ids on both sides of the surrogates
+    ([b"abc", b"ab", b"cab", b"abca", b"aa", b"bb"], 256, False)])    # "abc" comes up after "ab", of a higher rank
+def test_any_vocabulary(spark, docs, tmp_path, merged, at, ordered):
+    path = str(tmp_path / "v.tiktoken")
+    ranks = vocabulary(tmp_path / "v.tiktoken", merged, at)
+    assert (byte_bpe.token_pairs(path) is not None) == ordered
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("abc"), n)) for n in rng.integers(1, 30, 300)] + ["a" * n for n in range(1, 20)]
+
+    def plain(parts):
+        while (best := min(((ranks.get(a + b, 1 << 40), i) for i, (a, b) in enumerate(zip(parts, parts[1:]))), default=(1 << 40, 0)))[0] < 1 << 40:
+            parts[best[1]:best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
+        return [ranks[p] for p in parts]
+    for r in byte_bpe.encode(docs([(i, w, "s") for i, w in enumerate(words)]), path, P.PATTERN).collect():
+        assert r.ids == plain([bytes([x]) for x in r.text.encode()]), r.text
+
+
 @pytest.mark.parametrize("query", [op2_token_counts, op3_byte_bpe])
 def test_queries(spark, sf, corpus, query):
     lib = {op2_token_counts: Tokenizer.from_file(JSON), op3_byte_bpe: packing.tokenizer(MULTI, P.PATTERN)}[query]
