@@ -124,3 +124,46 @@ def test_jaccard_pairs_of_nothing(spark):
     none = spark.createDataFrame([], "a long, text string")
     assert jaccard_pairs(none, none.withColumnRenamed("a", "b"), 0.5, left_id="a", right_id="b").count() == 0
     assert dedup_corpus(spark.createDataFrame([], "ord long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("t,small_block,max_edges,max_bitmaps", [(0.6, 1, 0, 1 << 20), (0.7, 1, 1 << 20, 0), (0.85, 64, 8, 0), (0.65, 2, 1 << 20, 1 << 20)])
+def test_corpus_dedup_by_neighbours_equals_the_greedy_rule(spark, monkeypatch, t, small_block, max_edges, max_bitmaps):
+    """In rounds and at once, with bitmaps sent and joined, rows that come twice, ids of several texts and of text type."""
+    from tessera.operators import dedup, nearpairs
+    monkeypatch.setattr(dedup, "MAX_EDGES", max_edges)
+    monkeypatch.setattr(nearpairs, "MAX_BITMAPS", max_bitmaps)
+    rng = np.random.default_rng(int(100 * t))
+    words = [f"w{i}" for i in range(300)]
+    rows, base = [], [list(rng.choice(words, rng.integers(2, 120), replace=False)) for _ in range(6)]
+    for i in range(100):
+        w = list(base[rng.integers(6)]) if i % 4 else list(rng.choice(words[:9], rng.integers(1, 9)))
+        for _ in range(rng.integers(0, 2 + len(w) // 6)):
+            w[rng.integers(len(w))] = str(rng.choice(words))
+        rows.append((f"id{i:03d}", " ".join(w[:len(w) - int(rng.integers(0, 1 + len(w) // 8))])))
+    rows += [("id900", ""), ("id901", None), ("id902", "W1 w1"), ("id903", "w1"), rows[50], rows[0]]
+    out = dedup_corpus(spark.createDataFrame([*rows, (None, "w5 w6")], "ord string, text string"), t, small_block=small_block)
+    stay = _greedy(set(rows) - {("id901", None)} | {("id901", "")}, t)
+    assert sorted(r.ord for r in out.collect()) == sorted(i for i, _ in rows if i in stay)
+
+
+def test_corpus_dedup_keeps_less_than_its_input_on_disk(spark, tmp_path, monkeypatch):
+    """Texts that nothing is similar to: four bytes a word are kept, not the words, their order and their keys."""
+    from tessera.operators import nearpairs
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(f"word{x:016x}" for x in rng.integers(0, 1 << 40, 1000))) for i in range(200)]
+    monkeypatch.setattr(nearpairs.Scratch, "drop", lambda self, name="": None)
+    before = spark.sparkContext.getCheckpointDir()
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    try:
+        assert dedup_corpus(spark.createDataFrame(rows, "ord long, text string")).count() == 200
+    finally:
+        spark.sparkContext.setCheckpointDir(before)
+    assert sum(f.stat().st_size for f in tmp_path.rglob("*") if f.is_file()) < sum(len(x) for _, x in rows) / 2
+
+
+def test_a_candidate_that_is_not_similar_decides_nothing(spark):
+    """a drops b and b would drop c; d only looks similar to a: b goes, c and d stay."""
+    from tessera.operators.dedup import _decided
+    held = spark.createDataFrame([(1, [*"abcdefgh"]), (2, [*"abcdefgi"]), (3, [*"abcdefij"]), (4, [*"abcd"])], "id long, words array<string>")
+    pairs = spark.createDataFrame([(1, 2), (2, 3), (1, 4), (3, 4)], "a long, b long")
+    assert [r.id for r in _decided(pairs, held, 0.7).collect()] == [2]
