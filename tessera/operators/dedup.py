@@ -73,7 +73,8 @@ def dedup_corpus(df: DataFrame, threshold: float = 0.7, *, order: str = "ord", t
     open_rows = ends.unionByName(here.select("id")).distinct().checkpoint()
     kept = ids.join(open_rows, "id", "left_anti").checkpoint()
     # the rows that wait or are waited for are few: their texts alone are kept, and cut when they are verified
-    held = word_sets(scratch.keep("texts", without(df.select(F.col(order).alias("id"), F.col(text).alias("text")), open_rows, "left_semi")), "id", "text")
+    held = scratch.keep("texts", without(df.select(F.col(order).alias("id"), F.col(text).alias("text")), open_rows, "left_semi"))
+    words = word_sets(held, "id", "text")
     while True:
         blocks = here.groupBy("key").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("l")).where("l > 1")
         edges = live.count() + (blocks.agg(F.sum(F.expr("l * (l - 1) / 2"))).first()[0] or 0)
@@ -87,7 +88,7 @@ def dedup_corpus(df: DataFrame, threshold: float = 0.7, *, order: str = "ord", t
         beside = blocks.join(stay, blocks["head"] == stay["id"], "left_semi")
         met = live.join(stay.select(F.col("id").alias("a")), "a", "left_semi").unionByName(
             here.join(beside, "key").where("id > head").select(F.col("head").alias("a"), F.col("id").alias("b"))).distinct().checkpoint()
-        gone = verified(met, held, held, threshold).select(F.col("b").alias("id")).distinct().checkpoint()
+        gone = verified(met, words, words, threshold).select(F.col("b").alias("id")).distinct().checkpoint()
         kept = kept.unionByName(stay)
         open_rows = open_rows.join(stay.unionByName(gone), "id", "left_anti").checkpoint()
         live = live.join(open_rows.select(F.col("id").alias("a")), "a", "left_semi").join(
@@ -99,12 +100,12 @@ def dedup_corpus(df: DataFrame, threshold: float = 0.7, *, order: str = "ord", t
 
 
 def _decided(pairs: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
-    """(id): the rows that go, by the candidates ``pairs`` (a < b) of rows of which none is decided.
+    """(id): the rows that go, by the candidates ``pairs`` (a < b) of rows (``held``: id, text) of which none is decided.
 
     The rule runs as if all candidates were similar, and for each row that goes the pair with the first
     row that stayed is verified. If all hold, this is the rule's result: a row that stays is
     similar to no earlier one that stays, and one that goes is to one. A pair that fails is no
-    candidate any more, and the rule runs again."""
+    candidate any more, and the rule runs again, after all pairs of its later row are verified."""
     pairs = pairs.select("a", "b")
     got = pairs.toArrow()
     kind, n = got.schema.field("a").type, got.num_rows
@@ -113,7 +114,7 @@ def _decided(pairs: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
     a, b = (pc.index_in(got.column(x), names).to_numpy().astype(np.int64) for x in ("a", "b"))
     place = np.lexsort((a, b))
     a, b = a[place], b[place]
-    alive, sure = np.ones(n, bool), np.zeros(n, bool)
+    alive, sure, doubted = np.ones(n, bool), np.zeros(n, bool), np.zeros(len(names), bool)
     spark, schema = pairs.sparkSession, pairs.schema
     while True:
         stays, by = np.ones(len(names), bool), []
@@ -125,14 +126,15 @@ def _decided(pairs: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
                 stays[b[first[0]]] = False
                 by.append(first[0])
         by = np.array(by, np.int64)
-        asked = by[~sure[by]]
-        if not len(asked):
+        if sure[by].all():
             out = names.take(pa.array(np.flatnonzero(~stays)))
             return spark.createDataFrame(pa.table({"id": out}), schema=f"id {schema["a"].dataType.simpleString()}")
+        asked = np.flatnonzero(~sure & alive & (doubted[a] | doubted[b] | np.isin(np.arange(n), by)))
         rows = spark.createDataFrame(pa.table({"a": names.take(pa.array(a[asked])), "b": names.take(pa.array(b[asked]))}), schema=schema)
-        true = verified(F.broadcast(rows), held, without(held, rows.select(F.col("b").alias("id")).distinct(), "left_semi"), threshold) \
-            .select("a", "b").distinct().toArrow()
+        x, y = (word_sets(without(held, rows.select(F.col(c).alias("id")).distinct(), "left_semi"), "id", "text") for c in ("a", "b"))
+        true = verified(F.broadcast(rows), x, y, threshold).select("a", "b").distinct().toArrow()
         x, y = (pc.index_in(true.column(c).cast(kind), names).to_numpy().astype(np.int64) for c in ("a", "b"))
         holds = np.isin(a[asked] * len(names) + b[asked], x * len(names) + y)
         sure[asked[holds]] = True
         alive[asked[~holds]] = False
+        doubted[b[np.intersect1d(asked[~holds], by)]] = True
